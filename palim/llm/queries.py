@@ -1,8 +1,16 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
+from palim.llm.language import op2_language_id
+from palim.llm.quality import op3_quality_subwords
 from palim.llm.sharding import op9_kd_sharding
+from palim.llm.syncmers import op1_syncmer_fingerprints
+from palim.llm.toxicity import op5_toxicity_trees
 
 QUERIES = {
+    "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+    "op2_language_id": op2_language_id,
+    "op3_quality_subwords": op3_quality_subwords,
+    "op5_toxicity_trees": op5_toxicity_trees,
     "op9_kd_sharding": op9_kd_sharding,
 }
 
