@@ -158,3 +158,44 @@ def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive bounds (empty ranges give 0)."""
     sums = np.concatenate(([0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another, behind their sizes in bytes."""
+    parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts)
+
+
+def unpack(payload, *kinds) -> list[np.ndarray]:
+    """The arrays of pack(), by their kinds."""
+    sizes = np.frombuffer(payload, np.uint32, len(kinds))
+    out, at = [], 4 * len(kinds)
+    for size, kind in zip(sizes.tolist(), kinds):
+        out.append(np.frombuffer(payload, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+def range_shard(route: np.ndarray, shards: int) -> np.ndarray:
+    """A shard by the upper half of a 64-bit hash: ascending with it."""
+    return ((route >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def group_bounds(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    if not len(sorted_values):
+        return np.zeros(1, np.int64)
+    return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]))
+
+
+def is_member(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """For each value its index among sorted distinct ones, or -1; a small table by low bits settles most."""
+    out = np.full(len(values), -1, np.int64)
+    if len(sorted_) and len(values):
+        table = np.zeros(1 << 20, bool)
+        table[(sorted_ & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        some = np.flatnonzero(table[(values & np.uint64(0xFFFFF)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(sorted_, values[some]), len(sorted_) - 1)
+        right = sorted_[at] == values[some]
+        out[some[right]] = at[right]
+    return out

@@ -1,8 +1,13 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
+from palim.llm.decontamination import op4_template_decontamination
 from palim.llm.language import op2_language_id
+from palim.llm.language_model import op6_elias_fano_lm
+from palim.llm.near_dedup import op10_simhash_bk_tree
 from palim.llm.quality import op3_quality_subwords
+from palim.llm.sentencepiece_codec import op7_sentencepiece
 from palim.llm.sharding import op9_kd_sharding
+from palim.llm.substring_dedup import op8_substring_dedup
 from palim.llm.syncmers import op1_syncmer_fingerprints
 from palim.llm.toxicity import op5_toxicity_trees
 
@@ -10,8 +15,13 @@ QUERIES = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_language_id": op2_language_id,
     "op3_quality_subwords": op3_quality_subwords,
+    "op4_template_decontamination": op4_template_decontamination,
     "op5_toxicity_trees": op5_toxicity_trees,
+    "op6_elias_fano_lm": op6_elias_fano_lm,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_kd_sharding": op9_kd_sharding,
+    "op10_simhash_bk_tree": op10_simhash_bk_tree,
 }
 
 ORACLE_SQL: dict = {}
