@@ -72,6 +72,19 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, total: int, salt
     return rows.filter(keep)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, remainder: int, per_label: int, total: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows (doc_id, label 0 or 1) of docs that aren't held out, and a bounded sample of them with its texts.
+
+    The sample is picked among ids alone and then broadcast (`total` rows or so), so that no text is shuffled.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    known = known.filter("label IN (0, 1)").filter(~held_out(modulus, remainder)).distinct()
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    chosen = bounded_sample(known, "label", per_label, total, salt)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return known, texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its values; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

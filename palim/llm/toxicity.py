@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palim.llm.common import blocks, bounded_sample, byte_keys, find_words, held_out, materialise, per_doc, prefix_sums, span_hash, utf8
+from palim.llm.common import blocks, byte_keys, find_words, held_out, labelled_sample, materialise, per_doc, prefix_sums, span_hash, utf8
 
 #: Bound of the training sample: labelled documents of a class, and of all.
 PER_CLASS, SAMPLE = 6000, 12000
@@ -245,8 +245,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lexicon: np.ndarray, p
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     """Learns lexicon, trees and calibration from a bounded sample of the labelled rows that aren't held out; None if there is none."""
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter("label IN (0, 1)"), "doc_id").filter(~held_out(4, 2))
-    chosen = bounded_sample(rows.select("doc_id", "label", "text"), "label", PER_CLASS, SAMPLE, 5).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    rows, chosen = labelled_sample(docs, labels, "toxic", 4, 2, PER_CLASS, SAMPLE, 5)
     chosen = materialise(chosen)
     sizes = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
     if not sizes:
