@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -33,17 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors cost nothing before it.
-
-    The shuffles that made it are then garbage; collecting that at once lets Spark drop their files.
-    """
+    """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors cost nothing before it."""
     spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark)
     df.write.parquet(path)
-    del df
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    time.sleep(0.5)  # the cleaner works beside
 
 
 def id_crc(column: str = "doc_id") -> Column:

@@ -16,10 +16,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palim.llm.common import blocks, byte_keys, find_words, group_bounds, is_member, materialise, mix, pack, prefix_sums, range_shard, span_hash, unpack, utf8
+from palim.llm.common import blocks, byte_keys, find_words, group_bounds, is_member, materialise, mix, pack, prefix_sums, range_shard, release, span_hash, unpack, utf8
 
 WINDOW = 13
 CONTEXT = 4
@@ -27,7 +27,9 @@ REACH = 4
 BLOCK, DOCS = 6 << 20, 60_000
 #: A key with this many holders in one block is counted over all blocks; those with over 1 / HOT of all holders (at most HOT) are dealt out by window.
 OFTEN, HOT = 8, 50_000
-_NO_ID = np.iinfo(np.int64).max
+#: Buckets of documents for each shuffle partition.
+BUCKETS = 8
+_NO_ID = int(np.iinfo(np.int64).max)
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -135,16 +137,33 @@ def _frequent(batches):
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
 
 
-def _rows_of(doc: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """For each document one row with all its window ids."""
-    order = np.argsort(doc, kind="stable")
-    doc, ids = doc[order], ids[order]
-    bounds = group_bounds(doc)
-    return pa.array(doc[bounds[:-1]]), pa.array([ids[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:])], pa.binary())
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket of documents; _bucket_column is the same as an expression."""
+    x = ids.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(15)) ^ (x >> np.uint64(31))).view(np.int64)
+    return np.mod(x, buckets).astype(np.int32)
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, windows: the ids (64 bits each, packed) of a document's windows whose words also start in a document with a smaller id.
+def _bucket_column(buckets: int) -> Column:
+    x = F.coalesce("doc_id", F.lit(_NO_ID))
+    return F.pmod(x.bitwiseXOR(F.shiftrightunsigned(x, 15)).bitwiseXOR(F.shiftrightunsigned(x, 31)), F.lit(buckets)).cast("int")
+
+
+def _by_bucket(doc: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
+    """Window ids of documents, packed into a row for each bucket: documents, windows of each, windows."""
+    bucket = _bucket(doc, buckets)
+    order = np.lexsort((doc, bucket))
+    doc, ids, bucket = doc[order], ids[order], bucket[order]
+    bounds = group_bounds(bucket)
+    packed = []
+    for a, z in zip(bounds[:-1], bounds[1:]):
+        inner = group_bounds(doc[a:z])
+        packed.append(pack(doc[a:z][inner[:-1]], np.diff(inner).astype(np.uint32), ids[a:z]))
+    return pa.array(bucket[bounds[:-1]] if len(doc) else [], pa.int32()), pa.array(packed, pa.binary())
+
+
+def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, windows: for the documents of a bucket, the ids (64 bits each, packed) of those windows whose words also start in a document with a smaller id.
 
     Within a block of documents a window is kept for its first document only; so a passage that many documents share
     costs a row for each block. A null id stands as the greatest.
@@ -176,34 +195,33 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 if cut[s] < cut[s + 1] or len(h):
                     lead, inside = cold[g[:-1]], cold[g[0] : g[-1]] if len(g) > 1 else cold[:0]
                     rows_.append((s, pack(known, key[lead], rank[lead].astype(np.uint16), np.diff(g).astype(np.uint16), short[inside], ids[h], rank[h].astype(np.uint16))))
-            doc, packed = _rows_of(known[rank[later]], ids[later])
-            n = len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows_], pa.int32()), pa.array([p for _, p in rows_], pa.binary()), pa.nulls(len(rows_), pa.int64()), pa.nulls(len(rows_), pa.binary())], _DEALT)
-            yield pa.RecordBatch.from_arrays([pa.array((mix(doc.to_numpy().view(np.uint64)) % np.uint64(shards)).astype(np.int32)), pa.nulls(n, pa.binary()), doc, packed], _DEALT)
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows_], pa.int32()), pa.array([p for _, p in rows_], pa.binary()), pa.nulls(len(rows_), pa.int32()), pa.nulls(len(rows_), pa.binary())], _DEALT)
+            bucket, packed = _by_bucket(known[rank[later]], ids[later], buckets)
+            yield pa.RecordBatch.from_arrays([pc.cast(pa.array(bucket.to_numpy() % shards), pa.int32()), pa.nulls(len(bucket), pa.binary()), bucket, packed], _DEALT)
 
     def settle(batches):
         held, shard = [], None
         for batch in batches:
             own = pc.is_null(batch.column("payload"))
-            yield batch.filter(own).select(["doc_id", "windows"])
+            yield batch.filter(own).select(_DEALT[2:])
             batch = batch.filter(pc.invert(own))
             for s, p in zip(batch.column("shard").to_pylist(), batch.column("payload")):
                 if s != shard and held:
-                    yield _settled(held)
+                    yield _settled(held, buckets)
                     held = []
                 shard = s
                 held.append(p.as_buffer())
         if held:
-            yield _settled(held)
+            yield _settled(held, buckets)
 
-    dealt = rows.mapInArrow(deal, "shard int, payload binary, doc_id long, windows binary")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(settle, "doc_id long, windows binary")
+    dealt = rows.mapInArrow(deal, "shard int, payload binary, bucket int, windows binary")
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(settle, "bucket int, windows binary")
 
 
-_DEALT = ["shard", "payload", "doc_id", "windows"]
+_DEALT = ["shard", "payload", "bucket", "windows"]
 
 
-def _settled(payloads: list) -> pa.RecordBatch:
+def _settled(payloads: list, buckets: int) -> pa.RecordBatch:
     keys, holders, sizes, shorts, warm_ids, warm_docs = [], [], [], [], [], []
     for p in payloads:
         known, key, rank, n, short, ids, ids_rank = unpack(p, np.int64, np.uint64, np.uint16, np.uint16, np.uint32, np.uint64, np.uint16)
@@ -226,7 +244,53 @@ def _settled(payloads: list) -> pa.RecordBatch:
     ids, doc = ids[order], doc[order]
     bounds = group_bounds(ids)
     later = doc > np.repeat(doc[bounds[:-1]], np.diff(bounds)) if len(ids) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays(list(_rows_of(doc[later], ids[later])), ["doc_id", "windows"])
+    return pa.RecordBatch.from_arrays(list(_by_bucket(doc[later], ids[later], buckets)), _DEALT[2:])
+
+
+class _Found:
+    """The repeated windows of a bucket's documents."""
+
+    def __init__(self, packed: list):
+        parts = [unpack(p, np.int64, np.uint32, np.uint64) for p in packed]
+        doc = np.concatenate([np.repeat(d, n) for d, n, _ in parts]) if parts else np.zeros(0, np.int64)
+        ids = np.concatenate([w for _, _, w in parts]) if parts else np.zeros(0, np.uint64)
+        order = np.argsort(doc, kind="stable")
+        self.ids, bounds = ids[order], group_bounds(doc[order])
+        self.docs, self.bounds = doc[order][bounds[:-1]], bounds
+
+    def of(self, doc: int) -> np.ndarray:
+        i = int(np.searchsorted(self.docs, doc))
+        return self.ids[self.bounds[i] : self.bounds[i + 1]] if i < len(self.docs) and self.docs[i] == doc else self.ids[:0]
+
+
+def _kept(b: pa.RecordBatch, found: _Found) -> list[pa.Array]:
+    """n_words, n_removed and the words left of each text."""
+    doc_ids = pc.fill_null(b.column("doc_id"), _NO_ID).to_numpy().astype(np.int64)
+    hit = np.flatnonzero(np.isin(doc_ids, found.docs))
+    part = b.take(pa.array(hit))
+    words, doc = _words(*utf8(part.column("text")))
+    first, key, short = windows(words, doc)
+    ids = window_id(key, short)
+    owner = doc[first] if len(first) else np.zeros(0, np.int64)
+    bounds = np.searchsorted(owner, np.arange(len(hit) + 1))
+    starts = np.searchsorted(doc, np.arange(len(hit) + 1))
+    masks = {}
+    for i, h in enumerate(hit):
+        w = slice(bounds[i], bounds[i + 1])
+        at = first[w][np.isin(ids[w], found.of(int(doc_ids[h])))] - starts[i]
+        cover = np.zeros(starts[i + 1] - starts[i] + 1, np.int64)
+        cover[at] += 1
+        cover[at + WINDOW] -= 1
+        masks[int(h)] = np.cumsum(cover[:-1]) == 0
+    n_words, n_removed, kept = [], [], []
+    for i, text in enumerate(b.column("text").to_pylist()):
+        own = (text or "").encode().split()
+        n_words.append(len(own))
+        if i in masks:
+            own = list(compress(own, masks[i]))
+        n_removed.append(n_words[-1] - len(own))
+        kept.append(b" ".join(own).decode())
+    return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
 
 
 def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -235,42 +299,33 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     A word goes if a window that covers it also starts in a document with a smaller id; windows are those of the
     input. Null text has no words. Rows with one id are one document here; each keeps its row. A null id is the greatest.
     """
-    found = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list("windows").alias("__windows"))
-    found = materialise(found.withColumnRenamed("doc_id", "__id"))
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * partitions
+    found = repeated_windows(docs, buckets)
+    found = materialise(found)
+    release(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
-    both = rows.join(found, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("__id"), "left").drop("__id")
+    # One shuffle of the texts: what was found of a bucket stands in front of its documents.
+    both = rows.select(_bucket_column(buckets).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("windows"), "doc_id", "text", *extra)
+    both = found.select("bucket", F.lit(0).alias("kind"), "windows").unionByName(both, allowMissingColumns=True)
+    both = both.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind")
 
     def cover(batches):
-        for b in blocks(batches, size=BLOCK, docs=DOCS):
-            n_words, n_removed, kept = [], [], []
-            hit = np.flatnonzero(pc.is_valid(b.column("__windows")).to_numpy(zero_copy_only=False))
-            part = b.take(pa.array(hit))
-            words, doc = _words(*utf8(part.column("text")))
-            first, key, short = windows(words, doc)
-            ids = window_id(key, short)
-            owner = doc[first] if len(first) else np.zeros(0, np.int64)
-            bounds = np.searchsorted(owner, np.arange(len(hit) + 1))
-            starts = np.searchsorted(doc, np.arange(len(hit) + 1))
-            masks = {}
-            for i, listed in enumerate(part.column("__windows")):
-                wanted = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in listed])
-                w = slice(bounds[i], bounds[i + 1])
-                at = first[w][np.isin(ids[w], wanted)] - starts[i]
-                cover_ = np.zeros(starts[i + 1] - starts[i] + 1, np.int64)
-                np.add.at(cover_, at, 1)
-                np.add.at(cover_, at + WINDOW, -1)
-                masks[int(hit[i])] = np.cumsum(cover_[:-1]) == 0
-            for i, text in enumerate(b.column("text").to_pylist()):
-                own = (text or "").encode().split()
-                n_words.append(len(own))
-                if i in masks:
-                    own = list(compress(own, masks[i]))
-                n_removed.append(n_words[-1] - len(own))
-                kept.append(b" ".join(own).decode())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *(b.column(c) for c in extra)],
-                ["doc_id", "n_words", "n_removed", "kept", *extra],
-            )
+        bucket, packed, ready = None, [], None
+        for batch in batches:
+            which = batch.column("bucket").to_numpy()
+            bounds = group_bounds(which * 2 + batch.column("kind").to_numpy())
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                part = batch.slice(a, z - a)
+                if which[a] != bucket:
+                    bucket, packed, ready = which[a], [], None
+                if part.column("kind")[0].as_py() == 0:
+                    packed += [x.as_buffer() for x in part.column("windows")]
+                    continue
+                ready = ready or _Found(packed)
+                for b in blocks([part], size=BLOCK, docs=DOCS):
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_kept(b, ready), *(b.column(c) for c in extra)], ["doc_id", "n_words", "n_removed", "kept", *extra])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "kept string", *(f"`{c}` {types[c]}" for c in extra)])
