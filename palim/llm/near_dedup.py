@@ -16,33 +16,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.bk_tree import Forest
-from palim.llm.common import blocks, materialise, utf8
+from palim.llm.common import blocks, materialise, mix, utf8
 
 RADIUS, PARTS = 4, 6
+#: Pairs that are confirmed at once.
+CONFIRM = 4096
 #: Fingerprints in a tree; larger groups are split. Also bounds the pairs that one tree can find at once.
 TREE = 2048
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_TO_SPACE = bytes(32 if b in (0x20, *range(9, 14)) else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """A bit is set if it is in over half the hashes (XXH64, seed 42) of the text's shingles, repeats included; no words: 0."""
-    tokens = [t for t in text.translate(_TO_SPACE).split(b" ") if t]
-    if not tokens:
-        return 0
+def shingle_hashes(text: bytes, words: int) -> tuple[bytes, np.ndarray]:
+    """The words (A-Z lowered) joined by single spaces, and XXH64 (seed 42) of each shingle, repeats included; fewer words than a shingle has: one of all."""
+    tokens = text.lower().split()  # bytes: ASCII letters and spaces only
     line = b" ".join(tokens)
+    if not tokens:
+        return line, np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return digest(line, 42)
+        return line, np.array([digest(line, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - words + 1].tolist()
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
-    n = len(hashes)
-    if n > 1 << 16:
-        ones = sum(np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for a in range(0, n, 1 << 16))
-    else:
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return line, np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half the hashes; none: 0."""
+    ones, step = np.zeros(64, np.int64), 1 << 16
+    for a in range(0, len(hashes), step):
+        ones += np.unpackbits(hashes[a : a + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    return majority(shingle_hashes(text, words)[1])
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -79,44 +85,53 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = again
 
 
+def _dealt(keyed: DataFrame, carried: list[str], member: str) -> DataFrame:
+    """Rows of groups (choice, key) with several members, dealt out in blocks that a task can hold.
+
+    A group of up to TREE members is one block. A larger one is split by a hash of the member: part p is the tree of the
+    blocks (p, y) for y >= p and asks in the blocks (x, p) for x <= p; so all parts meet, two at a time.
+    """
+    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = sizes.select("choice", "key", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(member, F.lit(9)), F.col("parts")).cast("int")
+    grouped = keyed.join(sizes, ["choice", "key"]).withColumn("p", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = grouped.select(
+        "choice", "key", F.least("p", "o").alias("x"), F.greatest("p", "o").alias("y"), *carried, (F.col("p") <= F.col("o")).alias("tree"), (F.col("p") >= F.col("o")).alias("asks")
+    )
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", member)
+
+
+def _whole_blocks(batches, rows: int):
+    """Tables of some `rows` rows that end where a block ends."""
+    tail = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        tail = pa.concat_tables([tail, table]) if tail is not None and tail.num_rows else table
+        if tail.num_rows >= rows:
+            ids = _block_ids(tail)
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if cut:
+                yield tail.slice(0, cut)
+                tail = tail.slice(cut)
+    if tail is not None and tail.num_rows:
+        yield tail
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """print: distinct fingerprints (long). Rows (a, b), a < b: enough links within the radius to connect all that are linked.
 
-    One row at most for each fingerprint, choice of parts and tree. Groups of over TREE members are split by a
-    hash; each part's trees are asked by all parts, so no task holds more than two parts at once.
+    One row at most for each fingerprint, choice of parts and block.
     """
     masks = _masks(radius)
     keyed = prints.select("print", F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for m in masks])).alias("choice", "key"))
-    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = sizes.select("choice", "key", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
-    grouped = keyed.join(sizes, ["choice", "key"])
-    small = grouped.filter("parts = 1").select("choice", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), "print", F.lit(True).alias("tree"), F.lit(True).alias("asks"))
-    part = F.pmod(F.xxhash64("print", F.lit(9)), F.col("parts")).cast("int")
-    # Part p is the tree of blocks (p, y) for y >= p and asks the trees (x, p) for x <= p.
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    large = grouped.filter("parts > 1").withColumn("p", part).withColumn("o", other).select(
-        "choice", "key", F.least("p", "o").alias("x"), F.greatest("p", "o").alias("y"), "print", (F.col("p") <= F.col("o")).alias("tree"), (F.col("p") >= F.col("o")).alias("asks")
-    )
-    spark = prints.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = small.unionByName(large).repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", "print")
 
     def run(batches):
-        held, tail = [], None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            tail = pa.concat_tables([tail, table]) if tail is not None and tail.num_rows else table
-            if tail.num_rows < 1 << 16:
-                continue
-            cut = _last_group(tail)
-            if cut:
-                held = _search(tail.slice(0, cut), radius)
-                tail = tail.slice(cut)
-                yield held
-        if tail is not None and tail.num_rows:
-            yield _search(tail, radius)
+        for t in _whole_blocks(batches, 1 << 16):
+            prints_ = t.column("print").to_numpy()
+            yield _pairs(prints_, _search(t, radius), ("a", "b"))
 
-    return both.mapInArrow(run, "a long, b long")
+    return _dealt(keyed, ["print"], "print").mapInArrow(run, "a long, b long")
 
 
 def _block_ids(t: pa.Table) -> np.ndarray:
@@ -127,31 +142,36 @@ def _block_ids(t: pa.Table) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _last_group(t: pa.Table) -> int:
-    """Where the last block of a sorted table begins."""
-    ids = _block_ids(t)
-    return int(np.searchsorted(ids, ids[-1]))
+def _pairs(names: np.ndarray, root: np.ndarray, out: tuple[str, str]) -> pa.RecordBatch:
+    """Distinct pairs of each element's name and its root's."""
+    other = np.flatnonzero(root != np.arange(len(root)))
+    x, y = names[other], names[root[other]]
+    pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], list(out))
 
 
-def _search(t: pa.Table, radius: int) -> pa.RecordBatch:
+def _search(t: pa.Table, radius: int, confirm=None) -> np.ndarray:
+    """The root of each row in its block's components; confirm(a, b): which pairs of rows are links beyond their distance."""
     ids = _block_ids(t)
     prints = t.column("print").to_numpy().view(np.uint64)
     tree, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "asks"))
     in_tree, asking = np.flatnonzero(tree), np.flatnonzero(asks)
-    _, group = np.unique(ids[in_tree], return_inverse=True)
-    known = np.unique(ids[in_tree])
-    at = np.searchsorted(known, ids[asking])
+    known, group = np.unique(ids[in_tree], return_inverse=True)
     forest = Forest(prints[in_tree], group)
     root = np.arange(t.num_rows)
-    for q, node in forest.within(prints[asking], at, radius):
+    for q, node in forest.within(prints[asking], np.searchsorted(known, ids[asking]), radius):
         a, b = asking[q], in_tree[node]
-        apart = root[a] != root[b]
-        if apart.any():
-            root = _merge(root, a[apart], b[apart])
-    other = np.flatnonzero(root != np.arange(t.num_rows))
-    x, y = prints[other].view(np.int64), prints[root[other]].view(np.int64)
-    pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        step = len(a) if confirm is None else CONFIRM
+        for i in range(0, len(a), step):  # what is joined by now needs no further look
+            x, y = a[i : i + step], b[i : i + step]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            if confirm is not None and len(x):
+                real = confirm(x, y)
+                x, y = x[real], y[real]
+            if len(x):
+                root = _merge(root, x, y)
+    return root
 
 
 def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,6 +220,80 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Da
     return printed.join(classes, "print").select("doc_id", "print", "component_id")
 
 
+#: For groups by similarity: smallest shingles that deal a text out (a pair of similarity s shares none with a chance of (1 - s) ** KEYS),
+#: shingle hashes in a sketch (32 bits each; a text of no more shingles is compared exactly), and the radius of the search,
+#: which pairs of similarity 0.8 or more don't reach.
+KEYS, SKETCH, WIDE = 5, 256, 24
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+
+
+def _profiles(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, digest (of the words), print, keys and sketch of each whole text."""
+
+    def run(batches):
+        for b in blocks(batches):
+            data, off = utf8(b.column("text"))
+            raw = data.tobytes()
+            digests, prints, keys, sketches = [], [], [], []
+            for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
+                line, hashes = shingle_hashes(raw[a:z], words)
+                digests.append(xxhash.xxh3_128_digest(line))
+                prints.append(majority(hashes))
+                if len(hashes):
+                    keys.append([int(k) for k in mix(hashes[None, :] ^ _SEEDS[:, None]).min(1).view(np.int64)])
+                else:
+                    keys.append([])
+                sketches.append(np.unique((mix(hashes) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "digest", "print", "keys", "sketch"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, print long, keys array<long>, sketch binary")
+
+
+def _similar(sketches: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sketches of rows a[i] and b[i] share at least `least` of the SKETCH smallest of both (of all, if there are fewer)."""
+    both = np.sort(np.concatenate((sketches[a], sketches[b]), axis=1), axis=1)  # filled up with the largest value
+    double = both[:, 1:] == both[:, :-1]
+    valid = both < _FILL
+    first = valid.copy()
+    first[:, 1:] &= ~double
+    rank = np.cumsum(first, axis=1)
+    inside = valid & (rank <= SKETCH)
+    total = (first & inside).sum(1)
+    shared = (double & inside[:, 1:]).sum(1)
+    return shared >= least * total - 1e-9
+
+
+_FILL = np.uint64(1 << 32)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: the least doc_id of each document's group, texts being linked if their shingle sets are similar (Jaccard).
+
+    Texts of equal words are one text first. Each goes to the trees of its KEYS smallest shingles; pairs within WIDE
+    bits there are compared by their sketches. Texts without words are all equal. Rows with a null doc_id are left out;
+    rows with one id are one document.
+    """
+    profiles = materialise(_profiles(docs.filter("doc_id IS NOT NULL"), words))
+    texts = materialise(profiles.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("print", "keys", "sketch")]))
+    keyed = texts.select("least", "print", "sketch", F.posexplode("keys").alias("choice", "key"))
+
+    def run(batches):
+        for t in _whole_blocks(batches, 1 << 13):
+            lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("sketch").combine_chunks()]
+            size = np.array([len(x) for x in lists])
+            sketches = np.full((len(lists), SKETCH), _FILL, np.uint64)
+            sketches[np.arange(SKETCH) < size[:, None]] = np.concatenate(lists)
+            yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, lambda a, b: _similar(sketches, size, a, b, similarity)), ("a", "b"))
+
+    edges = _dealt(keyed, ["least", "print", "sketch"], "least").mapInArrow(run, "a long, b long")
+    rooted = materialise(components(edges))
+    named = texts.select("digest", "least").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"))
+    return profiles.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+
+
 def hexadecimal(column: str):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
