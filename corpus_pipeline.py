@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from palim.llm import decontamination, near_dedup, sentencepiece_codec, substring_dedup, toxicity
 from palim.llm.common import materialise
 
-#: Near-duplicates are judged on shingles of five words.
-SHINGLE = 5
+#: Near-duplicates are judged on sets of five-word shingles, and linked from this similarity on.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays. Rows with a null id stay."""
-    found = near_dedup.near_duplicates(docs, words=SHINGLE)
-    gone = materialise(found.filter("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    found = near_dedup.similar_groups(docs, SHINGLE, SIMILARITY)
+    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
