@@ -22,13 +22,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.common import (
-    blocks, byte_keys, find_words, group_bounds, held_out, is_member, materialise, mix, pack, prefix_sums, range_shard, shared_folder, span_hash, unpack, utf8,
+    blocks, byte_keys, find_words, group_bounds, held_out, is_member, materialise, mix, pack, prefix_sums, range_shard, release, shared_folder, span_hash, unpack, utf8,
 )
 from palim.llm.elias_fano import EliasFano
 
@@ -165,6 +164,7 @@ class Model:
 
     def __init__(self, folder: str, shards: int, n: int, v: int, hot: np.ndarray, hot_counts: np.ndarray):
         self.folder, self.shards, self.n, self.v, self.hot, self.hot_counts = folder, shards, n, v, hot, hot_counts
+        self.ends = 0  # training texts
         self.pairs, self.pair_gains = np.zeros(0, np.uint64), np.zeros(0)
 
     def path(self, shard: int) -> str:
@@ -173,6 +173,9 @@ class Model:
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.n + self.v + 1))
 
+    def context(self, count: np.ndarray) -> np.ndarray:
+        return np.log10(KAPPA / (count + KAPPA))
+
     def gain(self, pair_count: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.log10(1 + pair_count * ((self.n + self.v + 1) / (KAPPA * (count + 1))))
 
@@ -220,7 +223,8 @@ def _grouped(batches):
 
 
 def _dealt(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
+    """A shard to each partition."""
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
 
 def train(docs: DataFrame) -> Model:
@@ -234,6 +238,8 @@ def train(docs: DataFrame) -> Model:
     hot = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hot)
     model = Model(shared_folder(spark), shards, n, v, hot[order], np.array([r["n"] for r in rows], np.int64)[order])
+    model.ends = counted.filter(F.col("word") == int(_END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # texts begin as often as they end
+    release(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def pairs(batches):
@@ -257,92 +263,110 @@ def train(docs: DataFrame) -> Model:
     keys = np.array([r[0] for r in frequent], np.int64).view(np.uint64)
     order = np.argsort(keys)
     model.pairs, model.pair_gains = keys[order], np.array([r[1] for r in frequent], np.float64)[order]
+    release(spark)
     return model
 
 
-_ASKED = ["shard", "payload", "uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-_SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of each whole text.
 
     Null text counts as empty: one token, the end. Rows are scored one by one, repeated or with a null id. An empty
     training set leaves every token unknown at 1 / (0 + 0 + 1), so all scores are 0.
+
+    A block of documents asks each shard once and gets one packed answer from it; the answers of a block meet again
+    beside what was known at once. Rows are those of blocks and shards, not of tokens.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), held_out(7, 2).alias("held_out"), "text")
 
     def ask(batches):
-        """Rows for shards, and one without payload for each document, with what is known here."""
+        """Rows for shards, and one for each block with what is known here. A block is named by its first row."""
         m = shared.value
-        start = np.log10(KAPPA) - np.log10(m.hot_counts[is_member(np.array([_END]), m.hot)[0]] + KAPPA) if len(m.hot) and is_member(np.array([_END]), m.hot)[0] >= 0 else 0.0
+        start = float(m.context(m.ends))
         for b in blocks(batches, size=BLOCK, docs=DOCS):
-            n = b.num_rows
+            n, block = b.num_rows, b.column("uid")[0].as_py()
             word, before, doc = tokens(*utf8(b.column("text")))
             before = _short(before)
             at = is_member(word, m.hot)
             warm = np.flatnonzero(at >= 0)
             count = m.hot_counts[at[warm]] if len(warm) else np.zeros(0, np.int64)
             base = m.base(count)
-            context = np.where(word[warm] == _END, 0.0, np.log10(KAPPA / (count + KAPPA)))
+            context = np.where(word[warm] == _END, 0.0, m.context(count))
             frequent = is_member(pair_key(word, before), m.pairs)
             known = np.flatnonzero(frequent >= 0)
             total = np.bincount(doc[warm], base + context, minlength=n) + np.bincount(doc[known], m.pair_gains[frequent[known]], minlength=n) + start
-            here = [np.bincount(doc[warm], minlength=n), np.bincount(doc[warm], base, minlength=n), total, np.bincount(doc, minlength=n)]
-            rest = np.flatnonzero(frequent < 0)
-            uid = b.column("uid").to_numpy()
-            asked = [(s, pack(uid, *c, *h)) for s, c, h in _by_shard(m.shards, m.hot, word[rest], before[rest], doc[rest].astype(np.uint16))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in asked], pa.int32()), pa.array([p for _, p in asked], pa.binary()), *(pa.nulls(len(asked), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
-                _ASKED,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((uid % m.shards).astype(np.int32)), pa.nulls(n, pa.binary()), b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array(here[3]), pa.array(here[0]), pa.array(here[1]), pa.array(here[2])], _ASKED
+            ids = b.column("doc_id")
+            here = pack(
+                ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False), np.bincount(doc, minlength=n).astype(np.int64),
+                np.bincount(doc[warm], minlength=n).astype(np.int64), np.bincount(doc[warm], base, minlength=n), total,
             )
+            rest = np.flatnonzero(frequent < 0)
+            asked = [(s, pack(*c, *h)) for s, c, h in _by_shard(m.shards, m.hot, word[rest], before[rest], doc[rest].astype(np.uint16))]
+            names = [s for s, _ in asked] + [block % m.shards]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([block] * len(names), pa.int64()), pa.array([True] * len(asked) + [False]), pa.array([p for _, p in asked] + [here], pa.binary())], ["shard", "block", "asks", "payload"])
 
     def answer(batches):
         m, trie, shard = shared.value, None, None
         for batch in batches:
-            uids, sums = [], []
-            empty = pc.is_null(batch.column("payload"))
-            yield batch.filter(empty).select(_ASKED[2:])
-            batch = batch.filter(pc.invert(empty))
-            for s, p in zip(batch.column("shard").to_pylist(), batch.column("payload")):
+            out = []
+            for s, block, asks, p in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), batch.column("asks").to_pylist(), batch.column("payload")):
+                if not asks:
+                    out.append((block, True, p.as_py()))
+                    continue
                 if s != shard:
                     trie, shard = _open(m.path(s)), s
-                uid, cw, cn, cb, cd, hw, hb, hd = unpack(p.as_buffer(), np.int64, np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.uint16)
-                n = len(uid)
+                cw, cn, cb, cd, hw, hb, hd = unpack(p.as_buffer(), np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.uint16)
                 which = np.repeat(np.arange(len(cw)), cn)
                 if trie is None:
-                    ordinal, count = np.full(len(cw), -1), np.zeros(len(cw), np.int64)
-                    gain = np.zeros(len(cb) + len(hb))
+                    count, gain = np.zeros(len(cw), np.int64), np.zeros(len(cb) + len(hb))
                 else:
                     ordinal, count = trie.look_up(cw)
                     warm, back = np.unique(hw, return_inverse=True)
-                    warm_at = trie.words.find(m.hot[warm])
-                    gain = np.concatenate((trie.gains(ordinal, which, cb), trie.gains(warm_at, back, hb)))
+                    gain = np.concatenate((trie.gains(ordinal, which, cb), trie.gains(trie.words.find(m.hot[warm]), back, hb)))
                 base = m.base(count)
-                context = np.where(cw == _END, 0.0, np.log10(KAPPA / (count + KAPPA)))
+                context = np.where(cw == _END, 0.0, m.context(count))
                 all_docs = np.concatenate((cd, hd))
-                present = np.flatnonzero(np.bincount(all_docs, minlength=n))
-                cols = [np.bincount(cd, count[which] > 0, minlength=n), np.bincount(cd, base[which], minlength=n), np.bincount(cd, (base + context)[which], minlength=n) + np.bincount(all_docs, gain, minlength=n)]
-                uids.append(uid[present])
-                sums.append([c[present] for c in cols])
-            if uids:
-                n = sum(map(len, uids))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(uids)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(np.concatenate([s[0] for s in sums]).astype(np.int64)), *(pa.array(np.concatenate([s[i] for s in sums])) for i in (1, 2))],
-                    _ASKED[2:],
-                )
-
-    asked = rows.mapInArrow(ask, f"shard int, payload binary, {_SUMS}")
-    both = _dealt(asked, model.shards).mapInArrow(answer, _SUMS)
-    return both.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
-    ).drop("uid")
+                present, place = np.unique(all_docs, return_inverse=True)
+                cold, n = place[: len(cd)], len(present)
+                known = np.bincount(cold, count[which] > 0, minlength=n).astype(np.uint32)
+                sums = np.bincount(cold, base[which], minlength=n), np.bincount(cold, (base + context)[which], minlength=n) + np.bincount(place, gain, minlength=n)
+                out.append((block, False, pack(present, known, *sums)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["block", "own", "payload"])
+
+    def add(batches):
+        """The answers of each block on top of its own sums; its own row comes first."""
+        own, block = None, None
+        for batch in batches:
+            for name, first, p in zip(batch.column("block").to_pylist(), batch.column("own").to_pylist(), batch.column("payload")):
+                if first:
+                    if own is not None:
+                        yield finished(own)
+                    block, own = name, [x.copy() for x in unpack(p.as_buffer(), np.int64, np.bool_, np.bool_, np.int64, np.int64, np.float64, np.float64)]
+                    continue
+                assert name == block
+                present, known, base, total = unpack(p.as_buffer(), np.uint16, np.uint32, np.float64, np.float64)
+                own[4][present] += known
+                own[5][present] += base
+                own[6][present] += total
+        if own is not None:
+            yield finished(own)
+
+    def finished(own: list) -> pa.RecordBatch:
+        ids, valid, held, n_tokens, known, base, total = own
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), *map(pa.array, (held, n_tokens, known, np.full(len(ids), model_tokens), base, total))], _SCORED)
+
+    model_tokens = model.n
+    shards = model.shards
+    asked = rows.mapInArrow(ask, "shard int, block long, asks boolean, payload binary")
+    answered = _dealt(asked, shards).mapInArrow(answer, "block long, own boolean, payload binary")
+    return answered.repartition(shards, "block").sortWithinPartitions("block", F.desc("own")).mapInArrow(
+        add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )
+
+
+_SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def op6_elias_fano_lm(spark, sf_dir: str) -> DataFrame:
