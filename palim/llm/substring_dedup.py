@@ -215,7 +215,7 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
             yield _settled(held, buckets)
 
     dealt = rows.mapInArrow(deal, "shard int, payload binary, bucket int, windows binary")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(settle, "bucket int, windows binary")
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(settle, "bucket int, windows binary")
 
 
 _DEALT = ["shard", "payload", "bucket", "windows"]
@@ -309,7 +309,7 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     # One shuffle of the texts: what was found of a bucket stands in front of its documents.
     both = rows.select(_bucket_column(buckets).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("windows"), "doc_id", "text", *extra)
     both = found.select("bucket", F.lit(0).alias("kind"), "windows").unionByName(both, allowMissingColumns=True)
-    both = both.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind")
+    both = both.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", "kind")
 
     def cover(batches):
         bucket, packed, ready = None, [], None
