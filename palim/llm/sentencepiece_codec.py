@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palim.llm.common import blocks, byte_keys, group_bounds, is_member, prefix_sums, span_hash, utf8
 
@@ -224,7 +225,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, column], [*b.schema.names, "pieces"])
 
-    return docs.mapInArrow(run, docs.schema.add("pieces", "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -241,7 +242,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
             texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
