@@ -14,6 +14,7 @@ BUCKETS, VECTOR = 1 << BITS, 16
 #: Bound of the training sample: labelled documents of a class, and of all.
 PER_CLASS, SAMPLE = 4000, 8000
 EPOCHS, BATCH = 12, 64
+LEAST_STEPS = 600  # a small sample is passed more often
 THRESHOLD = 0.3
 _REPEATED = 0  # the bucket of a word bigram of two equal words, which no other n-gram uses
 
@@ -69,9 +70,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 3) -> np.nda
     label = np.array([r[0] for r in rows])
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).mean()) if (label == 1).any() else 1, 0.5 / (label == 0).mean() if (label == 0).any() else 1)
     weight = np.sqrt(weight).astype(np.float32)
-    steps = EPOCHS * (-(-len(rows) // BATCH))
-    t = 0
-    for _ in range(EPOCHS):
+    batches = -(-len(rows) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, t = epochs * batches, 0
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for i in range(0, len(rows), BATCH):
             some = order[i : i + BATCH]
