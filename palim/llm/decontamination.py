@@ -32,8 +32,8 @@ def _plain(text: Column) -> Column:
 
 
 def _canonical(plain: Column) -> Column:
-    """Words to placeholders, one for one: words with a digit and number words, units behind them, words with a capital."""
-    out = F.regexp_replace(plain, r"(?<![^ ])(?:\p{L}*\p{N}[\p{L}\p{N}]*|(?:" + _NUMBER_WORDS + r")(?![^ ]))", NUMBER)
+    """Words to placeholders, one for one: words that begin with a digit and number words, units behind them, words with a capital."""
+    out = F.regexp_replace(plain, r"(?<![^ ])(?:\p{N}[\p{L}\p{N}]*|(?:" + _NUMBER_WORDS + r")(?![^ ]))", NUMBER)
     out = F.regexp_replace(out, rf"(?<={NUMBER} )(?:{_UNITS})(?![^ ])", UNIT)
     return F.regexp_replace(out, r"(?<![^ ])\p{Lu}[^ ]*", NAME)
 
