@@ -12,6 +12,8 @@ from palim.operators import segmentation as seg
 from palim.operators.ordered import running_sum
 from palim.sources import adapters as ad
 from palim.sources.adapters import sql
+from palim.sources.store import scratch_folder
+from palim.streaming.segments import OUTPUT, stream_spans
 
 _GAPS = """SELECT *, lag(ts) OVER (PARTITION BY conversation_id ORDER BY seq) AS previous_ts FROM {view}"""
 _TYPED = """SELECT *, CASE WHEN gap_us > 10800000000 THEN 'hard' WHEN gap_us >= 1800000000 THEN 'soft' ELSE 'none' END AS boundary, CAST(trunc(gap_us / 60000000.0) AS BIGINT) AS gap_minutes
@@ -169,10 +171,22 @@ def anchor_apply(spark, sf_dir) -> DataFrame:
     return ad.msg_conv(spark, sf_dir).select("conversation_id", "seq", apply_anchors(F.col("content"), listed).alias("anchored"))
 
 
+def stream_segments(spark, sf_dir) -> DataFrame:
+    """The log as a stream of files up to its end: all spans, once each."""
+    folder = f"{scratch_folder(spark)}/stream"
+    log = ad.msg_dense(spark, sf_dir).select("conversation_id", "seq", F.unix_micros("ts").alias("us"), F.length("content").cast("long").alias("n_chars"), F.lit(False).alias("eof"))
+    ends = log.select("conversation_id").distinct().select("conversation_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("us"), F.lit(None).cast("long").alias("n_chars"), F.lit(True).alias("eof"))
+    log.unionByName(ends).write.parquet(f"{folder}/in")
+    spans = stream_spans(spark.readStream.schema("conversation_id string, seq long, us long, n_chars long, eof boolean").parquet(f"{folder}/in"))
+    run = spans.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(f"{folder}/out")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        range_scan_messages, seq_assignment, adjacent_gaps, temporal_boundaries, bucket_ranges, primitive_review, split_ranges, merge_groups, merge_sweep, commit_plan, commit_plan_eof, claim_trigger,
+        stream_segments, range_scan_messages, seq_assignment, adjacent_gaps, temporal_boundaries, bucket_ranges, primitive_review, split_ranges, merge_groups, merge_sweep, commit_plan, commit_plan_eof, claim_trigger,
         stale_leases, processing_status, legacy_time_gap, session_window_gap, episode_materialize, render_transcript, prompt_lines, uuid5_ids, stale_jobs, token_budget_tail, anchor_validate, anchor_apply,
     )
 }
@@ -202,6 +216,7 @@ ORACLE_SQL = {
         "msg_dense", **_chain("msg_dense", "buckets"),
     ),
     "merge_groups": sql("SELECT conversation_id, start_seq, end_seq, group_start FROM fold", "msg_dense", recursive=True, **_chain("msg_dense", "fold")),
+    "stream_segments": sql("SELECT * FROM final", "msg_dense", recursive=True, **_chain("msg_dense", "final")),
     "merge_sweep": sql("SELECT * FROM final", "msg_dense", recursive=True, **_chain("msg_dense", "final")),
     "commit_plan": sql(
         "SELECT *, start_seq < max(start_seq) OVER (PARTITION BY conversation_id) AS finalized, max(start_seq) OVER (PARTITION BY conversation_id) AS next_seq FROM final",
@@ -262,4 +277,10 @@ ORACLE_SQL = {
         """SELECT conversation_id, seq, w[1] <> '' AND lower(w[1]) <> 'week of 5 may' AS v0, false AS v1, coalesce(trim(w[1] || ' ' || w[2]) <> '', trim(w[1]) <> '') AS v2, false AS v3
         FROM (SELECT *, string_split(content, ' ') AS w FROM msg_conv)""", "msg_conv"
     ),
+    # Of the two insertions the longer text is first; the shorter one then stands before its bracket only if it is the same text.
+    "anchor_apply": sql(
+        f"""SELECT conversation_id, seq, CASE WHEN w[1] = '' OR strpos(once, w[1] || ' (') > 0 OR (length(once) - length(replace(once, w[1], ''))) / length(w[1]) <> 1 THEN once ELSE replace(once, w[1], w[1] || ' (week of 5 May)') END AS anchored
+        FROM (SELECT *, CASE WHEN e = '' OR strpos(content, e || ' (') > 0 OR (length(content) - length(replace(content, e, ''))) / length(e) <> 1 THEN content ELSE replace(content, e, e || ' (2024-05-05)') END AS once
+        FROM (SELECT *, string_split(content, ' ') AS w, concat_ws(' ', string_split(content, ' ')[1], string_split(content, ' ')[2]) AS e FROM msg_conv))""", "msg_conv"
+    ),
 }

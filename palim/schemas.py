@@ -67,7 +67,7 @@ PENDING_REVIEW = T.StructType(
         T.StructField("id", T.StringType(), False),
         T.StructField("conversation_id", T.StringType(), False),
         T.StructField("query", T.StringType(), False),
-        T.StructField("memory_ids", T.ArrayType(T.StringType(), False), False),
+        T.StructField("memory_ids", T.ArrayType(T.StringType()), False),
         T.StructField("created_at", T.TimestampType(), False),
         T.StructField("consumed_at", T.TimestampType()),
     ]
@@ -79,7 +79,7 @@ EPISODIC_MEMORY = T.StructType(
         T.StructField("conversation_id", T.StringType(), False),
         T.StructField("messages", T.ArrayType(MESSAGE), False),
         T.StructField("content", T.StringType(), False),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
+        T.StructField("embedding", T.ArrayType(T.FloatType()), False),
         T.StructField("title", T.StringType(), False),
         T.StructField("stability", T.FloatType(), False),
         T.StructField("difficulty", T.FloatType(), False),
@@ -99,10 +99,10 @@ SEMANTIC_MEMORY = T.StructType(
         T.StructField("conversation_id", T.StringType(), False),
         T.StructField("category", T.StringType(), False),
         T.StructField("fact", T.StringType(), False),
-        T.StructField("source_episodic_ids", T.ArrayType(T.StringType(), False), False),
+        T.StructField("source_episodic_ids", T.ArrayType(T.StringType()), False),
         T.StructField("valid_at", T.TimestampType(), False),
         T.StructField("invalid_at", T.TimestampType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
+        T.StructField("embedding", T.ArrayType(T.FloatType()), False),
         T.StructField("created_at", T.TimestampType(), False),
     ]
 )

@@ -95,7 +95,8 @@ def haystacks(spark: SparkSession, path: str) -> DataFrame:
 def haystack_messages(samples: DataFrame) -> DataFrame:
     """question_id, session, turn, role, content, ts: sessions meet their dates by place; blank turns are skipped but keep their minute."""
     zipped = samples.select("question_id", F.posexplode(F.arrays_zip("haystack_sessions", "haystack_dates")).alias("session", "s"))
-    date = F.coalesce(F.try_to_timestamp("s.haystack_dates", F.lit("yyyy/MM/dd (EEE) HH:mm")), F.try_to_timestamp("s.haystack_dates"))
+    plain = F.trim(F.regexp_replace("s.haystack_dates", r"\s*\(\w+\)", ""))  # the day of the week says nothing new
+    date = F.coalesce(F.try_to_timestamp(plain, F.lit("yyyy/MM/dd HH:mm")), F.try_to_timestamp(plain))
     rows = zipped.select("question_id", "session", date.alias("date"), F.posexplode("s.haystack_sessions").alias("turn", "t")).filter(F.trim("t.content") != "")
     return rows.select("question_id", "session", "turn", "t.role", "t.content", (F.col("date") + F.make_dt_interval(mins=F.col("turn") * TURN_MINUTES)).alias("ts"))
 

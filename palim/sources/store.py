@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="palim-")
+    return f"{top.rstrip('/')}/palim-{uuid.uuid4().hex}"
+
+
 class Store:
     """A version is a whole table in a folder; the newest complete one is the table. Readers never see half a write."""
 
