@@ -43,9 +43,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # the cleaner works beside
+    for _ in range(2):  # Python's references go in the first round, Spark's in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def id_crc(column: str = "doc_id") -> Column:
