@@ -1,5 +1,7 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
+import functools
+
 from palim.llm.decontamination import op4_template_decontamination
 from palim.llm.language import op2_language_id
 from palim.llm.language_model import op6_elias_fano_lm
@@ -10,6 +12,20 @@ from palim.llm.sharding import op9_kd_sharding
 from palim.llm.substring_dedup import op8_substring_dedup
 from palim.llm.syncmers import op1_syncmer_fingerprints
 from palim.llm.toxicity import op5_toxicity_trees
+from palim.shipping import ship
+
+
+
+def _shipped(query):
+    """The query, with this package on the executors first."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
@@ -24,4 +40,6 @@ QUERIES = {
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
 }
 
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
+
 ORACLE_SQL: dict = {}
