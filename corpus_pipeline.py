@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palim.llm import decontamination, near_dedup, sentencepiece_codec, substring_dedup, toxicity
 from palim.llm.common import materialise
+from palim.shipping import ship
 
 #: Near-duplicates are judged on sets of five-word shingles, and linked from this similarity on.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -21,12 +22,14 @@ def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity reaches the threshold go."""
+    ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays. Rows with a null id stay."""
+    ship(spark)
     found = near_dedup.similar_groups(docs, SHINGLE, SIMILARITY)
     gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
@@ -37,6 +40,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     A text that loses nothing stays as it is; n_chars, where there is one, follows the text.
     """
+    ship(spark)
     extra = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     inner = {c: f"__extra{i}" for i, c in enumerate(extra)}
     kept = substring_dedup.remove_repeats(docs.withColumnsRenamed(inner).withColumn("__text", F.col("text")), (*inner.values(), "__text"))
@@ -56,6 +60,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text and its pieces."""
+    ship(spark)
     return sentencepiece_codec.encode(docs.select("doc_id", "text"), sentencepiece_codec.model_path(spark))
 
 
