@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palim.functions.text import normalize_category
 from palim.schemas import ACTION_PRIORITY, DUPLICATE_SIMILARITY, PREDICT_FACTS, PREDICT_GUIDELINES, SIMILAR_FACTS
+from palim.shipping import ship
 
 
 def normalize_actions(actions: DataFrame) -> DataFrame:
@@ -109,6 +110,8 @@ def apply_actions(facts: DataFrame, actions: DataFrame, threshold: float = DUPLI
     """Normalised actions applied conversation by conversation: the order within one matters, so each is a group of its own."""
     schema = "conversation_id string, id string, category string, fact string, source_count int, active boolean"
 
+    ship(facts.sparkSession)
+
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = apply_in_order(left, right, threshold)
         out.insert(0, "conversation_id", key[0])

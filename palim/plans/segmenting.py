@@ -13,6 +13,7 @@ from palim.operators.ordered import running_sum
 from palim.sources import adapters as ad
 from palim.sources.adapters import sql
 from palim.sources.store import scratch_folder
+from palim.shipping import ship
 from palim.streaming.segments import OUTPUT, stream_spans
 
 _GAPS = """SELECT *, lag(ts) OVER (PARTITION BY conversation_id ORDER BY seq) AS previous_ts FROM {view}"""
@@ -173,6 +174,7 @@ def anchor_apply(spark, sf_dir) -> DataFrame:
 
 def stream_segments(spark, sf_dir) -> DataFrame:
     """The log as a stream of files up to its end: all spans, once each."""
+    ship(spark)
     folder = f"{scratch_folder(spark)}/stream"
     log = ad.msg_dense(spark, sf_dir).select("conversation_id", "seq", F.unix_micros("ts").alias("us"), F.length("content").cast("long").alias("n_chars"), F.lit(False).alias("eof"))
     ends = log.select("conversation_id").distinct().select("conversation_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("us"), F.lit(None).cast("long").alias("n_chars"), F.lit(True).alias("eof"))

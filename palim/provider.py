@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from palim.operators.segmentation import STUB_LOW_INFO_CHARS, STUB_SPLIT_EVERY
 from palim.schemas import EMBEDDING_DIM
+from palim.shipping import ship
 
 ATTEMPTS = 4
 DELAYS = (0.5, 1.0, 2.0)
@@ -131,6 +132,8 @@ def checked_embeddings(provider: ModelProvider, texts: list[str]) -> list[list[f
 def embed_column(rows: DataFrame, column: str, provider: ModelProvider, name: str = "embedding") -> DataFrame:
     """Adds the embedding of a text column: a call for each Arrow batch, on the executors."""
 
+    ship(rows.sparkSession)
+
     def run(batches):
         for b in batches:
             vectors = checked_embeddings(provider, [t or "" for t in b.column(column).to_pylist()])
