@@ -31,7 +31,7 @@ from palim.llm.common import (
 )
 from palim.llm.elias_fano import EliasFano
 
-KAPPA = 200.0
+KAPPA = 500.0
 #: Steps of a quantised pair term, in log10.
 STEP, CODES = 0.03, 255
 HOT = 50_000

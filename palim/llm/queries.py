@@ -42,4 +42,12 @@ QUERIES = {
 
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
-ORACLE_SQL: dict = {}
+#: Windows of 13 words by their text; a word goes if an earlier document starts a window that covers it.
+_OP8_SQL = r"""WITH worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM worded)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT x.doc_id, unnest(range(x.i, x.i + 13)) AS p FROM windows x JOIN firsts USING (s) WHERE first < x.doc_id)),
+kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS k, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM worded) t ANTI JOIN gone ON gone.doc_id = t.doc_id AND gone.p = t.p GROUP BY t.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM worded LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL = {"op8_substring_dedup": _OP8_SQL}
