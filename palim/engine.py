@@ -135,7 +135,7 @@ class MemoryEngine:
     def consolidate(self) -> int:
         """Facts of all informative episodes not consolidated yet, in order; gives their number."""
         memories = self.table("episodic_memory")
-        todo = [r.asDict(True) for r in episodes.to_consolidate(memories).orderBy("conversation_id", "start_at", "id").select("id", "conversation_id", "messages", "title", "start_at", "end_at").toLocalIterator()]
+        todo = [r.asDict(True) for r in episodes.to_consolidate(memories).orderBy("conversation_id", "start_at", "id").select("id", "conversation_id", "messages", "title", "content", "start_at", "end_at").toLocalIterator()]
         for e in todo:
             self._consolidate_one(e)
         if todo:
@@ -144,24 +144,47 @@ class MemoryEngine:
         return len(todo)
 
     def _consolidate_one(self, episode: dict) -> None:
-        answer = self.provider.generate_object("pcl_cold_start", {"messages": [{"role": m["role"], "content": m["content"]} for m in episode["messages"]]})
+        """Related facts (20 at most) are loaded; without any, facts are extracted from the episode, else from what a prediction misses."""
+        lines = [{"role": m["role"], "content": m["content"]} for m in episode["messages"]]
+        facts = self.table("semantic_memory")
+        asked = self._query(episode["conversation_id"], episode["content"], None)
+        related = self._semantic(asked, sc.ACTION_FACTS, None).select("id", "category", "fact", "rank").collect()
+        if not related:
+            answer = self.provider.generate_object("pcl_cold_start", {"title": episode["title"], "messages": lines})
+        else:
+            chosen = consolidation.pick_for_prediction(self.spark.createDataFrame([("q", r["rank"], r["id"], r["category"]) for r in related], "query_id string, rank long, id string, category string")).orderBy("position").collect()
+            text = {r["id"]: f"- [{r['category']}] {r['fact']}" for r in related}
+            prediction = self.provider.generate_text([{"role": "user", "content": f"Episode Title: {episode['title']}\n\nExisting Knowledge:\n" + "\n".join(text[r["id"]] for r in chosen)}])
+            answer = self.provider.generate_object("pcl_calibrate", {"title": episode["title"], "facts": list(text.values()), "prediction": prediction, "messages": lines})
         rows = [(episode["id"], i, a["kind"], a["fact"], a["category"], a["target_fact_id"], float(a["confidence"])) for i, a in enumerate(answer["actions"])]
         if not rows:
             return
-        actions = consolidation.normalize_actions(self.spark.createDataFrame(rows, "episode_id string, place long, kind string, fact string, category string, target_fact_id string, confidence double")).orderBy("place").collect()
-        vectors = checked_embeddings(self.provider, [a["fact"] for a in actions])
-        facts = self.table("semantic_memory")
-        for a, vector in zip(actions, vectors):
-            probe = self.spark.createDataFrame([("p", episode["conversation_id"], vector, a["target_fact_id"] or None)], "probe_id string, conversation_id string, embedding array<float>, exclude_id string")
-            same = retrieval.similar_facts(probe, facts, sc.DUPLICATE_SIMILARITY).orderBy("rank").first() if a["kind"] in ("new", "update") else None
-            if a["kind"] in ("invalidate", "update"):
-                facts = facts.withColumn("invalid_at", F.when((F.col("id") == a["target_fact_id"]) & F.col("invalid_at").isNull(), self.now()).otherwise(F.col("invalid_at")))
-            target = same["id"] if same else a["target_fact_id"] if a["kind"] == "reinforce" else None
-            if target:
-                facts = facts.withColumn("source_episodic_ids", F.when(F.col("id") == target, F.array_union("source_episodic_ids", F.array(F.lit(a["episode_id"])))).otherwise(F.col("source_episodic_ids")))
-            elif a["kind"] in ("new", "update"):
+        actions = consolidation.normalize_actions(self.spark.createDataFrame(rows, "episode_id string, place long, kind string, fact string, category string, target_fact_id string, confidence double")).orderBy("targeted", "place").collect()
+        told = [a["fact"] for a in actions if a["kind"] in ("new", "update")]
+        vectors = iter(checked_embeddings(self.provider, told))
+        scope = {r["id"] for r in related}
+
+        def duplicate(vector: list[float], excluded: str | None) -> str | None:
+            """Of the five most similar facts of the conversation, the first in scope."""
+            probe = self.spark.createDataFrame([("p", episode["conversation_id"], vector, excluded)], "probe_id string, conversation_id string, embedding array<float>, exclude_id string")
+            found = retrieval.similar_facts(probe, facts, sc.DUPLICATE_SIMILARITY, sc.SIMILAR_FACTS).orderBy("rank").collect()
+            return next((r["id"] for r in found if r["id"] in scope), None)
+
+        for a in actions:
+            target = a["target_fact_id"] if a["target_fact_id"] in scope else None
+            vector = next(vectors) if a["kind"] in ("new", "update") else None
+            if vector is None and target is None:
+                continue
+            same = duplicate(vector, target if a["kind"] == "update" else None) if vector is not None else target if a["kind"] == "reinforce" else None
+            if target and a["kind"] in ("invalidate", "update"):
+                facts = facts.withColumn("invalid_at", F.when((F.col("id") == target) & F.col("invalid_at").isNull(), self.now()).otherwise(F.col("invalid_at")))
+                scope.discard(target)
+            if same:
+                facts = facts.withColumn("source_episodic_ids", F.when(F.col("id") == same, F.array_union("source_episodic_ids", F.array(F.lit(a["episode_id"])))).otherwise(F.col("source_episodic_ids")))
+            elif vector is not None:
                 new = (str(uuid.uuid4()), episode["conversation_id"], a["category"], a["fact"], [a["episode_id"]], max(episode["start_at"], episode["end_at"]), None, vector, self._now())
                 facts = facts.unionByName(self.spark.createDataFrame([new], sc.SEMANTIC_MEMORY))
+                scope.add(new[0])
         self._save("semantic_memory", facts)
 
     def review(self) -> int:

@@ -111,3 +111,21 @@ def test_small_helpers(spark):
     assert value(spark, text.human_age(F.col("s")), s=F.lit(3 * 86400)) == "3 days ago"
     assert len(value(spark, text.shortened(F.col("t")), t=F.lit("x" * 100))) == 80
     assert value(spark, text.signed_percent(F.col("x")), x=F.lit(0.0327)) == "+3.27%"
+
+
+def test_settings():
+    from palim.settings import Settings, boolean, whole
+
+    assert [boolean(x, True) for x in (" Off ", "yes", "maybe", None)] == [False, True, True, True]
+    assert [whole(x, 60) for x in ("12", " 7 ", "x", None)] == [12, 7, 60, 60]
+    made = Settings.of({"palim.reviews": "no", "palim.model.url": "http://x/", "palim.model.timeoutSeconds": "-4"})
+    assert (made.reviews, made.model_url, made.timeout_seconds, made.consolidation_tasks, made.seed) == (False, "http://x", 60, 4, None)
+
+
+def test_events(spark):
+    from palim.functions import events
+
+    rows = spark.createDataFrame([(1, '{"type": "message", "role": "USER", "content": "hi"}'), (2, '{"type": "other"}'), (3, '{"type": "message", "role": "system", "content": "x"}')], "id long, event string")
+    got = events.messages(rows).select("id", events.text(F.lit(datetime(2026, 1, 2, 3, 4, 5)))).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "[2026-01-02 03:04:05] user: hi"), (3, "[2026-01-02 03:04:05] system: x")]
+    assert rows.limit(1).select(events.encode(F.lit("user"), F.lit("hi"))).first()[0] == '{"type":"message","role":"user","content":"hi"}'
