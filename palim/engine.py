@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from palim import schemas as sc
 from palim.functions import fsrs
-from palim.functions.text import human_age, search_text
+from palim.functions.text import anchored_messages, human_age, search_text, transcript
 from palim.operators import consolidation, episodes, retrieval, review, segmentation
-from palim.provider import ModelProvider, OfflineProvider, checked_embeddings, embed_column
+from palim.provider import ModelProvider, OfflineProvider, checked_embeddings, embed_column, insertions_column
 from palim.sources.store import Store
 
 _TABLES = {
@@ -124,11 +124,12 @@ class MemoryEngine:
         return made
 
     def _create_episodes(self, log: DataFrame, spans: DataFrame) -> None:
-        made = episodes.materialize(log, spans)
+        made = insertions_column(episodes.insert_new(self.table("episodic_memory"), episodes.materialize(log, spans)), "messages", self.provider)
+        made = made.withColumn("content", transcript(anchored_messages(F.col("messages"), F.col("insertions"))))
         inner = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["ts"].alias("timestamp")))
         title = F.when(F.trim("title") == "", "Conversation Segment").otherwise(F.trim("title"))
         rows = made.withColumns({"messages": inner, "title": title, "created_at": F.col("end_at"), "last_reviewed_at": F.col("end_at"), "consolidated_at": F.lit(None).cast("timestamp")})
-        new = embed_column(episodes.insert_new(self.table("episodic_memory"), rows), "content", self.provider)
+        new = embed_column(rows.drop("insertions"), "content", self.provider)
         self.store.append("episodic_memory", sc.EPISODIC_MEMORY, new)
         self.consolidate()
 

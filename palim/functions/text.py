@@ -121,6 +121,16 @@ def apply_anchors(content: Column, insertions: Column) -> Column:
     return F.aggregate(ordered, content, lambda text, x: apply_anchor(text, x["exact"], x["anchor"]))
 
 
+def anchored_messages(messages: Column, insertions: Column) -> Column:
+    """messages (seq, role, content, ts) with the insertions (line, exact, anchor) of each line applied to its collapsed content."""
+
+    def line(m: Column, i: Column) -> Column:
+        own = F.filter(insertions, lambda x: x["line"] == i)
+        return F.struct(m["seq"].alias("seq"), m["role"].alias("role"), let(collapse_space(m["content"]), lambda c: apply_anchors(c, own)).alias("content"), m["ts"].alias("ts"))
+
+    return F.transform(messages, line)
+
+
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
     out = template
     for key, value in values.items():

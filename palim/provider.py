@@ -142,6 +142,29 @@ def embed_column(rows: DataFrame, column: str, provider: ModelProvider, name: st
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))]))
 
 
+_INSERTION = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("exact", T.StringType()), T.StructField("anchor", T.StringType())])
+
+
+def insertions_column(rows: DataFrame, messages: str, provider: ModelProvider, name: str = "insertions") -> DataFrame:
+    """Adds the time anchors that a model proposes for an array of (role, content, ts): (line, exact text, anchor). A failed call proposes none."""
+    ship(rows.sparkSession)
+
+    def proposed(lines: list) -> list:
+        payload = {"messages": [{"line_index": i, "spoken_at": str(m["ts"]), "role": m["role"], "content": m["content"]} for i, m in enumerate(lines)]}
+        try:
+            found = with_retry(lambda: provider.generate_object("episodic_time_anchoring", payload, {}))
+            return [{"line": int(x["line_index"]), "exact": x["exact_text"], "anchor": x["anchor_text"]} for x in found["insertions"]]
+        except Exception:
+            return []
+
+    def run(batches):
+        for b in batches:
+            out = pa.array([proposed(m or []) for m in b.column(messages).to_pylist()], pa.list_(pa.struct([("line", pa.int32()), ("exact", pa.string()), ("anchor", pa.string())])))
+            yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(_INSERTION))]))
+
+
 def typed(text: str, required: tuple[str, ...]) -> dict:
     """A model's JSON object; a missing key is an error."""
     value = json.loads(text)

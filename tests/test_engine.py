@@ -131,3 +131,17 @@ def test_engine_from_messages_to_memories(spark, tmp_path):
     assert out.count() == 2 and facts.count() >= 1
     with pytest.raises(ValueError):
         engine.retrieve_memory("c", " ")
+
+
+class Anchoring(OfflineProvider):
+    def generate_object(self, name, payload, schema=None):
+        if name == "episodic_time_anchoring":
+            return {"insertions": [{"line_index": i, "exact_text": "last week", "anchor_text": " week of 25 May 2026 "} for i, m in enumerate(payload["messages"]) if "last week" in m["content"]]}
+        return super().generate_object(name, payload, schema)
+
+
+def test_time_anchors_reach_the_content(spark, tmp_path):
+    engine = MemoryEngine(spark, f"file://{tmp_path}", Anchoring(16), now=lambda: NOW)
+    engine.import_batch_messages("c", [{"role": "Ann", "content": "we met  last week in the park", "timestamp": 0}, {"role": "Bob", "content": "indeed we did, it was nice", "timestamp": 60_000}])
+    assert engine.process() == 1
+    assert engine.table("episodic_memory").first()["content"] == "Spoken At: Jan 1, 1970 12 AM\nAnn: we met last week (week of 25 May 2026) in the park\nBob: indeed we did, it was nice"
