@@ -32,10 +32,13 @@ def _plain(text: Column) -> Column:
 
 
 def _canonical(plain: Column) -> Column:
-    """Words to placeholders, one for one: words that begin with a digit and number words, units behind them, words with a capital."""
-    out = F.regexp_replace(plain, r"(?<![^ ])(?:\p{N}[\p{L}\p{N}]*|(?:" + _NUMBER_WORDS + r")(?![^ ]))", NUMBER)
-    out = F.regexp_replace(out, rf"(?<={NUMBER} )(?:{_UNITS})(?![^ ])", UNIT)
-    return F.regexp_replace(out, r"(?<![^ ])\p{Lu}[^ ]*", NAME)
+    """Words to placeholders, one for one: words that begin with a digit and number words, units behind them, words with a capital.
+
+    Each pattern begins with the space before a word, which a search finds faster than a look behind; a space leads the text.
+    """
+    out = F.regexp_replace(F.concat(F.lit(" "), plain), r" (?:\p{N}[\p{L}\p{N}]*|(?:" + _NUMBER_WORDS + r")(?![^ ]))", f" {NUMBER}")
+    out = F.regexp_replace(out, rf" {NUMBER} (?:{_UNITS})(?![^ ])", f" {NUMBER} {UNIT}")
+    return F.regexp_replace(out, r" \p{Lu}[^ ]*", f" {NAME}")
 
 
 def _is_slot(word: Column) -> Column:
@@ -53,7 +56,7 @@ def _windows(words: Column) -> Column:
         places = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
 
-    return F.element_at(F.transform(F.array(words), hashes), 1)
+    return F.element_at(F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), hashes), 1)
 
 
 def templates(benchmark: DataFrame) -> DataFrame:
