@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.bk_tree import Forest
-from palim.llm.common import blocks, materialise, mix, utf8
+from palim.llm.common import blocks, materialise, mix, release, utf8
 
 RADIUS, PARTS = 4, 6
 #: Pairs that are confirmed at once.
@@ -85,8 +85,8 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = again
 
 
-def _dealt(keyed: DataFrame, carried: list[str], member: str) -> DataFrame:
-    """Rows of groups (choice, key) with several members, dealt out in blocks that a task can hold.
+def _dealt(keyed: DataFrame, member: str, details: DataFrame | None = None) -> DataFrame:
+    """Rows (choice, key, member) of groups with several members, dealt out in blocks that a task can hold; details are joined to the members that are left.
 
     A group of up to TREE members is one block. A larger one is split by a hash of the member: part p is the tree of the
     blocks (p, y) for y >= p and asks in the blocks (x, p) for x <= p; so all parts meet, two at a time.
@@ -96,8 +96,10 @@ def _dealt(keyed: DataFrame, carried: list[str], member: str) -> DataFrame:
     part = F.pmod(F.xxhash64(member, F.lit(9)), F.col("parts")).cast("int")
     grouped = keyed.join(sizes, ["choice", "key"]).withColumn("p", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = grouped.select(
-        "choice", "key", F.least("p", "o").alias("x"), F.greatest("p", "o").alias("y"), *carried, (F.col("p") <= F.col("o")).alias("tree"), (F.col("p") >= F.col("o")).alias("asks")
+        "choice", "key", F.least("p", "o").alias("x"), F.greatest("p", "o").alias("y"), member, (F.col("p") <= F.col("o")).alias("tree"), (F.col("p") >= F.col("o")).alias("asks")
     )
+    if details is not None:
+        placed = placed.join(details, member)
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", member)
 
@@ -131,7 +133,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             prints_ = t.column("print").to_numpy()
             yield _pairs(prints_, _search(t, radius), ("a", "b"))
 
-    return _dealt(keyed, ["print"], "print").mapInArrow(run, "a long, b long")
+    return _dealt(keyed, "print").mapInArrow(run, "a long, b long")
 
 
 def _block_ids(t: pa.Table) -> np.ndarray:
@@ -278,7 +280,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     profiles = materialise(_profiles(docs.filter("doc_id IS NOT NULL"), words))
     texts = materialise(profiles.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("print", "keys", "sketch")]))
-    keyed = texts.select("least", "print", "sketch", F.posexplode("keys").alias("choice", "key"))
+    release(docs.sparkSession)
+    keyed = texts.select("least", F.posexplode("keys").alias("choice", "key"))
 
     def run(batches):
         for t in _whole_blocks(batches, 1 << 13):
@@ -288,7 +291,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             sketches[np.arange(SKETCH) < size[:, None]] = np.concatenate(lists)
             yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, lambda a, b: _similar(sketches, size, a, b, similarity)), ("a", "b"))
 
-    edges = _dealt(keyed, ["least", "print", "sketch"], "least").mapInArrow(run, "a long, b long")
+    edges = materialise(_dealt(keyed, "least", texts.select("least", "print", "sketch")).mapInArrow(run, "a long, b long"))
+    release(docs.sparkSession)
     rooted = materialise(components(edges))
     named = texts.select("digest", "least").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"))
     return profiles.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
