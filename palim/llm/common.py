@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Documents in one step, so that dense per-document arrays stay bounded.
 BLOCK_DOCS = 1024
 
@@ -150,7 +150,8 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Sums of values[i] * base**i below each position: n + 1 of them."""
     up, _ = powers(len(values))
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    np.multiply(values, up[: len(values)], out=out[1:])
+    np.cumsum(out, out=out)
     return out
 
 

@@ -35,7 +35,7 @@ KAPPA = 500.0
 #: Steps of a quantised pair term, in log10.
 STEP, CODES = 0.03, 255
 HOT = 50_000
-BLOCK, DOCS = 6 << 20, 60_000
+BLOCK, DOCS = 3 << 20, 60_000
 _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _PARTS = 5
 

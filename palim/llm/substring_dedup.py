@@ -24,7 +24,7 @@ from palim.llm.common import blocks, byte_keys, find_words, group_bounds, is_mem
 WINDOW = 13
 CONTEXT = 4
 REACH = 4
-BLOCK, DOCS = 6 << 20, 60_000
+BLOCK, DOCS = 3 << 20, 60_000
 #: A key with this many holders in one block is counted over all blocks; those with over 1 / HOT of all holders (at most HOT) are dealt out by window.
 OFTEN, HOT = 8, 50_000
 #: Buckets of documents for each shuffle partition.
