@@ -1,4 +1,4 @@
-"""Gives the executors this package, so that functions which refer to it can be unpickled there."""
+"""Readies a session for functions that run in Python on the executors."""
 
 from __future__ import annotations
 
@@ -9,9 +9,16 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Bytes of rows that go to Python at once: long texts must not add up.
+BATCH_BYTES = 3 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's files, once."""
+    """Adds the package to the session's files, once, so that functions which refer to it can be unpickled there; bounds Arrow batches where the session doesn't."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(sc, "_palim_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
