@@ -22,7 +22,7 @@ COVER = 13
 BROADCAST_WINDOWS = 1_000_000
 
 NUMBER, UNIT, NAME = "#", "%", "@"
-_NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
+_NUMBER_WORDS = "t(?:wo|hree|en|welve|wenty|hirty|housand)|f(?:our|ive|orty|ifty)|s(?:ix|even)(?:ty)?|eight(?:y)?|eleven|nine(?:ty)?|hundred|million|billion"
 _UNITS = "mm|cm|m|km|in|ft|yd|mi|inch|inches|foot|feet|yard|yards|mile|miles|meter|meters|metre|metres|kilometer|kilometers|mg|g|kg|lb|lbs|oz|gram|grams|kilogram|kilograms|pound|pounds|ounce|ounces|ml|l|liter|liters|litre|litres|gallon|gallons|s|sec|min|h|hr|hrs|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|kmh|mph|percent|dollar|dollars|cent|cents|euro|euros|usd|eur"
 
 
@@ -53,8 +53,8 @@ def _windows(words: Column) -> Column:
     """Hashes of all windows of an array, by place. The array is bound to a lambda's variable: it is made once a row, not once a window."""
 
     def hashes(w: Column) -> Column:
-        places = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        starts = F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)]))
 
     return F.element_at(F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), hashes), 1)
 
