@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Documents in one step, so that dense per-document arrays stay bounded.
 BLOCK_DOCS = 1024
 
@@ -171,6 +171,19 @@ def find_words(data: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACES)
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
+def word_hashes(data: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of each word. Arrays as wide as the text are made for some BLOCK_BYTES at a time."""
+    hashes, docs, i, n = [], [], 0, len(off) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + BLOCK_BYTES, "right")) - 1)
+        part = data[off[i] : off[j]]
+        start, end, doc = find_words(part, off[i : j + 1] - off[i])
+        hashes.append(span_hash(prefix_sums(keys[part]), start, end))
+        docs.append(doc + i)
+        i = j
+    return (np.concatenate(hashes), np.concatenate(docs)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive bounds (empty ranges give 0)."""
     sums = np.concatenate(([0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))

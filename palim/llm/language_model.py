@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.common import (
-    blocks, byte_keys, find_words, group_bounds, held_out, is_member, materialise, mix, pack, prefix_sums, range_shard, release, shared_folder, span_hash, unpack, utf8,
+    blocks, byte_keys, group_bounds, held_out, is_member, materialise, mix, pack, range_shard, release, shared_folder, unpack, utf8, word_hashes,
 )
 from palim.llm.elias_fano import EliasFano
 
@@ -42,9 +42,8 @@ _PARTS = 5
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hash, hash of the token before, document: the words of each document with A-Z lowered, then one end."""
-    start, end, doc = find_words(data, off)
+    word, doc = word_hashes(data, off, byte_keys(lower=True))
     n = len(off) - 1
-    word = span_hash(prefix_sums(byte_keys(lower=True)[data]), start, end)
     at = np.arange(len(word)) + doc
     size = np.bincount(doc, minlength=n) + 1
     ends = np.cumsum(size) - 1

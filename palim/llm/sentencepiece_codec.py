@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from palim.llm.common import blocks, byte_keys, group_bounds, is_member, prefix_sums, span_hash, utf8
 
-BLOCK, DOCS = 3 << 20, 20_000
+BLOCK, DOCS = 2 << 20, 20_000
 #: Characters up to which words are folded together in arrays; longer ones go one by one through a heap.
 LONG = 48
 _MARK = "▁".encode()  # stands for a space in pieces; here a space is a space

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palim.llm.common import blocks, byte_keys, find_words, group_bounds, is_member, materialise, mix, pack, prefix_sums, range_shard, release, span_hash, unpack, utf8
+from palim.llm.common import blocks, byte_keys, group_bounds, is_member, materialise, mix, pack, prefix_sums, range_shard, release, span_hash, unpack, utf8, word_hashes
 
 WINDOW = 13
 CONTEXT = 4
@@ -94,8 +94,7 @@ def window_id(key: np.ndarray, short: np.ndarray) -> np.ndarray:
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start, end, doc = find_words(data, off)
-    return span_hash(prefix_sums(byte_keys()[data]), start, end), doc
+    return word_hashes(data, off, byte_keys())
 
 
 def _block_windows(batch: pa.RecordBatch):
@@ -294,7 +293,7 @@ def _kept(b: pa.RecordBatch, found: _Found) -> list[pa.Array]:
 
 
 def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) and the named extra columns, for every row.
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space) and the named extra columns (text may be one), for every row.
 
     A word goes if a window that covers it also starts in a document with a smaller id; windows are those of the
     input. Null text has no words. Rows with one id are one document here; each keeps its row. A null id is the greatest.
@@ -305,9 +304,10 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     found = repeated_windows(docs, buckets)
     found = materialise(found)
     release(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    others = [c for c in extra if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
     # One shuffle of the texts: what was found of a bucket stands in front of its documents.
-    both = rows.select(_bucket_column(buckets).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("windows"), "doc_id", "text", *extra)
+    both = rows.select(_bucket_column(buckets).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("windows"), "doc_id", "text", *others)
     both = found.select("bucket", F.lit(0).alias("kind"), "windows").unionByName(both, allowMissingColumns=True)
     both = both.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", "kind")
 
