@@ -43,9 +43,9 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     ship(spark)
     extra = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     inner = {c: f"__extra{i}" for i, c in enumerate(extra)}
-    kept = substring_dedup.remove_repeats(docs.withColumnsRenamed(inner).withColumn("__text", F.col("text")), (*inner.values(), "__text"))
-    kept = kept.filter("n_removed = 0 OR n_words > n_removed").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("__text")))
-    out = kept.drop("n_words", "kept", "__text").withColumnsRenamed({v: k for k, v in inner.items()})
+    kept = substring_dedup.remove_repeats(docs.withColumnsRenamed(inner), (*inner.values(), "text"))
+    kept = kept.filter("n_removed = 0 OR n_words > n_removed").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    out = kept.drop("n_words", "kept").withColumnsRenamed({v: k for k, v in inner.items()})
     if "n_chars" in extra:
         out = out.withColumn("n_chars", F.when(kept["n_removed"] > 0, F.length("text")).otherwise(F.col("n_chars")))
     return _like(docs, out)
