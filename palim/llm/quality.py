@@ -7,12 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palim.llm.common import blocks, bounded_sample, byte_keys, find_words, held_out, mix, prefix_sums, span_hash, utf8
+from palim.llm.common import blocks, byte_keys, find_words, held_out, labelled_sample, mix, prefix_sums, span_hash, utf8
 
 BITS = 14
 BUCKETS, VECTOR = 1 << BITS, 16
 #: Bound of the training sample: labelled documents of a class, and of all.
-PER_CLASS, SAMPLE = 4000, 8000
+PER_CLASS, SAMPLE = 2500, 5000
 EPOCHS, BATCH = 12, 64
 LEAST_STEPS = 600  # a small sample is passed more often
 THRESHOLD = 0.3
@@ -80,7 +80,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 3) -> np.nda
             rate = np.float32(0.5 * (1 - t / steps) * VECTOR)
             t += 1
             size = np.array([len(rows[s][1]) for s in some])
-            keys = np.concatenate([rows[s][1] for s in some])
+            keys = np.concatenate([rows[s][1] for s in some]).astype(np.int64)
             share = np.concatenate([rows[s][2] / max(1, rows[s][2].sum()) for s in some]).astype(np.float32)
             who = np.repeat(np.arange(len(some)), size)
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -102,11 +102,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 3) -> np.nda
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     """Learns from a bounded sample of the labelled rows that aren't held out; None if there is none."""
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label IN (0, 1)"), "doc_id").filter(~held_out(5, 0))
-    chosen = bounded_sample(rows.select("doc_id", "label", "text"), "label", PER_CLASS, SAMPLE, 3)
+    _, chosen = labelled_sample(docs, labels, "quality", 5, 0, PER_CLASS, SAMPLE, 3)
     got = chosen.select("label", "text").mapInArrow(_sample_rows, "label int, keys binary, counts binary").collect()
     got.sort()
-    rows_ = [(r[0], np.frombuffer(r[1], np.uint16).astype(np.int64), np.frombuffer(r[2], np.uint32).astype(np.float32)) for r in got]
+    rows_ = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint32)) for r in got]
     return fit(rows_) if rows_ else None
 
 
