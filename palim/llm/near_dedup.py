@@ -254,7 +254,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, print long, keys array<long>, sketch binary")
 
 
-def _similar(sketches: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+def _similar(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Whether the sketches of rows a[i] and b[i] share at least `least` of the SKETCH smallest of both (of all, if there are fewer)."""
     both = np.sort(np.concatenate((sketches[a], sketches[b]), axis=1), axis=1)  # filled up with the largest value
     double = both[:, 1:] == both[:, :-1]
@@ -289,7 +289,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             size = np.array([len(x) for x in lists])
             sketches = np.full((len(lists), SKETCH), _FILL, np.uint64)
             sketches[np.arange(SKETCH) < size[:, None]] = np.concatenate(lists)
-            yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, lambda a, b: _similar(sketches, size, a, b, similarity)), ("a", "b"))
+            yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, lambda a, b: _similar(sketches, a, b, similarity)), ("a", "b"))
 
     edges = materialise(_dealt(keyed, "least", texts.select("least", "print", "sketch")).mapInArrow(run, "a long, b long"))
     release(docs.sparkSession)
