@@ -308,29 +308,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def answer(batches):
         m, trie, shard = shared.value, None, None
         for batch in batches:
-            out = []
-            for s, block, asks, p in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), batch.column("asks").to_pylist(), batch.column("payload")):
-                if not asks:
-                    out.append((block, True, p.as_py()))
-                    continue
-                if s != shard:
-                    trie, shard = _open(m.path(s)), s
-                cw, cn, cb, cd, hw, hb, hd = unpack(p.as_buffer(), np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.uint16)
-                which = np.repeat(np.arange(len(cw)), cn)
-                if trie is None:
-                    count, gain = np.zeros(len(cw), np.int64), np.zeros(len(cb) + len(hb))
-                else:
-                    ordinal, count = trie.look_up(cw)
-                    warm, back = np.unique(hw, return_inverse=True)
-                    gain = np.concatenate((trie.gains(ordinal, which, cb), trie.gains(trie.words.find(m.hot[warm]), back, hb)))
-                base = m.base(count)
-                context = np.where(cw == _END, 0.0, m.context(count))
-                all_docs = np.concatenate((cd, hd))
-                present, place = np.unique(all_docs, return_inverse=True)
-                cold, n = place[: len(cd)], len(present)
-                known = np.bincount(cold, count[which] > 0, minlength=n).astype(np.uint32)
-                sums = np.bincount(cold, base[which], minlength=n), np.bincount(cold, (base + context)[which], minlength=n) + np.bincount(place, gain, minlength=n)
-                out.append((block, False, pack(present, known, *sums)))
+            shards_, blocks_, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "block", "asks"))
+            payloads = batch.column("payload")
+            out = [(int(blocks_[i]), True, payloads[i].as_py()) for i in np.flatnonzero(~asks)]
+            some = np.flatnonzero(asks)
+            bounds = group_bounds(shards_[some])
+            for a, z in zip(bounds[:-1], bounds[1:]):  # the questions of one shard are looked up together
+                if shards_[some[a]] != shard:
+                    shard = shards_[some[a]]
+                    trie = _open(m.path(shard))
+                asked_ = [unpack(payloads[int(i)].as_buffer(), np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.uint16) for i in some[a:z]]
+                for i, found in zip(some[a:z], _answers(m, trie, asked_)):
+                    out.append((int(blocks_[i]), False, found))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["block", "own", "payload"])
 
@@ -365,6 +354,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def _answers(m: Model, trie: Trie | None, asked: list) -> list[bytes]:
+    """For each question of one shard: its documents, their known tokens, and their sums of both scores, packed."""
+    cw, cn, cb, cd, hw, hb, hd = (np.concatenate([q[i] for q in asked]) for i in range(7))
+
+    def documents(i: int) -> np.ndarray:
+        """Documents, told apart by question."""
+        return np.concatenate([q[i].astype(np.int64) + (j << 16) for j, q in enumerate(asked)])
+
+    which = np.repeat(np.arange(len(cw)), cn)
+    if trie is None:
+        count, gain = np.zeros(len(cw), np.int64), np.zeros(len(cb) + len(hb))
+    else:
+        ordinal, count = trie.look_up(cw)
+        warm, back = np.unique(hw, return_inverse=True)
+        gain = np.concatenate((trie.gains(ordinal, which, cb), trie.gains(trie.words.find(m.hot[warm]), back, hb)))
+    base = m.base(count)
+    context = np.where(cw == _END, 0.0, m.context(count))
+    present, place = np.unique(np.concatenate((documents(3), documents(6))), return_inverse=True)
+    cold, n = place[: len(cd)], len(present)
+    known = np.bincount(cold, count[which] > 0, minlength=n).astype(np.uint32)
+    sums = np.bincount(cold, base[which], minlength=n), np.bincount(cold, (base + context)[which], minlength=n) + np.bincount(place, gain, minlength=n)
+    bounds = np.searchsorted(present, np.arange(len(asked) + 1) << 16)
+    return [pack((present[a:z] & 0xFFFF).astype(np.uint16), known[a:z], sums[0][a:z], sums[1][a:z]) for a, z in zip(bounds[:-1], bounds[1:])]
+
+
 _SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
