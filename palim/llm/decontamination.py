@@ -1,6 +1,7 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
 Numbers, units and names become typed placeholders, on both sides alike; windows of WINDOW canonical words meet by hash.
+A second form keeps names, in lower case like all words, so that copies in another case meet too.
 Windows of one document and one item that stand at the same distance are a passage. Its slots (what the placeholders
 replaced) must be consistent: each value of the item has one value in the document wherever it occurs. So a question
 asked with other numbers and names is found, and a text that only shares its grammar isn't.
@@ -31,14 +32,27 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", ""), r"\s+", " "))
 
 
-def _canonical(plain: Column) -> Column:
-    """Words to placeholders, one for one: words that begin with a digit and number words, units behind them, words with a capital.
+def _typed(plain: Column) -> Column:
+    """Words to placeholders, one for one: words that begin with a digit and number words, units behind them.
 
     Each pattern begins with the space before a word, which a search finds faster than a look behind; a space leads the text.
     """
     out = F.regexp_replace(F.concat(F.lit(" "), plain), r" (?:\p{N}[\p{L}\p{N}]*|(?:" + _NUMBER_WORDS + r")(?![^ ]))", f" {NUMBER}")
-    out = F.regexp_replace(out, rf" {NUMBER} (?:{_UNITS})(?![^ ])", f" {NUMBER} {UNIT}")
-    return F.regexp_replace(out, r" \p{Lu}[^ ]*", f" {NAME}")
+    return F.regexp_replace(out, rf" {NUMBER} (?:{_UNITS})(?![^ ])", f" {NUMBER} {UNIT}")
+
+
+def _canonical(plain: Column) -> Column:
+    """Numbers, units and words with a capital to placeholders."""
+    return F.regexp_replace(_typed(plain), r" \p{Lu}[^ ]*", f" {NAME}")
+
+
+def _caseless(plain: Column) -> Column:
+    """Numbers and units to placeholders, all other words in lower case: what a copy in another case shares."""
+    return _typed(F.lower(plain))
+
+
+#: Canonical forms, by number. Windows and passages are of one form.
+FORMS = (_canonical, _caseless)
 
 
 def _is_slot(word: Column) -> Column:
@@ -49,53 +63,60 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of all windows of an array, by place. The array is bound to a lambda's variable: it is made once a row, not once a window."""
+def _bound(value: Column, f) -> Column:
+    """f(value), value being bound to a lambda's variable: it is made once a row, not once for each use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
 
-    def hashes(w: Column) -> Column:
-        starts = F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0)))
-        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)]))
+def _windows(words: Column, form: int) -> Column:
+    """Hashes of all windows of an array, by place: of pairs of words, of fours, of eights."""
 
-    return F.element_at(F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), hashes), 1)
+    def joined(hashes: Column, step: int, *seed: Column) -> Column:
+        return _bound(hashes, lambda w: F.zip_with(w, F.slice(w, 1 + step, F.size(w)), lambda a, b: F.xxhash64(*seed, a, b)))
+
+    fours = joined(joined(F.transform(words, lambda x: F.xxhash64(x)), 1), 2)
+    return _bound(joined(fours, WINDOW // 2, F.lit(form)), lambda w: F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))))
 
 
 def templates(benchmark: DataFrame) -> DataFrame:
-    """item_id, plain, words of each distinct template: items that differ in slots only are one, under the least id, with its values.
+    """form, item_id, plain, words of each distinct template of each form: items that differ in slots only are one, under the least id, with its values.
 
     Items of fewer than WINDOW words can't be told from common phrases and give no windows. Null text is empty; a null id never names a template.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _plain(F.col("text")).alias("plain")).filter("item_id IS NOT NULL")
-    items = items.withColumn("template", _canonical(F.col("plain")))
-    one = items.groupBy("template").agg(F.min(F.struct("item_id", "plain")).alias("first"))
-    return one.select("first.item_id", "first.plain", _split(F.col("template")).alias("words")).filter(F.size("words") >= WINDOW)
+    items = items.select("item_id", "plain", F.posexplode(F.array(*[f(F.col("plain")) for f in FORMS])).alias("form", "template"))
+    one = items.groupBy("form", "template").agg(F.min(F.struct("item_id", "plain")).alias("first"))
+    return one.select("form", "first.item_id", "first.plain", _split(F.col("template")).alias("words")).filter(F.size("words") >= WINDOW)
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataFrame:
-    """doc_id, item_id, first_word, n_words, n_slots, n_changed: a row for each consistent passage (item and distance) that covers at least `cover` words of an item (or all of it).
+    """doc_id, item_id, first_word, n_words, n_slots, n_changed, shift: a row for each consistent passage (item, distance and form) that covers at least `cover` words of an item (or all of it).
 
     n_changed counts slots with another value than the item's: 0 is a copy, more a re-parameterised question. Null text is
     empty, and rows with a null doc_id count as one document. Rows with one id count as one. An empty side gives no rows.
     """
     items = materialise(templates(benchmark))
+    hashes = F.coalesce(*[F.when(F.col("form") == i, _windows(F.col("words"), i)) for i in range(len(FORMS))])
     item_windows = materialise(
-        items.select("item_id", "words", F.posexplode(_windows("words")).alias("item_place", "hash"))
+        items.select("form", "item_id", "words", F.posexplode(hashes).alias("item_place", "hash"))
         .filter(F.size(F.filter(F.slice("words", F.col("item_place") + 1, WINDOW), lambda w: ~_is_slot(w))) >= LITERALS)
-        .select("hash", "item_id", "item_place")
+        .select("hash", "form", "item_id", "item_place")
     )
     if item_windows.count() <= BROADCAST_WINDOWS:
         item_windows = F.broadcast(item_windows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spread = rows.select("doc_id", _windows(_split(_canonical(_plain(F.col("text"))))).alias("hashes"))
+    plain = rows.select("doc_id", _plain(F.col("text")).alias("plain"))
+    spread = plain.select("doc_id", F.explode(F.array(*[_windows(_split(f(F.col("plain"))), i) for i, f in enumerate(FORMS)])).alias("hashes"))
     met = spread.select("doc_id", F.posexplode("hashes").alias("place", "hash")).join(item_windows, "hash")
     # Covered words: each window adds those past the end of the window before it.
-    chains = met.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
-    chains = chains.groupBy("doc_id", "item_id", "shift").agg(F.sort_array(F.collect_list("item_place")).alias("places"))  # at most the item's windows
+    chains = met.select("doc_id", "form", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
+    chains = chains.groupBy("doc_id", "form", "item_id", "shift").agg(F.sort_array(F.collect_list("item_place")).alias("places"))  # at most the item's windows
     covered = F.lit(WINDOW) + F.aggregate(
         F.zip_with(F.slice("places", 2, F.size("places")), F.slice("places", 1, F.size("places") - 1), lambda b, a: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda s, x: s + x
     )
     chains = chains.withColumn("covered", F.when(F.size("places") > 1, covered).otherwise(F.lit(WINDOW)))
     enough = materialise(
-        chains.join(items.select("item_id", F.size("words").alias("size"), "plain", "words"), "item_id")
+        chains.join(items.select("form", "item_id", F.size("words").alias("size"), "plain", "words"), ["form", "item_id"])
         .filter(F.col("covered") >= F.least(F.lit(cover), F.col("size")))
         .drop("size")
     )
@@ -105,7 +126,11 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
     both = enough.join(sources, F.col("doc_id").eqNullSafe(F.col("__id")))
     inside = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     both = both.withColumn("theirs", _split(F.col("plain"))).withColumn("at", F.filter(inside, lambda i: _is_slot(F.get("words", i))))
-    pairs = F.transform("at", lambda i: F.struct(F.get("theirs", i).alias("item"), F.get("own", i + F.col("shift")).alias("own")))
+
+    def value(words: str, i: Column) -> Column:
+        return F.when(F.col("form") == FORMS.index(_caseless), F.lower(F.get(words, i))).otherwise(F.get(words, i))
+
+    pairs = F.transform("at", lambda i: F.struct(value("theirs", i).alias("item"), value("own", i + F.col("shift")).alias("own")))
     both = both.withColumn("pairs", pairs)
     distinct = F.array_distinct("pairs")
     consistent = F.size(distinct) == F.size(F.array_distinct(F.transform(distinct, lambda p: p["item"])))
@@ -113,7 +138,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
         both.filter(consistent)
         .select(
             "doc_id", "item_id", (F.array_min("places") + F.col("shift")).alias("first_word"), F.col("covered").alias("n_words"), F.size("at").alias("n_slots"),
-            F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["own"]))).alias("n_changed"),
+            F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["own"]))).alias("n_changed"), "shift",
         )
         .distinct()
     )
@@ -123,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_passages, n_words, n_changed: one row for each document and template it holds, with the longest passage's words and the least changes."""
     found = passages(docs, benchmark)
     return found.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_passages"), F.max("n_words").cast("long").alias("n_words"), F.min("n_changed").cast("long").alias("n_changed")
+        F.countDistinct("shift").alias("n_passages"), F.max("n_words").cast("long").alias("n_words"), F.min("n_changed").cast("long").alias("n_changed")
     )
 
 

@@ -169,3 +169,9 @@ def test_decontamination_awkward_rows(spark):
     assert got == {3, 65, 66}
     assert decontamination.contaminated(empty(spark), benchmark).count() == 0
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
+
+
+def test_copies_in_another_case_are_found(spark):
+    texts = [f"{prose(1, 30)} {QUESTION.upper()}", f"{prose(2, 30)} {QUESTION.lower()} and", QUESTION.title(), f"{prose(3, 9)} {QUESTION.upper().replace('12', '45')}", prose(4, 60).upper()]
+    got = _found(spark, texts, [(7, QUESTION), (9, QUESTION.upper().replace("TOM", "ANN"))])
+    assert {k: bool(v) for k, v in got.items() if k[1] == 7} == {(0, 7): False, (1, 7): False, (2, 7): False, (3, 7): True}
