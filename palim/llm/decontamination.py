@@ -79,14 +79,17 @@ def _windows(words: Column, form: int) -> Column:
 
 
 def templates(benchmark: DataFrame) -> DataFrame:
-    """form, item_id, plain, words of each distinct template of each form: items that differ in slots only are one, under the least id, with its values.
+    """form, item_id, plain, words, lead of each distinct item in each form; lead is the least item_id of those that differ in slots only, whose windows are the same.
 
-    Items of fewer than WINDOW words can't be told from common phrases and give no windows. Null text is empty; a null id never names a template.
+    Equal items are one, under the least id. Items of fewer than WINDOW words can't be told from common phrases and give
+    no windows. Null text is empty; a null id never names a template.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _plain(F.col("text")).alias("plain")).filter("item_id IS NOT NULL")
+    items = items.groupBy("plain").agg(F.min("item_id").alias("item_id"))
     items = items.select("item_id", "plain", F.posexplode(F.array(*[f(F.col("plain")) for f in FORMS])).alias("form", "template"))
-    one = items.groupBy("form", "template").agg(F.min(F.struct("item_id", "plain")).alias("first"))
-    return one.select("form", "first.item_id", "first.plain", _split(F.col("template")).alias("words")).filter(F.size("words") >= WINDOW)
+    leads = items.groupBy("form", "template").agg(F.min("item_id").alias("lead"))
+    items = items.join(leads, ["form", "template"])
+    return items.select("form", "item_id", "plain", _split(F.col("template")).alias("words"), "lead").filter(F.size("words") >= WINDOW)
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataFrame:
@@ -98,9 +101,9 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
     items = materialise(templates(benchmark))
     hashes = F.coalesce(*[F.when(F.col("form") == i, _windows(F.col("words"), i)) for i in range(len(FORMS))])
     item_windows = materialise(
-        items.select("form", "item_id", "words", F.posexplode(hashes).alias("item_place", "hash"))
+        items.filter("item_id = lead").select("form", "lead", "words", F.posexplode(hashes).alias("item_place", "hash"))
         .filter(F.size(F.filter(F.slice("words", F.col("item_place") + 1, WINDOW), lambda w: ~_is_slot(w))) >= LITERALS)
-        .select("hash", "form", "item_id", "item_place")
+        .select("hash", "form", "lead", "item_place")
     )
     if item_windows.count() <= BROADCAST_WINDOWS:
         item_windows = F.broadcast(item_windows)
@@ -109,14 +112,14 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
     spread = plain.select("doc_id", F.explode(F.array(*[_windows(_split(f(F.col("plain"))), i) for i, f in enumerate(FORMS)])).alias("hashes"))
     met = spread.select("doc_id", F.posexplode("hashes").alias("place", "hash")).join(item_windows, "hash")
     # Covered words: each window adds those past the end of the window before it.
-    chains = met.select("doc_id", "form", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
-    chains = chains.groupBy("doc_id", "form", "item_id", "shift").agg(F.sort_array(F.collect_list("item_place")).alias("places"))  # at most the item's windows
+    chains = met.select("doc_id", "form", "lead", (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
+    chains = chains.groupBy("doc_id", "form", "lead", "shift").agg(F.sort_array(F.collect_list("item_place")).alias("places"))  # at most the item's windows
     covered = F.lit(WINDOW) + F.aggregate(
         F.zip_with(F.slice("places", 2, F.size("places")), F.slice("places", 1, F.size("places") - 1), lambda b, a: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda s, x: s + x
     )
     chains = chains.withColumn("covered", F.when(F.size("places") > 1, covered).otherwise(F.lit(WINDOW)))
     enough = materialise(
-        chains.join(items.select("form", "item_id", F.size("words").alias("size"), "plain", "words"), ["form", "item_id"])
+        chains.join(items.select("form", "item_id", F.size("words").alias("size"), "plain", "words", "lead"), ["form", "lead"])  # each item of the template is checked by its own values
         .filter(F.col("covered") >= F.least(F.lit(cover), F.col("size")))
         .drop("size")
     )
@@ -145,7 +148,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_passages, n_words, n_changed: one row for each document and template it holds, with the longest passage's words and the least changes."""
+    """doc_id, item_id, n_passages, n_words, n_changed: one row for each document and item it holds (of a template, all items whose values are consistent), with the longest passage's words and the least changes."""
     found = passages(docs, benchmark)
     return found.groupBy("doc_id", "item_id").agg(
         F.countDistinct("shift").alias("n_passages"), F.max("n_words").cast("long").alias("n_words"), F.min("n_changed").cast("long").alias("n_changed")

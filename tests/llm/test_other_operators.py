@@ -175,3 +175,12 @@ def test_copies_in_another_case_are_found(spark):
     texts = [f"{prose(1, 30)} {QUESTION.upper()}", f"{prose(2, 30)} {QUESTION.lower()} and", QUESTION.title(), f"{prose(3, 9)} {QUESTION.upper().replace('12', '45')}", prose(4, 60).upper()]
     got = _found(spark, texts, [(7, QUESTION), (9, QUESTION.upper().replace("TOM", "ANN"))])
     assert {k: bool(v) for k, v in got.items() if k[1] == 7} == {(0, 7): False, (1, 7): False, (2, 7): False, (3, 7): True}
+
+
+def test_each_item_of_a_template_is_checked_by_its_own_values(spark):
+    ask = "a shop has {} apples in the red box and also keeps {} pears under the long table by the door of the kitchen"
+    items = [(1, ask.format(12, 12)), (2, ask.format(12, 15)), (3, ask.format(20, 30))]
+    got = _found(spark, [items[1][1], items[0][1], ask.format(7, 7)], items)
+    assert got[0, 2] == 0 and (0, 1) not in got and got[0, 3] == 2
+    assert got[1, 1] == 0 and got[1, 2] == 1  # two values of an item may have one value in the document
+    assert got[2, 1] == 2
