@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palim.llm.common import materialise
 
 WINDOW = 8
-#: Words of a window that must not be placeholders.
+#: Words of a window that must not be placeholders; an item with other windows is also sought word for word.
 LITERALS = 4
 #: Words of an item that a passage must cover: these, or all of a shorter item.
 COVER = 13
@@ -51,8 +51,9 @@ def _caseless(plain: Column) -> Column:
     return _typed(F.lower(plain))
 
 
-#: Canonical forms, by number. Windows and passages are of one form.
-FORMS = (_canonical, _caseless)
+#: Forms of a text, by number; the last has no placeholders. Windows and passages are of one form.
+FORMS = (_canonical, _caseless, F.lower)
+VERBATIM = 2
 
 
 def _is_slot(word: Column) -> Column:
@@ -68,28 +69,41 @@ def _bound(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _windows(words: Column, form: int) -> Column:
-    """Hashes of all windows of an array, by place: of pairs of words, of fours, of eights."""
+def _windows(words: Column, form: int, length: int = WINDOW) -> Column:
+    """Hashes of all windows of an array, by place. Those of WINDOW words are made of pairs of words, of fours, of eights."""
 
     def joined(hashes: Column, step: int, *seed: Column) -> Column:
         return _bound(hashes, lambda w: F.zip_with(w, F.slice(w, 1 + step, F.size(w)), lambda a, b: F.xxhash64(*seed, a, b)))
 
-    fours = joined(joined(F.transform(words, lambda x: F.xxhash64(x)), 1), 2)
-    return _bound(joined(fours, WINDOW // 2, F.lit(form)), lambda w: F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))))
+    out = F.transform(words, lambda x: F.xxhash64(x))
+    if length == WINDOW:
+        out = joined(joined(joined(out, 1), 2), WINDOW // 2, F.lit(form))
+    else:
+        out = _bound(out, lambda w: F.transform(w, lambda x, i: F.xxhash64(F.lit(form), F.lit(length), x, *[F.get(w, i + k) for k in range(1, length)])))
+    return _bound(out, lambda w: F.slice(w, 1, F.greatest(F.size(w) - (length - 1), F.lit(0))))
+
+
+def _literals(words: Column, place: Column) -> Column:
+    """Words of the window at a place that are no placeholders."""
+    return F.size(F.filter(F.slice(words, place + 1, WINDOW), lambda w: ~_is_slot(w)))
 
 
 def templates(benchmark: DataFrame) -> DataFrame:
     """form, item_id, plain, words, lead of each distinct item in each form; lead is the least item_id of those that differ in slots only, whose windows are the same.
 
-    Equal items are one, under the least id. Items of fewer than WINDOW words can't be told from common phrases and give
-    no windows. Null text is empty; a null id never names a template.
+    Equal items are one, under the least id. Items of fewer than WINDOW words, and those with windows of fewer than
+    LITERALS literals, have the verbatim form, by which a copy is found whatever its share of slots. Null text is empty
+    and gives nothing; a null id never names a template.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _plain(F.col("text")).alias("plain")).filter("item_id IS NOT NULL")
     items = items.groupBy("plain").agg(F.min("item_id").alias("item_id"))
     items = items.select("item_id", "plain", F.posexplode(F.array(*[f(F.col("plain")) for f in FORMS])).alias("form", "template"))
     leads = items.groupBy("form", "template").agg(F.min("item_id").alias("lead"))
     items = items.join(leads, ["form", "template"])
-    return items.select("form", "item_id", "plain", _split(F.col("template")).alias("words"), "lead").filter(F.size("words") >= WINDOW)
+    items = items.select("form", "item_id", "plain", _split(F.col("template")).alias("words"), "lead", _split(_caseless(F.col("plain"))).alias("typed"))
+    dense = F.exists(F.sequence(F.lit(0), F.greatest(F.size("typed") - WINDOW, F.lit(0))), lambda i: _literals(F.col("typed"), i) < LITERALS)
+    short = F.size("words") < WINDOW
+    return items.filter(F.when(F.col("form") == VERBATIM, (F.size("words") > 0) & (short | dense)).otherwise(~short)).drop("typed")
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataFrame:
@@ -99,17 +113,19 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
     empty, and rows with a null doc_id count as one document. Rows with one id count as one. An empty side gives no rows.
     """
     items = materialise(templates(benchmark))
-    hashes = F.coalesce(*[F.when(F.col("form") == i, _windows(F.col("words"), i)) for i in range(len(FORMS))])
+    length = F.least(F.size("words"), F.lit(WINDOW))
+    kinds = sorted((r["form"], r["length"]) for r in items.select("form", length.alias("length")).distinct().collect()) or [(0, WINDOW)]
+    hashes = F.coalesce(*[F.when((F.col("form") == i) & (length == n), _windows(F.col("words"), i, n)) for i, n in kinds])
     item_windows = materialise(
         items.filter("item_id = lead").select("form", "lead", "words", F.posexplode(hashes).alias("item_place", "hash"))
-        .filter(F.size(F.filter(F.slice("words", F.col("item_place") + 1, WINDOW), lambda w: ~_is_slot(w))) >= LITERALS)
+        .filter((F.col("form") == VERBATIM) | (_literals(F.col("words"), F.col("item_place")) >= LITERALS))
         .select("hash", "form", "lead", "item_place")
     )
     if item_windows.count() <= BROADCAST_WINDOWS:
         item_windows = F.broadcast(item_windows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = rows.select("doc_id", _plain(F.col("text")).alias("plain"))
-    spread = plain.select("doc_id", F.explode(F.array(*[_windows(_split(f(F.col("plain"))), i) for i, f in enumerate(FORMS)])).alias("hashes"))
+    spread = plain.select("doc_id", F.explode(F.array(*[_windows(_split(FORMS[i](F.col("plain"))), i, n) for i, n in kinds])).alias("hashes"))
     met = spread.select("doc_id", F.posexplode("hashes").alias("place", "hash")).join(item_windows, "hash")
     # Covered words: each window adds those past the end of the window before it.
     chains = met.select("doc_id", "form", "lead", (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
@@ -120,6 +136,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
     chains = chains.withColumn("covered", F.when(F.size("places") > 1, covered).otherwise(F.lit(WINDOW)))
     enough = materialise(
         chains.join(items.select("form", "item_id", F.size("words").alias("size"), "plain", "words", "lead"), ["form", "lead"])  # each item of the template is checked by its own values
+        .withColumn("covered", F.least("covered", "size"))
         .filter(F.col("covered") >= F.least(F.lit(cover), F.col("size")))
         .drop("size")
     )
@@ -131,7 +148,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
     both = both.withColumn("theirs", _split(F.col("plain"))).withColumn("at", F.filter(inside, lambda i: _is_slot(F.get("words", i))))
 
     def value(words: str, i: Column) -> Column:
-        return F.when(F.col("form") == FORMS.index(_caseless), F.lower(F.get(words, i))).otherwise(F.get(words, i))
+        return F.when(F.col("form") != FORMS.index(_canonical), F.lower(F.get(words, i))).otherwise(F.get(words, i))
 
     pairs = F.transform("at", lambda i: F.struct(value("theirs", i).alias("item"), value("own", i + F.col("shift")).alias("own")))
     both = both.withColumn("pairs", pairs)

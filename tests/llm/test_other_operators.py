@@ -184,3 +184,10 @@ def test_each_item_of_a_template_is_checked_by_its_own_values(spark):
     assert got[0, 2] == 0 and (0, 1) not in got and got[0, 3] == 2
     assert got[1, 1] == 0 and got[1, 2] == 1  # two values of an item may have one value in the document
     assert got[2, 1] == 2
+
+
+def test_verbatim_copies_are_found_whatever_their_slots(spark):
+    numbers = "add 12 45 7 and 9 81 30 then 6 8 10 44 to 71 90 52"
+    items = [(1, numbers), (2, "GIVE THE 3 LARGEST OF 4 9 16 25 36 49 64"), (3, "Name all prime factors"), (4, numbers.replace("30", "33")), (5, "")]
+    texts = [f"{prose(1, 20)} {numbers}", f"so {items[1][1].lower()} it is", f"{prose(2, 9)} name all prime factors.", numbers.replace("30", "31"), "Name all the prime factors"]
+    assert set(_found(spark, texts, items)) == {(0, 1), (1, 2), (2, 3)}
