@@ -33,11 +33,11 @@ def _plain(text: Column) -> Column:
 
 
 def _typed(plain: Column) -> Column:
-    """Words to placeholders, one for one: words that begin with a digit and number words, units behind them.
+    """Words to placeholders, one for one: words with a digit and number words, units behind them.
 
     Each pattern begins with the space before a word, which a search finds faster than a look behind; a space leads the text.
     """
-    out = F.regexp_replace(F.concat(F.lit(" "), plain), r" (?:\p{N}[\p{L}\p{N}]*|(?:" + _NUMBER_WORDS + r")(?![^ ]))", f" {NUMBER}")
+    out = F.regexp_replace(F.concat(F.lit(" "), plain), r" (?:[^ \p{N}]*+\p{N}[^ ]*|(?:" + _NUMBER_WORDS + r")(?![^ ]))", f" {NUMBER}")
     return F.regexp_replace(out, rf" {NUMBER} (?:{_UNITS})(?![^ ])", f" {NUMBER} {UNIT}")
 
 

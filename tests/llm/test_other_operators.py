@@ -191,3 +191,10 @@ def test_verbatim_copies_are_found_whatever_their_slots(spark):
     items = [(1, numbers), (2, "GIVE THE 3 LARGEST OF 4 9 16 25 36 49 64"), (3, "Name all prime factors"), (4, numbers.replace("30", "33")), (5, "")]
     texts = [f"{prose(1, 20)} {numbers}", f"so {items[1][1].lower()} it is", f"{prose(2, 9)} name all prime factors.", numbers.replace("30", "31"), "Name all the prime factors"]
     assert set(_found(spark, texts, items)) == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_numbers_inside_words_are_slots(spark):
+    ask = "let n=12 be the side and x+3 be the height of a box then find f(2) for the whole box when y=4 holds"
+    other = ask.replace("12", "15").replace("+3", "+9").replace("(2)", "(7)").replace("y=4", "y=8")
+    got = _found(spark, [f"{prose(1, 20)} {other}", ask, other.replace("box", "jar")], [(1, ask)])
+    assert got == {(0, 1): 4, (1, 1): 0}
