@@ -55,7 +55,7 @@ def anchors(data: np.ndarray, off: np.ndarray, k: int = K, s: int = S) -> tuple[
         hashes = h
     short = np.flatnonzero((doc_len > 0) & (doc_len < k))
     if len(short):
-        h = np.array([int.from_bytes(hashlib.blake2b(data[off[i] : off[i + 1]].tobytes(), digest_size=8).digest(), "little") for i in short], np.uint64)
+        h = _whole(data, off, short)
         starts, docs = np.concatenate((starts, off[short])), np.concatenate((docs, short))
         hashes = np.concatenate((hashes.astype(np.uint64), h))
         order = np.argsort(docs, kind="stable")
@@ -73,8 +73,24 @@ def _least_distinct(docs: np.ndarray, values: np.ndarray, n: int, keep: int) ->
     return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(d, np.arange(n + 1))
 
 
+def _whole(data: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The anchor hash of each whole text."""
+    return np.array([int.from_bytes(hashlib.blake2b(data[off[i] : off[i + 1]].tobytes(), digest_size=8).digest(), "little") for i in which], np.uint64)
+
+
+def all_anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors, and the whole text as one for each text that isn't empty and has no syncmer."""
+    starts, hashes, docs = anchors(data, off)
+    bare = np.flatnonzero((np.diff(off) > 0) & (np.bincount(docs, minlength=len(off) - 1) == 0))
+    if not len(bare):
+        return starts, hashes, docs
+    starts, hashes, docs = np.concatenate((starts, off[bare])), np.concatenate((hashes, _whole(data, off, bare))), np.concatenate((docs, bare))
+    order = np.argsort(docs, kind="stable")
+    return starts[order], hashes[order], docs[order]
+
+
 def sketches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, hashes, docs = anchors(data, off)
+    _, hashes, docs = all_anchors(data, off)
     return _least_distinct(docs, hashes >> np.uint64(32), len(off) - 1, SKETCH)
 
 
@@ -125,7 +141,7 @@ def positions(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in blocks(batches):
             data, off = utf8(b.column("text"))
-            at, h, d = anchors(data, off)
+            at, h, d = all_anchors(data, off)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(at - off[d]), pa.array(h.view(np.int64))], ["doc_id", "position", "hash"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")

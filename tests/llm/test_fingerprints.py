@@ -70,3 +70,14 @@ def test_awkward_rows(spark):
     one = op.edited_fingerprints(documents(spark, ["only this text of some length"])).first()
     assert one["near_next"] == 1.0
     assert op.positions(docs).filter("doc_id = 1").count() > 5
+
+
+def test_texts_without_a_syncmer_have_their_own_fingerprint():
+    bare = [t for i in range(400) if not brute_anchors((t := prose(i, 9)[: 24 + i % 15]).encode())]
+    assert len(set(bare)) > 20
+    own = op.sketches(*utf8(pa.array([*bare, ""])))
+    hexes = op.as_text(own)
+    assert hexes[-1] == "" and len(set(hexes[:-1])) == len(set(bare)) and "" not in hexes[:-1]
+    other = np.array([next(j for j, u in enumerate(bare) if u != t) for t in bare] + [0])
+    assert op.likeness(own, own, np.arange(len(bare) + 1), other).max() == 0
+    assert op.likeness(own, own, np.array([len(bare)]), np.array([len(bare)])).tolist() == [1.0]
