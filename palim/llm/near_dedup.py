@@ -223,14 +223,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Da
 
 
 #: For groups by similarity: smallest shingles that deal a text out (a pair of similarity s shares none with a chance of (1 - s) ** KEYS),
-#: shingle hashes in a sketch (32 bits each; a text of no more shingles is compared exactly), and the radius of the search,
-#: which pairs of similarity 0.8 or more don't reach.
-KEYS, SKETCH, WIDE = 5, 256, 24
+#: shingle hashes in a sketch (32 bits each), the radius of the search, which pairs of similarity 0.8 or more don't reach, and
+#: how far below the similarity a sketch's estimate is a clear miss (five standard errors).
+KEYS, SKETCH, WIDE, SLACK = 5, 256, 24, 0.125
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest (of the words), print, keys and sketch of each whole text."""
+    """doc_id, digest (of the words), print (of the distinct shingles), keys and sketch of each whole text."""
 
     def run(batches):
         for b in blocks(batches):
@@ -239,6 +239,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             digests, prints, keys, sketches = [], [], [], []
             for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
                 line, hashes = shingle_hashes(raw[a:z], words)
+                hashes = np.unique(hashes)  # similarity is on sets, and so is the fingerprint
                 digests.append(xxhash.xxh3_128_digest(line))
                 prints.append(majority(hashes))
                 if len(hashes):
@@ -271,11 +272,34 @@ def _similar(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -
 _FILL = np.uint64(1 << 32)
 
 
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """least, digest and shingles (all distinct hashes, ascending) of the texts in wanted (least, digest)."""
+
+    def run(batches):
+        for b in blocks(batches):
+            data, off = utf8(b.column("text"))
+            raw = data.tobytes()
+            digests, sets = [], []
+            for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
+                line, hashes = shingle_hashes(raw[a:z], words)
+                digests.append(xxhash.xxh3_128_digest(line))
+                sets.append(np.unique(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("least"), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["least", "digest", "shingles"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(wanted.select("least").distinct(), "least", "left_semi")
+    return own.mapInArrow(run, "least long, digest binary, shingles binary").join(wanted, ["least", "digest"], "left_semi").dropDuplicates(["least", "digest"])
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(len(x) + len(y) - shared, 1)
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: the least doc_id of each document's group, texts being linked if their shingle sets are similar (Jaccard).
 
     Texts of equal words are one text first. Each goes to the trees of its KEYS smallest shingles; pairs within WIDE
-    bits there are compared by their sketches. Texts without words are all equal. Rows with a null doc_id are left out;
+    bits there are compared by their sketches, and what is no clear miss, by their whole sets of shingles. Texts without words are all equal. Rows with a null doc_id are left out;
     rows with one id are one document.
     """
     profiles = materialise(_profiles(docs.filter("doc_id IS NOT NULL"), words))
@@ -283,15 +307,31 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     release(docs.sparkSession)
     keyed = texts.select("least", F.posexplode("keys").alias("choice", "key"))
 
-    def run(batches):
+    place = ["choice", "key", "x", "y", "least", "tree", "asks", "print", "digest"]
+
+    def screen(batches):
+        """Rows with a neighbour in their block that isn't a clear miss."""
         for t in _whole_blocks(batches, 1 << 13):
             lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("sketch").combine_chunks()]
             size = np.array([len(x) for x in lists])
             sketches = np.full((len(lists), SKETCH), _FILL, np.uint64)
             sketches[np.arange(SKETCH) < size[:, None]] = np.concatenate(lists)
-            yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, lambda a, b: _similar(sketches, a, b, similarity)), ("a", "b"))
+            root = _search(t, WIDE, lambda a, b: _similar(sketches, a, b, similarity - SLACK))
+            yield from t.select(place).filter(pa.array(np.bincount(root, minlength=len(root))[root] > 1)).combine_chunks().to_batches()
 
-    edges = materialise(_dealt(keyed, "least", texts.select("least", "print", "sketch")).mapInArrow(run, "a long, b long"))
+    def verify(batches):
+        for t in _whole_blocks(batches, 1 << 11):
+            sets = [np.frombuffer(x, np.uint64) for chunk in t.column("shingles").chunks for x in chunk.to_pylist()]
+            exact = lambda a, b: np.array([_jaccard(sets[i], sets[j]) >= similarity - 1e-9 for i, j in zip(a.tolist(), b.tolist())], bool)
+            yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, exact), ("a", "b"))
+
+    schema = "choice int, key long, x int, y int, least long, tree boolean, asks boolean, print long, digest binary"
+    near = materialise(_dealt(keyed, "least", texts.select("least", "print", "sketch", "digest")).mapInArrow(screen, schema))
+    release(docs.sparkSession)
+    sets = _shingle_sets(docs, near.select("least", "digest").distinct(), words)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocked = near.join(sets, ["least", "digest"]).repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", "least")
+    edges = materialise(blocked.mapInArrow(verify, "a long, b long"))
     release(docs.sparkSession)
     rooted = materialise(components(edges))
     named = texts.select("digest", "least").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"))

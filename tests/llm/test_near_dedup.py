@@ -121,3 +121,19 @@ def test_awkward_rows(spark):
     groups = op.similar_groups(docs)
     assert groups.count() == docs.filter("doc_id IS NOT NULL").count()
     assert op.similar_groups(empty(spark)).count() == 0
+
+
+def test_links_of_long_texts_are_exact(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(24):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+        other = list(words)
+        for j in range(13 + i % 2):  # 0.803 or 0.790
+            other[10 + 40 * j] = f"new{i}x{j}"
+        texts += [" ".join(words), " ".join(other)]
+    words = " ".join(texts[0].split()[::-1][:300])
+    texts += [words, words + " and one more line of it" * 200]  # equal sets but for some shingles
+    got = {r["doc_id"]: r["component_id"] for r in op.similar_groups(documents(spark, texts)).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(24)] == [i % 2 == 0 for i in range(24)]
+    assert got[49] == 48
