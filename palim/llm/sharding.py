@@ -23,22 +23,41 @@ class _Node:
     high: list
 
 
-def _leaf(nodes: list[tuple[_Node, int, int]], node: Column, dims: list[str]) -> Column:
-    """The node after a split: (node, dimension, last value of its left side) for each split one."""
+def _leaf(nodes: list[tuple[_Node, list]], node: Column, dims: list[str]) -> Column:
+    """The node after a split: (node, cut) for each split one; a cut is (dimension, value) of a heavy value for each dimension but the last, which has the last value of its left side."""
     out = node
-    for parent, dim, cut in nodes:
-        right = parent.shard + parent.shards // 2
-        out = F.when(node == parent.shard, F.when(F.col(dims[dim]) > F.lit(cut), F.lit(right)).otherwise(F.lit(parent.shard))).otherwise(out)
+    for parent, cut in nodes:
+        right = F.lit(False)
+        for i, (dim, value) in enumerate(reversed(cut)):
+            beyond = F.col(dims[dim]) > F.lit(value)
+            right = beyond if i == 0 else beyond | ((F.col(dims[dim]) == F.lit(value)) & right)
+        half = parent.shard + parent.shards // 2
+        out = F.when(node == parent.shard, F.when(right, F.lit(half)).otherwise(F.lit(parent.shard))).otherwise(out)
     return out
 
 
+@dataclass
+class _Search:
+    """The search for a node's cut."""
+
+    node: _Node
+    total: float
+    due: float  # weight due to the left side, of the rows that agree with the prefix
+    dim: int
+    whole: list  # dimensions still to try on the whole node
+    rest: list  # dimensions to cut a heavy value along
+    prefix: list  # (dimension, heavy value)
+    first: tuple | None = None  # heavy value of the widest dimension, and the weight below it
+
+
 def kd_shards(rows: DataFrame, dims: list[str], weight: str, shards: int, tie: str, tolerance: float = 0.02) -> DataFrame:
     """Adds `shard` (0 to shards - 1) with near equal sums of weight.
 
     rows: a small-row table (metadata only) with integer, non-null dims; it is read once for each
     histogram round, so hand over a stored table. Rows that agree in all dims are a group and stay
     together, unless the group alone would unbalance a split by more than `tolerance` of its node; then
-    it is split along `tie` (an integer column), where the exact median falls.
+    it is split along `tie` (an integer column), where the exact median falls. Where the median of the widest dimension
+    misses by more, the others are tried; if all do, only the rows of its heavy value are cut along them, the tie column at last.
 
     Each round counts BINS ranges for each node: at most shards * BINS sums reach the driver. A median
     among 2**32 values takes four rounds. Empty input gives no rows; equal rows, a split along `tie`.
@@ -62,18 +81,28 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, shards: int, tie: s
                 s = stats[n.shard]
                 n.low, n.high = [s[f"lo{i}"] for i in range(len(axes))], [s[f"hi{i}"] for i in range(len(axes))]
                 width = [(n.high[i] - n.low[i]) / spread[i] for i in range(len(dims))]
-                dim = max(range(len(dims)), key=lambda i: width[i])
-                open_.append((n, dim if width[dim] > 0 else len(dims), float(s["w"])))
-        searched = _medians(placed, axes, weight, open_)
-        again = []
-        for (n, dim, total), (cut, error) in zip(open_, searched):
-            # A heavy single value: one more dimension narrows it, the tie column at last.
-            if error > tolerance * total and dim < len(dims):
-                again.append((n, len(dims), total))
-            else:
-                cuts.append((n, dim, cut))
-        for (n, dim, _), (cut, _) in zip(again, _medians(placed, axes, weight, again) if again else []):
-            cuts.append((n, dim, cut))
+                order = sorted((i for i in range(len(dims)) if width[i] > 0), key=lambda i: -width[i])
+                dim, *others = [*order, len(dims)]
+                total = float(s["w"])
+                open_.append(_Search(n, total, total * (n.shards // 2) / n.shards, dim, others[:-1], others, []))
+        while open_:
+            again = []
+            for x, (cut, error, value, below) in zip(open_, _medians(placed, axes, weight, open_)):
+                if error <= tolerance * x.total or x.dim == len(dims):
+                    cuts.append((x.node, [*x.prefix, (x.dim, cut)]))
+                    continue
+                if not x.prefix:
+                    x.first = x.first or (x.dim, value, below)
+                    if x.whole:
+                        x.dim, *x.whole = x.whole
+                        again.append(x)
+                        continue
+                    x.dim, value, below = x.first
+                x.prefix.append((x.dim, value))
+                x.due -= below
+                x.dim, *x.rest = x.rest
+                again.append(x)
+            open_ = again
         placed = placed.withColumn("__node", _leaf(cuts, F.col("__node"), axes))
         following = []
         for n in nodes:
@@ -86,17 +115,19 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, shards: int, tie: s
     return placed.withColumnRenamed("__node", "shard")
 
 
-def _medians(placed: DataFrame, axes: list[str], weight: str, wanted: list) -> list[tuple[int, float]]:
-    """For each (node, dimension, total): the last value of the left side, and how far its weight is from the share due."""
-    ranges = [[n.low[d], n.high[d], 0.0] for n, d, _ in wanted]  # low, high, weight below low
-    due = [t * (n.shards // 2) / n.shards for n, _, t in wanted]
+def _medians(placed: DataFrame, axes: list[str], weight: str, wanted: list[_Search]) -> list[tuple]:
+    """For each search: the last value of the left side, how far its weight is from the share due, the value where that falls and the weight below it."""
+    ranges = [[x.node.low[x.dim], x.node.high[x.dim], 0.0] for x in wanted]  # low, high, weight below low
+    due = [x.due for x in wanted]
     best: list = [None] * len(wanted)
     while pending := [i for i in range(len(wanted)) if best[i] is None]:
         conditions = []
         for i in pending:
-            (n, d, _), (low, high, _) = wanted[i], ranges[i]
+            n, d, (low, high, _) = wanted[i].node, wanted[i].dim, ranges[i]
             step = -(-(high - low + 1) // BINS)
             here = (F.col("__node") == n.shard) & F.col(axes[d]).between(low, high)
+            for heavy, value in wanted[i].prefix:
+                here &= F.col(axes[heavy]) == F.lit(value)
             conditions.append((here, i, F.floor((F.col(axes[d]) - F.lit(low)) / F.lit(step)).cast("int"), step))
         which, bin_ = F.lit(None).cast("int"), F.lit(None).cast("int")
         for here, i, b, _ in conditions:
@@ -111,13 +142,13 @@ def _medians(placed: DataFrame, axes: list[str], weight: str, wanted: list) -> l
                     if step == 1:
                         value = low + b
                         before, after = abs(below - due[i]), abs(below + w - due[i])
-                        best[i] = (value - 1, before) if before < after else (value, after)
+                        best[i] = (value - 1, before, value, below) if before < after else (value, after, value, below)
                     else:
                         ranges[i] = [low + b * step, min(high, low + (b + 1) * step - 1), below]
                     break
                 below += w
             else:
-                best[i] = (high, abs(below - due[i]))
+                best[i] = (high, abs(below - due[i]), high, below)
     return best
 
 

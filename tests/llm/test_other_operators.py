@@ -42,6 +42,18 @@ def test_equal_texts_stay_together_unless_they_outweigh_a_shard(spark):
     assert size.max() < 1.25 * size.min()
 
 
+def test_only_the_heavy_text_is_cut_by_id(spark):
+    heavy = prose(1, 30)
+    texts = [heavy] * 300 + [prose(2 + i % 300, 20 + i % 20) for i in range(600)]
+    rows = _placed(spark, texts)
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert {t for t, shards in by_text.items() if len(shards) > 1} == {heavy}
+    size = np.bincount([r["shard"] for r in rows], [r["size"] for r in rows], minlength=8)
+    assert size.max() < 1.2 * size.min()
+
+
 def test_sharding_awkward_rows(spark):
     docs = awkward(spark)
     got = sharding.shard_documents(docs)
