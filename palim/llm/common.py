@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,34 +19,50 @@ BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 1024
 
 _M64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster must name one."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="palim-")
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/palim-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_end_with_the_query(spark: SparkSession):
+    """Shuffle files of the queries run inside are dropped when each ends; Spark otherwise keeps them until the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors cost nothing before it."""
     spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    with shuffles_end_with_the_query(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._palim_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-    for _ in range(2):  # Python's references go in the first round, Spark's in the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialised tables that nothing will read again; other tables are left alone."""
+    for t in tables:
+        if path := getattr(t, "_palim_path", None):
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def id_crc(column: str = "doc_id") -> Column:
@@ -100,7 +116,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches, column: str = "text", size: int = BLOCK_BYTES, docs: int = BLOCK_DOCS):
-    """Slices of record batches with about `size` bytes in `column` and at most `docs` rows."""
+    """The rows of record batches in blocks of about `size` bytes in `column` and at most `docs` rows: larger batches are cut, smaller ones joined."""
+    held, held_bytes = [], 0
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -108,9 +129,24 @@ def blocks(batches, column: str = "text", size: int = BLOCK_BYTES, docs: int = B
         ends, i = np.cumsum(at), 0
         while i < batch.num_rows:
             before = ends[i - 1] if i else 0
-            j = min(max(i + 1, int(np.searchsorted(ends, before + size, "right"))), i + docs)
-            yield batch.slice(i, j - i)
-            i = j
+            rows = sum(b.num_rows for b in held)
+            j = min(int(np.searchsorted(ends, before + size - held_bytes, "right")), i + docs - rows)
+            if not held:
+                j = max(i + 1, j)
+            if j > i:
+                held.append(batch.slice(i, j - i))
+                held_bytes += int(ends[j - 1] - before)
+            if j < batch.num_rows:
+                yield joined()
+                held, held_bytes = [], 0
+            i = max(i, j)
+    if held:
+        yield joined()
+
+
+def block_bytes(shards: int) -> int:
+    """Bytes of text that a block needs so that each of `shards` rows made from it holds some kilobytes; 16 MB at most."""
+    return min(16 << 20, shards << 11)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,43 +160,54 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def byte_keys(lower: bool = False, seed: int = 7) -> np.ndarray:
-    """A random 64-bit key for each byte; with lower, A-Z share the keys of a-z."""
-    keys = np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-    if lower:
-        keys[65:91] = keys[97:123]
-    return keys
-
-
-_powers: dict = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i up to n."""
-    if len(_powers.get("up", ())) <= n:
-        m = max(n + 1, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums of values[i] * base**i below each position: n + 1 of them."""
-    up, _ = powers(len(values))
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.multiply(values, up[: len(values)], out=out[1:])
-    np.cumsum(out, out=out)
+#: Bytes to bytes: A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Spans above so many bytes are hashed one by one.
+_LONG_SPAN = 256
+
+
+class Spans:
+    """Hashes of spans of bytes, the same wherever their content stands. Words of 8 bytes go through a finaliser one after another; no sum or product of the bytes stands for them."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate((data, np.zeros(8, np.uint8)))
+        self.lanes = np.ndarray((len(data) + 1,), "<u8", self.data, 0, (1,))
+
+    def hash(self, start: np.ndarray, end: np.ndarray, *seeds: int) -> np.ndarray | list[np.ndarray]:
+        """64 bits of each span; with seeds, a list of as many independent hashes."""
+        start = np.asarray(start, np.int64)
+        left = np.asarray(end, np.int64) - start
+        salts = [np.uint64(x * 0xD6E8FEB86659FD93 & _M64) for x in seeds or (0,)]
+        out = [mix(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + x) for x in salts]
+        long_ = np.flatnonzero(left > _LONG_SPAN)
+        active = np.flatnonzero(left <= _LONG_SPAN) if len(long_) else np.arange(len(start))
+        at, left_ = start[active], left[active]
+        some = np.flatnonzero(left_ > 0)
+        active, at, left_ = active[some], at[some], left_[some]
+        while len(active):
+            lane = self.lanes[at] & _MASKS[np.minimum(left_, 8)]
+            for h in out:
+                h[active] = mix(h[active] ^ lane)
+            more = np.flatnonzero(left_ > 8)
+            active, at, left_ = active[more], at[more] + 8, left_[more] - 8
+        for i in long_.tolist():
+            part = memoryview(self.data)[int(start[i]) : int(start[i] + left[i])]
+            for h, x in zip(out, salts):
+                h[i] = xxhash.xxh3_64_intdigest(part, int(x))
+        return out if seeds else out[0]
+
+
+def joined_hashes(values: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """One hash for each run of `length` of the given hashes."""
+    out = np.full(len(start), np.uint64(length))
+    for i in range(length):
+        out = mix(out ^ values[start + i])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each span [start, end), the same wherever its content stands."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def find_words(data: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each word; documents end words."""
     solid = ~spaces[data]
@@ -171,17 +218,19 @@ def find_words(data: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACES)
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of each word. Arrays as wide as the text are made for some BLOCK_BYTES at a time."""
+def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False, seeds: tuple = (0,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes (one array for each seed) and document of each word. Arrays as wide as the text are made for some BLOCK_BYTES at a time."""
     hashes, docs, i, n = [], [], 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + BLOCK_BYTES, "right")) - 1)
         part = data[off[i] : off[j]]
         start, end, doc = find_words(part, off[i : j + 1] - off[i])
-        hashes.append(span_hash(prefix_sums(keys[part]), start, end))
+        hashes.append(Spans(LOWER[part] if lower else part).hash(start, end, *seeds))
         docs.append(doc + i)
         i = j
-    return (np.concatenate(hashes), np.concatenate(docs)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if not hashes:
+        return [np.zeros(0, np.uint64) for _ in seeds], np.zeros(0, np.int64)
+    return [np.concatenate(h) for h in zip(*hashes)], np.concatenate(docs)
 
 
 def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -1,14 +1,17 @@
 """A bigram language model in sharded Elias-Fano tries.
 
-p(w | v) = (c(v w) + KAPPA p1(w)) / (c(v) + KAPPA) with p1(w) = (c(w) + 1) / (N + V + 1). Its logarithm is a sum of
+p(w | v) = (c(v w) + K p1(w)) / (c(v) + K) with p1(w) = (c(w) + 1) / (N + V + 1). Its logarithm is a sum of
 terms of single keys, so that each key can be looked up where it is stored:
 
-    log p1(w) + log(KAPPA / (c(v) + KAPPA)) + log(1 + c(v w) / (KAPPA p1(w)))
+    log p1(w) + log(K / (c(v) + K)) + log(1 + c(v w) / (K p1(w)))
 
 The last term, quantised, is what a trie holds for a seen pair. A trie is keyed by the word, then by the
 words before it: level 1 has the words (exact counts beside them), pointers into level 2 are monotone, and
-level 2 has the predecessors of each word, searched within the word's range. Each shard's levels are one file in the
-shared folder, mapped into memory where the folder is mounted.
+level 2 has the predecessors of each word, as ranks among the predecessors of the shard (a level of their own), found by
+successor search within the word's range. So a pair is seen if both words are equal in all 64 bits. Each shard's levels
+are one file in the shared folder, mapped into memory where the folder is mounted.
+
+K is the weight under which the training rows are likeliest if each token is left out of the counts in turn.
 
 Words above a share of 1 / HOT of the tokens (HOT words at most, a proven bound) are broadcast with their counts; their
 pairs are dealt out by pair, all others by word, so no key outweighs a shard. Pairs above that share are broadcast too.
@@ -27,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.common import (
-    blocks, byte_keys, group_bounds, held_out, is_member, materialise, mix, pack, range_shard, release, shared_folder, unpack, utf8, word_hashes,
+    block_bytes, blocks, discard, group_bounds, held_out, is_member, materialise, mix, pack, range_shard, shared_folder, shuffles_end_with_the_query, unpack, utf8, word_hashes,
 )
 from palim.llm.elias_fano import EliasFano
 
-KAPPA = 500.0
+#: Smoothing weights to choose from; leave-one-out likelihood of the training rows chooses.
+WEIGHTS = 2.0 ** np.arange(2, 15)
+#: Tokens of a shard, and shards at most: what one task counts.
+SHARD_TOKENS, SHARDS = 2_000_000, 100_000
 #: Steps of a quantised pair term, in log10.
 STEP, CODES = 0.03, 255
 HOT = 50_000
@@ -42,7 +48,7 @@ _PARTS = 5
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hash, hash of the token before, document: the words of each document with A-Z lowered, then one end."""
-    word, doc = word_hashes(data, off, byte_keys(lower=True))
+    (word,), doc = word_hashes(data, off, lower=True)
     n = len(off) - 1
     at = np.arange(len(word)) + doc
     size = np.bincount(doc, minlength=n) + 1
@@ -54,43 +60,53 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, before, docs
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(32)).astype(np.uint32)
+def count_code(count: np.ndarray) -> np.ndarray:
+    """A count in a byte: exact up to 128, then in steps of 1/16 of a doubling (of 1/2 from 2**12 on)."""
+    x = np.log2(np.maximum(count, 1))
+    return np.where(count <= 128, count, np.where(x <= 12, 128 + np.rint((x - 7) * 16), np.minimum(208 + np.rint((x - 12) * 2), 255))).astype(np.uint8)
+
+
+#: What each code stands for.
+_COUNTS = np.concatenate((np.arange(129), 2.0 ** (7 + np.arange(1, 81) / 16), 2.0 ** (12 + np.arange(1, 48) / 2)))
 
 
 class Trie:
-    """The levels of one shard."""
+    """The levels of one shard: words, pointers into pairs, predecessors of the shard, pairs."""
 
-    def __init__(self, words: EliasFano, pointers: EliasFano, before: EliasFano, counts: np.ndarray, codes: np.ndarray):
-        self.words, self.pointers, self.before, self.counts, self.codes = words, pointers, before, counts, codes
+    def __init__(self, words: EliasFano, pointers: EliasFano, vocabulary: EliasFano, before: EliasFano, counts: np.ndarray, codes: np.ndarray):
+        self.words, self.pointers, self.vocabulary, self.before, self.counts, self.codes = words, pointers, vocabulary, before, counts, codes
+        self.bits = np.uint64(max(0, vocabulary.n - 1).bit_length())
 
     @classmethod
-    def build(cls, word: np.ndarray, before: np.ndarray, count: np.ndarray, totals: np.ndarray, codes: np.ndarray) -> Trie:
+    def build(cls, word: np.ndarray, before: np.ndarray, totals: np.ndarray, codes: np.ndarray) -> Trie:
         """Pairs sorted by word and predecessor; totals: the count of each distinct word."""
         bounds = group_bounds(word)
         ordinal = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        vocabulary, rank = np.unique(before.astype(np.uint64), return_inverse=True)
+        bits = max(0, len(vocabulary) - 1).bit_length()
         return cls(
             EliasFano.build(word[bounds[:-1]], 1 << 64),
             EliasFano.build(bounds.astype(np.uint64), len(word) + 1),
-            EliasFano.build((ordinal << np.uint64(32)) | before, max(1, len(bounds) - 1) << 32),
+            EliasFano.build(vocabulary, 1 << 64),
+            EliasFano.build((ordinal << np.uint64(bits)) | rank.astype(np.uint64), max(1, len(bounds) - 1) << bits),
             totals, codes,
         )
 
     def to_bytes(self) -> bytes:
         """A head with the size of each part, then the parts, each at a multiple of 8 bytes."""
-        parts = [p for level in (self.words, self.pointers, self.before) for p in level.parts()] + [self.counts.astype(np.uint64), self.codes.astype(np.uint8)]
+        parts = [p for level in (self.words, self.pointers, self.vocabulary, self.before) for p in level.parts()] + [self.counts.astype(np.uint64), self.codes.astype(np.uint8)]
         raw = [np.ascontiguousarray(p).tobytes() for p in parts]
         return np.array([len(r) for r in raw], np.uint64).tobytes() + b"".join(r + bytes(-len(r) % 8) for r in raw)
 
     @classmethod
     def of(cls, mapped: np.ndarray) -> Trie:
-        n = 3 * _PARTS + 2
+        n = 4 * _PARTS + 2
         sizes, at, parts = mapped[: 8 * n].view(np.uint64).astype(np.int64), 8 * n, []
         for i, size in enumerate(sizes):
             part = mapped[at : at + size]
             parts.append(part if i == n - 1 else part.view(np.uint64))
             at += size + -size % 8
-        return cls(*(EliasFano.of(*parts[_PARTS * i : _PARTS * (i + 1)]) for i in range(3)), parts[-2], parts[-1])
+        return cls(*(EliasFano.of(*parts[_PARTS * i : _PARTS * (i + 1)]) for i in range(4)), parts[-2], parts[-1])
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ordinal (or -1) and count of each word."""
@@ -102,10 +118,12 @@ class Trie:
         out = np.zeros(len(before))
         if not self.before.n:
             return out
+        known, back = np.unique(before.astype(np.uint64), return_inverse=True)
+        rank = self.vocabulary.find(known)[back]
         first, end = (self.pointers.access(np.maximum(ordinal, 0) + i).astype(np.int64) for i in (0, 1))
-        some = np.flatnonzero(ordinal[which] >= 0)
+        some = np.flatnonzero((ordinal[which] >= 0) & (rank >= 0))
         o = which[some]
-        at = self.before.find((ordinal[o].astype(np.uint64) << np.uint64(32)) | before[some], first[o], end[o])
+        at = self.before.find((ordinal[o].astype(np.uint64) << self.bits) | rank[some].astype(np.uint64), first[o], end[o])
         out[some] = np.where(at >= 0, self.codes[np.maximum(at, 0)] * STEP, 0)
         return out
 
@@ -135,20 +153,38 @@ def _by_shard(shards: int, hot: np.ndarray, word: np.ndarray, before: np.ndarray
     """Deals out pairs: for each shard that gets any, (shard, cold part, hot part).
 
     Cold part: words, pairs of each word, predecessors, and more; hot part: index of the word, predecessors, and more.
+    Predecessors are bits that say which are hot, the indices of those, and the hashes of the others.
     """
-    at = is_member(word, hot)
+    at, at_before = is_member(word, hot), is_member(before, hot)
     warm = np.flatnonzero(at >= 0)
-    route = range_shard(mix(word[warm] ^ (before[warm].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), shards)
+    route = range_shard(mix(word[warm] ^ (before[warm] * np.uint64(0x9E3779B97F4A7C15))), shards)
     order = np.argsort(route, kind="stable")
     warm, warm_bounds = warm[order], np.searchsorted(route[order], np.arange(shards + 1))
     cold = np.flatnonzero(at < 0)
     cold = cold[np.argsort(word[cold], kind="stable")]
     cold_bounds = np.searchsorted(range_shard(word[cold], shards), np.arange(shards + 1))
-    for s in range(shards):
+
+    def predecessors(which: np.ndarray) -> tuple:
+        known = at_before[which] >= 0
+        return np.packbits(known), at_before[which[known]].astype(np.uint16), before[which[~known]]
+
+    for s in np.flatnonzero((np.diff(warm_bounds) > 0) | (np.diff(cold_bounds) > 0)).tolist():
         c, h = cold[cold_bounds[s] : cold_bounds[s + 1]], warm[warm_bounds[s] : warm_bounds[s + 1]]
-        if len(c) or len(h):
-            bounds = group_bounds(word[c])
-            yield s, (word[c][bounds[:-1]], np.diff(bounds).astype(np.uint32), before[c], *(m[c] for m in more)), (at[h].astype(np.uint16), before[h], *(m[h] for m in more))
+        bounds = group_bounds(word[c])
+        yield s, (word[c][bounds[:-1]], np.diff(bounds).astype(np.uint32), *predecessors(c), *(m[c] for m in more)), (at[h].astype(np.uint16), *predecessors(h), *(m[h] for m in more))
+
+
+def _unpack_pairs(payload, hot: np.ndarray, kind) -> tuple:
+    """Of pack(*cold, *hot) of _by_shard with one more column: words, pairs of each, predecessors, more; indices, predecessors, more."""
+    cw, cn, cf, ch, cb, cm, hw, hf, hh, hb, hm = unpack(payload, np.uint64, np.uint32, np.uint8, np.uint16, np.uint64, kind, np.uint16, np.uint8, np.uint16, np.uint64, kind)
+
+    def predecessors(bits, index, other, n: int) -> np.ndarray:
+        known = np.unpackbits(bits, count=n).astype(bool)
+        out = np.empty(n, np.uint64)
+        out[known], out[~known] = hot[index], other
+        return out
+
+    return cw, cn, predecessors(cf, ch, cb, len(cm)), cm, hw, predecessors(hf, hh, hb, len(hm)), hm
 
 
 def _count_words(batches):
@@ -164,30 +200,35 @@ class Model:
     def __init__(self, folder: str, shards: int, n: int, v: int, hot: np.ndarray, hot_counts: np.ndarray):
         self.folder, self.shards, self.n, self.v, self.hot, self.hot_counts = folder, shards, n, v, hot, hot_counts
         self.ends = 0  # training texts
+        self.weight = 1.0  # K
         self.pairs, self.pair_gains = np.zeros(0, np.uint64), np.zeros(0)
 
-    def path(self, shard: int) -> str:
-        return f"{self.folder}/trie-{shard:06d}.ef"
+    def path(self, shard: int, smoothed: bool = False) -> str:
+        return f"{self.folder}/{'trie' if smoothed else 'counts'}-{shard:06d}.ef"
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.n + self.v + 1))
 
     def context(self, count: np.ndarray) -> np.ndarray:
-        return np.log10(KAPPA / (count + KAPPA))
+        return np.log10(self.weight / (count + self.weight))
 
     def gain(self, pair_count: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.log10(1 + pair_count * ((self.n + self.v + 1) / (KAPPA * (count + 1))))
+        """log10 of 1 + c(v w) / (K p1(w))."""
+        return np.log10(1 + pair_count * ((self.n + self.v + 1) / (self.weight * (count + 1))))
+
+    def quantised(self, pair_count: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.minimum(np.rint(self.gain(pair_count, count) / STEP), CODES).astype(np.uint8)
 
 
 def pair_key(word: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mix(word + before.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return mix(word + before * np.uint64(0xD1342543DE82EF95))
 
 
-def _trie_of(model: Model, payloads: list) -> tuple[Trie, np.ndarray, np.ndarray]:
-    """Joins the counted pairs of a shard; also the keys and terms of its frequent pairs."""
+def _trie_of(model: Model, payloads: list) -> tuple[Trie, tuple, np.ndarray]:
+    """Joins the counted pairs of a shard (codes: counts); also key, count and word count of its frequent pairs, and their part of the likelihood for each weight."""
     words, befores, counts = [], [], []
     for p in payloads:
-        cw, cn, cb, cc, hw, hb, hc = unpack(p, np.uint64, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32)
+        cw, cn, cb, cc, hw, hb, hc = _unpack_pairs(p, model.hot, np.uint32)
         words += [np.repeat(cw, cn), model.hot[hw]]
         befores += [cb, hb]
         counts += [cc, hc]
@@ -201,10 +242,11 @@ def _trie_of(model: Model, payloads: list) -> tuple[Trie, np.ndarray, np.ndarray
     totals = np.add.reduceat(count, bounds[:-1]) if len(word) else count
     at = is_member(word[bounds[:-1]], model.hot)
     totals = np.where(at >= 0, model.hot_counts[np.maximum(at, 0)] if len(model.hot) else 0, totals)
-    gain = model.gain(count, np.repeat(totals, np.diff(bounds)))
-    codes = np.minimum(np.rint(gain / STEP), CODES).astype(np.uint8)
+    total = np.repeat(totals, np.diff(bounds))
     often = count >= max(1, model.n / HOT)
-    return Trie.build(word, before, count, totals, codes), pair_key(word[often], before[often]), codes[often] * STEP
+    share = total / (model.n + model.v)
+    likelihood = np.array([(count * np.log(count - 1 + k * share)).sum() for k in WEIGHTS])
+    return Trie.build(word, before, totals, count_code(count)), (pair_key(word[often], before[often]), count[often], total[often]), likelihood
 
 
 def _grouped(batches):
@@ -229,43 +271,77 @@ def _dealt(rows: DataFrame, shards: int) -> DataFrame:
 def train(docs: DataFrame) -> Model:
     """Counts every token and pair of docs (doc_id, text; null text counts as empty) and writes the tries."""
     spark = docs.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")
     counted = materialise(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    # What contexts take from the likelihood, for each weight; the end is no context, and texts begin as often as they end.
+    end = F.col("word") == int(_END.view(np.int64))
+    taken = [F.coalesce(F.sum(F.when(~end, F.col("n") * F.log(F.col("n") - 1 + float(k)))), F.lit(0.0)) for k in WEIGHTS]
+    n, v, ends, *taken = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0)), *taken).first()
     rows = counted.filter(F.col("n") >= max(1.0, n / HOT)).collect()
+    discard(counted)
     hot = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hot)
+    shards = min(SHARDS, max(partitions, -(-n // SHARD_TOKENS)))
     model = Model(shared_folder(spark), shards, n, v, hot[order], np.array([r["n"] for r in rows], np.int64)[order])
-    model.ends = counted.filter(F.col("word") == int(_END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # texts begin as often as they end
-    release(spark)
+    model.ends = ends
+    size = max(BLOCK, block_bytes(shards))
     shared = spark.sparkContext.broadcast(model)
 
     def pairs(batches):
         model = shared.value
-        for b in blocks(batches, size=BLOCK, docs=DOCS):
+        for b in blocks(batches, size=size, docs=DOCS):
             word, before, _ = tokens(*utf8(b.column("text")))
-            before = _short(before)
             key = pair_key(word, before)
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             got = list(_by_shard(model.shards, model.hot, word[first], before[first], n.astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in got], pa.int32()), pa.array([pack(*c, *h) for _, c, h in got], pa.binary())], ["shard", "payload"])
 
     def build(batches):
+        """Tries with counts as codes; rows: the likelihood of each shard, and frequent pairs."""
         model = shared.value
         for shard, payloads in _grouped(batches):
-            trie, keys, gains = _trie_of(model, payloads)
+            trie, (keys, counts, totals), likelihood = _trie_of(model, payloads)
             _write(model.path(shard), trie.to_bytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(gains)], ["pair", "gain"])
-
-    frequent = _dealt(texts.mapInArrow(pairs, "shard int, payload binary"), shards).mapInArrow(build, "pair long, gain double").collect()  # at most HOT
-    keys = np.array([r[0] for r in frequent], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    model.pairs, model.pair_gains = keys[order], np.array([r[1] for r in frequent], np.float64)[order]
-    release(spark)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([likelihood.tolist()], pa.list_(pa.float64()))], _BUILT)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(totals), pa.nulls(len(keys), pa.list_(pa.float64()))], _BUILT)
+
+    with shuffles_end_with_the_query(spark):
+        built = _dealt(texts.mapInArrow(pairs, "shard int, payload binary"), shards).mapInArrow(build, "pair long, n long, total long, likelihood array<double>").collect()  # a row for each shard, and at most HOT
+    likelihood = sum((np.array(r["likelihood"]) for r in built if r["pair"] is None), -np.array(taken, float) - model.ends * np.log(np.maximum(model.ends - 1, 0) + WEIGHTS))
+    model.weight = float(WEIGHTS[int(np.argmax(likelihood))])
+    frequent = sorted((r["pair"] & (1 << 64) - 1, r["n"], r["total"]) for r in built if r["pair"] is not None)
+    keys, counts, totals = (np.array([f[i] for f in frequent], t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+    model.pairs, model.pair_gains = keys, model.quantised(counts, totals) * STEP
+    weighted = spark.sparkContext.broadcast(model)
+
+    def smooth(batches):
+        """Counts become quantised terms; a second attempt finds the file as it was or done, by its name."""
+        model = weighted.value
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                trie = _open(model.path(shard))
+                if trie is not None:
+                    size = np.diff(trie.pointers.access(np.arange(trie.words.n + 1)).astype(np.int64)) if trie.words.n else np.zeros(0, np.int64)
+                    trie.codes = model.quantised(_COUNTS[trie.codes], np.repeat(trie.counts.astype(np.int64), size))
+                    _write(model.path(shard, True), trie.to_bytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id")], ["id"])
+
+    spark.range(0, shards, 1, min(shards, partitions)).mapInArrow(smooth, "id long").write.format("noop").mode("overwrite").save()
+    _remove(spark, [model.path(s) for s in range(shards)])
     return model
 
 
+_BUILT = ["pair", "n", "total", "likelihood"]
+
+
+def _remove(spark, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, False)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of each whole text.
 
@@ -277,16 +353,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    size = max(BLOCK, block_bytes(model.shards))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), held_out(7, 2).alias("held_out"), "text")
 
     def ask(batches):
         """Rows for shards, and one for each block with what is known here. A block is named by its first row."""
         m = shared.value
         start = float(m.context(m.ends))
-        for b in blocks(batches, size=BLOCK, docs=DOCS):
+        for b in blocks(batches, size=size, docs=DOCS):
             n, block = b.num_rows, b.column("uid")[0].as_py()
             word, before, doc = tokens(*utf8(b.column("text")))
-            before = _short(before)
             at = is_member(word, m.hot)
             warm = np.flatnonzero(at >= 0)
             count = m.hot_counts[at[warm]] if len(warm) else np.zeros(0, np.int64)
@@ -316,8 +392,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a, z in zip(bounds[:-1], bounds[1:]):  # the questions of one shard are looked up together
                 if shards_[some[a]] != shard:
                     shard = shards_[some[a]]
-                    trie = _open(m.path(shard))
-                asked_ = [unpack(payloads[int(i)].as_buffer(), np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.uint16) for i in some[a:z]]
+                    trie = _open(m.path(shard, True))
+                asked_ = [_unpack_pairs(payloads[int(i)].as_buffer(), m.hot, np.uint16) for i in some[a:z]]
                 for i, found in zip(some[a:z], _answers(m, trie, asked_)):
                     out.append((int(blocks_[i]), False, found))
             if out:
@@ -383,5 +459,6 @@ _SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_sc
 
 
 def op6_elias_fano_lm(spark, sf_dir: str) -> DataFrame:
+    """All of `documents`, the model being of those that aren't held out: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null text counts as empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs.filter(~held_out(7, 2))))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.bk_tree import Forest
-from palim.llm.common import blocks, materialise, mix, release, utf8
+from palim.llm.common import blocks, discard, materialise, mix, utf8
 
 RADIUS, PARTS = 4, 6
 #: Pairs that are confirmed at once.
@@ -304,7 +304,6 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     profiles = materialise(_profiles(docs.filter("doc_id IS NOT NULL"), words))
     texts = materialise(profiles.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("print", "keys", "sketch")]))
-    release(docs.sparkSession)
     keyed = texts.select("least", F.posexplode("keys").alias("choice", "key"))
 
     place = ["choice", "key", "x", "y", "least", "tree", "asks", "print", "digest"]
@@ -327,12 +326,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     schema = "choice int, key long, x int, y int, least long, tree boolean, asks boolean, print long, digest binary"
     near = materialise(_dealt(keyed, "least", texts.select("least", "print", "sketch", "digest")).mapInArrow(screen, schema))
-    release(docs.sparkSession)
     sets = _shingle_sets(docs, near.select("least", "digest").distinct(), words)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocked = near.join(sets, ["least", "digest"]).repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", "least")
     edges = materialise(blocked.mapInArrow(verify, "a long, b long"))
-    release(docs.sparkSession)
     rooted = materialise(components(edges))
     named = texts.select("digest", "least").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"))
     return profiles.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")

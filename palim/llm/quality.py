@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palim.llm.common import blocks, byte_keys, find_words, held_out, labelled_sample, mix, prefix_sums, span_hash, utf8
+from palim.llm.common import Spans, blocks, find_words, held_out, labelled_sample, mix, utf8
 
 BITS = 14
 BUCKETS, VECTOR = 1 << BITS, 16
@@ -21,7 +21,6 @@ _REPEATED = 0  # the bucket of a word bigram of two equal words, which no other
 
 def ngrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and documents of all words, word bigrams, and byte 3- and 5-grams (case kept)."""
-    sums = prefix_sums(byte_keys()[data])
     start, end, doc = find_words(data, off)
     found, owner = [], []
 
@@ -30,7 +29,7 @@ def ngrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         owner.append(d.astype(np.int32))
 
     if len(start):
-        h = span_hash(sums, start, end)
+        h = Spans(data).hash(start, end)
         put(h, doc, 1)
         same = doc[1:] == doc[:-1]
         put((h[:-1] * np.uint64(3) + h[1:])[same], doc[1:][same], 2)

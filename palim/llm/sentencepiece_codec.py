@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palim.llm.common import blocks, byte_keys, group_bounds, is_member, prefix_sums, span_hash, utf8
+from palim.llm.common import Spans, blocks, group_bounds, is_member, utf8
 
 BLOCK, DOCS = 2 << 20, 20_000
 #: Characters up to which words are folded together in arrays; longer ones go one by one through a heap.
@@ -62,25 +62,25 @@ class Pieces:
         ids = np.array([i for _, i in plain], np.int64)
         # Equal scores are of equal rank: the leftmost pair goes first.
         ranks = np.unique(-np.array([s for s, _ in plain]), return_inverse=True)[1].astype(np.int64)
-        hashes = span_hash(prefix_sums(byte_keys()[data]), off[ids], off[ids + 1])
+        hashes = Spans(data).hash(off[ids], off[ids + 1])
         order = np.argsort(hashes)
         return cls(hashes[order], ids[order], ranks[order], int(np.diff(off).max()), byte_ids, model.unk_id(), data, off)
 
-    def rank(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def rank(self, spans: Spans, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Ranks of spans; _NONE where no edge spans them."""
         out = np.full(len(start), _NONE)
         some = np.flatnonzero(end - start <= self.widest)
-        at = is_member(span_hash(sums, start[some], end[some]), self.hashes)
+        at = is_member(spans.hash(start[some], end[some]), self.hashes)
         out[some] = np.where(at >= 0, self.ranks[np.maximum(at, 0)], _NONE)
         return out
 
 
-def _fold_long(pieces: Pieces, sums: np.ndarray, start: list[int], end: int) -> list[tuple[int, int]]:
+def _fold_long(pieces: Pieces, spans: Spans, start: list[int], end: int) -> list[tuple[int, int]]:
     """Joins of one long word: a heap of pairs by (rank, place)."""
     n = len(start)
     ends = [*start[1:], end]
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    first = pieces.rank(sums, np.array(start[:-1]), np.array(ends[1:])) if n > 1 else []
+    first = pieces.rank(spans, np.array(start[:-1]), np.array(ends[1:])) if n > 1 else []
     heap = [(int(r), i, ends[i + 1]) for i, r in enumerate(first) if r < _NONE]
     heapq.heapify(heap)
     alive = [True] * n
@@ -94,19 +94,19 @@ def _fold_long(pieces: Pieces, sums: np.ndarray, start: list[int], end: int) ->
             before[after[j]] = i
         pairs = [(a, b) for a, b in ((before[i], i), (i, after[i])) if a >= 0 and b >= 0]
         if pairs:
-            ranks = pieces.rank(sums, np.array([start[a] for a, _ in pairs]), np.array([ends[b] for _, b in pairs]))
+            ranks = pieces.rank(spans, np.array([start[a] for a, _ in pairs]), np.array([ends[b] for _, b in pairs]))
             for (a, b), r in zip(pairs, ranks):
                 if r < _NONE:
                     heapq.heappush(heap, (int(r), a, ends[b]))
     return [(start[i], ends[i]) for i in range(n) if alive[i]]
 
 
-def _fold(pieces: Pieces, sums: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fold(pieces: Pieces, spans: Spans, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Joins of many words at once: in each round, every word joins its best pair. Gives start, end and word of what is left."""
     done = []
     pair = np.full(len(start), _NONE)
     same = np.flatnonzero(word[1:] == word[:-1])
-    pair[same] = pieces.rank(sums, start[same], end[same + 1])
+    pair[same] = pieces.rank(spans, start[same], end[same + 1])
     while len(start):
         bounds = group_bounds(word)
         place = np.arange(len(start))
@@ -134,7 +134,7 @@ def _fold(pieces: Pieces, sums: np.ndarray, start: np.ndarray, end: np.ndarray,
             inside = word[left] == word[left + 1]
             pair[left[~inside]] = _NONE
             left = left[inside]
-            pair[left] = pieces.rank(sums, start[left], end[left + 1])
+            pair[left] = pieces.rank(spans, start[left], end[left + 1])
         if len(at) and at[-1] == len(start) - 1:
             pair[-1] = _NONE
     if not done:
@@ -163,27 +163,27 @@ def encode_block(pieces: Pieces, data: np.ndarray, off: np.ndarray) -> tuple[np.
     begins[off[:-1][off[:-1] < len(data)]] = True
     at = np.flatnonzero(begins)
     stop = np.append(at[1:], len(data))
-    _, first, which = np.unique(span_hash(prefix_sums(byte_keys()[data]), at, stop), return_index=True, return_inverse=True)
+    _, first, which = np.unique(Spans(data).hash(at, stop), return_index=True, return_inverse=True)
     # The distinct words, one after another.
     size = stop[first] - at[first]
     bounds = np.concatenate(([0], np.cumsum(size)))
     words = data[np.repeat(at[first] - bounds[:-1], size) + np.arange(bounds[-1])]
-    sums = prefix_sums(byte_keys()[words])
+    spans = Spans(words)
     start = np.flatnonzero((words & 0xC0) != 0x80)
     end = np.append(start[1:], len(words))
     word = np.searchsorted(bounds, start, "right") - 1
     count = np.bincount(word, minlength=len(first))
     long_ = np.flatnonzero(count > LONG)
     short = count[word] <= LONG
-    s, e, w = _fold(pieces, sums, start[short], end[short], word[short])
+    s, e, w = _fold(pieces, spans, start[short], end[short], word[short])
     if len(long_):
         lead = np.searchsorted(word, [long_, long_ + 1])
-        extra = [(a, z, i) for i, x, y in zip(long_, *lead) for a, z in _fold_long(pieces, sums, start[x:y].tolist(), int(bounds[i + 1]))]
+        extra = [(a, z, i) for i, x, y in zip(long_, *lead) for a, z in _fold_long(pieces, spans, start[x:y].tolist(), int(bounds[i + 1]))]
         more = np.array(extra, np.int64).T
         s, e, w = np.concatenate((s, more[0])), np.concatenate((e, more[1])), np.concatenate((w, more[2]))
         order = np.argsort(s, kind="stable")
         s, e, w = s[order], e[order], w[order]
-    found = is_member(span_hash(sums, s, e), pieces.hashes)
+    found = is_member(spans.hash(s, e), pieces.hashes)
     # A character without a piece becomes its bytes.
     width = np.where(found >= 0, 1, e - s)
     ids = np.repeat(np.where(found >= 0, pieces.ids[np.maximum(found, 0)], -1), width)

@@ -11,25 +11,29 @@ hash, verify it. A window without such a boundary (inside a long run, say) hangs
 
 from __future__ import annotations
 
-from itertools import compress
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palim.llm.common import blocks, byte_keys, group_bounds, is_member, materialise, mix, pack, prefix_sums, range_shard, release, span_hash, unpack, utf8, word_hashes
+from palim.llm.common import (
+    Spans, block_bytes, blocks, discard, find_words, group_bounds, is_member, joined_hashes, materialise, mix, pack, range_shard, unpack, utf8, word_hashes,
+)
 
 WINDOW = 13
 CONTEXT = 4
 REACH = 4
 BLOCK, DOCS = 3 << 20, 60_000
-#: A key with this many holders in one block is counted over all blocks; those with over 1 / HOT of all holders (at most HOT) are dealt out by window.
+#: A key with this many windows in one block is counted over all blocks; those with over 1 / HOT of all windows (at most HOT) are dealt out by window.
 OFTEN, HOT = 8, 50_000
+#: Windows of a shard, and shards at most: what one task settles.
+SHARD_WINDOWS, SHARDS = 2_000_000, 100_000
 #: Buckets of documents for each shuffle partition.
 BUCKETS = 8
 _NO_ID = int(np.iinfo(np.int64).max)
+#: Seeds of a word's two hashes: one for names and keys, one for windows.
+_SEEDS = (1, 2)
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -74,27 +78,30 @@ def boundaries(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return bound2 & ~pair3
 
 
-def windows(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, key and hash (32 bits) of each window."""
+def windows(words: np.ndarray, doc: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, key and hash of each window; key and hash are of different hashes of the words, if `other` is given, and 128 bits together."""
     n = len(words)
     if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    other = words if other is None else other
     first = np.flatnonzero(doc[: n - WINDOW + 1] == doc[WINDOW - 1 :])
     place = np.where(boundaries(words, doc), np.arange(n), n)
     following = np.minimum.accumulate(place[::-1])[::-1]
     anchor = following[first + CONTEXT]
     anchor = np.where(anchor <= first + WINDOW - REACH, anchor, first + CONTEXT)
-    sums = prefix_sums(words)
-    key = span_hash(sums, anchor - REACH, anchor + REACH)
-    return first, key, (span_hash(sums, first, first + WINDOW) >> np.uint64(32)).astype(np.uint32)
+    every = np.arange(n - 2 * REACH + 1)
+    key = joined_hashes(words, every, 2 * REACH)[anchor - REACH]
+    return first, key, joined_hashes(other, first, WINDOW)
 
 
-def window_id(key: np.ndarray, short: np.ndarray) -> np.ndarray:
-    return mix(key + short.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+def window_id(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """64 bits of a window, by which a document's windows are told apart."""
+    return mix(key + whole * np.uint64(0xD1342543DE82EF95))
 
 
-def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(data, off, byte_keys())
+def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (words, other), doc = word_hashes(data, off, seeds=_SEEDS)
+    return words, other, doc
 
 
 def _block_windows(batch: pa.RecordBatch):
@@ -102,16 +109,19 @@ def _block_windows(batch: pa.RecordBatch):
     ids = pc.fill_null(batch.column("doc_id"), _NO_ID).to_numpy().astype(np.int64)
     order = np.argsort(ids, kind="stable")
     known, rank = np.unique(ids[order], return_inverse=True)
-    words, doc = _words(*utf8(batch.column("text").take(pa.array(order))))
-    first, key, short = windows(words, doc)
-    return known, key, short, rank[doc[first]] if len(first) else np.zeros(0, np.int64)
+    words, other, doc = _words(*utf8(batch.column("text").take(pa.array(order))))
+    first, key, whole = windows(words, doc, other)
+    return known, key, whole, rank[doc[first]] if len(first) else np.zeros(0, np.int64)
 
 
-def _least_holders(key: np.ndarray, short: np.ndarray, rank: np.ndarray):
+def _least_holders(key: np.ndarray, whole: np.ndarray, rank: np.ndarray):
     """Ids of all windows; those whose window starts in an earlier document of the block too; for each distinct window its first holder."""
-    ids = window_id(key, short)
+    ids = window_id(key, whole)
     order = np.argsort(ids, kind="stable")
-    bounds = group_bounds(ids[order])
+    sorted_ids, sorted_key = ids[order], key[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (sorted_ids[1:] != sorted_ids[:-1]) | (sorted_key[1:] != sorted_key[:-1])
+    bounds = np.append(np.flatnonzero(new), len(ids))
     first = order[bounds[:-1]]
     later = np.repeat(rank[first], np.diff(bounds)) < rank[order]
     return ids, order[later], first
@@ -123,14 +133,13 @@ def _by_key(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequent(batches):
-    """Keys with many holders in a block (and 0 for the sum of all)."""
+    """Keys with many windows in a block (and null for the sum of all)."""
     total = 0
     for b in blocks(batches, size=BLOCK, docs=DOCS):
-        _, key, short, rank = _block_windows(b)
-        _, _, first = _least_holders(key, short, rank)
-        order, bounds = _by_key(key[first], rank[first])
-        keys, n = np.unique(key[first][order][bounds[:-1]], return_counts=True) if len(first) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        total += int(n.sum())
+        _, key, whole, rank = _block_windows(b)
+        _, _, first = _least_holders(key, whole, rank)
+        keys, n = np.unique(key[first], return_counts=True)
+        total += len(first)
         some = n >= OFTEN
         yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["key", "n"])
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
@@ -164,36 +173,42 @@ def _by_bucket(doc: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[pa.Array
 def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, windows: for the documents of a bucket, the ids (64 bits each, packed) of those windows whose words also start in a document with a smaller id.
 
-    Within a block of documents a window is kept for its first document only; so a passage that many documents share
-    costs a row for each block. A null id stands as the greatest.
+    Windows of different documents are equal if all 128 bits of key and hash are. Within a block of documents a window
+    is kept for its first document only; so a passage that many documents share costs a row for each block. A null id
+    stands as the greatest. Shards follow the counted windows, and blocks grow with the shards, so that a row is never
+    just a few windows.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     counted = rows.mapInArrow(_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counted = materialise(counted)
     total = counted.filter("key IS NULL").agg(F.sum("n")).first()[0] or 0
     hot = counted.filter(F.col("key").isNotNull() & (F.col("n") > total / HOT)).collect()  # fewer than HOT
+    discard(counted)
     shared = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in hot], np.int64).view(np.uint64)))
+    shards = min(SHARDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WINDOWS)))
+    size = max(BLOCK, block_bytes(shards))
 
     def deal(batches):
         often = shared.value
-        for b in blocks(batches, size=BLOCK, docs=DOCS):
-            known, key, short, rank = _block_windows(b)
-            ids, later, first = _least_holders(key, short, rank)
+        for b in blocks(batches, size=size, docs=DOCS):
+            known, key, whole, rank = _block_windows(b)
+            ids, later, first = _least_holders(key, whole, rank)
             rows_ = []
-            is_hot = is_member(key[first], often) >= 0
-            cold, warm = first[~is_hot], first[is_hot]
+            at = is_member(key[first], often)
+            cold, warm, warm_key = first[at < 0], first[at >= 0], at[at >= 0]
             order, bounds = _by_key(key[cold], rank[cold])
             cold = cold[order]
             cut = np.searchsorted(range_shard(key[cold][bounds[:-1]], shards), np.arange(shards + 1)) if len(cold) else np.zeros(shards + 1, np.int64)
-            warm = warm[np.argsort(ids[warm])]
+            order = np.argsort(ids[warm])
+            warm, warm_key = warm[order], warm_key[order]
             warm_cut = np.searchsorted(range_shard(ids[warm], shards), np.arange(shards + 1))
-            for s in range(shards):
-                g, h = bounds[cut[s] : cut[s + 1] + 1], warm[warm_cut[s] : warm_cut[s + 1]]
-                if cut[s] < cut[s + 1] or len(h):
-                    lead, inside = cold[g[:-1]], cold[g[0] : g[-1]] if len(g) > 1 else cold[:0]
-                    rows_.append((s, pack(known, key[lead], rank[lead].astype(np.uint16), np.diff(g).astype(np.uint16), short[inside], ids[h], rank[h].astype(np.uint16))))
+            for s in np.flatnonzero((np.diff(cut) > 0) | (np.diff(warm_cut) > 0)).tolist():
+                g, h = bounds[cut[s] : cut[s + 1] + 1], slice(warm_cut[s], warm_cut[s + 1])
+                lead, inside = cold[g[:-1]], cold[g[0] : g[-1]] if len(g) > 1 else cold[:0]
+                rows_.append(
+                    (s, pack(known, key[lead], rank[lead].astype(np.uint16), np.diff(g).astype(np.uint32), whole[inside], warm_key[h].astype(np.uint16), whole[warm[h]], rank[warm[h]].astype(np.uint16)))
+                )
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows_], pa.int32()), pa.array([p for _, p in rows_], pa.binary()), pa.nulls(len(rows_), pa.int32()), pa.nulls(len(rows_), pa.binary())], _DEALT)
             bucket, packed = _by_bucket(known[rank[later]], ids[later], buckets)
             yield pa.RecordBatch.from_arrays([pc.cast(pa.array(bucket.to_numpy() % shards), pa.int32()), pa.nulls(len(bucket), pa.binary()), bucket, packed], _DEALT)
@@ -206,12 +221,12 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
             batch = batch.filter(pc.invert(own))
             for s, p in zip(batch.column("shard").to_pylist(), batch.column("payload")):
                 if s != shard and held:
-                    yield _settled(held, buckets)
+                    yield _settled(held, shared.value, buckets)
                     held = []
                 shard = s
                 held.append(p.as_buffer())
         if held:
-            yield _settled(held, buckets)
+            yield _settled(held, shared.value, buckets)
 
     dealt = rows.mapInArrow(deal, "shard int, payload binary, bucket int, windows binary")
     return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(settle, "bucket int, windows binary")
@@ -220,16 +235,17 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
 _DEALT = ["shard", "payload", "bucket", "windows"]
 
 
-def _settled(payloads: list, buckets: int) -> pa.RecordBatch:
-    keys, holders, sizes, shorts, warm_ids, warm_docs = [], [], [], [], [], []
+def _settled(payloads: list, often: np.ndarray, buckets: int) -> pa.RecordBatch:
+    keys, holders, sizes, wholes, warm_keys, warm_wholes, warm_docs = [], [], [], [], [], [], []
     for p in payloads:
-        known, key, rank, n, short, ids, ids_rank = unpack(p, np.int64, np.uint64, np.uint16, np.uint16, np.uint32, np.uint64, np.uint16)
+        known, key, rank, n, whole, warm_key, warm_whole, warm_rank = unpack(p, np.int64, np.uint64, np.uint16, np.uint32, np.uint64, np.uint16, np.uint64, np.uint16)
         keys.append(key)
         holders.append(known[rank])
         sizes.append(n)
-        shorts.append(short)
-        warm_ids.append(ids)
-        warm_docs.append(known[ids_rank])
+        wholes.append(whole)
+        warm_keys.append(often[warm_key])
+        warm_wholes.append(warm_whole)
+        warm_docs.append(known[warm_rank])
     key, holder, size = np.concatenate(keys), np.concatenate(holders), np.concatenate(sizes).astype(np.int64)
     # Revealed: keys with several holders. Verified: their windows.
     order = np.argsort(key, kind="stable")
@@ -237,13 +253,16 @@ def _settled(payloads: list, buckets: int) -> pa.RecordBatch:
     several = np.zeros(len(key), bool)
     several[order] = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
     each = np.repeat(several, size)
-    ids = np.concatenate((window_id(np.repeat(key[several], size[several]), np.concatenate(shorts)[each]), *warm_ids))
+    key = np.concatenate((np.repeat(key[several], size[several]), *warm_keys))
+    whole = np.concatenate((np.concatenate(wholes)[each], *warm_wholes))
     doc = np.concatenate((np.repeat(holder[several], size[several]), *warm_docs))
-    order = np.lexsort((doc, ids))
-    ids, doc = ids[order], doc[order]
-    bounds = group_bounds(ids)
-    later = doc > np.repeat(doc[bounds[:-1]], np.diff(bounds)) if len(ids) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays(list(_by_bucket(doc[later], ids[later], buckets)), _DEALT[2:])
+    order = np.lexsort((doc, whole, key))
+    key, whole, doc = key[order], whole[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+    bounds = np.append(np.flatnonzero(new), len(key))
+    later = doc > np.repeat(doc[bounds[:-1]], np.diff(bounds))
+    return pa.RecordBatch.from_arrays(list(_by_bucket(doc[later], window_id(key[later], whole[later]), buckets)), _DEALT[2:])
 
 
 class _Found:
@@ -265,31 +284,33 @@ class _Found:
 def _kept(b: pa.RecordBatch, found: _Found) -> list[pa.Array]:
     """n_words, n_removed and the words left of each text."""
     doc_ids = pc.fill_null(b.column("doc_id"), _NO_ID).to_numpy().astype(np.int64)
-    hit = np.flatnonzero(np.isin(doc_ids, found.docs))
-    part = b.take(pa.array(hit))
-    words, doc = _words(*utf8(part.column("text")))
-    first, key, short = windows(words, doc)
-    ids = window_id(key, short)
-    owner = doc[first] if len(first) else np.zeros(0, np.int64)
-    bounds = np.searchsorted(owner, np.arange(len(hit) + 1))
-    starts = np.searchsorted(doc, np.arange(len(hit) + 1))
-    masks = {}
-    for i, h in enumerate(hit):
-        w = slice(bounds[i], bounds[i + 1])
-        at = first[w][np.isin(ids[w], found.of(int(doc_ids[h])))] - starts[i]
-        cover = np.zeros(starts[i + 1] - starts[i] + 1, np.int64)
-        cover[at] += 1
-        cover[at + WINDOW] -= 1
-        masks[int(h)] = np.cumsum(cover[:-1]) == 0
-    n_words, n_removed, kept = [], [], []
-    for i, text in enumerate(b.column("text").to_pylist()):
-        own = (text or "").encode().split()
-        n_words.append(len(own))
-        if i in masks:
-            own = list(compress(own, masks[i]))
-        n_removed.append(n_words[-1] - len(own))
-        kept.append(b" ".join(own).decode())
-    return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+    n = len(doc_ids)
+    data, off = utf8(b.column("text"))
+    start, end, doc = find_words(data, off)
+    keep = np.ones(len(start), bool)
+    hit = np.isin(doc_ids, found.docs)
+    some = np.flatnonzero(hit[doc])
+    if len(some):
+        words, other = Spans(data).hash(start[some], end[some], *_SEEDS)
+        first, key, whole = windows(words, doc[some], other)
+        ids, owner = window_id(key, whole), doc[some][first]
+        cover = np.zeros(len(some) + 1, np.int64)
+        bounds = group_bounds(owner)
+        for a, z in zip(bounds[:-1], bounds[1:]):
+            at = first[a:z][np.isin(ids[a:z], found.of(int(doc_ids[owner[a]])))]
+            cover[at] += 1
+            cover[at + WINDOW] -= 1
+        keep[some] = np.cumsum(cover[:-1]) == 0
+    n_words, n_kept = np.bincount(doc, minlength=n), np.bincount(doc[keep], minlength=n)
+    # The words left, one space behind each but a document's last.
+    start, end, doc = start[keep], end[keep], doc[keep]
+    width = end - start + np.append(doc[1:] == doc[:-1], np.zeros(min(1, len(doc)), bool))
+    ends = np.concatenate(([0], np.cumsum(width)))
+    out = np.append(data, np.uint8(32))[np.minimum(np.repeat(start - ends[:-1], width) + np.arange(ends[-1]), len(data))]
+    out[(ends[1:] - 1)[width > end - start]] = 32
+    offsets = ends[np.searchsorted(doc, np.arange(n + 1))].astype(np.int64)
+    kept = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
+    return [pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), kept]
 
 
 def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -303,9 +324,11 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     buckets = BUCKETS * partitions
     found = repeated_windows(docs, buckets)
     found = materialise(found)
-    release(spark)
     others = [c for c in extra if c != "text"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
+    inner = {c: f"__extra{i}" for i, c in enumerate(others)}  # names of the caller never meet those used here
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(x) for c, x in inner.items()])
+    others = list(inner.values())
     # One shuffle of the texts: what was found of a bucket stands in front of its documents.
     both = rows.select(_bucket_column(buckets).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("windows"), "doc_id", "text", *others)
     both = found.select("bucket", F.lit(0).alias("kind"), "windows").unionByName(both, allowMissingColumns=True)
@@ -325,13 +348,15 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                     continue
                 ready = ready or _Found(packed)
                 for b in blocks([part], size=BLOCK, docs=DOCS):
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_kept(b, ready), *(b.column(c) for c in extra)], ["doc_id", "n_words", "n_removed", "kept", *extra])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_kept(b, ready), *(b.column(inner.get(c, c)) for c in extra)], ["doc_id", "n_words", "n_removed", "kept", *names])
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "kept string", *(f"`{c}` {types[c]}" for c in extra)])
-    return both.mapInArrow(cover, schema)
+    # A clashing name stands for the caller's column only if it isn't one of the results'.
+    names = [inner.get(c, c) for c in extra]
+    schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "kept string", *(f"`{x}` {types[c]}" for c, x in zip(extra, names))])
+    return both.mapInArrow(cover, schema).withColumnsRenamed({x: c for c, x in inner.items()})
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """All of `documents`: doc_id, n_words, n_removed, kept_sha256. Null and empty texts: 0 words, the hash of the empty text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

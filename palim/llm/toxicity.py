@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palim.llm.common import blocks, byte_keys, find_words, held_out, labelled_sample, materialise, per_doc, prefix_sums, span_hash, utf8
+from palim.llm.common import LOWER, Spans, blocks, discard, find_words, held_out, labelled_sample, materialise, per_doc, utf8
 
 #: Bound of the training sample: labelled documents of a class, and of all.
 PER_CLASS, SAMPLE = 6000, 12000
@@ -19,6 +19,7 @@ LEXICON, LEAST_EVIDENCE, LEAST_SHARE = 4000, 14.0, 0.75
 STEMS = (5, 6, 7, 8)  # bytes of a word's start that the lexicon may hold besides whole words
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 80, 3, 32, 0.15, 8
 THRESHOLD = 0.3
+LEAST_SPLIT = 200  # rows of a sample that is split for calibration
 NEAR = 5  # words between an insult and a second-person word
 
 #: General seeds; training adds the words that toxic documents use.
@@ -35,25 +36,22 @@ _LEET = {ord(a): ord(b) for a, b in zip("013457@$!|", "oieastasil")}
 _FILLER = "*.-_+~"
 
 
-def _keys(leet: bool) -> np.ndarray:
-    keys = byte_keys(lower=True, seed=11)
-    if leet:
-        for a, b in _LEET.items():
-            keys[a] = keys[b]
-    return keys
+_PLAIN = LOWER.copy()
+for _a, _b in _LEET.items():
+    _PLAIN[_a] = _b
 
 
 def word_hashes(words: str) -> np.ndarray:
     data, off = utf8(pa.array([words]))
     start, end, _ = find_words(data, off)
-    return np.unique(span_hash(prefix_sums(_keys(False)[data]), start, end))
+    return np.unique(Spans(LOWER[data]).hash(start, end))
 
 
-def stem_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray):
+def stem_hashes(spans: Spans, start: np.ndarray, end: np.ndarray):
     """For each length: which words are longer, and the hash of their start."""
     for k in STEMS:
         longer = np.flatnonzero(end - start > k)
-        yield longer, span_hash(sums, start[longer], start[longer] + k) ^ np.uint64(0x5157)
+        yield longer, spans.hash(start[longer], start[longer] + k, 1)[0]
 
 
 def member(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -81,11 +79,11 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: np.ndarray, person: np.
 
     start, end, doc = find_words(data, off, _WORD_END)
     words = np.maximum(np.bincount(doc, minlength=n), 1)
-    sums = prefix_sums(_keys(False)[data])
-    h = span_hash(sums, start, end)
+    spans = Spans(LOWER[data])
+    h = spans.hash(start, end)
     hit, you = member(h, lexicon), member(h, person)
     stem = np.zeros(len(h), bool)
-    for which, s in stem_hashes(sums, start, end):
+    for which, s in stem_hashes(spans, start, end):
         stem[which] |= member(s, lexicon)
     stems = np.bincount(doc[stem], minlength=n)
     hits = np.bincount(doc[hit], minlength=n)
@@ -120,7 +118,7 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: np.ndarray, person: np.
         keep = ~filler[part]
         owner = np.repeat(np.arange(len(ds)), size_)[keep]
         bounds = np.searchsorted(owner, np.arange(len(ds) + 1))
-        hh = span_hash(prefix_sums(_keys(True)[part[keep]]), bounds[:-1], bounds[1:])
+        hh = Spans(_PLAIN[part[keep]]).hash(bounds[:-1], bounds[1:])
         disguised_hits = np.bincount(dd[member(hh, lexicon)], minlength=n)
     signs = ~(_LETTERS | _DIGITS | (_BYTES <= 32))
     sign = signs[data]
@@ -221,9 +219,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lexicon: np.ndarray, person: np.ndarray) -> ToxicityModel:
-    """Trees on three quarters of the rows (by position), calibration on the last; weight undoes the sampling by class."""
-    calib = np.arange(len(y)) % 4 == 3 if len(y) >= 200 else np.zeros(len(y), bool)
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lexicon: np.ndarray, person: np.ndarray, calib: np.ndarray | None = None) -> ToxicityModel:
+    """Trees on the rows that aren't for calibration, isotonic steps on those that are (none: on all); weight undoes the sampling by class."""
+    calib = np.zeros(len(y), bool) if calib is None else calib
     fit_ = ~calib
     edges = [np.unique(np.quantile(x[fit_, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     model = ToxicityModel(lexicon, person, edges, [], 0.0, np.zeros(1), np.zeros(1))
@@ -243,32 +241,43 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lexicon: np.ndarray, p
     return model
 
 
+def for_calibration() -> Column:
+    """Whether a row of the sample is for calibration."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(77)), F.lit(4)) == 3
+
+
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
-    """Learns lexicon, trees and calibration from a bounded sample of the labelled rows that aren't held out; None if there is none."""
+    """Learns lexicon, trees and calibration from a bounded sample of the labelled rows that aren't held out; None if there is none.
+
+    Calibration has rows of its own (a quarter, by a hash of the id): neither lexicon nor trees learn from them. A sample of under LEAST_SPLIT rows isn't split.
+    """
     rows, chosen = labelled_sample(docs, labels, "toxic", 4, 2, PER_CLASS, SAMPLE, 5)
-    chosen = materialise(chosen)
+    chosen = materialise(chosen.withColumn("calibration", for_calibration()))
     sizes = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
     if not sizes:
+        discard(chosen)
         return None
+    learning = chosen.filter("NOT calibration") if sum(sizes.values()) >= LEAST_SPLIT else chosen
     totals = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
 
     def words(batches):
         for b in blocks(batches):
             data, off = utf8(b.column("text"))
             start, end, doc = find_words(data, off, _WORD_END)
-            sums = prefix_sums(_keys(False)[data])
-            all_ = [(np.arange(len(start)), span_hash(sums, start, end)), *stem_hashes(sums, start, end)]
+            spans = Spans(LOWER[data])
+            all_ = [(np.arange(len(start)), spans.hash(start, end)), *stem_hashes(spans, start, end)]
             doc, h = np.concatenate([doc[w] for w, _ in all_]), np.concatenate([x for _, x in all_])
             pair = np.unique(np.stack((doc.astype(np.uint64), h)), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()).take(pa.array(pair[0].astype(np.int64))), pa.array(pair[1].view(np.int64))], ["label", "word"])
 
-    toxic, clean = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    learned_from = {r[0]: r[1] for r in learning.groupBy("label").count().collect()}
+    toxic, clean = max(1, learned_from.get(1, 0)), max(1, learned_from.get(0, 0))
     usual = toxic / (toxic + clean)
     share = (F.col("t") / toxic) / (F.col("t") / toxic + (F.col("c") + 0.5) / clean)
     seen = F.col("t") + F.col("c")
     evidence = F.col("t") * F.log(F.col("t") / seen / usual) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / seen / (1 - usual))).otherwise(0.0)
     learned = (
-        chosen.select("label", "text").mapInArrow(words, "label int, word long")
+        learning.select("label", "text").mapInArrow(words, "label int, word long")
         .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
         .filter(F.col("t") > 0).filter((evidence >= LEAST_EVIDENCE) & (share >= LEAST_SHARE))
         .orderBy(F.desc(evidence), "word").limit(LEXICON).collect()
@@ -279,13 +288,15 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     def rows_of(batches):
         for b in blocks(batches):
             x = features(*utf8(b.column("text")), lexicon, person)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label").cast(pa.int32()), b.column("calibration"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "calibration", "x"])
 
-    got = chosen.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(rows_of, "doc_id long, label int, x array<double>").collect()
-    got.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0]))
+    got = chosen.select(F.col("doc_id").cast("long"), "label", "calibration", "text").mapInArrow(rows_of, "doc_id long, label int, calibration boolean, x array<double>").collect()
+    discard(chosen)
+    got.sort(key=lambda r: (r[0], r[1], r[3]))
     y = np.array([r[1] for r in got])
-    weight = np.where(y == 1, totals.get(1, 0) / toxic, totals.get(0, 0) / clean)
-    return fit(np.array([r[2] for r in got]), y, weight / weight.mean(), lexicon, person)
+    weight = np.where(y == 1, totals.get(1, 0) / max(1, sizes.get(1, 0)), totals.get(0, 0) / max(1, sizes.get(0, 0)))
+    calib = np.array([r[2] for r in got]) & (len(got) >= LEAST_SPLIT)
+    return fit(np.array([r[3] for r in got]), y, weight / weight.mean(), lexicon, person, calib)
 
 
 def _predict(model: ToxicityModel | None, texts) -> np.ndarray:

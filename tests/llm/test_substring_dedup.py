@@ -76,3 +76,42 @@ def test_awkward_rows(spark):
     assert got.filter("doc_id = 4 AND n_removed > 0").count() == 0  # its copies have the same id
     assert got.filter("doc_id = 65 AND n_removed = n_words").count() == 1
     assert op.remove_repeats(empty(spark)).count() == 0
+
+
+def thue_morse(n, swap=False):
+    """Words that collide under any sum of bytes times powers modulo 2**64, whatever the factors."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_that_differ_are_told_apart(spark):
+    shared = prose(5, 12).split()
+    texts = [" ".join([*shared[:6], thue_morse(2048), *shared[6:]]), " ".join([*shared[:6], thue_morse(2048, True), *shared[6:]])]
+    assert brute(enumerate(texts))[1][1] == 0
+    assert [r["n_removed"] for r in op.remove_repeats(documents(spark, texts)).orderBy("doc_id").collect()] == [0, 0]
+
+
+def test_one_text_with_a_very_frequent_key(spark):
+    """A header that one document repeats 70,000 times, each time before another word: all those windows have one key."""
+    header = " ".join(prose(6, 9).split())
+    texts = ["short " + prose(1, 30), " ".join(f"{header} n{i}" for i in range(70_000)), f"{prose(2, 20)} {header} n3 {header} n4 {prose(3, 20)}"]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in op.remove_repeats(documents(spark, texts)).collect()}
+    assert got == brute(enumerate(texts))
+
+
+def test_columns_may_have_any_name(spark):
+    docs = documents(spark, [prose(1, 30), prose(1, 30)]).selectExpr("*", "'a' AS bucket", "'b' AS kind", "doc_id AS windows")
+    got = op.remove_repeats(docs, ("bucket", "kind", "windows", "text")).orderBy("doc_id").collect()
+    assert [(r["bucket"], r["kind"], r["windows"], r["n_removed"]) for r in got] == [("a", "b", 0, 0), ("a", "b", 1, 30)]
+
+
+def test_rows_between_tasks_follow_the_text(spark, monkeypatch):
+    """Twice the shards don't make twice the rows: blocks grow with them."""
+    from palim.llm.common import block_bytes
+
+    assert all(block_bytes(n) / n >= 1024 for n in (64, 1024, 8192, 16384))
+    docs = documents(spark, [prose(i, 200) for i in range(200)]).coalesce(1)
+    rows = []
+    for n in (4, 8):
+        monkeypatch.setattr(op, "SHARD_WINDOWS", 40_000 // n)
+        rows.append(op.repeated_windows(docs, 8).count())
+    assert rows[1] <= rows[0] + 8
