@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palim.llm import decontamination, near_dedup, sentencepiece_codec, substring_dedup, toxicity
-from palim.llm.common import materialise
+from palim.llm.common import discard, materialise
 from palim.shipping import ship
 
 #: Near-duplicates are judged on sets of five-word shingles, and linked from this similarity on.
@@ -28,11 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays. Rows with a null id stay."""
+    """Of each group of linked documents the one with the least id stays. Rows with a null id stay. Of rows with one id and different texts, only those go whose own text is in a group with a lesser id."""
     ship(spark)
     found = near_dedup.similar_groups(docs, SHINGLE, SIMILARITY)
-    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct())
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left_anti")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,8 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark question, as it is or re-parameterised, go."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = materialise(found.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """Documents that hold a benchmark question, as it is or re-parameterised, go. Each row is judged by its own text, also with a null or a repeated id."""
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,9 +76,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents table, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialise(docs)
+            before, docs = read, materialise(docs)
+            discard(before)
+            read = docs
     return docs

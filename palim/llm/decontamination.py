@@ -1,10 +1,12 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-Numbers, units and names become typed placeholders, on both sides alike; windows of WINDOW canonical words meet by hash.
-A second form keeps names, in lower case like all words, so that copies in another case meet too.
-Windows of one document and one item that stand at the same distance are a passage. Its slots (what the placeholders
-replaced) must be consistent: each value of the item has one value in the document wherever it occurs. So a question
-asked with other numbers and names is found, and a text that only shares its grammar isn't.
+Numbers (with their units) and names become typed placeholders, on both sides alike: a number and the unit behind it are
+one placeholder, and so is a run of capitalised words, so that a slot may be filled by fewer or more words. Windows of
+WINDOW template words meet by hash. A second form keeps names, in lower case like all words, so that copies in another
+case meet too. Windows of one document and one item that stand at the same distance, in template words, are a passage.
+Its slots (what the placeholders replaced) must be consistent: each value of the item has one value in the document
+wherever it occurs. So a question asked with other numbers and names is found, and a text that only shares its grammar
+isn't. A passage with COVER words in a row just like the item's is a copy, whatever became of its other slots.
 """
 
 from __future__ import annotations
@@ -22,9 +24,37 @@ COVER = 13
 #: Benchmark windows up to which they are broadcast (16 bytes each); beyond, both sides are shuffled by hash.
 BROADCAST_WINDOWS = 1_000_000
 
-NUMBER, UNIT, NAME = "#", "%", "@"
-_NUMBER_WORDS = "t(?:wo|hree|en|welve|wenty|hirty|housand)|f(?:our|ive|orty|ifty)|s(?:ix|even)(?:ty)?|eight(?:y)?|eleven|nine(?:ty)?|hundred|million|billion"
-_UNITS = "mm|cm|m|km|in|ft|yd|mi|inch|inches|foot|feet|yard|yards|mile|miles|meter|meters|metre|metres|kilometer|kilometers|mg|g|kg|lb|lbs|oz|gram|grams|kilogram|kilograms|pound|pounds|ounce|ounces|ml|l|liter|liters|litre|litres|gallon|gallons|s|sec|min|h|hr|hrs|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|kmh|mph|percent|dollar|dollars|cent|cents|euro|euros|usd|eur"
+NUMBER, NAME = "#", "@"
+#: Number words and units of the languages that benchmarks are asked in here (English, French, German, Spanish). "One" and its like are articles and pronouns as well.
+_NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce quince veinte treinta cuarenta cincuenta cien ciento mil"
+)
+_UNITS = (
+    "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons "
+    "s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years kmh mph percent dollar dollars cent cents euro euros usd eur "
+    "jour jours heure heures semaine semaines mois an ans mètre mètres kilomètre kilomètres gramme grammes tag tage tagen stunde stunden minuten woche wochen monat monate jahr jahre jahren kilometern gramm prozent "
+    "hora horas minuto minutos día días semana semanas mes meses año años metro metros kilómetro kilómetros gramo gramos litro litros"
+)
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, common beginnings written once."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        tails.setdefault(w[:1], []).append(w[1:])
+    if list(tails) == [""]:
+        return ""
+    inner = "|".join(first + (_any_of(rest) if first else "") for first, rest in sorted(tails.items(), reverse=True))
+    return f"(?:{inner})" if len(tails) > 1 else inner
+
+
+#: A word that is a number, a unit behind it, and a word that begins with a capital; a word is what stands between spaces.
+_NUMBER = rf"(?:[^ \p{{N}}]*+\p{{N}}[^ ]*|(?i:{_any_of(_NUMBER_WORDS.split())})(?![^ ]))"
+_UNIT = rf"(?: (?i:{_any_of(_UNITS.split())})(?![^ ]))"
+_CAPITAL = r"\p{Lu}[^ ]*"
 
 
 def _plain(text: Column) -> Column:
@@ -33,31 +63,33 @@ def _plain(text: Column) -> Column:
 
 
 def _typed(plain: Column) -> Column:
-    """Words to placeholders, one for one: words with a digit and number words, units behind them.
+    """Numbers, with the units behind them, to placeholders.
 
     Each pattern begins with the space before a word, which a search finds faster than a look behind; a space leads the text.
     """
-    out = F.regexp_replace(F.concat(F.lit(" "), plain), r" (?:[^ \p{N}]*+\p{N}[^ ]*|(?:" + _NUMBER_WORDS + r")(?![^ ]))", f" {NUMBER}")
-    return F.regexp_replace(out, rf" {NUMBER} (?:{_UNITS})(?![^ ])", f" {NUMBER} {UNIT}")
+    return F.regexp_replace(F.concat(F.lit(" "), plain), f" {_NUMBER}{_UNIT}?", f" {NUMBER}")
 
 
-def _canonical(plain: Column) -> Column:
-    """Numbers, units and words with a capital to placeholders."""
-    return F.regexp_replace(_typed(plain), r" \p{Lu}[^ ]*", f" {NAME}")
+#: Forms of a text, by number, from its typed and its plain text; the last has no placeholders. Windows and passages are of one form.
+CANONICAL, CASELESS, VERBATIM = range(3)
 
 
-def _caseless(plain: Column) -> Column:
-    """Numbers and units to placeholders, all other words in lower case: what a copy in another case shares."""
-    return _typed(F.lower(plain))
+def _template(form: int, plain: Column, typed: Column) -> Column:
+    if form == CANONICAL:
+        return F.regexp_replace(typed, f"(?: {_CAPITAL})+", f" {NAME}")
+    return F.lower(typed if form == CASELESS else plain)
 
 
-#: Forms of a text, by number; the last has no placeholders. Windows and passages are of one form.
-FORMS = (_canonical, _caseless, F.lower)
-VERBATIM = 2
+def _segments(form: int, plain: Column) -> Column:
+    """What each template word of _template stands for, as an array."""
+    if form == VERBATIM:
+        return _split(plain)
+    name = rf"|{_CAPITAL}(?: (?!{_NUMBER}){_CAPITAL})*" if form == CANONICAL else ""
+    return F.regexp_extract_all(plain, F.lit(rf"(?<![^ ])(?:{_NUMBER}{_UNIT}?{name}|[^ ]+)"), F.lit(0))
 
 
 def _is_slot(word: Column) -> Column:
-    return word.isin(NUMBER, UNIT, NAME)
+    return word.isin(NUMBER, NAME)
 
 
 def _split(text: Column) -> Column:
@@ -89,28 +121,37 @@ def _literals(words: Column, place: Column) -> Column:
 
 
 def templates(benchmark: DataFrame) -> DataFrame:
-    """form, item_id, plain, words, lead of each distinct item in each form; lead is the least item_id of those that differ in slots only, whose windows are the same.
+    """form, item_id, words, values, lead of each distinct item in each form: its template and what each word of that stands for; lead is the least item_id of those that differ in slots only, whose windows are the same.
 
-    Equal items are one, under the least id. Items of fewer than WINDOW words, and those with windows of fewer than
-    LITERALS literals, have the verbatim form, by which a copy is found whatever its share of slots. Null text is empty
-    and gives nothing; a null id never names a template.
+    Equal items are one, under the least id. The verbatim form, by which a copy is found whatever its share of slots, is
+    for items of fewer than WINDOW words in some form and for those with windows of fewer than LITERALS literals. Shorter
+    templates with LITERALS literals are sought whole. Null text is empty and gives nothing; a null id never names a template.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _plain(F.col("text")).alias("plain")).filter("item_id IS NOT NULL")
-    items = items.groupBy("plain").agg(F.min("item_id").alias("item_id"))
-    items = items.select("item_id", "plain", F.posexplode(F.array(*[f(F.col("plain")) for f in FORMS])).alias("form", "template"))
-    leads = items.groupBy("form", "template").agg(F.min("item_id").alias("lead"))
-    items = items.join(leads, ["form", "template"])
-    items = items.select("form", "item_id", "plain", _split(F.col("template")).alias("words"), "lead", _split(_caseless(F.col("plain"))).alias("typed"))
+    items = items.groupBy("plain").agg(F.min("item_id").alias("item_id")).withColumn("typed", _typed(F.col("plain")))
+    forms = [F.struct(_template(i, F.col("plain"), F.col("typed")).alias("template"), _segments(i, F.col("plain")).alias("values")) for i in (CANONICAL, CASELESS, VERBATIM)]
+    items = items.select("item_id", _split(_template(CASELESS, F.col("plain"), F.col("typed"))).alias("typed"), F.posexplode(F.array(*forms)).alias("form", "x"))
+    leads = items.groupBy("form", F.col("x.template").alias("template")).agg(F.min("item_id").alias("lead"))
+    items = items.select("*", F.col("x.template").alias("template"), "x.values").join(leads, ["form", "template"])
+    items = items.select("form", "item_id", _split(F.col("template")).alias("words"), "values", "lead", "typed")
     dense = F.exists(F.sequence(F.lit(0), F.greatest(F.size("typed") - WINDOW, F.lit(0))), lambda i: _literals(F.col("typed"), i) < LITERALS)
-    short = F.size("words") < WINDOW
-    return items.filter(F.when(F.col("form") == VERBATIM, (F.size("words") > 0) & (short | dense)).otherwise(~short)).drop("typed")
+    verbatim = (F.size("words") > 0) & ((F.size("typed") < WINDOW) | dense)
+    whole = F.size(F.filter("words", lambda w: ~_is_slot(w))) >= LITERALS
+    return items.filter(F.when(F.col("form") == VERBATIM, verbatim).otherwise((F.size("words") >= WINDOW) | whole)).drop("typed")
+
+
+def row_key() -> list[Column]:
+    """What tells rows apart that have a null id, or one id and different texts."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataFrame:
-    """doc_id, item_id, first_word, n_words, n_slots, n_changed, shift: a row for each consistent passage (item, distance and form) that covers at least `cover` words of an item (or all of it).
+    """doc_id, text_hash, item_id, form, first_word, n_words, n_slots, n_changed, shift: a row for each passage (item, distance and form) that covers at least `cover` template words of an item (or all of it) and is a copy or consistent.
 
     n_changed counts slots with another value than the item's: 0 is a copy, more a re-parameterised question. Null text is
-    empty, and rows with a null doc_id count as one document. Rows with one id count as one. An empty side gives no rows.
+    empty. Rows with a null or a repeated doc_id are told apart by their texts; rows with equal id and text count as one.
+    An empty side gives no rows. A name at either end of a passage may run on into the text around it, so only what meets
+    the item is compared there.
     """
     items = materialise(templates(benchmark))
     length = F.least(F.size("words"), F.lit(WINDOW))
@@ -123,54 +164,77 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
     )
     if item_windows.count() <= BROADCAST_WINDOWS:
         item_windows = F.broadcast(item_windows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    plain = rows.select("doc_id", _plain(F.col("text")).alias("plain"))
-    spread = plain.select("doc_id", F.explode(F.array(*[_windows(_split(FORMS[i](F.col("plain"))), i, n) for i, n in kinds])).alias("hashes"))
-    met = spread.select("doc_id", F.posexplode("hashes").alias("place", "hash")).join(item_windows, "hash")
+    plain = docs.select(*row_key(), _plain(F.col("text")).alias("plain"))
+    typed = plain.withColumn("typed", _typed(F.col("plain")))
+    spread = typed.select("doc_id", "text_hash", F.explode(F.array(*[_windows(_split(_template(i, F.col("plain"), F.col("typed"))), i, n) for i, n in kinds])).alias("hashes"))
+    met = spread.select("doc_id", "text_hash", F.posexplode("hashes").alias("place", "hash")).join(item_windows, "hash")
     # Covered words: each window adds those past the end of the window before it.
-    chains = met.select("doc_id", "form", "lead", (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
-    chains = chains.groupBy("doc_id", "form", "lead", "shift").agg(F.sort_array(F.collect_list("item_place")).alias("places"))  # at most the item's windows
+    chains = met.select("doc_id", "text_hash", "form", "lead", (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
+    chains = chains.groupBy("doc_id", "text_hash", "form", "lead", "shift").agg(F.sort_array(F.collect_list("item_place")).alias("places"))  # at most the item's windows
     covered = F.lit(WINDOW) + F.aggregate(
         F.zip_with(F.slice("places", 2, F.size("places")), F.slice("places", 1, F.size("places") - 1), lambda b, a: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda s, x: s + x
     )
     chains = chains.withColumn("covered", F.when(F.size("places") > 1, covered).otherwise(F.lit(WINDOW)))
     enough = materialise(
-        chains.join(items.select("form", "item_id", F.size("words").alias("size"), "plain", "words", "lead"), ["form", "lead"])  # each item of the template is checked by its own values
+        chains.join(items.select("form", "item_id", F.size("words").alias("size"), "words", F.col("values").alias("theirs"), "lead"), ["form", "lead"])  # each item of the template is checked by its own values
         .withColumn("covered", F.least("covered", "size"))
-        .filter(F.col("covered") >= F.least(F.lit(cover), F.col("size")))
-        .drop("size")
+        .withColumn("due", F.least(F.lit(cover), F.col("size")))
+        .filter(F.col("covered") >= F.col("due"))
     )
     # Slots: values of the item beside those of the document, over the covered words.
-    wanted = enough.groupBy("doc_id").agg(F.lit(1).alias("__one")).withColumnRenamed("doc_id", "__id")
-    sources = materialise(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__id"), _split(_plain(F.col("text"))).alias("own")))
-    both = enough.join(sources, F.col("doc_id").eqNullSafe(F.col("__id")))
-    inside = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    both = both.withColumn("theirs", _split(F.col("plain"))).withColumn("at", F.filter(inside, lambda i: _is_slot(F.get("words", i))))
-
-    def value(words: str, i: Column) -> Column:
-        return F.when(F.col("form") != FORMS.index(_canonical), F.lower(F.get(words, i))).otherwise(F.get(words, i))
-
-    pairs = F.transform("at", lambda i: F.struct(value("theirs", i).alias("item"), value("own", i + F.col("shift")).alias("own")))
-    both = both.withColumn("pairs", pairs)
-    distinct = F.array_distinct("pairs")
-    consistent = F.size(distinct) == F.size(F.array_distinct(F.transform(distinct, lambda p: p["item"])))
+    wanted = enough.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same_row = (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    sources = plain.join(wanted, same_row, "left_semi").distinct()
+    sources = materialise(sources.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.array(*[_segments(i, F.col("plain")) for i in (CANONICAL, CASELESS, VERBATIM)]).alias("forms")))
+    both = enough.join(sources, same_row).withColumn("own", F.get("forms", F.col("form"))).drop("forms")
+    inside = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, F.least(p + WINDOW, F.col("size")) - 1))))
+    both = both.withColumn("inside", inside).withColumn("first", F.array_min("inside")).withColumn("last", F.array_max("inside"))
+
+    def folded(value: Column) -> Column:
+        return F.when(F.col("form") == CANONICAL, value).otherwise(F.lower(value))
+
+    def row(i: Column) -> Column:
+        theirs, own = folded(F.get("theirs", i)), folded(F.get("own", i + F.col("shift")))
+        name = F.get("words", i) == NAME
+        runs_in = (i == F.col("first")) & name & F.endswith(own, F.concat(F.lit(" "), theirs))
+        runs_on = (i == F.col("last")) & name & F.startswith(own, F.concat(theirs, F.lit(" ")))
+        return F.struct(
+            i.alias("i"), _is_slot(F.get("words", i)).alias("slot"), (name & ((i == F.col("first")) | (i == F.col("last")))).alias("edge"), theirs.alias("item"), own.alias("own"),
+            F.coalesce((theirs == own) | runs_in | runs_on, F.lit(False)).alias("same"),
+        )
+
+    both = both.withColumn("pairs", F.transform("inside", row))
+    exact = F.forall("pairs", lambda p: p["slot"] | p["same"])  # words that aren't slots are equal, not just their hashes
+    slots = F.filter("pairs", lambda p: p["slot"])
+    inner = F.array_distinct(F.transform(F.filter(slots, lambda p: ~p["edge"] | p["same"]), lambda p: F.struct(p["item"].alias("item"), F.when(p["same"], p["item"]).otherwise(p["own"]).alias("own"))))
+    both = both.withColumn("slots", slots).withColumn("values", inner).withColumn("like", F.transform(F.filter("pairs", lambda p: p["same"]), lambda p: p["i"]))
+    consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["item"])))
+    copied = F.exists(F.transform("like", lambda x, k: F.get("like", k + F.col("due") - 1) - x == F.col("due") - 1), lambda x: F.coalesce(x, F.lit(False)))
     return (
-        both.filter(consistent)
+        both.filter(exact & (consistent | copied))
         .select(
-            "doc_id", "item_id", (F.array_min("places") + F.col("shift")).alias("first_word"), F.col("covered").alias("n_words"), F.size("at").alias("n_slots"),
-            F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["own"]))).alias("n_changed"), "shift",
+            "doc_id", "text_hash", "item_id", "form", (F.col("first") + F.col("shift")).alias("first_word"), F.col("covered").alias("n_words"), F.size("slots").alias("n_slots"),
+            F.size(F.filter("slots", lambda p: ~p["same"])).alias("n_changed"), "shift",
         )
         .distinct()
     )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_passages, n_words, n_changed: one row for each document and item it holds (of a template, all items whose values are consistent), with the longest passage's words and the least changes."""
+    """doc_id, item_id, n_passages, n_words, n_changed: one row for each document and item it holds (of a template, all items whose values are consistent), with the longest passage's words and the least changes. Rows with one id are one document here, a null id is one too."""
     found = passages(docs, benchmark)
     return found.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("shift").alias("n_passages"), F.max("n_words").cast("long").alias("n_words"), F.min("n_changed").cast("long").alias("n_changed")
+        F.countDistinct("text_hash", "shift").alias("n_passages"), F.max("n_words").cast("long").alias("n_words"), F.min("n_changed").cast("long").alias("n_changed")
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose text holds no benchmark item. Each row is judged by its own text, whatever its id: null, or repeated."""
+    found = passages(docs, benchmark)
+    gone = materialise(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    return docs.join(gone, (F.xxhash64(docs["text"]) == F.col("__hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+
+
 def op4_template_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All of `documents` against all of `benchmark`: doc_id, item_id, n_passages, n_words, n_changed. A document without a passage has no row; null and empty texts have none."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints, links found by BK-trees, and connected components.
 
-Two fingerprints that differ in at most RADIUS bits agree in at least PARTS - RADIUS of PARTS parts, so that equal
-values of some two parts (RADIUS 4, PARTS 6) bring every linked pair together. Distinct fingerprints are dealt out by
-those values; each group is a BK-tree, and a group too large for a tree is split into trees that every part of it asks.
+Two fingerprints that differ in at most RADIUS bits agree in at least p - RADIUS of p parts, so that equal
+values of some two parts (RADIUS 4, p 6) bring every linked pair together. p grows with the number of fingerprints, so that
+chance groups stay within a tree. Distinct fingerprints are dealt out by those values; each group is a BK-tree, and a group too large for a tree is split into trees that every part of it asks.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 from palim.llm.bk_tree import Forest
 from palim.llm.common import blocks, discard, materialise, mix, utf8
 
-RADIUS, PARTS = 4, 6
+RADIUS = 4
 #: Pairs that are confirmed at once.
 CONFIRM = 4096
 #: Fingerprints in a tree; larger groups are split. Also bounds the pairs that one tree can find at once.
 TREE = 2048
+#: Parts to choose from, most at last: more of them make longer keys and more copies of each fingerprint.
+MOST_PARTS = 8
+#: Classes with over 1 / HOT of all rows (fewer than HOT) are broadcast to their members instead of gathering them.
+HOT = 10_000
 
 
 def shingle_hashes(text: bytes, words: int) -> tuple[bytes, np.ndarray]:
@@ -64,11 +68,19 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, print long")
 
 
-def _masks(radius: int) -> list[int]:
+def parts_for(n: int, radius: int) -> int:
+    """The least number of parts (two more than the radius at least) whose keys give n fingerprints groups of half a tree on average."""
+    parts = radius + 2
+    while parts < max(MOST_PARTS, radius + 2) and n >> (64 * (parts - radius) // parts) > TREE // 2:
+        parts += 1
+    return parts
+
+
+def _masks(radius: int, parts: int) -> list[int]:
     """The bits of each choice of parts that a linked pair must agree in."""
-    cuts = [64 * i // PARTS for i in range(PARTS + 1)]
-    part = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(PARTS)]
-    return [sum(part[i] for i in c) for c in combinations(range(PARTS), PARTS - radius)]
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    part = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(parts)]
+    return [sum(part[i] for i in c) for c in combinations(range(parts), parts - radius)]
 
 
 def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,12 +132,12 @@ def _whole_blocks(batches, rows: int):
         yield tail
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, parts: int = RADIUS + 2) -> DataFrame:
     """print: distinct fingerprints (long). Rows (a, b), a < b: enough links within the radius to connect all that are linked.
 
     One row at most for each fingerprint, choice of parts and block.
     """
-    masks = _masks(radius)
+    masks = _masks(radius, parts)
     keyed = prints.select("print", F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for m in masks])).alias("choice", "key"))
 
     def run(batches):
@@ -200,10 +212,14 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
         small = large.join(least, F.col("b") == F.col("n"))
         moved = small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b"))
-        current = materialise(moved.filter("a <> b").distinct())
+        following = materialise(moved.filter("a <> b").distinct())
+        discard(current)
+        current = following
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
-            return current.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            rooted = materialise(current.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()))
+            discard(current)
+            return rooted
         state = now
 
 
@@ -215,11 +231,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Da
     """
     printed = materialise(fingerprints(docs, words))
     classes = materialise(printed.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    rooted = materialise(components(links(classes.select("print"), radius)))
+    rooted = components(links(classes.select("print"), radius, parts_for(classes.count(), radius)))
     names = rooted.join(classes, rooted["node"] == classes["print"]).groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select(F.col("node").alias("print"), "component_id")
-    classes = classes.join(named, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(classes, "print").select("doc_id", "print", "component_id")
+    classes = materialise(classes.join(named, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"), "copies"))
+    return _to_members(printed, classes, "print").select("doc_id", "print", "component_id")
+
+
+def _to_members(members: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """members joined to classes (key, component_id, copies), both stored tables. Members of large classes stay where they are."""
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    large = F.col("copies") > max(1, total // HOT)
+    hot = classes.filter(large).select(F.col(key).alias("__key"), F.col("component_id").alias("__hot"))
+    marked = members.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left")
+    rest = marked.filter("__key IS NULL").select(*members.columns).join(classes.filter(~large).select(key, "component_id"), key).select(*members.columns, "component_id")
+    return rest.unionByName(marked.filter("__key IS NOT NULL").select(*members.columns, F.col("__hot").alias("component_id")))
 
 
 #: For groups by similarity: smallest shingles that deal a text out (a pair of similarity s shares none with a chance of (1 - s) ** KEYS),
@@ -248,11 +274,11 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
                     keys.append([])
                 sketches.append(np.unique((mix(hashes) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "digest", "print", "keys", "sketch"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "text_hash", "digest", "print", "keys", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, print long, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, digest binary, print long, keys array<long>, sketch binary")
 
 
 def _similar(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -296,14 +322,14 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: the least doc_id of each document's group, texts being linked if their shingle sets are similar (Jaccard).
+    """doc_id, text_hash (which tells rows with one id apart), component_id: the least doc_id of each document's group, texts being linked if their shingle sets are similar (Jaccard).
 
     Texts of equal words are one text first. Each goes to the trees of its KEYS smallest shingles; pairs within WIDE
     bits there are compared by their sketches, and what is no clear miss, by their whole sets of shingles. Texts without words are all equal. Rows with a null doc_id are left out;
-    rows with one id are one document.
+    rows with one id are judged each by its own text.
     """
     profiles = materialise(_profiles(docs.filter("doc_id IS NOT NULL"), words))
-    texts = materialise(profiles.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("print", "keys", "sketch")]))
+    texts = materialise(profiles.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("print", "keys", "sketch")]))
     keyed = texts.select("least", F.posexplode("keys").alias("choice", "key"))
 
     place = ["choice", "key", "x", "y", "least", "tree", "asks", "print", "digest"]
@@ -330,9 +356,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocked = near.join(sets, ["least", "digest"]).repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", "least")
     edges = materialise(blocked.mapInArrow(verify, "a long, b long"))
-    rooted = materialise(components(edges))
-    named = texts.select("digest", "least").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"))
-    return profiles.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+    rooted = components(edges)
+    named = texts.select("digest", "least", "copies").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"), "copies")
+    return _to_members(profiles.select("doc_id", "text_hash", "digest"), materialise(named), "digest").select("doc_id", "text_hash", "component_id")
 
 
 def hexadecimal(column: str):
@@ -340,5 +366,6 @@ def hexadecimal(column: str):
 
 
 def op10_simhash_bk_tree(spark, sf_dir: str) -> DataFrame:
+    """All of `documents`: doc_id, fingerprint (hex), component_id. Null and empty texts have fingerprint zero and are linked like others."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", hexadecimal("print").alias("fingerprint"), "component_id")

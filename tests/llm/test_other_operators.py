@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palim.llm import decontamination, sentencepiece_codec, sharding
 from palim.llm.common import utf8
@@ -125,7 +126,8 @@ def test_codec_awkward_rows(spark, model):
 
 QUESTION = "A farmer named Tom sells 12 baskets of ripe apples at the small market for 3 dollars each while his friend Tom keeps 12 more baskets at home for the winter"
 OTHER = QUESTION.replace("Tom", "Anna").replace("12", "45").replace("3 ", "7 ")
-BROKEN = QUESTION.replace("sells 12", "sells 45").replace("Tom sells", "Anna sells")  # 12 becomes 45 once, stays 12 once
+ALTERED = QUESTION.replace("sells 12", "sells 45").replace("Tom sells", "Anna sells")  # 12 becomes 45 once, stays 12 once; 18 words in a row are the item's
+BROKEN = ALTERED.replace("3 dollars", "7 dollars").replace("friend Tom keeps 12", "friend Max keeps 50")  # two values each, and nowhere 13 words of the item
 
 
 def _found(spark, texts, items):
@@ -141,6 +143,7 @@ def test_copies_and_other_parameters_are_found(spark):
     assert (3, 7) not in got
     assert not {k for k in got if k[0] in (2, 4)}
     assert got[5, 7] >= 0
+    assert _found(spark, [ALTERED, BROKEN], [(7, QUESTION)]).keys() == {(0, 7)}
 
 
 def brute_passages(texts, items):
@@ -158,10 +161,75 @@ def brute_passages(texts, items):
     return out
 
 
-def test_plain_passages_match_brute_force(spark):
-    def letters(seed, n):
-        return prose(seed, n).translate(str.maketrans("0123456789", "abcdefghij"))
+NAMES = ["Tom", "Max Smith", "Eva Marie Jones", "Ann", "Karl Ludwig", "José"]
+AMOUNTS = ["12", "40 km", "seven", "1500 dollars", "twenty", "3 kg", "x9", "Two"]
+FRAMES = [
+    "the teacher {0} asks {1} to carry {2} of sand from the yard of {0} to the house before {0} and {1} bring {3} more of it home",
+    "on the way to school {0} finds {2} of rope and gives {3} to {1} who then sells it to {0} again for a better price",
+    "der lehrer {0} fragt {1} nach {2} sand und bringt danach noch {3} davon mit weil {1} und {0} heute nichts mehr zu tun haben",
+]
+
+
+def brute_templates(texts, items):
+    """(document, item) pairs by a walk over the words: slots of any length between equal words, a value of the item having one value in the text (or 13 words in a row equal)."""
+    import re
+
+    from palim.llm.decontamination import _NUMBER_WORDS, _UNITS
+
+    numbers, units = set(_NUMBER_WORDS.split()), set(_UNITS.split())
+
+    def template(t):
+        words, out, i = "".join(c if c.isalnum() or c.isspace() else "" for c in t).split(), [], 0
+        is_number = lambda w: any(c.isnumeric() for c in w) or w.lower() in numbers
+        while i < len(words):
+            j = i + 1
+            if is_number(words[i]):
+                j += j < len(words) and words[j].lower() in units
+                out.append(("#", " ".join(words[i:j])))
+            elif words[i][0].isupper():
+                while j < len(words) and words[j][0].isupper() and not is_number(words[j]):
+                    j += 1
+                out.append(("@", " ".join(words[i:j])))
+            else:
+                out.append((words[i], words[i]))
+            i = j
+        return out
+
+    found = set()
+    for d, t in enumerate(texts):
+        doc = template(t)
+        for k, x in items:
+            item = template(x)
+            for s in range(len(doc) - len(item) + 1):
+                part = doc[s : s + len(item)]
+                if [a for a, _ in part] == [a for a, _ in item]:
+                    pairs = {(b, c) for (_, b), (a, c) in zip(item, part) if a in "#@"}
+                    same = "".join("01"[b == c] for (_, b), (_, c) in zip(item, part))
+                    if len(pairs) == len({b for b, _ in pairs}) or "1" * min(13, len(item)) in same:
+                        found.add((d, k))
+    return found
+
+
+def test_slots_of_other_lengths_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+
+    def fill(i, names, consistent=True):
+        n, a = rng.permutation(names), rng.permutation(AMOUNTS)
+        text = FRAMES[i].format(n[0], n[1], a[0], a[1])
+        return text if consistent else FRAMES[i].replace("{0} again", "{4} again").replace("und {0}", "und {4}").replace("before {0}", "before {4}").format(n[0], n[1], a[0], a[1], n[2])
+
+    items = [(i, fill(i, NAMES[:3])) for i in range(3)]
+    texts = [f"{letters(100 + i, 9)} {fill(i % 3, NAMES[3:], i % 4 > 0)} {letters(200 + i, 7)}" for i in range(48)] + [letters(300, 50)]
+    want = brute_templates(texts, items)
+    assert 30 <= len(want) < 48
+    assert set(_found(spark, texts, items)) == want
+
+
+def letters(seed, n):
+    return prose(seed, n).translate(str.maketrans("0123456789", "abcdefghij"))
 
+
+def test_plain_passages_match_brute_force(spark):
     items = [(i, letters(500 + i, 14 + i)) for i in range(12)]
     texts = []
     for i in range(60):
@@ -210,3 +278,26 @@ def test_numbers_inside_words_are_slots(spark):
     other = ask.replace("12", "15").replace("+3", "+9").replace("(2)", "(7)").replace("y=4", "y=8")
     got = _found(spark, [f"{prose(1, 20)} {other}", ask, other.replace("box", "jar")], [(1, ask)])
     assert got == {(0, 1): 4, (1, 1): 0}
+
+
+def test_segments_stand_for_template_words(spark):
+    texts = [QUESTION, OTHER, f"{NAMES[2]} Two Three miles A12 x {AMOUNTS[3]} USD30 {NAMES[4]} 9", "Ünder Öl 12 Tage fünf Jahre ß ǅ é ", "", prose(3, 80), FRAMES[2].format(*NAMES[:2], *AMOUNTS[:2])]
+    plain = spark.createDataFrame([(t,) for t in texts], "t string").select(decontamination._plain(F.col("t")).alias("p")).select("p", decontamination._typed(F.col("p")).alias("typed"))
+    for form in range(3):
+        for r in plain.select(decontamination._split(decontamination._template(form, F.col("p"), F.col("typed"))).alias("w"), decontamination._segments(form, F.col("p")).alias("v"), "p").collect():
+            assert len(r["w"]) == len(r["v"]) and " ".join(r["v"]) == r["p"]
+
+
+def test_rows_without_an_id_or_with_one_id_are_judged_by_their_own_text(spark):
+    rows = [(None, QUESTION), (None, prose(1, 40)), (5, f"{prose(2, 9)} {OTHER}"), (5, prose(3, 40)), (6, None), (None, None), (7, QUESTION), (7, QUESTION)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS text_hash", "1 AS item_id")
+    benchmark = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    kept = decontamination.without_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted((str(a), str(b)) for a, b in (rows[1], rows[3], rows[4], rows[5]))
+
+
+def test_short_questions_are_found_word_for_word(spark):
+    items = [(1, "What is 12 plus 7"), (2, "Who wrote the letter"), (3, "Anna Bell Carl Dorn Emil Falk Gina Hart Igor Jung Kurt Lenz Mia Noll Olga Paul")]
+    texts = [f"{prose(1, 20)} What is 12 plus 7? {prose(2, 9)}", "what is 12 plus 8", f"x {items[2][1]} y", "who wrote the letter"]
+    assert set(_found(spark, texts, items)) == {(0, 1), (2, 3), (3, 2)}

@@ -47,3 +47,14 @@ def test_run_equals_the_stages(spark, tables):
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_rows_without_an_id_or_with_one_id_are_judged_by_their_own_text(spark, tables):
+    """One dirty row, one copy: the clean rows of the same id, or of none, stay in every stage."""
+    question, clean = prose(9, 40), [prose(700 + i, 60) for i in range(6)]
+    rows = [(None, f"{clean[0]} {question}"), (None, clean[1]), (5, f"{clean[2]} {question}"), (5, clean[3]), (2, clean[4]), (7, clean[4]), (7, clean[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, tables).collect()}
+    assert left == {r for r in rows if question not in r[1]}
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, tables).collect()}
+    assert left == {r for r in rows if r != (7, clean[4])}
