@@ -54,7 +54,7 @@ def _any_of(words: list[str]) -> str:
 #: A word that is a number, a unit behind it, and a word that begins with a capital; a word is what stands between spaces.
 _NUMBER = rf"(?:[^ \p{{N}}]*+\p{{N}}[^ ]*|(?i:{_any_of(_NUMBER_WORDS.split())})(?![^ ]))"
 _UNIT = rf"(?: (?i:{_any_of(_UNITS.split())})(?![^ ]))"
-_CAPITAL = r"\p{Lu}[^ ]*"
+_CAPITAL = r"\p{Lu}[^ ]*+"
 
 
 def _plain(text: Column) -> Column:
@@ -76,7 +76,7 @@ CANONICAL, CASELESS, VERBATIM = range(3)
 
 def _template(form: int, plain: Column, typed: Column) -> Column:
     if form == CANONICAL:
-        return F.regexp_replace(typed, f"(?: {_CAPITAL})+", f" {NAME}")
+        return F.regexp_replace(typed, f"(?: {_CAPITAL})++", f" {NAME}")  # possessive: a run of any length is matched in a loop, not by recursion
     return F.lower(typed if form == CASELESS else plain)
 
 
@@ -84,7 +84,7 @@ def _segments(form: int, plain: Column) -> Column:
     """What each template word of _template stands for, as an array."""
     if form == VERBATIM:
         return _split(plain)
-    name = rf"|{_CAPITAL}(?: (?!{_NUMBER}){_CAPITAL})*" if form == CANONICAL else ""
+    name = rf"|{_CAPITAL}(?: (?!{_NUMBER}){_CAPITAL})*+" if form == CANONICAL else ""
     return F.regexp_extract_all(plain, F.lit(rf"(?<![^ ])(?:{_NUMBER}{_UNIT}?{name}|[^ ]+)"), F.lit(0))
 
 

@@ -301,3 +301,9 @@ def test_short_questions_are_found_word_for_word(spark):
     items = [(1, "What is 12 plus 7"), (2, "Who wrote the letter"), (3, "Anna Bell Carl Dorn Emil Falk Gina Hart Igor Jung Kurt Lenz Mia Noll Olga Paul")]
     texts = [f"{prose(1, 20)} What is 12 plus 7? {prose(2, 9)}", "what is 12 plus 8", f"x {items[2][1]} y", "who wrote the letter"]
     assert set(_found(spark, texts, items)) == {(0, 1), (2, 3), (3, 2)}
+
+
+def test_very_long_runs_of_names(spark):
+    """A text of 200,000 capitalised words is one name between two words, and an item behind it is still found."""
+    texts = [f"so {'Anna Bell ' * 100_000} {QUESTION}", "Anna " * 200_000, f"A {'1 ' * 100_000}"]
+    assert _found(spark, texts, [(7, QUESTION)]) == {(0, 7): 0}
