@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palim.schemas import CATEGORIES
+from palim.schemas import CATEGORIES, KEY_MOMENT
 
 
 def let(value: Column, body) -> Column:
@@ -163,6 +163,20 @@ def human_age(seconds: Column) -> Column:
     return out
 
 
+def memories_markdown(contents: Column, facts: Column) -> Column:
+    """Episodes as blocks, then facts as a list; nothing found is the empty text."""
+    blocks = F.when(F.size(contents) > 0, F.concat(F.lit("## Episodic Memories\n"), F.array_join(F.transform(contents, lambda c: F.concat(c, F.lit("\n\n"))), ""))).otherwise("")
+    known = F.when(F.size(facts) > 0, F.concat(F.lit("## Known Facts\n"), F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f)), "\n"))).otherwise("")
+    return F.regexp_replace(F.concat(blocks, known), r"\s+$", "")
+
+
+def recent_entry(title: Column, surprise: Column, age: Column, content: Column) -> Column:
+    """A recent memory as a section."""
+    name = F.when(F.coalesce(title, F.lit("")) == "", "Memory").otherwise(title)
+    mark = F.when(surprise >= KEY_MOMENT, " (key moment)").otherwise("")
+    return F.concat(F.lit("### "), name, mark, F.lit("\n**When:** "), age, F.lit("\n**Content:** "), content, F.lit("\n"))
+
+
 def percent(value: Column) -> Column:
     return F.format_string("%.2f%%", value * 100)
 

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palim.functions.text import answer_tokens, let, set_tokens
-from palim.schemas import QA_CATEGORIES
+from palim.schemas import QA_CATEGORIES, QUESTION_TYPES
 
 
 def _f1(same: Column, predicted: Column, gold: Column) -> Column:
-    p, r = same / predicted, same / gold
-    return F.when(same == 0, 0.0).otherwise(2 * p * r / (p + r))
+    return F.when(same == 0, 0.0).otherwise(2 * same / (predicted + gold))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
@@ -91,6 +90,39 @@ def by_category(results: DataFrame) -> DataFrame:
     return F.broadcast(spine).join(found, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(m, F.lit(0.0)).alias(m) for m in METRICS])
 
 
+def by_question_type(results: DataFrame) -> DataFrame:
+    """question_type, n and accuracy (mean of `correct`) for each of the six types, also where no result has it (0), and overall."""
+    spark = results.sparkSession
+    spine = spark.createDataFrame([(t,) for t in (*QUESTION_TYPES, "overall")], "question_type string")
+    found = results.rollup("question_type").agg(F.grouping("question_type").alias("all"), F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy"))
+    found = found.withColumn("question_type", F.when(F.col("all") == 1, "overall").otherwise(F.col("question_type"))).drop("all")
+    return F.broadcast(spine).join(found, "question_type", "left").select("question_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
+
+
+def type_histogram(samples: DataFrame) -> DataFrame:
+    """How many samples each of the six question types has, zeros included."""
+    spine = samples.sparkSession.createDataFrame([(t,) for t in QUESTION_TYPES], "question_type string")
+    return F.broadcast(spine).join(samples.groupBy("question_type").agg(F.count(F.lit(1)).alias("n")), "question_type", "left").select("question_type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def with_results(samples: DataFrame, results: DataFrame) -> DataFrame:
+    """Samples, each with its result (columns of results, null where there is none) by question_id."""
+    return samples.join(results, "question_id", "left")
+
+
+def delta_summary(variant: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Variant less baseline overall, by category and by sample, in one pass over each: scope, key and the deltas. A missing side counts as 0."""
+
+    def means(rows: DataFrame, side: str) -> DataFrame:
+        grouped = rows.groupingSets([[], ["category"], ["sample_id"]], "category", "sample_id").agg(F.grouping_id().alias("level"), *[F.avg(m).alias(f"{side}_{m}") for m in METRICS])
+        scope = F.when(F.col("level") == 3, "overall").when(F.col("level") == 1, "category").otherwise("sample")
+        key = F.when(F.col("level") == 3, "").when(F.col("level") == 1, F.col("category").cast("string")).otherwise(F.col("sample_id"))
+        return grouped.select(scope.alias("scope"), key.alias("key"), *[f"{side}_{m}" for m in METRICS])
+
+    both = means(variant, "a").join(means(baseline, "b"), ["scope", "key"], "full_outer")
+    return both.select("scope", "key", *[(F.coalesce(f"a_{m}", F.lit(0.0)) - F.coalesce(f"b_{m}", F.lit(0.0))).alias(f"{m}_delta") for m in METRICS])
+
+
 def deltas(variant: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     """Variant less baseline for each key of either side; a missing side counts as 0."""
     a = variant.groupBy(key).agg(*[F.avg(m).alias(f"a_{m}") for m in METRICS])

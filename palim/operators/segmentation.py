@@ -157,6 +157,14 @@ def stale_leases(state: DataFrame, now: Column) -> DataFrame:
     return stale.withColumn("next_segment_start_seq", F.col("active_segment_start_seq"))
 
 
+def checked_claims(state: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims: conversation_id, claim_start, claim_end, next. Adds `problem`: null if the active lease is the claim's and the next segment starts in the claim or right behind it."""
+    mismatch = ~(F.col("active_segment_start_seq").eqNullSafe(F.col("claim_start")) & F.col("active_segment_end_seq").eqNullSafe(F.col("claim_end")))
+    outside = ~F.col("next").between(F.col("claim_start"), F.col("claim_end") + 1)
+    lease = state.select("conversation_id", "active_segment_start_seq", "active_segment_end_seq")
+    return claims.join(lease, "conversation_id", "left").withColumn("problem", F.when(mismatch, "claim mismatch").when(outside, "next outside the claim"))
+
+
 def legacy_time_gap(messages: DataFrame, minutes: int = SOFT_GAP_MINUTES) -> DataFrame:
     """The older segmenter: a new segment where a gap is more than 30 minutes."""
     gaps = adjacent_gaps(messages)

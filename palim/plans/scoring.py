@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palim.functions.text import judge_label, verdict
 from palim.operators import evaluation as ev
+from palim.schemas import QUESTION_TYPES
 from palim.sources import adapters as ad
 from palim.sources.adapters import sql
 
@@ -58,10 +59,31 @@ def score_delta(spark, sf_dir) -> DataFrame:
     return _rounded(ev.deltas(rows.filter("turn % 4 = 0"), rows.filter("turn % 4 <> 0 AND conv_id % 3 = 0"), "sample_id"))
 
 
+def _typed(spark, sf_dir) -> DataFrame:
+    """Results with a question id and a type; one of the six types has none."""
+    kind = F.element_at(F.array(*map(F.lit, QUESTION_TYPES)), (F.col("conv_id") % 5 + 1).cast("int"))
+    return _scored(spark, sf_dir).withColumns({"question_type": kind, "question_id": F.concat_ws(":", "conv_id", "turn"), "correct": verdict(F.col("raw"))})
+
+
 def question_type_stats(spark, sf_dir) -> DataFrame:
-    """Mean binary verdict by question and overall."""
-    rows = _scored(spark, sf_dir).withColumn("correct", verdict(F.col("raw")))
-    return _rounded(rows.rollup("question").agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy")))
+    """Mean binary verdict by question type, all six, and overall."""
+    return _rounded(ev.by_question_type(_typed(spark, sf_dir)))
+
+
+def question_type_histogram(spark, sf_dir) -> DataFrame:
+    return ev.type_histogram(_typed(spark, sf_dir))
+
+
+def results_by_question(spark, sf_dir) -> DataFrame:
+    """All questions of the dataset with the results of those that have one."""
+    rows = _typed(spark, sf_dir)
+    results = rows.filter("conv_id % 4 <> 0").select("question_id", "judge", "correct")
+    return ev.with_results(rows.select("question_id", "question_type"), results)
+
+
+def delta_summary(spark, sf_dir) -> DataFrame:
+    rows = _scored(spark, sf_dir)
+    return _rounded(ev.delta_summary(rows.filter("turn % 4 = 0"), rows.filter("turn % 4 <> 0 AND conv_id % 3 = 0")))
 
 
 def gold_coverage(spark, sf_dir) -> DataFrame:
@@ -88,7 +110,7 @@ def top_n_per_type(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (token_f1, set_f1, multi_answer_f1, category_score, judge_labels, score_summary, score_by_sample, score_delta, question_type_stats, gold_coverage, context_composition, pending_qa_anti, top_n_per_type)
+    for f in (token_f1, set_f1, multi_answer_f1, category_score, judge_labels, score_summary, score_by_sample, score_delta, delta_summary, question_type_stats, question_type_histogram, results_by_question, gold_coverage, context_composition, pending_qa_anti, top_n_per_type)
 }
 
 
@@ -111,6 +133,10 @@ _RAW = "['CORRECT', ' partial ', 'WRONG because', 'CORRECT.', 'Partial: half'][1
 _SCORED = f"""SELECT conv_id, turn, sample_id, category, question, {_RAW} AS raw, CASE split_part(upper(trim({_RAW})), ' ', 1) WHEN 'CORRECT' THEN 1.0 WHEN 'PARTIAL' THEN 0.5 ELSE 0.0 END AS judge, {_SET_F1} AS set_f1,
     CASE category WHEN 1 THEN coalesce(f1, 0) WHEN 3 THEN {_f1_sql('prediction', "trim(split_part(gold, ';', 1))")} WHEN 5 THEN CASE WHEN contains(lower(prediction), 'no information') OR contains(lower(prediction), 'not mentioned') THEN 1.0 ELSE 0.0 END
     ELSE {_f1_sql('prediction', 'gold')} END AS score FROM sets LEFT JOIN multi USING (conv_id, turn)"""
+_TYPES = "[" + ", ".join(f"'{t}'" for t in QUESTION_TYPES) + "]"
+_KINDS = f"SELECT *, {_TYPES}[1 + conv_id % 5] AS question_type, conv_id || ':' || turn AS question_id, CASE WHEN starts_with(upper(trim(raw)), 'CORRECT') THEN 1.0 ELSE 0.0 END AS correct FROM scored"
+_SCOPES = """SELECT CASE grouping(category, sample_id) WHEN 3 THEN 'overall' WHEN 1 THEN 'category' ELSE 'sample' END AS scope, CASE grouping(category, sample_id) WHEN 3 THEN '' WHEN 1 THEN CAST(category AS VARCHAR) ELSE sample_id END AS key,
+    avg(score) AS score, avg(set_f1) AS set_f1, avg(judge) AS judge FROM scored WHERE {rows} GROUP BY GROUPING SETS ((), (category), (sample_id))"""
 _S = {"sets": _SETS, "multi": _MULTI, "scored": _SCORED}
 _MEANS = "round(coalesce(avg(score), 0), 6) AS score, round(coalesce(avg(set_f1), 0), 6) AS set_f1, round(coalesce(avg(judge), 0), 6) AS judge"
 
@@ -126,7 +152,17 @@ ORACLE_SQL = {
         """SELECT sample_id, """ + ", ".join(f"round(coalesce(a.{m}, 0) - coalesce(b.{m}, 0), 6) AS {m}_delta" for m in ev.METRICS) + " FROM (SELECT sample_id, avg(score) AS score, avg(set_f1) AS set_f1, avg(judge) AS judge FROM scored WHERE turn % 4 = 0 GROUP BY 1) a "
         "FULL JOIN (SELECT sample_id, avg(score) AS score, avg(set_f1) AS set_f1, avg(judge) AS judge FROM scored WHERE turn % 4 <> 0 AND conv_id % 3 = 0 GROUP BY 1) b USING (sample_id)", "qa", **_S
     ),
-    "question_type_stats": sql("SELECT question, count(*) AS n, round(avg(CASE WHEN starts_with(upper(trim(raw)), 'CORRECT') THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM scored GROUP BY ROLLUP (question)", "qa", **_S),
+    "delta_summary": sql(
+        "SELECT scope, key, " + ", ".join(f"round(coalesce(a.{m}, 0) - coalesce(b.{m}, 0), 6) AS {m}_delta" for m in ev.METRICS) + f" FROM ({_SCOPES.format(rows='turn % 4 = 0')}) a FULL JOIN ({_SCOPES.format(rows='turn % 4 <> 0 AND conv_id % 3 = 0')}) b USING (scope, key)", "qa", **_S
+    ),
+    "question_type_stats": sql(
+        f"""SELECT question_type, coalesce(n, 0) AS n, CAST(coalesce(accuracy, 0) AS DOUBLE) AS accuracy FROM (SELECT unnest({_TYPES} || ['overall']) AS question_type) LEFT JOIN (
+        SELECT question_type, count(*) AS n, round(avg(correct), 6) AS accuracy FROM kinds GROUP BY 1 UNION ALL SELECT 'overall', count(*), round(avg(correct), 6) FROM kinds) USING (question_type)""", "qa", **_S, kinds=_KINDS
+    ),
+    "question_type_histogram": sql(f"SELECT question_type, coalesce(n, 0) AS n FROM (SELECT unnest({_TYPES}) AS question_type) LEFT JOIN (SELECT question_type, count(*) AS n FROM kinds GROUP BY 1) USING (question_type)", "qa", **_S, kinds=_KINDS),
+    "results_by_question": sql(
+        "SELECT question_id, question_type, CAST(r.judge AS DOUBLE) AS judge, CAST(r.correct AS DOUBLE) AS correct FROM kinds LEFT JOIN (SELECT question_id, judge, correct FROM kinds WHERE conv_id % 4 <> 0) r USING (question_id)", "qa", **_S, kinds=_KINDS
+    ),
     "gold_coverage": sql(
         """SELECT category, count(*) FILTER (WHERE inside) AS covered, count(*) FILTER (WHERE NOT inside) AS missing FROM (SELECT category, len(list_filter(list_filter(list_transform(regexp_split_to_array(lower(
         substr(prediction, 20, 30) || ', ' || CASE WHEN turn % 4 = 0 THEN left(gold, 15) ELSE '' END), ',|\\band\\b'), lambda s: regexp_replace(trim(s), '[''"]', '', 'g')), lambda s: length(s) > 2), lambda s: NOT contains(lower(prediction), s))) = 0 AS inside FROM qa) GROUP BY 1""", "qa"

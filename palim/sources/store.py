@@ -10,11 +10,23 @@ from pyspark.sql import types as T
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="palim-")
+    """A new folder that driver and executors share, under spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster must name one."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="palim-")
     return f"{top.rstrip('/')}/palim-{uuid.uuid4().hex}"
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again: what several parts of a plan read is made once."""
+    path = scratch_folder(table.sparkSession)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 class Store:
     """A version is a whole table in a folder; the newest complete one is the table. Readers never see half a write."""
 
