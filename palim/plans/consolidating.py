@@ -77,6 +77,30 @@ _NORMAL = """SELECT episode_id, place, kind, fact, category, target_fact_id, con
     ORDER BY CASE kind WHEN 'update' THEN 3 WHEN 'invalidate' THEN 2 WHEN 'reinforce' THEN 1 ELSE 0 END DESC, place) AS n
     FROM (SELECT * REPLACE (CASE WHEN kind = 'update' AND target_fact_id = '' THEN 'new' ELSE kind END AS kind) FROM clean)) WHERE n = 1"""
 _N = {"clean": _CLEAN, "normal": _NORMAL}
+#: The fold, action by action: `valid` and `scope` are lists of ids; a step tells what it made, what it added a source to, and what it ended.
+_FACTS = "SELECT conversation_id, CAST(id AS VARCHAR) AS id, category, fact, source_episodic_ids AS sources, invalid_at IS NULL AS valid, embedding FROM semantic"
+_ACTS = """SELECT conversation_id, pos, place, 'e' || pos AS episode, kind, fact, category, target, vector, row_number() OVER (PARTITION BY conversation_id ORDER BY pos, place) AS n,
+    row_number() OVER (PARTITION BY conversation_id, pos ORDER BY place) = 1 AS opens FROM (
+    SELECT CAST(n.episode_id % 10 AS VARCHAR) AS conversation_id, n.episode_id AS pos, n.place, n.kind, n.fact, n.category, n.target_fact_id AS target, CASE WHEN n.kind IN ('new', 'update') THEN f.embedding END AS vector
+    FROM normal n LEFT JOIN facts f ON f.id = CAST(n.episode_id % 40 * 10 + n.place AS VARCHAR) WHERE n.kind NOT IN ('new', 'update') OR f.id IS NOT NULL)
+    WHERE conversation_id IN (SELECT conversation_id FROM scopes)"""
+_SCOPES_OF = "SELECT conversation_id, list(id ORDER BY id) AS scope FROM facts WHERE CAST(id AS BIGINT) % 10 < 2 GROUP BY 1"
+_POOL = "SELECT conversation_id, id, embedding FROM facts UNION ALL SELECT conversation_id, episode || '/' || place, vector FROM acts WHERE vector IS NOT NULL"
+_NEARBY = """SELECT conversation_id, n, list(id ORDER BY round(s, 9) DESC, id) AS nearby FROM (SELECT a.conversation_id, a.n, p.id, list_dot_product(CAST(p.embedding AS DOUBLE[]), CAST(a.vector AS DOUBLE[])) AS s
+    FROM acts a JOIN pool p USING (conversation_id) WHERE a.vector IS NOT NULL) WHERE s > 0.3 GROUP BY 1, 2"""
+_STEPS = """SELECT a.*, coalesce(b.nearby, []) AS nearby FROM acts a LEFT JOIN nearby b USING (conversation_id, n)"""
+_RUN = """SELECT conversation_id, 0 AS n, list(id) FILTER (WHERE valid) AS valid, CAST([] AS VARCHAR[]) AS scope, CAST(NULL AS VARCHAR) AS made, CAST(NULL AS VARCHAR) AS added, CAST(NULL AS VARCHAR) AS ended FROM facts GROUP BY 1
+    UNION ALL SELECT conversation_id, n, CASE WHEN made IS NULL THEN rest ELSE list_append(rest, made) END, CASE WHEN made IS NULL THEN inner_ ELSE list_append(inner_, made) END, made, added, ended FROM (
+    SELECT conversation_id, n, CASE WHEN ended IS NULL THEN valid ELSE list_filter(valid, lambda x: x <> ended) END AS rest, CASE WHEN ended IS NULL THEN scope ELSE list_filter(scope, lambda x: x <> ended) END AS inner_,
+    CASE WHEN settles AND found IS NULL THEN key END AS made, CASE WHEN kind = 'reinforce' THEN CASE WHEN hit THEN target END WHEN settles THEN found END AS added, ended FROM (
+    SELECT *, list_filter(list_filter(nearby, lambda x: list_contains(valid, x) AND x <> coalesce(ended, ''))[1:5], lambda x: list_contains(scope, x))[1] AS found FROM (
+    SELECT *, list_contains(scope, target) AS hit, kind IN ('new', 'update') AS settles, CASE WHEN kind IN ('invalidate', 'update') AND list_contains(scope, target) THEN target END AS ended FROM (
+    SELECT a.conversation_id, a.n, a.kind, a.target, a.nearby, a.episode || '/' || a.place AS key, r.valid, CASE WHEN a.opens THEN list_filter(o.scope, lambda x: list_contains(r.valid, x)) ELSE r.scope END AS scope
+    FROM run r JOIN steps a ON a.conversation_id = r.conversation_id AND a.n = r.n + 1 JOIN scopes o ON o.conversation_id = r.conversation_id))))"""
+_APPLIED = """SELECT conversation_id, id, category, fact, CAST(len(list_distinct(list_concat(sources, coalesce(more, [])))) AS INTEGER) AS source_count, list_contains(valid, id) AS active
+    FROM (SELECT conversation_id, id, category, fact, sources FROM facts UNION ALL SELECT a.conversation_id, r.made, a.category, a.fact, [a.episode] FROM run r JOIN acts a USING (conversation_id, n) WHERE r.made IS NOT NULL)
+    LEFT JOIN (SELECT r.conversation_id, r.added AS id, list(a.episode) AS more FROM run r JOIN acts a USING (conversation_id, n) WHERE r.added IS NOT NULL GROUP BY 1, 2) USING (conversation_id, id)
+    JOIN (SELECT conversation_id, arg_max(valid, n) AS valid FROM run GROUP BY 1) USING (conversation_id)"""
 
 ORACLE_SQL = {
     "normalize_actions": sql("SELECT * REPLACE (round(confidence, 6) AS confidence) FROM normal", "actions", **_N),
@@ -90,6 +114,9 @@ ORACLE_SQL = {
     "unknown_targets": sql(
         "SELECT 'e' || episode_id AS episode_id, place, CASE WHEN kind = 'update' THEN 'new' ELSE 'skipped' END AS becomes FROM normal WHERE kind <> 'new' AND CAST(target_fact_id AS BIGINT) NOT IN (SELECT id FROM semantic)", "actions", "semantic", **_N
     ),
+    "consolidate_apply": sql(
+        _APPLIED, "actions", "semantic", recursive=True, once=("semantic", "normal", "facts", "scopes", "acts", "steps"), **_N, facts=_FACTS, scopes=_SCOPES_OF, acts=_ACTS, pool=_POOL, nearby=_NEARBY, steps=_STEPS, run=_RUN
+    ),
     "to_consolidate": sql("SELECT id, conversation_id FROM episodic WHERE classification = 'informative' AND consolidated_at IS NULL", "episodic"),
     "job_status": """SELECT *, waiting = 0 AND failed = 0 AND running = 0 AS done FROM (SELECT props ->> '$.k' AS conversation_id, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS waiting,
         count(*) FILTER (WHERE event_type LIKE 'err%') AS failed, count(*) FILTER (WHERE event_type = 'signup' AND value > 50) AS running FROM events GROUP BY 1)""",

@@ -182,12 +182,12 @@ SQL = {
 _NEEDS = {"states": ("msg_user",)}
 
 
-def sql(body: str, *views: str, recursive: bool = False, **more: str) -> str:
-    """A statement over named views: theirs and the given common tables in front of the body."""
+def sql(body: str, *views: str, recursive: bool = False, once: tuple = (), **more: str) -> str:
+    """A statement over named views: theirs and the given common tables in front of the body; those in `once` are made once, not for each use."""
     named: dict[str, str] = {}
     for v in views:
         for need in (*_NEEDS.get(v, ()), v):
             named[need] = SQL[need]
     named |= more
-    head = ", ".join(f"{k} AS ({v})" for k, v in named.items())
+    head = ", ".join(f"{k} AS {'MATERIALIZED ' if k in once else ''}({v})" for k, v in named.items())
     return f"WITH {'RECURSIVE ' if recursive else ''}{head} {body}" if named else body

@@ -9,8 +9,8 @@ def test_query_equals_sql(spark, sf_dir, name):
     compare(spark, sf_dir, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name])
 
 
-def test_all_queries_have_sql_but_the_fold():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"consolidate_apply"}
+def test_all_queries_have_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
 
 
 def test_consolidation_fold(spark, sf_dir):
