@@ -200,11 +200,17 @@ class Spans:
         return out if seeds else out[0]
 
 
-def joined_hashes(values: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """One hash for each run of `length` of the given hashes."""
-    out = np.full(len(start), np.uint64(length))
-    for i in range(length):
-        out = mix(out ^ values[start + i])
+def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """One hash for each run of `length` of the given hashes, by its start: made of runs of 1, 2, 4, ... ."""
+    n, out, at, size = len(values) - length + 1, None, 0, 1
+    while size <= length:
+        if length & size:
+            part = values[at : at + n]
+            out = part if out is None else mix(out * np.uint64(0x9FB21C651E98DF25) + part)
+            at += size
+        size *= 2
+        if size <= length:
+            values = mix(values[: len(values) - size // 2] * np.uint64(0xD1342543DE82EF95) + values[size // 2 :])
     return out
 
 

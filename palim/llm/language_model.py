@@ -60,6 +60,13 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, before, docs
 
 
+def _before(at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Indices of predecessors among the hot words, from those of the words; the start is none."""
+    out = np.concatenate((at[:1], at[:-1]))
+    out[before == _START] = -1
+    return out
+
+
 def count_code(count: np.ndarray) -> np.ndarray:
     """A count in a byte: exact up to 128, then in steps of 1/16 of a doubling (of 1/2 from 2**12 on)."""
     x = np.log2(np.maximum(count, 1))
@@ -113,13 +120,16 @@ class Trie:
         at = self.words.find(words)
         return at, np.where(at >= 0, self.counts[np.maximum(at, 0)] if len(self.counts) else 0, 0).astype(np.int64)
 
-    def gains(self, ordinal: np.ndarray, which: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """For pairs of word ordinal[which] and predecessor: the quantised term, 0 if unseen."""
-        out = np.zeros(len(before))
+    def ranks(self, before: np.ndarray) -> np.ndarray:
+        """The rank of each predecessor, -1 if the shard has none like it."""
+        known, back = np.unique(before.astype(np.uint64), return_inverse=True)
+        return self.vocabulary.find(known)[back]
+
+    def gains(self, ordinal: np.ndarray, which: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """For pairs of word ordinal[which] and predecessor (by rank): the quantised term, 0 if unseen."""
+        out = np.zeros(len(rank))
         if not self.before.n:
             return out
-        known, back = np.unique(before.astype(np.uint64), return_inverse=True)
-        rank = self.vocabulary.find(known)[back]
         first, end = (self.pointers.access(np.maximum(ordinal, 0) + i).astype(np.int64) for i in (0, 1))
         some = np.flatnonzero((ordinal[which] >= 0) & (rank >= 0))
         o = which[some]
@@ -149,13 +159,12 @@ def _open(path: str) -> Trie | None:
         return Trie.of(np.frombuffer(f.read_buffer(), np.uint8))
 
 
-def _by_shard(shards: int, hot: np.ndarray, word: np.ndarray, before: np.ndarray, *more: np.ndarray):
-    """Deals out pairs: for each shard that gets any, (shard, cold part, hot part).
+def _by_shard(shards: int, at: np.ndarray, at_before: np.ndarray, word: np.ndarray, before: np.ndarray, *more: np.ndarray):
+    """Deals out pairs; at, at_before: indices of words and predecessors among the hot words, or -1. Gives, for each shard that gets any, (shard, cold part, hot part).
 
     Cold part: words, pairs of each word, predecessors, and more; hot part: index of the word, predecessors, and more.
     Predecessors are bits that say which are hot, the indices of those, and the hashes of the others.
     """
-    at, at_before = is_member(word, hot), is_member(before, hot)
     warm = np.flatnonzero(at >= 0)
     route = range_shard(mix(word[warm] ^ (before[warm] * np.uint64(0x9E3779B97F4A7C15))), shards)
     order = np.argsort(route, kind="stable")
@@ -174,17 +183,18 @@ def _by_shard(shards: int, hot: np.ndarray, word: np.ndarray, before: np.ndarray
         yield s, (word[c][bounds[:-1]], np.diff(bounds).astype(np.uint32), *predecessors(c), *(m[c] for m in more)), (at[h].astype(np.uint16), *predecessors(h), *(m[h] for m in more))
 
 
-def _unpack_pairs(payload, hot: np.ndarray, kind) -> tuple:
-    """Of pack(*cold, *hot) of _by_shard with one more column: words, pairs of each, predecessors, more; indices, predecessors, more."""
+def _unpack_pairs(payload, kind) -> tuple:
+    """Of pack(*cold, *hot) of _by_shard with one more column: words, pairs of each, predecessors, more; indices, predecessors, more. Predecessors: which are hot, indices of those, the others."""
     cw, cn, cf, ch, cb, cm, hw, hf, hh, hb, hm = unpack(payload, np.uint64, np.uint32, np.uint8, np.uint16, np.uint64, kind, np.uint16, np.uint8, np.uint16, np.uint64, kind)
+    return cw, cn, (np.unpackbits(cf, count=len(cm)).astype(bool), ch, cb), cm, hw, (np.unpackbits(hf, count=len(hm)).astype(bool), hh, hb), hm
 
-    def predecessors(bits, index, other, n: int) -> np.ndarray:
-        known = np.unpackbits(bits, count=n).astype(bool)
-        out = np.empty(n, np.uint64)
-        out[known], out[~known] = hot[index], other
-        return out
 
-    return cw, cn, predecessors(cf, ch, cb, len(cm)), cm, hw, predecessors(hf, hh, hb, len(hm)), hm
+def _filled(predecessors: tuple, hot_values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """One array from the values of the hot words and those of the others, in the order of the pairs."""
+    known, index, _ = predecessors
+    out = np.empty(len(known), others.dtype)
+    out[known], out[~known] = hot_values[index], others
+    return out
 
 
 def _count_words(batches):
@@ -228,9 +238,9 @@ def _trie_of(model: Model, payloads: list) -> tuple[Trie, tuple, np.ndarray]:
     """Joins the counted pairs of a shard (codes: counts); also key, count and word count of its frequent pairs, and their part of the likelihood for each weight."""
     words, befores, counts = [], [], []
     for p in payloads:
-        cw, cn, cb, cc, hw, hb, hc = _unpack_pairs(p, model.hot, np.uint32)
+        cw, cn, cb, cc, hw, hb, hc = _unpack_pairs(p, np.uint32)
         words += [np.repeat(cw, cn), model.hot[hw]]
-        befores += [cb, hb]
+        befores += [_filled(cb, model.hot, cb[2]), _filled(hb, model.hot, hb[2])]
         counts += [cc, hc]
     word, before, count = np.concatenate(words), np.concatenate(befores), np.concatenate(counts).astype(np.int64)
     order = np.lexsort((before, word))
@@ -294,7 +304,8 @@ def train(docs: DataFrame) -> Model:
             word, before, _ = tokens(*utf8(b.column("text")))
             key = pair_key(word, before)
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            got = list(_by_shard(model.shards, model.hot, word[first], before[first], n.astype(np.uint32)))
+            at = is_member(word, model.hot)
+            got = list(_by_shard(model.shards, at[first], _before(at, before)[first], word[first], before[first], n.astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in got], pa.int32()), pa.array([pack(*c, *h) for _, c, h in got], pa.binary())], ["shard", "payload"])
 
     def build(batches):
@@ -377,7 +388,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 np.bincount(doc[warm], minlength=n).astype(np.int64), np.bincount(doc[warm], base, minlength=n), total,
             )
             rest = np.flatnonzero(frequent < 0)
-            asked = [(s, pack(*c, *h)) for s, c, h in _by_shard(m.shards, m.hot, word[rest], before[rest], doc[rest].astype(np.uint16))]
+            asked = [(s, pack(*c, *h)) for s, c, h in _by_shard(m.shards, at[rest], _before(at, before)[rest], word[rest], before[rest], doc[rest].astype(np.uint16))]
             names = [s for s, _ in asked] + [block % m.shards]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([block] * len(names), pa.int64()), pa.array([True] * len(asked) + [False]), pa.array([p for _, p in asked] + [here], pa.binary())], ["shard", "block", "asks", "payload"])
 
@@ -393,7 +404,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 if shards_[some[a]] != shard:
                     shard = shards_[some[a]]
                     trie = _open(m.path(shard, True))
-                asked_ = [_unpack_pairs(payloads[int(i)].as_buffer(), m.hot, np.uint16) for i in some[a:z]]
+                asked_ = [_unpack_pairs(payloads[int(i)].as_buffer(), np.uint16) for i in some[a:z]]
                 for i, found in zip(some[a:z], _answers(m, trie, asked_)):
                     out.append((int(blocks_[i]), False, found))
             if out:
@@ -432,7 +443,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _answers(m: Model, trie: Trie | None, asked: list) -> list[bytes]:
     """For each question of one shard: its documents, their known tokens, and their sums of both scores, packed."""
-    cw, cn, cb, cd, hw, hb, hd = (np.concatenate([q[i] for q in asked]) for i in range(7))
+    cw, cn, cd, hw, hd = (np.concatenate([q[i] for q in asked]) for i in (0, 1, 3, 4, 6))
+    cb, hb = (tuple(np.concatenate([q[i][j] for q in asked]) for j in range(3)) for i in (2, 5))
 
     def documents(i: int) -> np.ndarray:
         """Documents, told apart by question."""
@@ -440,11 +452,14 @@ def _answers(m: Model, trie: Trie | None, asked: list) -> list[bytes]:
 
     which = np.repeat(np.arange(len(cw)), cn)
     if trie is None:
-        count, gain = np.zeros(len(cw), np.int64), np.zeros(len(cb) + len(hb))
+        count, gain = np.zeros(len(cw), np.int64), np.zeros(len(cd) + len(hd))
     else:
         ordinal, count = trie.look_up(cw)
         warm, back = np.unique(hw, return_inverse=True)
-        gain = np.concatenate((trie.gains(ordinal, which, cb), trie.gains(trie.words.find(m.hot[warm]), back, hb)))
+        hot_ranks = trie.vocabulary.find(m.hot)
+        others = trie.ranks(np.concatenate((cb[2], hb[2])))
+        ranks = [_filled(x, hot_ranks, y) for x, y in zip((cb, hb), np.split(others, [len(cb[2])]))]
+        gain = np.concatenate((trie.gains(ordinal, which, ranks[0]), trie.gains(trie.words.find(m.hot[warm]), back, ranks[1])))
     base = m.base(count)
     context = np.where(cw == _END, 0.0, m.context(count))
     present, place = np.unique(np.concatenate((documents(3), documents(6))), return_inverse=True)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.common import (
-    Spans, block_bytes, blocks, discard, find_words, group_bounds, is_member, joined_hashes, materialise, mix, pack, range_shard, unpack, utf8, word_hashes,
+    Spans, block_bytes, blocks, discard, find_words, group_bounds, is_member, materialise, mix, pack, range_shard, run_hashes, unpack, utf8, word_hashes,
 )
 
 WINDOW = 13
@@ -89,9 +89,7 @@ def windows(words: np.ndarray, doc: np.ndarray, other: np.ndarray | None = None)
     following = np.minimum.accumulate(place[::-1])[::-1]
     anchor = following[first + CONTEXT]
     anchor = np.where(anchor <= first + WINDOW - REACH, anchor, first + CONTEXT)
-    every = np.arange(n - 2 * REACH + 1)
-    key = joined_hashes(words, every, 2 * REACH)[anchor - REACH]
-    return first, key, joined_hashes(other, first, WINDOW)
+    return first, run_hashes(words, 2 * REACH)[anchor - REACH], run_hashes(other, WINDOW)[first]
 
 
 def window_id(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -207,7 +205,7 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
                 g, h = bounds[cut[s] : cut[s + 1] + 1], slice(warm_cut[s], warm_cut[s + 1])
                 lead, inside = cold[g[:-1]], cold[g[0] : g[-1]] if len(g) > 1 else cold[:0]
                 rows_.append(
-                    (s, pack(known, key[lead], rank[lead].astype(np.uint16), np.diff(g).astype(np.uint32), whole[inside], warm_key[h].astype(np.uint16), whole[warm[h]], rank[warm[h]].astype(np.uint16)))
+                    (s, pack(np.diff(known, prepend=0), *_steps(key[lead]), rank[lead].astype(np.uint16), np.diff(g).astype(np.uint32), whole[inside], warm_key[h].astype(np.uint16), whole[warm[h]], rank[warm[h]].astype(np.uint16)))
                 )
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows_], pa.int32()), pa.array([p for _, p in rows_], pa.binary()), pa.nulls(len(rows_), pa.int32()), pa.nulls(len(rows_), pa.binary())], _DEALT)
             bucket, packed = _by_bucket(known[rank[later]], ids[later], buckets)
@@ -232,13 +230,20 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
     return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(settle, "bucket int, windows binary")
 
 
+def _steps(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps between ascending keys, as low and high halves: small ones shrink when they are compressed."""
+    step = np.diff(ascending, prepend=np.uint64(0))
+    return step.astype(np.uint32), (step >> np.uint64(32)).astype(np.uint32)
+
+
 _DEALT = ["shard", "payload", "bucket", "windows"]
 
 
 def _settled(payloads: list, often: np.ndarray, buckets: int) -> pa.RecordBatch:
     keys, holders, sizes, wholes, warm_keys, warm_wholes, warm_docs = [], [], [], [], [], [], []
     for p in payloads:
-        known, key, rank, n, whole, warm_key, warm_whole, warm_rank = unpack(p, np.int64, np.uint64, np.uint16, np.uint32, np.uint64, np.uint16, np.uint64, np.uint16)
+        known, low, high, rank, n, whole, warm_key, warm_whole, warm_rank = unpack(p, np.int64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint64, np.uint16, np.uint64, np.uint16)
+        known, key = np.cumsum(known), np.cumsum(low | (high.astype(np.uint64) << np.uint64(32)))
         keys.append(key)
         holders.append(known[rank])
         sizes.append(n)

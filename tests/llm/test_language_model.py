@@ -45,7 +45,9 @@ def test_levels_survive_mapping(tmp_path):
     mapped = op._open(f"file://{path}")
     at, count = mapped.look_up(word)
     assert at.tolist() == count.tolist() == list(range(50))
-    gains = mapped.gains(at, np.array([0, 3, 3]), np.array([7, 14, 15], np.uint64))
+    ranks = mapped.ranks(np.array([7, 14, 15], np.uint64))
+    assert ranks.tolist() == [1, 2, -1]
+    gains = mapped.gains(at, np.array([0, 3, 3]), ranks)
     assert gains.tolist() == pytest.approx([1 * op.STEP, 20 * op.STEP, 0])
 
 
