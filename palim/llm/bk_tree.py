@@ -43,14 +43,22 @@ class Forest:
         self.child = inner
         self.code = parent[inner] * 65 + edge[inner]
 
-    def within(self, query: np.ndarray, group: np.ndarray, radius: int, step: int = 1 << 20):
-        """Yields (query index, element) for all elements of the query's group within the radius; step bounds what is open at once."""
-        todo = [(np.arange(len(query)), self.roots[group])]
+    def within(self, query: np.ndarray, group: np.ndarray, radius: int, step: int = 1 << 18):
+        """Yields (query index, element) for all elements of the query's group within the radius; step bounds what is looked at at once."""
+        start = np.arange(0, len(query), step)
+        todo = [(np.arange(i, min(i + step, len(query))), None, None) for i in start]
         while todo:
-            q, node = todo.pop()
-            if len(q) > step:
-                todo += [(q[:step], node[:step]), (q[step:], node[step:])]
-                continue
+            q, a, size = todo.pop()
+            if a is None:
+                node = self.roots[group[q]]
+            else:
+                ends = np.cumsum(size)
+                if ends[-1] > step and len(q) > 1:  # ranges of children are split before they are unrolled
+                    i = max(1, int(np.searchsorted(ends, step, "right")))
+                    todo += [(q[i:], a[i:], size[i:]), (q[:i], a[:i], size[:i])]
+                    continue
+                node = self.child[np.repeat(a - np.concatenate(([0], ends[:-1])), size) + np.arange(ends[-1])]
+                q = np.repeat(q, size)
             d = np.bitwise_count(query[q] ^ self.prints[node]).astype(np.int64)
             near = d <= radius
             if near.any():
@@ -61,5 +69,4 @@ class Forest:
             some = size > 0
             a, size, q = a[some], size[some], q[some]
             if len(q):
-                at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                todo.append((np.repeat(q, size), self.child[at]))
+                todo.append((q, a, size))

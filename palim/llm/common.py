@@ -56,6 +56,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a few numbers up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if its count allows it."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of materialised tables that nothing will read again; other tables are left alone."""
     for t in tables:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palim.llm.common import materialise
+from palim.llm.common import materialise, small
 
 WINDOW = 8
 #: Words of a window that must not be placeholders; an item with other windows is also sought word for word.
@@ -182,9 +182,9 @@ def passages(docs: DataFrame, benchmark: DataFrame, cover: int = COVER) -> DataF
         .filter(F.col("covered") >= F.col("due"))
     )
     # Slots: values of the item beside those of the document, over the covered words.
-    wanted = enough.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    wanted = small(materialise(enough.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()))  # texts stay where they are
     same_row = (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    sources = plain.join(wanted, same_row, "left_semi").distinct()
+    sources = plain.join(wanted, same_row, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     sources = materialise(sources.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.array(*[_segments(i, F.col("plain")) for i in (CANONICAL, CASELESS, VERBATIM)]).alias("forms")))
     both = enough.join(sources, same_row).withColumn("own", F.get("forms", F.col("form"))).drop("forms")
     inside = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, F.least(p + WINDOW, F.col("size")) - 1))))
@@ -232,7 +232,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, whose text holds no benchmark item. Each row is judged by its own text, whatever its id: null, or repeated."""
     found = passages(docs, benchmark)
     gone = materialise(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return docs.join(gone, (F.xxhash64(docs["text"]) == F.col("__hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(small(gone), (F.xxhash64(docs["text"]) == F.col("__hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def op4_template_decontamination(spark, sf_dir: str) -> DataFrame:

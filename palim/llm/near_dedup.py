@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.bk_tree import Forest
-from palim.llm.common import blocks, discard, materialise, mix, utf8
+from palim.llm.common import blocks, discard, materialise, mix, small, utf8
 
 RADIUS = 4
 #: Pairs that are confirmed at once.
@@ -299,7 +299,7 @@ _FILL = np.uint64(1 << 32)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """least, digest and shingles (all distinct hashes, ascending) of the texts in wanted (least, digest)."""
+    """least, digest and shingles (all distinct hashes, ascending) of the texts with the ids in wanted (least). Repeated rows stay."""
 
     def run(batches):
         for b in blocks(batches):
@@ -312,8 +312,9 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets.append(np.unique(hashes).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("least"), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["least", "digest", "shingles"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(wanted.select("least").distinct(), "least", "left_semi")
-    return own.mapInArrow(run, "least long, digest binary, shingles binary").join(wanted, ["least", "digest"], "left_semi").dropDuplicates(["least", "digest"])
+    wanted = small(materialise(wanted))
+    own = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(wanted, "least", "left_semi")
+    return own.mapInArrow(run, "least long, digest binary, shingles binary")
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -332,7 +333,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     texts = materialise(profiles.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("print", "keys", "sketch")]))
     keyed = texts.select("least", F.posexplode("keys").alias("choice", "key"))
 
-    place = ["choice", "key", "x", "y", "least", "tree", "asks", "print", "digest"]
+    place = ["choice", "key", "x", "y", "least", "tree", "asks", "print", "digest", "keys"]
+
+    def meets_first(t: pa.Table):
+        """Which pairs of rows share no key before that of their block: two texts with several common keys are compared once."""
+        keys = np.concatenate([c.flatten().to_numpy() for c in t.column("keys").chunks]).reshape(-1, KEYS)
+        choice = t.column("choice").to_numpy()
+        return lambda a, b: (keys[a] == keys[b]).argmax(1) == choice[a]
 
     def screen(batches):
         """Rows with a neighbour in their block that isn't a clear miss."""
@@ -341,20 +348,33 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             size = np.array([len(x) for x in lists])
             sketches = np.full((len(lists), SKETCH), _FILL, np.uint64)
             sketches[np.arange(SKETCH) < size[:, None]] = np.concatenate(lists)
-            root = _search(t, WIDE, lambda a, b: _similar(sketches, a, b, similarity - SLACK))
+            first = meets_first(t)
+
+            def close(a, b):
+                out = first(a, b)
+                out[out] = _similar(sketches, a[out], b[out], similarity - SLACK)
+                return out
+
+            root = _search(t, WIDE, close)
             yield from t.select(place).filter(pa.array(np.bincount(root, minlength=len(root))[root] > 1)).combine_chunks().to_batches()
 
     def verify(batches):
         for t in _whole_blocks(batches, 1 << 11):
             sets = [np.frombuffer(x, np.uint64) for chunk in t.column("shingles").chunks for x in chunk.to_pylist()]
-            exact = lambda a, b: np.array([_jaccard(sets[i], sets[j]) >= similarity - 1e-9 for i, j in zip(a.tolist(), b.tolist())], bool)
+            first = meets_first(t)
+
+            def exact(a, b):
+                out = first(a, b)
+                out[out] = [_jaccard(sets[i], sets[j]) >= similarity - 1e-9 for i, j in zip(a[out].tolist(), b[out].tolist())]
+                return out
+
             yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, exact), ("a", "b"))
 
-    schema = "choice int, key long, x int, y int, least long, tree boolean, asks boolean, print long, digest binary"
-    near = materialise(_dealt(keyed, "least", texts.select("least", "print", "sketch", "digest")).mapInArrow(screen, schema))
-    sets = _shingle_sets(docs, near.select("least", "digest").distinct(), words)
+    schema = "choice int, key long, x int, y int, least long, tree boolean, asks boolean, print long, digest binary, keys array<long>"
+    near = materialise(_dealt(keyed, "least", texts.select("least", "print", "sketch", "digest", "keys")).mapInArrow(screen, schema))
+    sets = _shingle_sets(docs, near.select("least").distinct(), words)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocked = near.join(sets, ["least", "digest"]).repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", "least")
+    blocked = small(near).join(sets, ["least", "digest"]).repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", "least")
     edges = materialise(blocked.mapInArrow(verify, "a long, b long"))
     rooted = components(edges)
     named = texts.select("digest", "least", "copies").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"), "copies")
