@@ -191,7 +191,7 @@ class MemoryEngine:
     def review(self) -> int:
         """Rates the memories that were retrieved; gives how many have a new state."""
         queue, memories = self.table("pending_review_queue"), self.table("episodic_memory")
-        due = review.eligible(review.aggregate(review.unconsumed(queue)), memories, self.now())
+        due = review.eligible(review.wanted(review.unconsumed(queue)), memories, self.now())
         ids = [r["memory_id"] for r in due.select("memory_id").toLocalIterator()]
         answer = self.provider.generate_object("memory_review", {"memory_ids": ids}) if ids else {"ratings": []}
         if answer["ratings"]:

@@ -23,6 +23,16 @@ def dense_seq(rows: DataFrame, key: str, order: str, name: str = "seq", width: i
     return numbered.join(starts, [key, "__range"]).withColumn(name, (F.col("__before") + F.col("__row") - 1).cast("long")).drop("__range", "__row", "__before")
 
 
+def numbered_in_parts(rows: DataFrame, key: str, part: str, order: list[str], name: str) -> DataFrame:
+    """Numbers the rows of each key from 0 in the given order, in which the integer column `part` never falls: parts are numbered apart, then moved by the counts before them."""
+    counts = rows.groupBy(key, part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(key, part).orderBy(*order)
+    numbered = rows.withColumn("__row", F.row_number().over(inside)).join(starts, [key, part])
+    return numbered.withColumn(name, (F.col("__before") + F.col("__row") - 1).cast("long")).drop("__row", "__before")
+
+
 def with_previous(rows: DataFrame, key: str, seq: str, columns: dict[str, Column], width: int = RANGE) -> DataFrame:
     """Adds the values that the given expressions have in the row before (dense seq): the last row of a range also goes to the next one."""
     range_ = F.floor(F.col(seq) / width)

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from palim.functions import fsrs
 from palim.functions.text import tokens
-from palim.functions.vector import dot
+from palim.operators.cells import nearest
 from palim.schemas import EPISODIC_FINAL, LEG_CANDIDATES, MAX_DAYS, RRF_K
+from palim.sources.store import stored
 
 K1, B = 1.2, 0.75
-#: Queries up to which they are broadcast; beyond, joins shuffle both sides.
-BROADCAST_QUERIES = 10_000
+#: Distinct terms of queries up to which they are broadcast; beyond, the join shuffles both sides.
+BROADCAST_TERMS = 100_000
 
 
 def postings(memories: DataFrame) -> DataFrame:
@@ -37,16 +38,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "conversation_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    """Broadcast if the count of queries allows it."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+def wanted_postings(memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """The postings of the terms that queries have, stored: other terms are dropped before anything is counted or dealt out, and the memories are read once."""
+    words = memories.select("id", "conversation_id", tokens(F.col("search_text")).alias("w")).withColumn("dl", F.size("w").cast("long"))
+    exploded = words.select("id", "conversation_id", "dl", F.explode("w").alias("term"))
+    wanted = query_terms(queries).select("term").distinct()
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    return stored(exploded.join(wanted, "term", "left_semi").groupBy("term", "id", "conversation_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def bm25(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score for memories that share a term with the query. Terms that no query has are dropped before anything is summed."""
+    """query_id, id, score for memories that share a term with the query."""
     terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
-    index = postings(memories).join(wanted, "term", "left_semi")
+    index = wanted_postings(memories, queries)
     frequencies = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(corpus_stats(memories))  # one row
     met = index.join(terms, ["term", "conversation_id"]).join(frequencies, "term").crossJoin(stats)
@@ -60,15 +65,17 @@ def ranked(scores: DataFrame, limit: int = LEG_CANDIDATES) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(order).cast("long")).filter(F.col("r") <= limit)
 
 
-def vector_scores(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    asked = queries.select("query_id", "conversation_id", F.col("embedding").alias("__q"))
-    met = memories.select("id", "conversation_id", "embedding").join(_small(asked), "conversation_id")
-    return met.select("query_id", "id", dot(F.col("embedding"), F.col("__q")).alias("score"))
+def vector_scores(memories: DataFrame, queries: DataFrame, limit: int = LEG_CANDIDATES) -> DataFrame:
+    """query_id, id, score: the best `limit` memories of the query's conversation by inner product, and some more. A conversation of any size is dealt out in cells."""
+    probes = queries.select("conversation_id", F.col("query_id").alias("probe"), F.lit(None).alias("exclude"), F.col("embedding").alias("vector"))
+    members = memories.select("conversation_id", F.col("id").alias("member"), F.col("embedding").alias("vector"))
+    return nearest(probes, members, "conversation_id", limit).select(F.col("probe").alias("query_id"), F.col("member").alias("id"), "score")
 
 
 def fused(memories: DataFrame, queries: DataFrame, candidates: int = LEG_CANDIDATES) -> DataFrame:
-    """query_id, id, rrf: the sum of 1 / (30 + rank) over the legs that found it. Only ids and scores are shuffled."""
-    legs = ranked(bm25(memories, queries), candidates).select("query_id", "id", "r").unionByName(ranked(vector_scores(memories, queries), candidates).select("query_id", "id", "r"))
+    """query_id, id, rrf: the sum of 1 / (30 + rank) over the legs that found it. Only ids and scores are shuffled. The queries are made once."""
+    queries = stored(queries)
+    legs = ranked(bm25(memories, queries), candidates).select("query_id", "id", "r").unionByName(ranked(vector_scores(memories, queries, candidates), candidates).select("query_id", "id", "r"))
     return legs.groupBy("query_id", "id").agg(F.sum(F.lit(1.0) / (RRF_K + F.col("r"))).alias("rrf"))
 
 
@@ -110,6 +117,7 @@ def semantic(facts: DataFrame, queries: DataFrame, limit: int, category: str | N
 
 
 def _fused_over(active: DataFrame, table: DataFrame, queries: DataFrame) -> DataFrame:
+    queries = stored(queries)
     keyword = bm25(table, queries).join(active.select("id"), "id", "left_semi")
     legs = ranked(keyword).select("query_id", "id", "r").unionByName(ranked(vector_scores(active, queries)).select("query_id", "id", "r"))
     return legs.groupBy("query_id", "id").agg(F.sum(F.lit(1.0) / (RRF_K + F.col("r"))).alias("rrf"))
@@ -123,8 +131,9 @@ def recent(memories: DataFrame, now: Column, days: int | None, limit: int | None
 
 def similar_facts(probes: DataFrame, facts: DataFrame, threshold: float, limit: int = 5) -> DataFrame:
     """probes: probe_id, conversation_id, embedding, exclude_id (or null). Up to `limit` active facts of the conversation above the threshold."""
-    active = facts.filter("invalid_at IS NULL").select("id", "conversation_id", F.col("embedding").alias("__f"))
-    met = active.join(probes, "conversation_id").filter(F.col("exclude_id").isNull() | (F.col("id") != F.col("exclude_id")))
-    scored = met.withColumn("similarity", dot(F.col("__f"), F.col("embedding"))).filter(F.col("similarity") > F.lit(threshold))
+    members = facts.filter("invalid_at IS NULL").select("conversation_id", F.col("id").alias("member"), F.col("embedding").alias("vector"))
+    asked = probes.select("conversation_id", F.col("probe_id").alias("probe"), F.col("exclude_id").alias("exclude"), F.col("embedding").alias("vector"))
+    found = nearest(asked, members, "conversation_id", limit, threshold)
+    scored = found.select(F.col("probe").alias("probe_id"), F.col("member").alias("id"), F.col("score").alias("similarity"))
     order = Window.partitionBy("probe_id").orderBy(F.desc(F.round("similarity", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).select("probe_id", "conversation_id", "id", "similarity", "rank")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).select("probe_id", "id", "similarity", "rank")

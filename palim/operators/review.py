@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palim.functions import fsrs
 from palim.functions.text import parse_rating
+from palim.operators.ordered import numbered_in_parts
 from palim.operators.retrieval import whole_days
 
 
@@ -20,11 +21,17 @@ def drain(queue: DataFrame, now: Column) -> DataFrame:
     return queue.withColumn("consumed_at", F.coalesce("consumed_at", now))
 
 
-def aggregate(queue: DataFrame) -> DataFrame:
-    """memory_id and its queries in order of arrival, repeats kept."""
+def asked(queue: DataFrame) -> DataFrame:
+    """memory_id, position and query: the queries of each memory in order of arrival (from 0), repeats kept. A memory that everybody asks for is numbered in parts, by hours."""
     rows = queue.select("created_at", "id", "query", F.posexplode("memory_ids").alias("place", "memory_id"))
-    grouped = rows.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "place", "query"))).alias("q"))
-    return grouped.select("memory_id", F.transform("q", lambda x: x["query"]).alias("queries"))
+    rows = rows.withColumn("__hour", F.floor(F.unix_seconds("created_at") / 3600))
+    numbered = numbered_in_parts(rows, "memory_id", "__hour", ["created_at", "id", "place"], "position")
+    return numbered.select("memory_id", "position", "query")
+
+
+def wanted(queue: DataFrame) -> DataFrame:
+    """memory_id of all memories that were asked for, each once, and how often: counts are summed before they are dealt out."""
+    return queue.select(F.explode("memory_ids").alias("memory_id")).groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def eligible(wanted: DataFrame, memories: DataFrame, reviewed_at: Column) -> DataFrame:

@@ -6,11 +6,12 @@ end_seq, classification, origin (of the boundary before them; null for the first
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palim.operators.ordered import running_sum, with_previous
+from palim.operators.ordered import dense_seq, running_sum, with_previous
 from palim.schemas import CLASSIFY_MAX, HARD_GAP_MINUTES, LEASE_MINUTES, MERGE_BELOW, SOFT_GAP_MINUTES, SPLIT_ABOVE, TRIGGER_MESSAGES
+from palim.sources.store import stored
 
 #: The offline stand-ins for model calls: a segment with fewer characters is low_info; a split is at every so many messages.
 STUB_LOW_INFO_CHARS = 40
@@ -91,26 +92,52 @@ def primitive_review(messages: DataFrame) -> DataFrame:
     )
 
 
+#: Segments of a chain that are folded together; a group has MERGE_BELOW segments at most, so it spans two such parts at most.
+CHAIN_PART = 4096
+
+
 def merge_groups(segments: DataFrame) -> DataFrame:
     """Segments with `group_start`: informative segments join over soft boundaries while their total is below 30.
 
-    Only chains of informative segments with soft boundaries can join; each chain is folded on its own.
+    Only chains of informative segments with soft boundaries can join. A chain is dealt out in parts. What a part hands on
+    is the total of its open group, which depends on the total handed to it (0: no open group, or 1 to 29); a part is
+    folded once for each of these, the parts of a chain are then put together by those few numbers, and folded for good.
     """
-    order = Window.partitionBy("conversation_id").orderBy("start_seq")
-    joined = (F.col("classification") == "informative") & (F.lag("classification").over(order) == "informative") & (F.col("origin") == "rule_soft")
-    chained = segments.withColumn("chain", F.sum(F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).over(order))
-    chains = chained.groupBy("conversation_id", "chain").agg(F.sort_array(F.collect_list(F.struct("start_seq", "end_seq", "n", "classification", "origin", "gap_minutes"))).alias("parts"))
-    empty = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-1).cast("long").alias("start"), F.array().cast("array<bigint>").alias("starts"))
+    dense = dense_seq(stored(segments), "conversation_id", "start_seq", "__idx")
+    paired = with_previous(dense, "conversation_id", "__idx", {"kind_before": F.col("classification")})
+    joined = F.coalesce((F.col("classification") == "informative") & (F.col("kind_before") == "informative") & (F.col("origin") == "rule_soft"), F.lit(False))
+    chained = stored(running_sum(paired.withColumn("__joined", joined).drop("kind_before"), "conversation_id", "__idx", (~F.col("__joined")).cast("long"), "chain"))
+    first = chained.filter(~F.col("__joined")).select("conversation_id", "chain", F.col("__idx").alias("__first"))
+    placed = chained.join(first, ["conversation_id", "chain"]).withColumn("part", F.floor((F.col("__idx") - F.col("__first")) / CHAIN_PART))
+    fields = ("start_seq", "end_seq", "n", "classification", "origin", "gap_minutes")
+    parts = stored(placed.groupBy("conversation_id", "chain", "part").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("parts")))
+
+    def total_after(total: Column, n: Column) -> Column:
+        """The open group's total after a segment; 0 once it is full."""
+        new = F.when(total > 0, total + n).otherwise(n)
+        return F.when(new < MERGE_BELOW, new).otherwise(F.lit(0).cast("long"))
+
+    # What each part that another one follows makes of each total, and the total that each part begins with.
+    several = parts.filter(F.col("part") > 0).select("conversation_id", "chain").distinct()
+    totals = F.array(*[F.lit(t).cast("long") for t in range(MERGE_BELOW)])
+    after = F.aggregate("parts", totals, lambda state, p: F.transform(state, lambda t: total_after(t, p["n"])))
+    maps = parts.join(several, ["conversation_id", "chain"], "left_semi").select("conversation_id", "chain", F.struct("part", after.alias("map")).alias("m"))
+    maps = maps.groupBy("conversation_id", "chain").agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["map"]).alias("maps"))
+    none = F.array(F.lit(0).cast("long"))
+    given = F.aggregate("maps", none, lambda state, m: F.concat(state, F.array(F.get(m, F.element_at(state, -1).cast("int")))))
+    given = maps.select("conversation_id", "chain", F.posexplode(given).alias("part", "given"))
+    empty = F.struct(F.col("given").alias("total"), F.lit(None).cast("long").alias("start"), F.array().cast("array<bigint>").alias("starts"))
 
     def fold(state: Column, part: Column) -> Column:
-        goes_on = (state["start"] >= 0) & (state["total"] < MERGE_BELOW)
-        start = F.when(goes_on, state["start"]).otherwise(part["start_seq"])
-        total = F.when(goes_on, state["total"] + part["n"]).otherwise(part["n"])
-        return F.struct(total.alias("total"), start.alias("start"), F.concat(state["starts"], F.array(start)).alias("starts"))
-
-    starts = chains.withColumn("starts", F.aggregate("parts", empty, fold, lambda s: s["starts"]))
-    rows = starts.select("conversation_id", F.explode(F.arrays_zip("parts", "starts")).alias("x"))
-    return rows.select("conversation_id", "x.parts.*", F.col("x.starts").alias("group_start"))
+        start = F.when(state["total"] > 0, state["start"]).otherwise(part["start_seq"])
+        return F.struct(total_after(state["total"], part["n"]).alias("total"), start.alias("start"), F.concat(state["starts"], F.array(start)).alias("starts"))
+
+    begun = parts.join(given.withColumn("part", F.col("part").cast("long")), ["conversation_id", "chain", "part"], "left").withColumn("given", F.coalesce("given", F.lit(0).cast("long")))
+    folded = begun.withColumn("starts", F.aggregate("parts", empty, fold, lambda s: s["starts"]))
+    # A group that goes on from the part before begins where that part's last group does.
+    handed = folded.join(several, ["conversation_id", "chain"], "left_semi").select("conversation_id", "chain", (F.col("part") + 1).alias("part"), F.array_max("starts").alias("handed"))
+    rows = folded.join(handed, ["conversation_id", "chain", "part"], "left").select("conversation_id", "handed", F.explode(F.arrays_zip("parts", "starts")).alias("x"))
+    return rows.select("conversation_id", "x.parts.*", F.coalesce("x.starts", "handed").alias("group_start"))
 
 
 def merge_sweep(segments: DataFrame) -> DataFrame:

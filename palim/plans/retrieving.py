@@ -107,12 +107,13 @@ def queue_drain(spark, sf_dir) -> DataFrame:
 
 
 def review_aggregate(spark, sf_dir) -> DataFrame:
+    """Each memory that waits for a review with its queries in order, and their number."""
     waiting = ad.pending(spark, sf_dir).filter("consumed_at IS NULL")
-    return review.aggregate(waiting).select("memory_id", F.size("queries").cast("long").alias("n"), F.array_join("queries", "|").alias("queries"))
+    return review.asked(waiting).join(review.wanted(waiting), "memory_id").select("memory_id", "n", "position", "query")
 
 
 def _due(spark, sf_dir) -> DataFrame:
-    waiting = review.aggregate(ad.pending(spark, sf_dir).filter("consumed_at IS NULL"))
+    waiting = review.wanted(ad.pending(spark, sf_dir).filter("consumed_at IS NULL"))
     return review.eligible(waiting, ad.episodic(spark, sf_dir), ad.now())
 
 
@@ -249,7 +250,7 @@ ORACLE_SQL = {
     "fsrs_next_states": sql(f"SELECT id, rating, round({_S}, 5) AS stability, round({_D}, 6) AS difficulty FROM (SELECT *, CAST({_DAYS} AS DOUBLE) AS days FROM episodic), {_GRADES}", "episodic"),
     "pending_fifo": sql("SELECT id, conversation_id, query FROM pending WHERE consumed_at IS NULL ORDER BY created_at, id", "pending"),
     "queue_drain": sql(f"SELECT id, epoch_us(coalesce(consumed_at, TIMESTAMP '{NOW}')) AS consumed_us FROM pending", "pending"),
-    "review_aggregate": sql("SELECT memory_id, count(*) AS n, string_agg(query, '|' ORDER BY created_at, id, place) AS queries FROM waiting GROUP BY 1", "pending", waiting=_WAITING),
+    "review_aggregate": sql("SELECT memory_id, count(*) OVER (PARTITION BY memory_id) AS n, row_number() OVER (PARTITION BY memory_id ORDER BY created_at, id, place) - 1 AS position, query FROM waiting", "pending", waiting=_WAITING),
     "review_eligible": sql("SELECT memory_id, days FROM due", "pending", "episodic", waiting=_WAITING, due=_DUE),
     "review_apply": sql(
         f"""SELECT memory_id, rating, CAST(days AS BIGINT) AS days, round({_S}, 5) AS stability, round({_D}, 6) AS difficulty FROM (SELECT memory_id, rating, stability, difficulty, CAST(days AS DOUBLE) AS days, grade FROM due JOIN (

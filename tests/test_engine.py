@@ -87,8 +87,8 @@ def test_review_gate_and_ratings(spark):
     rows = [(k, NOW.replace(tzinfo=None) - timedelta(seconds=s), 2.0, 5.0) for k, s in (("a", -1), ("b", 0), ("c", 86399), ("d", 86400))]
     memories = spark.createDataFrame(rows, "id string, last_reviewed_at timestamp, stability double, difficulty double")
     queue = spark.createDataFrame([(1, "q1", ["d", "a", "d"], NOW), (2, "q2", ["d", "c", "b", "x"], NOW)], "id long, query string, memory_ids array<string>, created_at timestamp")
-    listed = review.aggregate(queue)
-    assert listed.filter("memory_id = 'd'").first()["queries"] == ["q1", "q1", "q2"]
+    assert [r["query"] for r in review.asked(queue).filter("memory_id = 'd'").orderBy("position").collect()] == ["q1", "q1", "q2"]
+    listed = review.wanted(queue)
     due = review.eligible(listed, memories, F.lit(NOW))
     assert [r["memory_id"] for r in due.collect()] == ["d"]
     ratings = spark.createDataFrame([("d", 0, "AGAIN"), ("d", 1, "easy"), ("zz", 2, "good")], "memory_id string, place long, rating string")

@@ -161,3 +161,33 @@ def test_ordered_primitives_across_ranges(spark):
         assert [r["v"] for r in got] == values
         assert [r["before"] for r in got] == [None, *values[:-1]]
         assert [r["total"] for r in got] == [sum(values[: i + 1]) for i in range(25)]
+
+
+def test_long_chains_are_folded_in_parts(spark, monkeypatch):
+    """Chains over many parts give the groups of a walk from their start; sizes and breaks by a fixed rule."""
+    monkeypatch.setattr(seg, "CHAIN_PART", 31)
+    rows, want, x = [], {}, 7
+    for c in range(3):
+        at, total, start = 0, 0, None
+        for i in range(400):
+            x = (x * 1103515245 + 12345) % (1 << 31)
+            n, soft = (x >> 8) % 13 + 1, i > 0 and (x >> 16) % 150 > 0
+            if soft and 0 < total < 30:
+                total += n
+            else:
+                total, start = n, at
+            rows.append((f"c{c}", at, at + n - 1, n, "informative", "rule_soft" if soft else "rule_hard", 40))
+            want[f"c{c}", at] = start
+            at += n
+    df = spark.createDataFrame(rows, "conversation_id string, start_seq long, end_seq long, n long, classification string, origin string, gap_minutes long")
+    got = {(r["conversation_id"], r["start_seq"]): r["group_start"] for r in seg.merge_groups(df).collect()}
+    assert got == want
+
+
+def test_no_task_holds_a_hot_conversation(spark, tmp_path):
+    """One conversation with nine rows in ten: no window or list of segments is keyed by the conversation alone."""
+    rows = spark.createDataFrame([("hot" if i % 10 else "c", i, i, 1, "informative", "rule_soft", 40) for i in range(50)], "conversation_id string, start_seq long, end_seq long, n long, classification string, origin string, gap_minutes long")
+    plan = seg.merge_groups(rows)._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.split("\n"):
+        if "collect_list(struct(start_seq" in line.replace("named_struct", "struct"):
+            assert "part" in line.split("],")[0]
