@@ -102,13 +102,13 @@ def apply_in_order(facts: pd.DataFrame, actions: pd.DataFrame, threshold: float)
                 settle(found)
             else:
                 settle(duplicate(None))
-    rows = [(v["id"], v["category"], v["fact"], len(v["sources"]), v["valid"]) for v in state.values()]
-    return pd.DataFrame(rows, columns=["id", "category", "fact", "source_count", "active"])
+    rows = [(v["id"], v["category"], v["fact"], len(v["sources"]), v["valid"], v["sources"], v["embedding"]) for v in state.values()]
+    return pd.DataFrame(rows, columns=["id", "category", "fact", "source_count", "active", "sources", "embedding"])
 
 
 def apply_actions(facts: DataFrame, actions: DataFrame, threshold: float = DUPLICATE_SIMILARITY) -> DataFrame:
     """Normalised actions applied conversation by conversation: the order within one matters, so each is a group of its own."""
-    schema = "conversation_id string, id string, category string, fact string, source_count int, active boolean"
+    schema = "conversation_id string, id string, category string, fact string, source_count int, active boolean, sources array<string>, embedding array<float>"
 
     ship(facts.sparkSession)
 

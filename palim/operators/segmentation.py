@@ -140,11 +140,16 @@ def merge_groups(segments: DataFrame) -> DataFrame:
     return rows.select("conversation_id", "x.parts.*", F.coalesce("x.starts", "handed").alias("group_start"))
 
 
-def merge_sweep(segments: DataFrame) -> DataFrame:
-    """Final segments: a group of two or more is split anew (by the stand-in, every 12 messages) into informative segments."""
-    groups = merge_groups(segments).groupBy("conversation_id", F.col("group_start").alias("start_seq")).agg(
+def grouped(segments: DataFrame) -> DataFrame:
+    """A row for each group of merge_groups: its range, messages and parts."""
+    return merge_groups(segments).groupBy("conversation_id", F.col("group_start").alias("start_seq")).agg(
         F.max("end_seq").alias("end_seq"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.min_by("classification", "start_seq").alias("classification"),
     )
+
+
+def merge_sweep(segments: DataFrame) -> DataFrame:
+    """Final segments: a group of two or more is split anew (by the stand-in, every 12 messages) into informative segments."""
+    groups = grouped(segments)
     starts = F.when(F.col("parts") > 1, F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STUB_SPLIT_EVERY).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     ranges = groups.select("conversation_id", "start_seq", "classification", F.explode(split_ranges(F.col("n"), starts)).alias("r"))
     return ranges.select("conversation_id", (F.col("start_seq") + F.col("r.first")).alias("start_seq"), (F.col("start_seq") + F.col("r.last")).alias("end_seq"), "classification")
@@ -192,6 +197,28 @@ def checked_claims(state: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.join(lease, "conversation_id", "left").withColumn("problem", F.when(mismatch, "claim mismatch").when(outside, "next outside the claim"))
 
 
+def taken(state: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
+    """The states of claims (conversation_id, claim_start, claim_end) with the lease taken."""
+    return state.join(claims.select("conversation_id", "claim_start", "claim_end"), "conversation_id").withColumns({"active_segment_start_seq": F.col("claim_start"), "active_segment_end_seq": F.col("claim_end"), "active_since": now})
+
+
+def _released(state: DataFrame, claims: DataFrame, next_seq: Column) -> DataFrame:
+    """The states whose active lease is the claim's, without it."""
+    both = state.join(claims, "conversation_id").filter((F.col("active_segment_start_seq") == F.col("claim_start")) & (F.col("active_segment_end_seq") == F.col("claim_end")))
+    none = {c: F.lit(None).cast(state.schema[c].dataType) for c in ("active_segment_start_seq", "active_segment_end_seq", "active_since")}
+    return both.withColumns({"next_segment_start_seq": next_seq, **none})
+
+
+def committed(state: DataFrame, claims: DataFrame) -> DataFrame:
+    """The states after claims (with next) are done: the lease goes, and so does the end mark."""
+    return _released(state, claims, F.col("next")).withColumn("eof_identified", F.lit(False))
+
+
+def aborted(state: DataFrame, claims: DataFrame) -> DataFrame:
+    """The states after claims have failed: they start again where they began. Where another claim is active, nothing changes."""
+    return _released(state, claims, F.col("claim_start"))
+
+
 def legacy_time_gap(messages: DataFrame, minutes: int = SOFT_GAP_MINUTES) -> DataFrame:
     """The older segmenter: a new segment where a gap is more than 30 minutes."""
     gaps = adjacent_gaps(messages)

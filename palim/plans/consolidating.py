@@ -55,7 +55,7 @@ def consolidate_apply(spark, sf_dir) -> DataFrame:
     scope = facts.filter((F.col("id").cast("long") % 10) < 2).groupBy("conversation_id").agg(F.array_sort(F.collect_list("id")).alias("scope"))
     place = place.join(F.broadcast(scope), "conversation_id")
     cols = ("conversation_id", "episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding", "scope")
-    return con.apply_actions(facts, place.select(*cols), 0.3)
+    return con.apply_actions(facts, place.select(*cols), 0.3).drop("sources", "embedding")
 
 
 def job_status(spark, sf_dir) -> DataFrame:

@@ -13,12 +13,16 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palim.operators.segmentation import STUB_LOW_INFO_CHARS, STUB_SPLIT_EVERY
-from palim.schemas import EMBEDDING_DIM
+from palim.schemas import CLASSIFY_MAX, EMBEDDING_DIM, SPLIT_ABOVE
 from palim.shipping import ship
+from palim.streaming.segments import starts_to_ranges
 
 ATTEMPTS = 4
+#: Memories that one review call rates.
+REVIEW_BATCH = 50
 DELAYS = (0.5, 1.0, 2.0)
 _RETRYABLE_CODES = {"rate_limit_exceeded", "server_error", "internal_error", "server_overloaded"}
 _RETRYABLE_TEXT = ("timeout", "timed out", "connection reset", "connection refused", "429", "500", "502", "503", "504")
@@ -165,6 +169,125 @@ def insertions_column(rows: DataFrame, messages: str, provider: ModelProvider, n
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(_INSERTION))]))
 
 
+def _call(provider: ModelProvider, name: str, messages: list, **more) -> dict:
+    payload = {"messages": [{"role": m["role"], "content": m["content"], "timestamp": str(m["ts"])} for m in messages], **more}
+    return with_retry(lambda: provider.generate_object(name, payload, {}))
+
+
+def _ranges(answer: dict, n: int) -> list[tuple[int, int]]:
+    """Ranges from the proposed starts; what isn't a list of integers is an error."""
+    starts = answer["split_start_message_indices"]
+    if not isinstance(starts, list) or any(isinstance(i, bool) or not isinstance(i, int) for i in starts):
+        raise ModelError("split starts must be integers")
+    return starts_to_ranges(n, starts)
+
+
+def _checked(row: dict) -> list:
+    """The messages of a segment: they must begin and end where it does."""
+    messages = row["messages"] or []
+    if not messages or messages[0]["seq"] != row["start_seq"] or messages[-1]["seq"] != row["end_seq"]:
+        raise ModelError("messages don't match the segment's range")
+    return messages
+
+
+def _classified(provider: ModelProvider, messages: list) -> str:
+    if len(messages) > CLASSIFY_MAX:
+        return "informative"
+    kind = _call(provider, "primitive_segment_classification", messages)["classification"]
+    if kind not in ("low_info", "informative"):
+        raise ModelError(f"unknown classification {kind}")
+    return kind
+
+
+_SEGMENT = "conversation_id string, start_seq long, end_seq long, n long, classification string, origin string, gap_minutes long"
+
+
+def _by_row(rows: DataFrame, made: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """made(row) for each row, on the executors."""
+    ship(rows.sparkSession)
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(batches):
+        for b in batches:
+            out = [x for row in b.to_pylist() for x in made(row)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], arrow) if out else pa.RecordBatch.from_pylist([], arrow)
+
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    return rows.mapInArrow(run, schema)
+
+
+def reviewed(buckets: DataFrame, provider: ModelProvider) -> DataFrame:
+    """buckets: conversation_id, start_seq, end_seq, origin, gap_minutes, messages (seq, role, content, ts). Their segments: small ones
+    classified by the model, large ones split by it; a split that can't be read leaves one informative segment."""
+
+    def made(row: dict) -> list[tuple]:
+        messages = _checked(row)
+        n = len(messages)
+        parts, kinds = [(0, n - 1)], None
+        if n > SPLIT_ABOVE:
+            try:
+                parts = _ranges(_call(provider, "primitive_segment_split", messages), n)
+            except (ModelError, KeyError, TypeError) as e:
+                if is_retryable(e):
+                    raise
+                kinds = ["informative"]
+        kinds = kinds or [_classified(provider, messages[a : z + 1]) for a, z in parts]
+        return [
+            (row["conversation_id"], messages[a]["seq"], messages[z]["seq"], z - a + 1, kind, "llm_locked" if i else row["origin"], None if i else row["gap_minutes"])
+            for i, ((a, z), kind) in enumerate(zip(parts, kinds))
+        ]
+
+    return _by_row(buckets, made, _SEGMENT)
+
+
+def resegmented(groups: DataFrame, provider: ModelProvider) -> DataFrame:
+    """groups: conversation_id, start_seq, end_seq, messages. Informative segments by the model's starts; an answer that can't be read is an error."""
+
+    def made(row: dict) -> list[tuple]:
+        messages = _checked(row)
+        return [(row["conversation_id"], messages[a]["seq"], messages[z]["seq"], "informative") for a, z in _ranges(_call(provider, "constrained_resegmentation", messages), len(messages))]
+
+    return _by_row(groups, made, "conversation_id string, start_seq long, end_seq long, classification string")
+
+
+def titles(episodes: DataFrame, provider: ModelProvider) -> DataFrame:
+    """id and title of each episode (id, messages)."""
+    return _by_row(episodes.select("id", "messages"), lambda row: [(row["id"], str(_call(provider, "episodic_title_generation", row["messages"]).get("title") or ""))], "id string, title string")
+
+
+def proposed_actions(calls: DataFrame, provider: ModelProvider) -> DataFrame:
+    """calls: id, title, messages (role, content, ts), related and chosen (arrays of category and fact, related with id). Without related facts, facts are
+    drawn from the episode; else from what a prediction by the chosen ones misses."""
+
+    def made(row: dict) -> list[tuple]:
+        line = lambda f: f"- [{f['category']}] {f['fact']}"
+        if not row["related"]:
+            answer = _call(provider, "pcl_cold_start", row["messages"], title=row["title"])
+        else:
+            known = "\n".join(line(f) for f in row["chosen"] or [])
+            prediction = with_retry(lambda: provider.generate_text([{"role": "user", "content": f"Episode Title: {row['title']}\n\nExisting Knowledge:\n{known}"}]))
+            answer = _call(provider, "pcl_calibrate", row["messages"], title=row["title"], facts=[line(f) for f in row["related"]], fact_ids=[f["id"] for f in row["related"]], prediction=prediction)
+        return [(row["id"], i, a["kind"], a["fact"], a["category"], a["target_fact_id"], float(a["confidence"])) for i, a in enumerate(answer["actions"])]
+
+    return _by_row(calls, made, "episode_id string, place long, kind string, fact string, category string, target_fact_id string, confidence double")
+
+
+def rated(ids: DataFrame, provider: ModelProvider) -> DataFrame:
+    """memory_id, place, rating as the model gives them, REVIEW_BATCH memories to a call."""
+    ship(ids.sparkSession)
+    schema = "memory_id string, place long, rating string"
+
+    def run(batches):
+        for b in batches:
+            all_ids = b.column("memory_id").to_pylist()
+            for i in range(0, len(all_ids), REVIEW_BATCH):
+                part = all_ids[i : i + REVIEW_BATCH]
+                found = with_retry(lambda: provider.generate_object("memory_review", {"memory_ids": part}, {}))["ratings"]
+                yield pa.RecordBatch.from_arrays([pa.array([r["memory_id"] for r in found], pa.string()), pa.array(range(len(found)), pa.int64()), pa.array([r["rating"] for r in found], pa.string())], ["memory_id", "place", "rating"])
+
+    return ids.select("memory_id").mapInArrow(run, schema)
+
+
 def typed(text: str, required: tuple[str, ...]) -> dict:
     """A model's JSON object; a missing key is an error."""
     value = json.loads(text)

@@ -145,3 +145,94 @@ def test_time_anchors_reach_the_content(spark, tmp_path):
     engine.import_batch_messages("c", [{"role": "Ann", "content": "we met  last week in the park", "timestamp": 0}, {"role": "Bob", "content": "indeed we did, it was nice", "timestamp": 60_000}])
     assert engine.process() == 1
     assert engine.table("episodic_memory").first()["content"] == "Spoken At: Jan 1, 1970 12 AM\nAnn: we met last week (week of 25 May 2026) in the park\nBob: indeed we did, it was nice"
+
+
+class Fragile(OfflineProvider):
+    """Fails while a file exists; every split proposes starts that aren't integers."""
+
+    def __init__(self, dim, flag, name="primitive_segment_classification"):
+        super().__init__(dim)
+        self.flag, self.name = flag, name
+
+    def generate_object(self, name, payload, schema=None):
+        import os
+
+        if name == self.name and os.path.exists(self.flag):
+            raise ModelError("bad request", status=400)
+        if name == "primitive_segment_split":
+            return {"split_start_message_indices": ["no", 3]}
+        if name == "episodic_title_generation":
+            return {"title": " On %d messages " % len(payload["messages"])}
+        return super().generate_object(name, payload, schema)
+
+
+def _log(n, start=0):
+    return [{"role": "user", "content": f"message number {i} about the garden", "timestamp": (start + i) * 60_000} for i in range(n)]
+
+
+def test_a_failed_claim_is_given_back(spark, tmp_path):
+    flag = tmp_path / "down"
+    flag.write_text("")
+    engine = MemoryEngine(spark, f"file://{tmp_path}/store", Fragile(16, str(flag)), now=lambda: NOW)
+    engine.import_batch_messages("c", _log(3))
+    with pytest.raises(Exception):
+        engine.process(retries=0)
+    state = engine.table("segmentation_state").first()
+    assert (state["next_segment_start_seq"], state["active_segment_start_seq"], state["eof_identified"]) == (0, None, True)
+    assert engine.table("episode_span").count() == 0
+    flag.unlink()
+    assert engine.process() == 1
+    state = engine.table("segmentation_state").first()
+    assert (state["next_segment_start_seq"], state["active_segment_start_seq"], state["eof_identified"]) == (3, None, False)
+    assert engine.table("episodic_memory").first()["title"] == "On 3 messages"
+
+
+def test_a_commit_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    engine = MemoryEngine(spark, f"file://{tmp_path}/store", OfflineProvider(16), now=lambda: NOW, reviews=False)
+    engine.import_batch_messages("c", _log(3))
+    publish = engine.store._publish
+
+    def broken(number, tables):
+        if "episode_span" in tables:
+            raise OSError("disk full")
+        publish(number, tables)
+
+    monkeypatch.setattr(engine.store, "_publish", broken)
+    with pytest.raises(OSError):
+        engine.process(retries=0)
+    assert engine.table("episode_span").count() == 0 and engine.table("episodic_memory").count() == 0
+    assert engine.table("segmentation_state").first()["active_segment_start_seq"] is None
+    monkeypatch.setattr(engine.store, "_publish", publish)
+    assert engine.process() == 1
+    assert engine.table("episode_span").count() == engine.table("episodic_memory").count() == 1
+
+
+def test_a_split_that_cant_be_read_leaves_one_segment(spark, tmp_path):
+    engine = MemoryEngine(spark, f"file://{tmp_path}/store", Fragile(16, "/nowhere"), now=lambda: NOW, reviews=False)
+    engine.import_batch_messages("c", _log(25))
+    assert engine.process() == 1
+    status = engine.job_status("c")
+    assert status == {"messages_pending": 0, "segmentation_active": False, "segmentation_jobs": 0, "episode_jobs": 0, "consolidation_jobs": 0, "done": True}
+
+
+def test_another_writers_commit_is_seen(spark, tmp_path):
+    from palim.sources.store import ConcurrentWrite, Store
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    one = spark.createDataFrame([("a", 1)], "id string, n int")
+    store.commit({"t": one})
+    base, _ = store.manifest()
+    store.commit({"t": spark.createDataFrame([("a", 2), ("b", 1)], one.schema)}, base=base)
+    with pytest.raises(ConcurrentWrite):
+        store.commit({"t": one}, base=base)
+    rows = lambda: sorted(tuple(r) for r in store.read("t", one.schema, "id").collect())
+    assert rows() == [("a", 2), ("b", 1)]  # the last row of a key holds
+    (tmp_path / "store" / "_commits" / "00000009").write_text('{"t": ["tor')  # a writer that ended half-way
+    assert rows() == [("a", 2), ("b", 1)]
+    monkeyed = Store.MOST_FOLDERS
+    try:
+        Store.MOST_FOLDERS = 1
+        store.compact("t", one.schema, "id")
+    finally:
+        Store.MOST_FOLDERS = monkeyed
+    assert rows() == [("a", 2), ("b", 1)] and len(store.manifest()[1]["t"]) == 1
