@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palim.llm.common import materialise
+from palim.llm.common import materialise, small
 
 #: Ranges of a dimension counted at once while a median is searched.
 BINS = 1024
-#: Parts of a shard that are numbered independently, so that no task holds a whole shard.
-SLOT_PARTS = 64
+#: Rows of a part of a shard; parts are numbered independently, so that no task holds a whole shard.
+SLOT_ROWS = 1_000_000
 
 
 @dataclass
@@ -155,34 +155,37 @@ def _medians(placed: DataFrame, axes: list[str], weight: str, wanted: list[_Sear
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each document; law `bytes`: shards hold near equal bytes.
 
-    The dimensions are size and checksum, so equal texts share a leaf unless they outweigh it. Null
-    text counts as empty; a null doc_id sorts as 0 where a group must be split; repeated rows each get a slot.
+    The dimensions are metadata that equal texts share, so that these share a leaf unless they outweigh it: bytes, code
+    points, lines, and the checksum. Null text counts as empty; a null doc_id sorts as 0 where a group must be split;
+    repeated rows each get a slot.
     """
     meta = materialise(
         docs.select(
             "doc_id",
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+            F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
+            (F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) + 1).cast("long").alias("n_lines"),
             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
             F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("__tie"),
         )
     )
-    placed = kd_shards(meta, ["size", "text_crc32"], "size", shards, "__tie")
+    placed = kd_shards(meta, ["size", "n_chars", "n_lines", "text_crc32"], "size", shards, "__tie")
     return number_slots(placed).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def number_slots(placed: DataFrame) -> DataFrame:
-    """Adds `slot`, gapless from 0 in each shard: parts of a shard are numbered apart, then moved by the counts before them."""
-    from pyspark.sql import Window
-
-    parts = placed.withColumn("__part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SLOT_PARTS)).cast("int"))
-    counts = parts.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))  # shards * SLOT_PARTS rows at most
+    """Adds `slot`, gapless from 0 in each shard: parts of a shard, as many as its rows call for, are numbered apart, then moved by the counts before them."""
+    n = max(1, -(-placed.count() // SLOT_ROWS))
+    parts = placed.withColumn("__part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(3)), F.lit(max(n, 8))).cast("int"))
+    counts = parts.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each SLOT_ROWS rows and shard
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     numbered = parts.withColumn("__row", F.row_number().over(Window.partitionBy("shard", "__part").orderBy("doc_id", "size", "text_crc32")))
-    return numbered.join(F.broadcast(offsets), ["shard", "__part"]).withColumn("slot", (F.col("__before") + F.col("__row") - 1).cast("long"))
+    return numbered.join(small(materialise(offsets)), ["shard", "__part"]).withColumn("slot", (F.col("__before") + F.col("__row") - 1).cast("long"))
 
 
 def op9_kd_sharding(spark, sf_dir: str) -> DataFrame:
+    """All of `documents` in shards 0 to 7: doc_id, size, text_crc32, law (`bytes`), shard, slot, grown_shard (null). Null text has size 1 and checksum 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard_documents(docs, 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
