@@ -166,5 +166,6 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """All of `documents`, learned from those not held out: doc_id, held_out, lang_pred, score. Null texts and those without a letter: und, 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, train(docs.filter(~held_out(5, 0)).select("doc_id", "text", "lang")))

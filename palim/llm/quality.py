@@ -129,5 +129,6 @@ def score(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
 
 
 def op3_quality_subwords(spark, sf_dir: str) -> DataFrame:
+    """All of `documents`, learned from labelled ones not held out: doc_id, held_out, score, predicted. Null and empty texts get the score of the bias."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -281,4 +281,5 @@ def model_path(spark: SparkSession) -> str:
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """All of `documents`: doc_id, n_pieces, pieces_sha256, decoded_sha256, round_trip. Null text counts as empty, which has no pieces."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path(spark))

@@ -23,6 +23,8 @@ K, S = 24, 8
 SKETCH = 128
 #: Ranges of doc_id per shuffle partition; neighbours are in one range but for its last document.
 RANGES = 4
+#: Bytes of text that one task takes at most, ids being distinct.
+TASK_BYTES = 64 << 20
 
 
 def anchors(data: np.ndarray, off: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,9 +91,31 @@ def all_anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[order], hashes[order], docs[order]
 
 
+def sketch_of(found: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of n documents from their anchors (start, hash, document): values and n + 1 bounds. A text without anchors, the empty one, has an empty sketch."""
+    _, hashes, docs = found
+    return _least_distinct(docs, hashes >> np.uint64(32), n, SKETCH)
+
+
 def sketches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, hashes, docs = all_anchors(data, off)
-    return _least_distinct(docs, hashes >> np.uint64(32), len(off) - 1, SKETCH)
+    return sketch_of(all_anchors(data, off), len(off) - 1)
+
+
+def same_until(a: tuple, a_off: np.ndarray, b: tuple, b_off: np.ndarray) -> np.ndarray:
+    """For documents of the same number in both: up to which byte their anchors agree in place and hash, one by one from the start. Anchors are context-free, so
+    that text before an edit keeps all of its anchors; what is returned is the end of the last of them (0: not even the first agrees)."""
+    n = min(len(a_off), len(b_off)) - 1
+    out = np.zeros(n, np.int64)
+    (a_at, a_hash, a_doc), (b_at, b_hash, b_doc) = a, b
+    a_bounds, b_bounds = np.searchsorted(a_doc, np.arange(n + 1)), np.searchsorted(b_doc, np.arange(n + 1))
+    for i in range(n):
+        m = min(a_bounds[i + 1] - a_bounds[i], b_bounds[i + 1] - b_bounds[i])
+        x, y = slice(a_bounds[i], a_bounds[i] + m), slice(b_bounds[i], b_bounds[i] + m)
+        differ = np.flatnonzero((a_hash[x] != b_hash[y]) | (a_at[x] - a_off[i] != b_at[y] - b_off[i]))
+        k = differ[0] if len(differ) else m
+        if k:
+            out[i] = min(a_at[x][k - 1] - a_off[i] + K, a_off[i + 1] - a_off[i])
+    return out
 
 
 def likeness(a: tuple, b: tuple, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -157,6 +181,7 @@ _EDITED = T.StructType(
         T.StructField("edited_fingerprint", T.StringType()),
         T.StructField("near_edited", T.DoubleType()),
         T.StructField("near_next", T.DoubleType()),
+        T.StructField("same_until", T.LongType()),
     ]
 )
 
@@ -168,8 +193,9 @@ def _neighbours(rows: list) -> pa.RecordBatch:
     for a, b in zip(texts[:-1], texts[1:]):
         half = len(a) // 2
         edited.append(a[: len(a) - half] + b[:half])
-    own = sketches(*utf8(pa.array(texts, pa.large_string())))
-    new = sketches(*utf8(pa.array(edited, pa.large_string())))
+    (data, off), (new_data, new_off) = (utf8(pa.array(t, pa.large_string())) for t in (texts, edited))
+    placed, new_placed = all_anchors(data, off), all_anchors(new_data, new_off)
+    own, new = sketch_of(placed, len(texts)), sketch_of(new_placed, len(edited))
     i = np.arange(len(edited))
     hexes = as_text(own)
     return pa.RecordBatch.from_arrays(
@@ -181,6 +207,7 @@ def _neighbours(rows: list) -> pa.RecordBatch:
             pa.array(as_text(new), pa.string()),
             pa.array(likeness(own, new, i, i)),
             pa.array(likeness(own, own, i, i + 1)),
+            pa.array(same_until(placed, off, new_placed, new_off)),
         ],
         _EDITED.names,
     )
@@ -208,7 +235,7 @@ def _pairs(batches):
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness, in one shuffle of the texts.
+    """Fingerprints of each text and of its edited text, their likeness, and the byte up to which their anchors agree in place (same_until), in one shuffle of the texts.
 
     Ranges of ascending doc_id are dealt out whole; the first document of a range also goes to the range
     before it, where it follows the last one. Null ids come before all others, rows with one id in the
@@ -216,7 +243,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     steps = RANGES * partitions
     found = docs.agg(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], 10 * steps).alias("q"), F.count(F.lit(1)).alias("n")).first()
     cuts = np.unique(np.array([x for x in found["q"] or []], np.int64))
@@ -243,4 +271,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op1_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """All of `documents`: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, same_until. Null text counts as empty, whose fingerprint is empty."""
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

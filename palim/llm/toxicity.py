@@ -330,5 +330,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
 
 def op5_toxicity_trees(spark, sf_dir: str) -> DataFrame:
+    """All of `documents`, learned from labelled ones not held out: doc_id, held_out, score, predicted. Null text counts as empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -68,6 +68,8 @@ def test_op1_likeness(spark):
     for i, t in enumerate(texts):
         following, half = texts[(i + 1) % len(texts)], len(t) // 2
         assert got[i]["near_next"] == pytest.approx(like(sketch(t), sketch(following)))
+        kept = len(t[: len(t) - half].encode())
+        assert kept - 120 < got[i]["same_until"] <= kept + len(os.path.commonprefix([t[len(t) - half :], following]).encode()) + syncmers.K
         assert got[i]["near_edited"] == pytest.approx(like(sketch(t), sketch(t[: len(t) - half] + following[:half])))
 
 
