@@ -2,7 +2,9 @@
 
 Two fingerprints that differ in at most RADIUS bits agree in at least p - RADIUS of p parts, so that equal
 values of some two parts (RADIUS 4, p 6) bring every linked pair together. p grows with the number of fingerprints, so that
-chance groups stay within a tree. Distinct fingerprints are dealt out by those values; each group is a BK-tree, and a group too large for a tree is split into trees that every part of it asks.
+chance groups stay within a tree. Distinct fingerprints are dealt out by those values; each group is a BK-tree. Of a group too large for a tree, all members first ask the tree of a part of it, the
+hub; what is then not yet in one component with most of the group is asked by all in a second pass. So a dense cluster costs
+rows in proportion to its members, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palim.llm.bk_tree import Forest
@@ -21,8 +23,8 @@ from palim.llm.common import blocks, discard, materialise, mix, small, utf8
 RADIUS = 4
 #: Pairs that are confirmed at once.
 CONFIRM = 4096
-#: Fingerprints in a tree; larger groups are split. Also bounds the pairs that one tree can find at once.
-TREE = 2048
+#: Fingerprints in a tree; larger groups are split.
+TREE = 1024
 #: Parts to choose from, most at last: more of them make longer keys and more copies of each fingerprint.
 MOST_PARTS = 8
 #: Classes with over 1 / HOT of all rows (fewer than HOT) are broadcast to their members instead of gathering them.
@@ -97,25 +99,51 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = again
 
 
-def _dealt(keyed: DataFrame, member: str, details: DataFrame | None = None) -> DataFrame:
-    """Rows (choice, key, member) of groups with several members, dealt out in blocks that a task can hold; details are joined to the members that are left.
-
-    A group of up to TREE members is one block. A larger one is split by a hash of the member: part p is the tree of the
-    blocks (p, y) for y >= p and asks in the blocks (x, p) for x <= p; so all parts meet, two at a time.
-    """
+def _group_parts(keyed: DataFrame) -> DataFrame:
+    """choice, key, parts (of TREE members) of each group with several members."""
     sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = sizes.select("choice", "key", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64(member, F.lit(9)), F.col("parts")).cast("int")
-    grouped = keyed.join(sizes, ["choice", "key"]).withColumn("p", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = grouped.select(
-        "choice", "key", F.least("p", "o").alias("x"), F.greatest("p", "o").alias("y"), member, (F.col("p") <= F.col("o")).alias("tree"), (F.col("p") >= F.col("o")).alias("asks")
-    )
-    if details is not None:
-        placed = placed.join(details, member)
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(sizes.select("choice", "key", F.ceil(F.col("n") / TREE).cast("int").alias("parts")))
+
+
+def _part_of(member: str, parts: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(member, F.lit(seed)), F.col(parts)).cast("int")
+
+
+def _first_pass(keyed: DataFrame, groups: DataFrame, member: str) -> DataFrame:
+    """A group of one part is a block. Of a larger one, part p asks in the block (0, p), whose tree is the hub, part 0."""
+    grouped = keyed.join(groups, ["choice", "key"]).withColumn("p", _part_of(member, "parts", 9))
+    blocks_ = F.when(F.col("p") > 0, F.array("p")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    placed = grouped.withColumn("y", F.explode(blocks_))
+    return placed.select("choice", "key", F.lit(0).alias("x"), "y", member, (F.col("p") == 0).alias("tree"), (F.col("p") == F.col("y")).alias("asks"))
+
+
+def _second_pass(keyed: DataFrame, groups: DataFrame, member: str, rooted: DataFrame) -> DataFrame:
+    """Larger groups again: members outside the component that holds most of their group are trees, in parts x, which every part y of the group asks."""
+    large = keyed.join(groups.filter("parts > 1"), ["choice", "key"])
+    labelled = materialise(large.join(rooted.withColumnRenamed("node", member), member, "left").select("choice", "key", "parts", member, F.coalesce("root", member).alias("label")))
+    counts = labelled.groupBy("choice", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = materialise(counts.groupBy("choice", "key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).select("choice", "key", F.col("m.label").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / TREE).cast("int").alias("trees")).filter("trees > 0"))
+    rows = labelled.join(most, ["choice", "key"])
+    trees = rows.filter("label <> main").select("choice", "key", _part_of(member, "trees", 13).alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("y"), member, F.lit(True).alias("tree"), F.lit(False).alias("asks"))
+    asks = rows.select("choice", "key", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("x"), _part_of(member, "parts", 9).alias("y"), member, F.lit(False).alias("tree"), F.lit(True).alias("asks"))
+    return trees.unionByName(asks)
+
+
+def _in_blocks(placed: DataFrame, member: str) -> DataFrame:
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", member)
 
 
+def _all_links(keyed: DataFrame, member: str, search) -> DataFrame:
+    """Links (a, b) that connect all linked members; search(placed) finds those of the blocks of a pass. keyed: choice, key, member."""
+    groups = _group_parts(keyed)
+    edges = materialise(search(_first_pass(keyed, groups, member)))
+    if not groups.filter("parts > 1").limit(1).count():
+        return edges
+    more = search(_second_pass(keyed, groups, member, components(edges)))
+    return edges.unionByName(more)
+
+
 def _whole_blocks(batches, rows: int):
     """Tables of some `rows` rows that end where a block ends."""
     tail = None
@@ -145,7 +173,7 @@ def links(prints: DataFrame, radius: int = RADIUS, parts: int = RADIUS + 2) -> D
             prints_ = t.column("print").to_numpy()
             yield _pairs(prints_, _search(t, radius), ("a", "b"))
 
-    return _dealt(keyed, "print").mapInArrow(run, "a long, b long")
+    return _all_links(keyed, "print", lambda placed: _in_blocks(placed, "print").mapInArrow(run, "a long, b long"))
 
 
 def _block_ids(t: pa.Table) -> np.ndarray:
@@ -371,12 +399,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, exact), ("a", "b"))
 
     schema = "choice int, key long, x int, y int, least long, tree boolean, asks boolean, print long, digest binary, keys array<long>"
-    near = materialise(_dealt(keyed, "least", texts.select("least", "print", "sketch", "digest", "keys")).mapInArrow(screen, schema))
-    sets = _shingle_sets(docs, near.select("least").distinct(), words)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocked = small(near).join(sets, ["least", "digest"]).repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", "least")
-    edges = materialise(blocked.mapInArrow(verify, "a long, b long"))
-    rooted = components(edges)
+    profile = texts.select("least", "print", "sketch", "digest", "keys")
+
+    def search(placed: DataFrame) -> DataFrame:
+        near = materialise(_in_blocks(placed.join(profile, "least"), "least").mapInArrow(screen, schema))
+        sets = _shingle_sets(docs, near.select("least").distinct(), words)
+        return _in_blocks(small(near).join(sets, ["least", "digest"]), "least").mapInArrow(verify, "a long, b long")
+
+    rooted = components(_all_links(keyed, "least", search))
     named = texts.select("digest", "least", "copies").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"), "copies")
     return _to_members(profiles.select("doc_id", "text_hash", "digest"), materialise(named), "digest").select("doc_id", "text_hash", "component_id")
 

@@ -48,6 +48,12 @@ def ngrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found), np.concatenate(owner)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits; those of very long texts are scaled, none to 0."""
+    scale = max(1, -(-int(counts.max(initial=1)) // 65535))
+    return np.maximum(counts // scale, 1).astype(np.uint16)
+
+
 def _sample_rows(batches):
     """Label, and the counted buckets of each document."""
     for b in blocks(batches, docs=256):
@@ -56,7 +62,7 @@ def _sample_rows(batches):
         key, n = np.unique(doc.astype(np.int64) * BUCKETS + bucket, return_counts=True)
         bounds = np.searchsorted(key, np.arange(b.num_rows + 1) * BUCKETS)
         key = (key % BUCKETS).astype(np.uint16)
-        rows = [(key[a:z].tobytes(), n[a:z].astype(np.uint32).tobytes()) for a, z in zip(bounds[:-1], bounds[1:])]
+        rows = [(key[a:z].tobytes(), _narrow(n[a:z]).tobytes()) for a, z in zip(bounds[:-1], bounds[1:])]
         yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["label", "keys", "counts"])
 
 
@@ -104,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     _, chosen = labelled_sample(docs, labels, "quality", 5, 0, PER_CLASS, SAMPLE, 3)
     got = chosen.select("label", "text").mapInArrow(_sample_rows, "label int, keys binary, counts binary").collect()
     got.sort()
-    rows_ = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint32)) for r in got]
+    rows_ = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint16)) for r in got]
     return fit(rows_) if rows_ else None
 
 

@@ -156,7 +156,7 @@ def test_op10_links_by_more_parts(spark, parts):
 
 
 def test_parts_follow_the_number_of_fingerprints():
-    assert [near_dedup.parts_for(n, 4) for n in (10, 10**9, 10**10, 10**11, 10**12)] == [6, 6, 7, 7, 8]
+    assert [near_dedup.parts_for(n, 4) for n in (10, 10**9, 10**10, 5 * 10**10, 10**12)] == [6, 6, 7, 7, 8]
 
 
 # Classifiers: the rule of each, by loops.

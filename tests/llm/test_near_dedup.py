@@ -137,3 +137,38 @@ def test_links_of_long_texts_are_exact(spark):
     got = {r["doc_id"]: r["component_id"] for r in op.similar_groups(documents(spark, texts)).collect()}
     assert [got[2 * i + 1] == 2 * i for i in range(24)] == [i % 2 == 0 for i in range(24)]
     assert got[49] == 48
+
+
+def test_large_groups_of_similar_texts_match_brute_force(spark, monkeypatch):
+    """Groups many times larger than a tree: a dense cluster, and one that hangs together by a chain of links only."""
+    monkeypatch.setattr(op, "TREE", 8)
+    rng = np.random.default_rng(6)
+    words, texts = prose(1, 120).split(), []
+    for i in range(60):
+        w = list(words)
+        for j in rng.integers(60, 120, 1):
+            w[j] = f"dense{i}"
+        texts.append(" ".join(w))
+    words = prose(2, 120).split()
+    for i in range(40):  # each is near its neighbours, not near those farther off
+        words[110 - 2 * i] = f"chain{i}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in op.similar_groups(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
+def test_rows_of_a_dense_cluster_follow_its_members(spark, monkeypatch):
+    monkeypatch.setattr(op, "TREE", 8)
+    for n in (100, 400, 800):
+        keyed = spark.createDataFrame([(0, 7, i) for i in range(n)], "choice int, key long, least long")
+        groups = op._group_parts(keyed)
+        rooted = spark.createDataFrame([(i, 0) for i in range(n - 3)], "node long, root long")  # three are not connected yet
+        assert op._first_pass(keyed, groups, "least").count() <= 3 * n
+        assert n <= op._second_pass(keyed, groups, "least", rooted).count() <= 3 * n
