@@ -151,6 +151,7 @@ def blocks(batches, column: str = "text", size: int = BLOCK_BYTES, docs: int = B
             i = max(i, j)
     if held:
         yield joined()
+    pa.default_memory_pool().release_unused()  # a worker that goes on to its next task gives back what this one needed
 
 
 def block_bytes(shards: int) -> int:

@@ -28,7 +28,7 @@ BLOCK, DOCS = 3 << 20, 60_000
 #: A key with this many windows in one block is counted over all blocks; those with over 1 / HOT of all windows (at most HOT) are dealt out by window.
 OFTEN, HOT = 8, 50_000
 #: Windows of a shard, and shards at most: what one task settles.
-SHARD_WINDOWS, SHARDS = 2_000_000, 100_000
+SHARD_WINDOWS, SHARDS = 1_000_000, 100_000
 #: Buckets of documents for each shuffle partition.
 BUCKETS = 8
 _NO_ID = int(np.iinfo(np.int64).max)
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                     packed += [x.as_buffer() for x in part.column("windows")]
                     continue
                 ready = ready or _Found(packed)
-                for b in blocks([part], size=BLOCK, docs=DOCS):
+                for b in blocks([part]):
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_kept(b, ready), *(b.column(inner.get(c, c)) for c in extra)], ["doc_id", "n_words", "n_removed", "kept", *names])
 
     # A clashing name stands for the caller's column only if it isn't one of the results'.
