@@ -139,7 +139,7 @@ def titles(spark, sf_dir) -> DataFrame:
 
 
 def _per_conversation(spark, sf_dir) -> DataFrame:
-    rows = ad.episodic(spark, sf_dir).filter("id % 5 = 0")
+    rows = ad.episodic(spark, sf_dir)
     return rows.withColumn("age", text.human_age(F.greatest(F.lit(0).cast("long"), F.unix_seconds(ad.now()) - F.unix_seconds("created_at"))))
 
 
@@ -201,7 +201,7 @@ _AGE = "CASE " + " ".join(
     for size, name in ((365 * 86400, "year"), (30 * 86400, "month"), (7 * 86400, "week"), (86400, "day"), (3600, "hour"), (60, "minute"), (1, "second"))
 ) + " ELSE 'now' END"
 _SECONDS = "(event_id * event_id * 37) % 40000000"
-_AGED = f"SELECT *, {_AGE.format(s='greatest(0, seconds)')} AS age FROM (SELECT *, CAST(epoch(TIMESTAMP '{NOW}') - epoch(created_at) AS BIGINT) AS seconds FROM episodic WHERE id % 5 = 0)"
+_AGED = f"SELECT *, {_AGE.format(s='greatest(0, seconds)')} AS age FROM (SELECT *, CAST(epoch(TIMESTAMP '{NOW}') - epoch(created_at) AS BIGINT) AS seconds FROM episodic)"
 
 ORACLE_SQL = {
     "dialogue_questions": sql(

@@ -52,7 +52,7 @@ def rrf_fuse(spark, sf_dir) -> DataFrame:
 
 
 def search_text_(spark, sf_dir) -> DataFrame:
-    return ad.episodic(spark, sf_dir).select("id", search_text(F.when(F.col("id") % 3 > 0, F.col("title")), F.substring("content", 1, 20)).alias("search_text"))
+    return ad.episodic(spark, sf_dir).select("id", search_text(F.when(F.col("id") % 3 > 0, F.col("title")), F.col("content")).alias("search_text"))
 
 
 def tokenize(spark, sf_dir) -> DataFrame:
@@ -237,7 +237,7 @@ ORACLE_SQL = {
     "bm25_rank": sql("SELECT query_id, id, round(score, 6) AS score, r FROM kw WHERE r <= 100", "episodic", **_legs("episodic")),
     "vector_rank": sql("SELECT query_id, id, round(score, 6) AS score, r FROM vec WHERE r <= 100", "episodic", **_legs("episodic")),
     "rrf_fuse": sql("SELECT query_id, id, round(rrf, 6) AS rrf FROM fused", "episodic", **_legs("episodic")),
-    "search_text": sql("SELECT id, coalesce(CASE WHEN id % 3 > 0 THEN title END, '') || ' ' || coalesce(left(content, 20), '') AS search_text FROM episodic", "episodic"),
+    "search_text": sql("SELECT id, coalesce(CASE WHEN id % 3 > 0 THEN title END, '') || ' ' || coalesce(content, '') AS search_text FROM episodic", "episodic"),
     "tokenize": sql("SELECT id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS place FROM words", "episodic", **{k: v for k, v in _legs("episodic").items() if k == "words"}),
     "postings": sql("SELECT term, id, tf, dl FROM postings", "episodic", **{k: v for k, v in _legs("episodic").items() if k in ("words", "postings")}),
     "term_stats": sql("SELECT * FROM df", "episodic", **{k: v for k, v in _legs("episodic").items() if k in ("words", "postings", "df")}),

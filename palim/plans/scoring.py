@@ -46,8 +46,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def score_summary(spark, sf_dir) -> DataFrame:
-    """By category; category 4 is left out, so that an empty one shows."""
-    return _rounded(ev.by_category(_scored(spark, sf_dir).filter("category <> 4")))
+    return _rounded(ev.by_category(_scored(spark, sf_dir)))
 
 
 def score_by_sample(spark, sf_dir) -> DataFrame:
@@ -87,7 +86,7 @@ def delta_summary(spark, sf_dir) -> DataFrame:
 
 
 def gold_coverage(spark, sf_dir) -> DataFrame:
-    rows = ad.qa(spark, sf_dir).withColumn("inside", ev.covered(F.concat(F.substring("prediction", 20, 30), F.lit(", "), F.when(F.col("turn") % 4 == 0, F.substring("gold", 1, 15)).otherwise("")), F.col("prediction")))
+    rows = ad.qa(spark, sf_dir).withColumn("inside", ev.covered(F.concat("prediction", F.lit(", "), F.when(F.col("turn") % 4 == 0, F.col("gold")).otherwise("")), F.col("prediction")))
     return rows.groupBy("category").agg(F.count_if("inside").alias("covered"), F.count_if(~F.col("inside")).alias("missing"))
 
 
@@ -146,7 +145,7 @@ ORACLE_SQL = {
     "multi_answer_f1": sql("SELECT conv_id, turn, round(coalesce(f1, 0), 6) AS f1 FROM qa LEFT JOIN multi USING (conv_id, turn)", "qa", multi=_MULTI),
     "category_score": sql("SELECT conv_id, turn, category, round(score, 6) AS score FROM scored", "qa", **_S),
     "judge_labels": sql("SELECT conv_id, turn, CAST(judge AS DOUBLE) AS judge, CAST(CASE WHEN starts_with(upper(trim(raw)), 'CORRECT') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS binary FROM scored", "qa", **_S),
-    "score_summary": sql(f"SELECT c.category, count(conv_id) AS n, {_MEANS} FROM (SELECT unnest([1, 2, 3, 4, 5]) AS category) c LEFT JOIN (SELECT * FROM scored WHERE category <> 4) USING (category) GROUP BY 1", "qa", **_S),
+    "score_summary": sql(f"SELECT c.category, count(conv_id) AS n, {_MEANS} FROM (SELECT unnest([1, 2, 3, 4, 5]) AS category) c LEFT JOIN scored USING (category) GROUP BY 1", "qa", **_S),
     "score_by_sample": sql(f"SELECT sample_id, category, grouping(sample_id, category) AS level, count(*) AS n, {_MEANS} FROM scored GROUP BY GROUPING SETS ((sample_id, category), (sample_id), (category), ())", "qa", **_S),
     "score_delta": sql(
         """SELECT sample_id, """ + ", ".join(f"round(coalesce(a.{m}, 0) - coalesce(b.{m}, 0), 6) AS {m}_delta" for m in ev.METRICS) + " FROM (SELECT sample_id, avg(score) AS score, avg(set_f1) AS set_f1, avg(judge) AS judge FROM scored WHERE turn % 4 = 0 GROUP BY 1) a "
@@ -165,7 +164,7 @@ ORACLE_SQL = {
     ),
     "gold_coverage": sql(
         """SELECT category, count(*) FILTER (WHERE inside) AS covered, count(*) FILTER (WHERE NOT inside) AS missing FROM (SELECT category, len(list_filter(list_filter(list_transform(regexp_split_to_array(lower(
-        substr(prediction, 20, 30) || ', ' || CASE WHEN turn % 4 = 0 THEN left(gold, 15) ELSE '' END), ',|\\band\\b'), lambda s: regexp_replace(trim(s), '[''"]', '', 'g')), lambda s: length(s) > 2), lambda s: NOT contains(lower(prediction), s))) = 0 AS inside FROM qa) GROUP BY 1""", "qa"
+        prediction || ', ' || CASE WHEN turn % 4 = 0 THEN gold ELSE '' END), ',|\\band\\b'), lambda s: regexp_replace(trim(s), '[''"]', '', 'g')), lambda s: length(s) > 2), lambda s: NOT contains(lower(prediction), s))) = 0 AS inside FROM qa) GROUP BY 1""", "qa"
     ),
     "context_composition": sql(
         """SELECT conv_id, turn, CAST(len(regexp_extract_all(c, 'Spoken At:')) AS BIGINT) AS episodes, CAST(len(regexp_extract_all(c, '(?m)^- ')) AS BIGINT) AS facts FROM (

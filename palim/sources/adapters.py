@@ -92,7 +92,7 @@ def episodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    fact = F.substring("text", 1, 200)
+    fact = F.col("text")
     return _memories(spark, sf_dir).select(
         k.alias("id"), F.col("label").cast("string").alias("conversation_id"), F.element_at(F.array(*map(F.lit, CATEGORIES)), (k % 8 + 1).cast("int")).alias("category"),
         fact.alias("fact"), fact.alias("search_text"), F.array(F.concat(F.lit("e"), (k % 5).cast("string"))).alias("source_episodic_ids"),
@@ -168,7 +168,7 @@ SQL = {
         CAST(0.5 + doc_id % 37 AS DOUBLE) AS stability, CAST(1.0 + doc_id % 9 AS DOUBLE) AS difficulty, CAST((doc_id % 10) / 10.0 AS DOUBLE) AS surprise, CASE WHEN doc_id % 4 = 0 THEN 'low_info' ELSE 'informative' END AS classification,
         TIMESTAMP '{NOW}' - to_days(CAST(doc_id % 40 AS INTEGER)) - to_hours(doc_id % 24) AS created_at, TIMESTAMP '{NOW}' - to_days(CAST(doc_id % 50 AS INTEGER)) - to_hours(doc_id % 24) AS last_reviewed_at,
         CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '{NOW}' END AS consolidated_at FROM embeddings JOIN documents ON vec_id = doc_id WHERE text IS NOT NULL""",
-    "semantic": f"""SELECT doc_id AS id, CAST(label AS VARCHAR) AS conversation_id, {_CATEGORY_LIST}[1 + doc_id % 8] AS category, left(text, 200) AS fact, left(text, 200) AS search_text, ['e' || (doc_id % 5)] AS source_episodic_ids,
+    "semantic": f"""SELECT doc_id AS id, CAST(label AS VARCHAR) AS conversation_id, {_CATEGORY_LIST}[1 + doc_id % 8] AS category, text AS fact, text AS search_text, ['e' || (doc_id % 5)] AS source_episodic_ids,
         CASE WHEN doc_id % 11 = 0 THEN TIMESTAMP '{NOW}' END AS invalid_at, embedding FROM embeddings JOIN documents ON vec_id = doc_id WHERE text IS NOT NULL""",
     "pending": """SELECT event_id AS id, event_type AS conversation_id, concat_ws(' ', event_type, CAST(user_id AS VARCHAR)) AS query, [event_id % 400, user_id] AS memory_ids,
         CAST(ts AS TIMESTAMP) AS created_at, CASE WHEN event_id % 3 = 0 THEN CAST(ts AS TIMESTAMP) END AS consumed_at FROM events""",
