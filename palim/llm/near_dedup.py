@@ -25,6 +25,8 @@ RADIUS = 4
 CONFIRM = 4096
 #: Fingerprints in a tree; larger groups are split.
 TREE = 1024
+#: Texts of a group in one part, where all parts meet.
+TEXTS = 2048
 #: Parts to choose from, most at last: more of them make longer keys and more copies of each fingerprint.
 MOST_PARTS = 8
 #: Classes with over 1 / HOT of all rows (fewer than HOT) are broadcast to their members instead of gathering them.
@@ -99,10 +101,10 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = again
 
 
-def _group_parts(keyed: DataFrame) -> DataFrame:
-    """choice, key, parts (of TREE members) of each group with several members."""
+def _group_parts(keyed: DataFrame, tree: int) -> DataFrame:
+    """choice, key, parts (of `tree` members) of each group with several members."""
     sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return materialise(sizes.select("choice", "key", F.ceil(F.col("n") / TREE).cast("int").alias("parts")))
+    return materialise(sizes.select("choice", "key", F.ceil(F.col("n") / tree).cast("int").alias("parts")))
 
 
 def _part_of(member: str, parts: str, seed: int) -> Column:
@@ -129,6 +131,13 @@ def _second_pass(keyed: DataFrame, groups: DataFrame, member: str, rooted: DataF
     return trees.unionByName(asks)
 
 
+def _all_parts(keyed: DataFrame, groups: DataFrame, member: str) -> DataFrame:
+    """One pass for groups whose members need not be near each other (they share a shingle, a line that many texts have): part p is the tree of the blocks (p, y)
+    for y >= p and asks in the blocks (x, p) for x <= p, so that each two parts meet once."""
+    grouped = keyed.join(groups, ["choice", "key"]).withColumn("p", _part_of(member, "parts", 9)).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return grouped.select("choice", "key", F.least("p", "o").alias("x"), F.greatest("p", "o").alias("y"), member, (F.col("p") <= F.col("o")).alias("tree"), (F.col("p") >= F.col("o")).alias("asks"))
+
+
 def _in_blocks(placed: DataFrame, member: str) -> DataFrame:
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(n, "choice", "key", "x", "y").sortWithinPartitions("choice", "key", "x", "y", member)
@@ -136,7 +145,7 @@ def _in_blocks(placed: DataFrame, member: str) -> DataFrame:
 
 def _all_links(keyed: DataFrame, member: str, search) -> DataFrame:
     """Links (a, b) that connect all linked members; search(placed) finds those of the blocks of a pass. keyed: choice, key, member."""
-    groups = _group_parts(keyed)
+    groups = _group_parts(keyed, TREE)
     edges = materialise(search(_first_pass(keyed, groups, member)))
     if not groups.filter("parts > 1").limit(1).count():
         return edges
@@ -279,7 +288,7 @@ def _to_members(members: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 #: For groups by similarity: smallest shingles that deal a text out (a pair of similarity s shares none with a chance of (1 - s) ** KEYS),
 #: shingle hashes in a sketch (32 bits each), the radius of the search, which pairs of similarity 0.8 or more don't reach, and
 #: how far below the similarity a sketch's estimate is a clear miss (five standard errors).
-KEYS, SKETCH, WIDE, SLACK = 5, 256, 24, 0.125
+KEYS, SKETCH, WIDE, SLACK = 5, 128, 24, 0.18
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -406,7 +415,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         sets = _shingle_sets(docs, near.select("least").distinct(), words)
         return _in_blocks(small(near).join(sets, ["least", "digest"]), "least").mapInArrow(verify, "a long, b long")
 
-    rooted = components(_all_links(keyed, "least", search))
+    rooted = components(materialise(search(_all_parts(keyed, _group_parts(keyed, TEXTS), "least"))))
     named = texts.select("digest", "least", "copies").join(rooted, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("root", "least").alias("component_id"), "copies")
     return _to_members(profiles.select("doc_id", "text_hash", "digest"), materialise(named), "digest").select("doc_id", "text_hash", "component_id")
 

@@ -141,7 +141,7 @@ def test_links_of_long_texts_are_exact(spark):
 
 def test_large_groups_of_similar_texts_match_brute_force(spark, monkeypatch):
     """Groups many times larger than a tree: a dense cluster, and one that hangs together by a chain of links only."""
-    monkeypatch.setattr(op, "TREE", 8)
+    monkeypatch.setattr(op, "TEXTS", 8)
     rng = np.random.default_rng(6)
     words, texts = prose(1, 120).split(), []
     for i in range(60):
@@ -168,7 +168,7 @@ def test_rows_of_a_dense_cluster_follow_its_members(spark, monkeypatch):
     monkeypatch.setattr(op, "TREE", 8)
     for n in (100, 400, 800):
         keyed = spark.createDataFrame([(0, 7, i) for i in range(n)], "choice int, key long, least long")
-        groups = op._group_parts(keyed)
+        groups = op._group_parts(keyed, op.TREE)
         rooted = spark.createDataFrame([(i, 0) for i in range(n - 3)], "node long, root long")  # three are not connected yet
         assert op._first_pass(keyed, groups, "least").count() <= 3 * n
         assert n <= op._second_pass(keyed, groups, "least", rooted).count() <= 3 * n
