@@ -7,6 +7,7 @@ from palim.llm.language import op2_language_id
 from palim.llm.language_model import op6_elias_fano_lm
 from palim.llm.near_dedup import op10_simhash_bk_tree
 from palim.llm.quality import op3_quality_subwords
+from palim.llm.ranked_search import op12_threshold_search
 from palim.llm.sentencepiece_codec import op7_sentencepiece
 from palim.llm.sharding import op9_kd_sharding
 from palim.llm.substring_dedup import op8_substring_dedup
@@ -38,6 +39,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
+    "op12_threshold_search": op12_threshold_search,
 }
 
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
@@ -50,4 +52,15 @@ gone AS (SELECT DISTINCT doc_id, p FROM (SELECT x.doc_id, unnest(range(x.i, x.i
 kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS k, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM worded) t ANTI JOIN gone ON gone.doc_id = t.doc_id AND gone.p = t.p GROUP BY t.doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM worded LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL = {"op8_substring_dedup": _OP8_SQL}
+#: Scores as stated, of every document that shares a term with the item.
+_OP12_SQL = r"""WITH worded AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT row_number() OVER () AS d, doc_id, w, len(w) AS n FROM worded WHERE len(w) > 0),
+stats AS (SELECT count(*) AS total_docs, CAST(sum(n) AS BIGINT) AS total_terms FROM docs),
+tf AS (SELECT d, doc_id, n, t, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(w) AS t FROM docs) GROUP BY ALL),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * total_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, stats GROUP BY t, total_docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+impacts AS (SELECT d, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * total_docs) // total_terms))) AS impact FROM tf JOIN df USING (t), stats),
+scored AS (SELECT item_id, d, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (t) GROUP BY item_id, d, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+ORACLE_SQL = {"op8_substring_dedup": _OP8_SQL, "op12_threshold_search": _OP12_SQL}
