@@ -2,6 +2,8 @@
 
 import functools
 
+from palim.llm.conversation_repair import op11_conversation_repair
+from palim.llm.conversation_sql import op11_sql
 from palim.llm.decontamination import op4_template_decontamination
 from palim.llm.language import op2_language_id
 from palim.llm.language_model import op6_elias_fano_lm
@@ -16,7 +18,6 @@ from palim.llm.toxicity import op5_toxicity_trees
 from palim.shipping import ship
 
 
-
 def _shipped(query):
     """The query, with this package on the executors first."""
 
@@ -39,6 +40,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_threshold_search": op12_threshold_search,
 }
 
@@ -63,4 +65,4 @@ impacts AS (SELECT d, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 *
 scored AS (SELECT item_id, d, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (t) GROUP BY item_id, d, doc_id)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
 
-ORACLE_SQL = {"op8_substring_dedup": _OP8_SQL, "op12_threshold_search": _OP12_SQL}
+ORACLE_SQL = {"op8_substring_dedup": _OP8_SQL, "op11_conversation_repair": op11_sql(), "op12_threshold_search": _OP12_SQL}
