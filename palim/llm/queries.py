@@ -13,6 +13,7 @@ from palim.llm.ranked_search import op12_threshold_search
 from palim.llm.sentencepiece_codec import op7_sentencepiece
 from palim.llm.sharding import op9_kd_sharding
 from palim.llm.substring_dedup import op8_substring_dedup
+from palim.llm.suffix_dedup import op13_suffix_dedup
 from palim.llm.syncmers import op1_syncmer_fingerprints
 from palim.llm.toxicity import op5_toxicity_trees
 from palim.shipping import ship
@@ -42,6 +43,7 @@ QUERIES = {
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_threshold_search": op12_threshold_search,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
@@ -65,4 +67,16 @@ impacts AS (SELECT d, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 *
 scored AS (SELECT item_id, d, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (t) GROUP BY item_id, d, doc_id)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
 
-ORACLE_SQL = {"op8_substring_dedup": _OP8_SQL, "op11_conversation_repair": op11_sql(), "op12_threshold_search": _OP12_SQL}
+#: Strings of 50 bytes by the MD5 of their hex digits; a byte goes if an earlier document starts a string that covers it.
+_OP13_SQL = r"""WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM hexed WHERE n >= 50)),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
+starts AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE first < doc_id),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM starts)),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS k FROM runs GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, k, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS a, a AS z FROM (SELECT doc_id, k, a, z FROM spans UNION ALL SELECT doc_id, 1000000000, n, n FROM hexed)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY k) AS h FROM pieces JOIN hexed USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256 FROM hexed LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL = {"op8_substring_dedup": _OP8_SQL, "op11_conversation_repair": op11_sql(), "op12_threshold_search": _OP12_SQL, "op13_suffix_dedup": _OP13_SQL}
