@@ -249,23 +249,24 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     found = docs.agg(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], 10 * steps).alias("q"), F.count(F.lit(1)).alias("n")).first()
     cuts = np.unique(np.array([x for x in found["q"] or []], np.int64))
 
-    def range_of(ids: pd.Series) -> np.ndarray:
-        present = ids.notna().to_numpy()
-        at = np.searchsorted(cuts, ids.where(present, 0).astype("int64").to_numpy(), "right")
-        return np.where(present, at, 0)
+    # Ids go with their nulls filled and told apart: a null among them would make them floats.
+    filled = F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNotNull()
 
-    number = F.pandas_udf(lambda ids: pd.Series(range_of(ids)), "long")
-    firsts = {r[0]: r[1] for r in docs.select("doc_id").withColumn("r", number("doc_id")).groupBy("r").agg(F.when(F.count(F.lit(1)) == F.count("doc_id"), F.min("doc_id")).alias("first")).collect()}
+    def range_of(ids: pd.Series, known: pd.Series) -> np.ndarray:
+        return np.where(known.to_numpy(), np.searchsorted(cuts, ids.to_numpy(), "right"), 0)
+
+    number = F.pandas_udf(lambda ids, known: pd.Series(range_of(ids, known)), "long")
+    firsts = {r[0]: r[1] for r in docs.select("doc_id").withColumn("r", number(*filled)).groupBy("r").agg(F.when(F.count(F.lit(1)) == F.count("doc_id"), F.min("doc_id")).alias("first")).collect()}
     order = sorted(firsts)
     before = {firsts[r]: order[i - 1] for i, r in enumerate(order)}  # the first range's first document follows the last range
 
     @F.pandas_udf("array<long>")
-    def ranges(ids: pd.Series) -> pd.Series:
-        own = range_of(ids)
-        keys = [None if pd.isna(x) else int(x) for x in ids]
+    def ranges(ids: pd.Series, known: pd.Series) -> pd.Series:
+        own = range_of(ids, known)
+        keys = [x if k else None for x, k in zip(ids.tolist(), known.tolist())]
         return pd.Series([[int(r), before[x]] if x in before else [int(r)] for r, x in zip(own, keys)])
 
-    dealt = docs.select("doc_id", "text", F.posexplode(ranges("doc_id")).alias("follows", "range"))
+    dealt = docs.select("doc_id", "text", F.posexplode(ranges(*filled)).alias("follows", "range"))
     dealt = dealt.repartition(partitions, "range").sortWithinPartitions("range", "follows", "doc_id", "text")
     return dealt.select("range", "follows", "doc_id", "text").mapInArrow(_pairs, _EDITED)
 

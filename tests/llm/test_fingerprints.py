@@ -81,3 +81,16 @@ def test_texts_without_a_syncmer_have_their_own_fingerprint():
     other = np.array([next(j for j, u in enumerate(bare) if u != t) for t in bare] + [0])
     assert op.likeness(own, own, np.arange(len(bare) + 1), other).max() == 0
     assert op.likeness(own, own, np.array([len(bare)]), np.array([len(bare)])).tolist() == [1.0]
+
+
+def test_large_ids_beside_a_null_id(spark):
+    """Ids over 2^53 stay whole numbers: each row comes out once, in the order of ids."""
+    rows = [((1 << 60) + i, prose(i, 10)) for i in range(400)] + [(None, "no id")]
+    out = op.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"] is not None, r["doc_id"]) for r in out), key=str) == sorted(((i is not None, i) for i, _ in rows), key=str)
+    texts = dict(rows)
+    for r in out:
+        if r["doc_id"] is not None and r["doc_id"] + 1 in texts:
+            t, following = texts[r["doc_id"]], texts[r["doc_id"] + 1]
+            edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+            assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
