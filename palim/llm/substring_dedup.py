@@ -204,9 +204,7 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
             for s in np.flatnonzero((np.diff(cut) > 0) | (np.diff(warm_cut) > 0)).tolist():
                 g, h = bounds[cut[s] : cut[s + 1] + 1], slice(warm_cut[s], warm_cut[s + 1])
                 lead, inside = cold[g[:-1]], cold[g[0] : g[-1]] if len(g) > 1 else cold[:0]
-                rows_.append(
-                    (s, pack(np.diff(known, prepend=0), *_steps(key[lead]), rank[lead].astype(np.uint16), np.diff(g).astype(np.uint32), whole[inside], warm_key[h].astype(np.uint16), whole[warm[h]], rank[warm[h]].astype(np.uint16)))
-                )
+                rows_.append((s, _payload(known, key[lead], rank[lead], np.diff(g), whole[inside], warm_key[h], whole[warm[h]], rank[warm[h]])))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows_], pa.int32()), pa.array([p for _, p in rows_], pa.binary()), pa.nulls(len(rows_), pa.int32()), pa.nulls(len(rows_), pa.binary())], _DEALT)
             bucket, packed = _by_bucket(known[rank[later]], ids[later], buckets)
             yield pa.RecordBatch.from_arrays([pc.cast(pa.array(bucket.to_numpy() % shards), pa.int32()), pa.nulls(len(bucket), pa.binary()), bucket, packed], _DEALT)
@@ -230,6 +228,13 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
     return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(settle, "bucket int, windows binary")
 
 
+def _payload(known, key, rank, sizes, whole, warm_key, warm_whole, warm_rank) -> bytes:
+    """What a block gives to a shard; of its documents just those that have something there."""
+    docs, at = np.unique(np.concatenate((rank, warm_rank)), return_inverse=True)
+    at = at.astype(np.uint16)
+    return pack(np.diff(known[docs], prepend=0), *_steps(key), at[: len(rank)], sizes.astype(np.uint32), whole, warm_key.astype(np.uint16), warm_whole, at[len(rank) :])
+
+
 def _steps(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps between ascending keys, as low and high halves: small ones shrink when they are compressed."""
     step = np.diff(ascending, prepend=np.uint64(0))

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,3 +116,16 @@ def test_rows_between_tasks_follow_the_text(spark, monkeypatch):
         monkeypatch.setattr(op, "SHARD_WINDOWS", 40_000 // n)
         rows.append(op.repeated_windows(docs, 8).count())
     assert rows[1] <= rows[0] + 8
+
+
+def test_payload_follows_the_text_whatever_the_shards():
+    """Hashed ids and short texts: a block names to a shard just the documents that have something there."""
+    batch = pa.RecordBatch.from_arrays([pa.array([hash((i, "id")) & (1 << 62) - 1 for i in range(6000)], pa.int64()), pa.array([prose(i, 14) for i in range(6000)])], ["doc_id", "text"])
+    known, key, whole, rank = op._block_windows(batch)
+    order, bounds = op._by_key(key, rank)
+    none, sizes = np.zeros(0, np.int64), []
+    for shards in (8, 200):
+        cut = np.searchsorted(op.range_shard(key[order][bounds[:-1]], shards), np.arange(shards + 1))
+        groups = [bounds[a : z + 1] for a, z in zip(cut[:-1], cut[1:]) if z > a]
+        sizes.append(sum(len(op._payload(known, key[order[g[:-1]]], rank[order[g[:-1]]], np.diff(g), whole[order[g[0] : g[-1]]], none, none.astype(np.uint64), none)) for g in groups))
+    assert sizes[1] < 1.5 * sizes[0]
