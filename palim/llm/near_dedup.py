@@ -201,8 +201,8 @@ def _pairs(names: np.ndarray, root: np.ndarray, out: tuple[str, str]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], list(out))
 
 
-def _search(t: pa.Table, radius: int, confirm=None) -> np.ndarray:
-    """The root of each row in its block's components; confirm(a, b): which pairs of rows are links beyond their distance."""
+def _search(t: pa.Table, radius: int, confirm=None, short: np.ndarray | None = None) -> np.ndarray:
+    """The root of each row in its block's components; confirm(a, b): which pairs of rows are links beyond their distance. short: rows that ask about their whole block."""
     ids = _block_ids(t)
     prints = t.column("print").to_numpy().view(np.uint64)
     tree, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "asks"))
@@ -210,8 +210,8 @@ def _search(t: pa.Table, radius: int, confirm=None) -> np.ndarray:
     known, group = np.unique(ids[in_tree], return_inverse=True)
     forest = Forest(prints[in_tree], group)
     root = np.arange(t.num_rows)
-    for q, node in forest.within(prints[asking], np.searchsorted(known, ids[asking]), radius):
-        a, b = asking[q], in_tree[node]
+    asked = [(asking, radius)] if short is None else [(asking[~short[asking]], radius), (asking[short[asking]], 64)]
+    for a, b in ((some[q], in_tree[node]) for some, r in asked if len(some) for q, node in forest.within(prints[some], np.searchsorted(known, ids[some]), r)):
         step = len(a) if confirm is None else CONFIRM
         for i in range(0, len(a), step):  # what is joined by now needs no further look
             x, y = a[i : i + step], b[i : i + step]
@@ -286,9 +286,13 @@ def _to_members(members: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 
 
 #: For groups by similarity: smallest shingles that deal a text out (a pair of similarity s shares none with a chance of (1 - s) ** KEYS),
-#: shingle hashes in a sketch (32 bits each), the radius of the search, which pairs of similarity 0.8 or more don't reach, and
+#: shingle hashes in a sketch (32 bits each), the radius of the search (of random hashes a pair of similarity 0.8 differs in over 28 bits with a chance of 10^-8), and
 #: how far below the similarity a sketch's estimate is a clear miss (five standard errors).
-KEYS, SKETCH, WIDE, SLACK = 5, 128, 24, 0.18
+KEYS, SKETCH, WIDE, SLACK = 5, 128, 28, 0.18
+#: Texts of so few shingles, whose fingerprints may lie farther apart, are compared with all of their blocks. Two texts of so few
+#: are dealt out by the PREFIX smallest shingles of one order besides, of which a pair of similarity 0.8 or more always shares one: none is missed.
+SHORT, PREFIX = 31, 7
+_NONE = -1
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -306,7 +310,12 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(line))
                 prints.append(majority(hashes))
                 if len(hashes):
-                    keys.append([int(k) for k in mix(hashes[None, :] ^ _SEEDS[:, None]).min(1).view(np.int64)])
+                    orders = mix(hashes[None, :] ^ _SEEDS[:, None])
+                    prefix = np.full(PREFIX, _NONE)
+                    if len(hashes) <= SHORT:
+                        least = np.sort(orders[0])[: len(hashes) // 5 + 1].view(np.int64)  # of n, n - ceil(0.8 n) + 1
+                        prefix[: len(least)] = least
+                    keys.append([*orders.min(1).view(np.int64).tolist(), *prefix.tolist()])
                 else:
                     keys.append([])
                 sketches.append(np.unique((mix(hashes) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
@@ -362,21 +371,32 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash (which tells rows with one id apart), component_id: the least doc_id of each document's group, texts being linked if their shingle sets are similar (Jaccard).
 
-    Texts of equal words are one text first. Each goes to the trees of its KEYS smallest shingles; pairs within WIDE
-    bits there are compared by their sketches, and what is no clear miss, by their whole sets of shingles. Texts without words are all equal. Rows with a null doc_id are left out;
+    Texts of equal words are one text first. Each goes to the trees of its smallest shingles under KEYS orders (and short ones to those of a prefix of one order); pairs within WIDE
+    bits there, and all pairs of texts of SHORT shingles or fewer, are compared by their sketches, and what is no clear miss, by their whole sets of shingles. Texts without words are all equal. Rows with a null doc_id are left out;
     rows with one id are judged each by its own text.
     """
     profiles = materialise(_profiles(docs.filter("doc_id IS NOT NULL"), words))
     texts = materialise(profiles.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("print", "keys", "sketch")]))
-    keyed = texts.select("least", F.posexplode("keys").alias("choice", "key"))
+    keyed = texts.select("least", F.posexplode("keys").alias("choice", "key")).filter((F.col("choice") < KEYS) | (F.col("key") != _NONE)).withColumn("choice", F.least("choice", F.lit(KEYS)))
 
     place = ["choice", "key", "x", "y", "least", "tree", "asks", "print", "digest", "keys"]
 
     def meets_first(t: pa.Table):
         """Which pairs of rows share no key before that of their block: two texts with several common keys are compared once."""
-        keys = np.concatenate([c.flatten().to_numpy() for c in t.column("keys").chunks]).reshape(-1, KEYS)
-        choice = t.column("choice").to_numpy()
-        return lambda a, b: (keys[a] == keys[b]).argmax(1) == choice[a]
+        keys = np.concatenate([c.flatten().to_numpy() for c in t.column("keys").chunks]).reshape(-1, KEYS + PREFIX)
+        choice, key = t.column("choice").to_numpy(), t.column("key").to_numpy()
+
+        def first(a, b):
+            same = keys[a, :KEYS] == keys[b, :KEYS]
+            out = np.where(same.any(1), same.argmax(1) == choice[a], False)
+            rest = np.flatnonzero(~same.any(1) & (choice[a] == KEYS))
+            if len(rest):
+                x, y = keys[a[rest], KEYS:], keys[b[rest], KEYS:]
+                common = (x[:, :, None] == y[:, None, :]).any(2) & (x != _NONE)
+                out[rest] = x[np.arange(len(rest)), common.argmax(1)] == key[a[rest]]
+            return out
+
+        return first
 
     def screen(batches):
         """Rows with a neighbour in their block that isn't a clear miss."""
@@ -392,7 +412,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 out[out] = _similar(sketches, a[out], b[out], similarity - SLACK)
                 return out
 
-            root = _search(t, WIDE, close)
+            root = _search(t, WIDE, close, size <= SHORT)
             yield from t.select(place).filter(pa.array(np.bincount(root, minlength=len(root))[root] > 1)).combine_chunks().to_batches()
 
     def verify(batches):
@@ -405,7 +425,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 out[out] = [_jaccard(sets[i], sets[j]) >= similarity - 1e-9 for i, j in zip(a[out].tolist(), b[out].tolist())]
                 return out
 
-            yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, exact), ("a", "b"))
+            yield _pairs(t.column("least").to_numpy(), _search(t, WIDE, exact, np.array([len(x) for x in sets]) <= SHORT), ("a", "b"))
 
     schema = "choice int, key long, x int, y int, least long, tree boolean, asks boolean, print long, digest binary, keys array<long>"
     profile = texts.select("least", "print", "sketch", "digest", "keys")

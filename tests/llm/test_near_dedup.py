@@ -172,3 +172,12 @@ def test_rows_of_a_dense_cluster_follow_its_members(spark, monkeypatch):
         rooted = spark.createDataFrame([(i, 0) for i in range(n - 3)], "node long, root long")  # three are not connected yet
         assert op._first_pass(keyed, groups, "least").count() <= 3 * n
         assert n <= op._second_pass(keyed, groups, "least", rooted).count() <= 3 * n
+
+
+def test_all_short_pairs_are_linked(spark):
+    """Nine words against their first eight: five shingles and four, similarity 0.8, wherever their fingerprints lie."""
+    pairs = 20_000
+    rows = [(2 * i + k, " ".join(f"w{x}" for x in range(9 * i, 9 * i + 9 - k))) for i in range(pairs) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = op.similar_groups(docs).filter("component_id = doc_id - doc_id % 2")
+    assert found.count() == 2 * pairs
