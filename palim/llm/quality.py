@@ -73,7 +73,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 3) -> np.nda
     out = np.zeros((VECTOR, 2), np.float32)
     bias = np.zeros(2, np.float32)
     label = np.array([r[0] for r in rows])
-    weight = np.where(label == 1, 0.5 / max(1, (label == 1).mean()) if (label == 1).any() else 1, 0.5 / (label == 0).mean() if (label == 0).any() else 1)
+    weight = np.where(label == 1, 0.5 / max(1e-3, (label == 1).mean()), 0.5 / max(1e-3, (label == 0).mean()))
     weight = np.sqrt(weight).astype(np.float32)
     batches = -(-len(rows) // BATCH)
     epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
