@@ -1,10 +1,11 @@
 """Deduplication of byte strings by a distributed merge sort of suffixes.
 
 A string of LENGTH bytes hangs on the least (by hash, then place) of its runs of SEED bytes, so that equal strings hang
-on equal seeds. A suffix is what stands from a seed on, as far as the strings that hang on it reach, with the bytes before it behind. Each task sorts
-the suffixes of a block of documents; the run is front-coded (bytes shared with the suffix before are left out) and exchanged by
-seed. There the runs are combined by loser trees that never compare a known prefix again (loser_tree.py). Suffixes that are
-equal share all their strings; among those with one seed the strings that hang on it are compared. Seeds that one document alone holds are never combined.
+on equal seeds. A suffix is what stands from a seed on, as far as the strings that hang on it reach, with the bytes before it behind.
+First the hashes of seeds alone are exchanged: a suffix whose seed no other document has is told apart by it and goes no further.
+Then each task sorts the other suffixes of a block of documents; the run is front-coded (bytes shared with the suffix before are left out) and
+exchanged by seed. There the runs are combined by loser trees that never compare a known prefix again (loser_tree.py). Suffixes that are
+equal share all their strings; among those with one seed the strings that hang on it are compared.
 """
 
 from __future__ import annotations
@@ -191,19 +192,70 @@ def _single(rows, owner, ids, hashes, first) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *[pa.array(x.view(np.int64)) for x in (one[string], two[string], ids[place], hashes[place], first[place] + offset[string])]], _FOUND_NAMES)
 
 
-def _dealt(batch: pa.RecordBatch, shards: int, buckets: int):
-    """A block's sorted run, cut by shard and front-coded, and the spans of its documents that an earlier document of the block has."""
+def _keys(batch: pa.RecordBatch, shards: int, buckets: int):
+    """The block's seeds by shard, and the places (row and number in it) of those that documents with different ids of the block have.
+
+    Of such a seed the shard hears once, so that a seed of very many documents costs it a row for each block.
+    """
+    id_ = pc.fill_null(batch.column("doc_id"), _NO_ID).to_numpy().astype(np.int64)
+    hash_ = batch.column("text_hash").to_numpy().astype(np.int64)
+    data, off = utf8(batch.column("text"))
+    seed, key, _, _ = suffixes(data, off)
+    doc = np.searchsorted(off, seed, "right") - 1
+    number = np.arange(len(seed)) - np.searchsorted(seed, off[:-1])[doc]
+    order = np.argsort(key, kind="stable")
+    key, doc, number = key[order], doc[order], number[order]
+    bounds = group_bounds(key)
+    ids, size = id_[doc], np.diff(bounds)
+    several = np.minimum.reduceat(ids, bounds[:-1]) < np.maximum.reduceat(ids, bounds[:-1]) if len(ids) else np.zeros(0, bool)
+    each = np.repeat(several, size)
+    yield None, _spans(ids[each], hash_[doc[each]], number[each], number[each], buckets)
+    told = ~each
+    told[bounds[:-1]] = True
+    key, doc, number, known = key[told], doc[told], number[told], each[told]
+    cut = group_bounds(range_shard(key, shards))
+    out = []
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        docs, rank = np.unique(doc[a:z], return_inverse=True)
+        step = np.diff(key[a:z], prepend=np.uint64(0))
+        out.append((int(range_shard(key[a : a + 1], shards)[0]), _squeezed(pack(known[a:z], step.astype(np.uint32), (step >> np.uint64(32)).astype(np.uint32), rank.astype(np.uint16), number[a:z].astype(np.uint32), id_[docs], hash_[docs]))))
+    yield [s for s, _ in out], [p for _, p in out]
+
+
+def _shared_seeds(payloads: list, buckets: int) -> pa.RecordBatch:
+    """The places of seeds that documents with different ids have, but for those that their own block knows already."""
+    parts = [unpack(_opened(p), bool, np.uint32, np.uint32, np.uint16, np.uint32, np.int64, np.int64) for p in payloads]
+    known, number = (np.concatenate([p[i] for p in parts]) for i in (0, 4))
+    key = np.concatenate([np.cumsum(p[1] | (p[2].astype(np.uint64) << np.uint64(32))) for p in parts])
+    ids, hashes = (np.concatenate([p[i][p[3]] for p in parts]) for i in (5, 6))
+    order = np.argsort(key, kind="stable")
+    bounds = group_bounds(key[order])
+    some = np.zeros(len(key), bool)
+    differ = (np.minimum.reduceat(ids[order], bounds[:-1]) < np.maximum.reduceat(ids[order], bounds[:-1])) | np.logical_or.reduceat(known[order], bounds[:-1])
+    some[order] = np.repeat(differ, np.diff(bounds))
+    some &= ~known
+    number = number[some].astype(np.int64)
+    return _spans(ids[some], hashes[some], number, number, buckets)
+
+
+def _dealt(batch: pa.RecordBatch, shards: int, buckets: int, found=None):
+    """A block's sorted run, cut by shard and front-coded, and the spans of its documents that an earlier document of the block has. found: the numbers of the suffixes that count (else all)."""
     id_ = pc.fill_null(batch.column("doc_id"), _NO_ID).to_numpy().astype(np.int64)
     hash_ = batch.column("text_hash").to_numpy().astype(np.int64)
     data, off = utf8(batch.column("text"))
     seed, key, first, last = suffixes(data, off)
+    if found is not None:
+        begin = np.searchsorted(seed, off[:-1])
+        numbers = [found.of(k)[0] for k in zip(id_.tolist(), hash_.tolist())]
+        some = np.unique(np.repeat(begin, [len(x) for x in numbers]) + np.concatenate(numbers)) if numbers else np.zeros(0, np.int64)
+        seed, key, first, last = seed[some], key[some], first[some], last[some]
     doc = np.searchsorted(off, seed, "right") - 1
     rows = rows_of(data, seed, first, last)
     shard = range_shard(key, shards).astype(np.int64)
     order = np.argsort(rows.view(f"S{_WIDTH}").ravel()) if len(rows) else np.zeros(0, np.int64)
     order = order[np.argsort(shard[order], kind="stable")]
     rows, shard, doc = rows[order], shard[order], doc[order]
-    start, end = (first - off[:-1][np.searchsorted(off, seed, "right") - 1])[order], (last - first + LENGTH)[order]
+    start, end = first[order] - off[doc], (last - first + LENGTH)[order]
     shared = _shared(rows)
     new = shared < _WIDTH
     new[:1] = True
@@ -409,26 +461,63 @@ def _settle(batches, buckets: int):
     yield from ended()
 
 
+def _exchanged(blocks_, shards: int):
+    """Rows by shard, and rows that are done, of one kind."""
+    for shard, x in blocks_:
+        if shard is None:
+            columns = [pa.array(x.column("bucket").to_numpy() % shards, pa.int32()), pa.nulls(x.num_rows, pa.binary()), *x.columns]
+        else:
+            n = len(x)
+            columns = [pa.array(shard, pa.int32()), pa.array(x, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64())] * 5]
+        yield pa.RecordBatch.from_arrays(columns, _DEALT_NAMES)
+
+
+def _by_shard(dealt: DataFrame, shards: int, settle) -> DataFrame:
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(settle, _FOUND)
+
+
+def _shards(docs: DataFrame, each: int) -> int:
+    """So many that one has about `each` suffixes; at least as many as Spark's own."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (each * BYTES_EACH)))
+
+
+def shared_seeds(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, spans: for the documents of a bucket, the numbers of those suffixes whose seed (by its hash) a document with another id has too. docs: doc_id, text, text_hash."""
+    shards = _shards(docs, 4 * SHARD_SUFFIXES)
+
+    def deal(batches):
+        for b in blocks(batches, size=BLOCK, docs=DOCS):
+            yield from _exchanged(_keys(b, shards, buckets), shards)
+
+    def settle(batches):
+        held, shard = [], None
+        for batch in batches:
+            own = pc.is_null(batch.column("payload"))
+            yield batch.filter(own).select(_FOUND_NAMES)
+            batch = batch.filter(pc.invert(own))
+            for s, p in zip(batch.column("shard").to_pylist(), batch.column("payload")):
+                if s != shard and held:
+                    yield _shared_seeds(held, buckets)
+                    held = []
+                shard = s
+                held.append(p.as_buffer())
+        if held:
+            yield _shared_seeds(held, buckets)
+
+    return materialise(_by_shard(docs.mapInArrow(deal, f"shard int, payload binary, {_FOUND}"), shards, settle).select("bucket", "spans"))
+
+
 def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, spans: for the documents of a bucket, the spans of bytes (packed) that strings of LENGTH bytes cover which also start in a document with a smaller id.
 
     docs: doc_id, text, text_hash. A suffix that several documents of a block have goes to its shard for the first of them only, and with it the ids of just the documents it names. A task that gets
     too many suffixes of one seed gives out their strings one by one; those meet by hash (128 bits) in a join of their own.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (SHARD_SUFFIXES * BYTES_EACH)))
+    shared, shards = shared_seeds(docs, buckets), _shards(docs, SHARD_SUFFIXES)
 
-    def deal(batches):
-        for b in blocks(batches, size=BLOCK, docs=DOCS):
-            for shard, x in _dealt(b, shards, buckets):
-                n = x.num_rows if shard is None else len(x)
-                if shard is None:
-                    columns = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *x.columns]
-                    columns[0] = pa.array(x.column("bucket").to_numpy() % shards, pa.int32())
-                else:
-                    columns = [pa.array(shard, pa.int32()), pa.array(x, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64())] * 5]
-                yield pa.RecordBatch.from_arrays(columns, _DEALT_NAMES)
+    def deal(b, found):
+        yield from _exchanged(_dealt(b, shards, buckets, found), shards)
 
     def settle(batches):
         return _settle(batches, buckets)
@@ -438,18 +527,17 @@ def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
             ids, hashes, start = (b.column(c).to_numpy() for c in ("doc_id", "text_hash", "start"))
             yield _spans(ids, hashes, start, start + LENGTH, buckets)
 
-    dealt = docs.mapInArrow(deal, f"shard int, payload binary, {_FOUND}")
-    found = materialise(dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(settle, _FOUND))
+    dealt = _beside(docs, shared, buckets, deal, f"shard int, payload binary, {_FOUND}")
+    found = materialise(_by_shard(dealt, shards, settle))
+    discard(shared)
     single = found.filter("spans IS NULL")
     least = single.groupBy("one", "two").agg(F.min("doc_id").alias("least"))
     later = single.join(least, ["one", "two"]).filter("doc_id > least").select("doc_id", "text_hash", "start")
-    out = found.filter("spans IS NOT NULL").unionByName(later.mapInArrow(packed, _FOUND)).select("bucket", "spans")
-    out._palim_path = found._palim_path
-    return out
+    return found.filter("spans IS NOT NULL").unionByName(later.mapInArrow(packed, _FOUND)).select("bucket", "spans")
 
 
 class _Found:
-    """The covered spans of a bucket's documents."""
+    """What was found of a bucket's documents: spans, or numbers of suffixes."""
 
     def __init__(self, packed: list):
         self.spans: dict = {}
@@ -465,6 +553,32 @@ class _Found:
         return start, start + np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else start
 
 
+def _beside(docs: DataFrame, found: DataFrame, buckets: int, work, schema: str) -> DataFrame:
+    """work(block, what was found of its documents) for all documents, in one shuffle of the texts: what was found of a bucket stands in front of its documents."""
+    partitions = buckets // BUCKETS
+    both = docs.select(_bucket_column(buckets).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("spans"), "doc_id", "text", "text_hash")
+    both = found.select("bucket", F.lit(0).alias("kind"), "spans").unionByName(both, allowMissingColumns=True)
+    both = both.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", "kind")
+
+    def run(batches):
+        bucket, packed, ready = None, [], None
+        for batch in batches:
+            which = batch.column("bucket").to_numpy()
+            bounds = group_bounds(which * 2 + batch.column("kind").to_numpy())
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                part = batch.slice(a, z - a)
+                if which[a] != bucket:
+                    bucket, packed, ready = which[a], [], None
+                if part.column("kind")[0].as_py() == 0:
+                    packed += [x.as_buffer() for x in part.column("spans")]
+                    continue
+                ready = ready or _Found(packed)
+                for b in blocks([part]):
+                    yield from work(b, ready)
+
+    return both.mapInArrow(run, schema)
+
+
 def _kept(b: pa.RecordBatch, found: _Found) -> list[pa.Array]:
     """n_bytes, n_removed, n_spans and the bytes left of each text."""
     data, off = utf8(b.column("text"))
@@ -491,33 +605,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id; strings are those
     of the input and lie within one document. Null text has no bytes. Rows with one id don't take from one another; a null id is the greatest. Other columns don't matter.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * partitions
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    found = repeated_spans(rows, buckets)
-    # One shuffle of the texts: what was found of a bucket stands in front of its documents.
-    both = rows.select(_bucket_column(buckets).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("spans"), "doc_id", "text", "text_hash")
-    both = found.select("bucket", F.lit(0).alias("kind"), "spans").unionByName(both, allowMissingColumns=True)
-    both = both.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", "kind")
 
-    def cover(batches):
-        bucket, packed, ready = None, [], None
-        for batch in batches:
-            which = batch.column("bucket").to_numpy()
-            bounds = group_bounds(which * 2 + batch.column("kind").to_numpy())
-            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                part = batch.slice(a, z - a)
-                if which[a] != bucket:
-                    bucket, packed, ready = which[a], [], None
-                if part.column("kind")[0].as_py() == 0:
-                    packed += [x.as_buffer() for x in part.column("spans")]
-                    continue
-                ready = ready or _Found(packed)
-                for b in blocks([part]):
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_kept(b, ready)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    def cover(b, found):
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_kept(b, found)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _beside(rows, repeated_spans(rows, buckets), buckets, cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
