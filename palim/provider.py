@@ -24,8 +24,8 @@ ATTEMPTS = 4
 #: Memories that one review call rates.
 REVIEW_BATCH = 50
 DELAYS = (0.5, 1.0, 2.0)
-_RETRYABLE_CODES = {"rate_limit_exceeded", "server_error", "internal_error", "server_overloaded"}
-_RETRYABLE_TEXT = ("timeout", "timed out", "connection reset", "connection refused", "429", "500", "502", "503", "504")
+#: Too many requests.
+BUSY = 429
 
 
 class ModelError(Exception):
@@ -36,11 +36,10 @@ class ModelError(Exception):
         self.status, self.code = status, code
 
 
-def is_retryable(error: Exception) -> bool:
-    if isinstance(error, (TimeoutError, ConnectionError)):
-        return True
-    status, code = getattr(error, "status", None), getattr(error, "code", None)
-    return status == 429 or (status is not None and 500 <= status <= 599) or code in _RETRYABLE_CODES or any(t in str(error).lower() for t in _RETRYABLE_TEXT)
+def is_transient(error: Exception) -> bool:
+    """Failures of the line, of a busy service, and of the service itself may pass; what the service rejects won't."""
+    status = getattr(error, "status", None)
+    return isinstance(error, (TimeoutError, ConnectionError)) or (status is not None and (status == BUSY or status // 100 == 5))
 
 
 def with_retry(call: Callable[[], Any], attempts: int = ATTEMPTS, delays: tuple = DELAYS, sleep: Callable[[float], None] = time.sleep) -> Any:
@@ -49,7 +48,7 @@ def with_retry(call: Callable[[], Any], attempts: int = ATTEMPTS, delays: tuple
         try:
             return call()
         except Exception as e:
-            if i == attempts - 1 or not is_retryable(e):
+            if i == attempts - 1 or not is_transient(e):
                 raise
             sleep(delays[min(i, len(delays) - 1)])
     raise AssertionError
@@ -228,7 +227,7 @@ def reviewed(buckets: DataFrame, provider: ModelProvider) -> DataFrame:
             try:
                 parts = _ranges(_call(provider, "primitive_segment_split", messages), n)
             except (ModelError, KeyError, TypeError) as e:
-                if is_retryable(e):
+                if is_transient(e):
                     raise
                 kinds = ["informative"]
         kinds = kinds or [_classified(provider, messages[a : z + 1]) for a, z in parts]
@@ -295,29 +294,3 @@ def typed(text: str, required: tuple[str, ...]) -> dict:
     if missing:
         raise ModelError(f"model output lacks {', '.join(missing)}")
     return value
-
-
-def strict_schema(schema: Any) -> Any:
-    """A JSON schema under strict rules: references alone, constants as an enumeration, optional values as such, all keys required and no others."""
-    if not isinstance(schema, dict):
-        return schema
-    if "$ref" in schema:
-        return {"$ref": schema["$ref"]}
-    options = schema.get("oneOf")
-    if isinstance(options, list) and all(isinstance(o, dict) and "const" in o for o in options):
-        return {"type": "string", "enum": [o["const"] for o in options]}
-    options = schema.get("anyOf")
-    if isinstance(options, list):
-        solid = [o for o in options if not (isinstance(o, dict) and o.get("type") == "null")]
-        if len(solid) == 1 and isinstance(solid[0], dict):
-            return strict_schema(solid[0])
-    out = dict(schema)
-    if "properties" in out:
-        out["properties"] = {k: strict_schema(v) for k, v in out["properties"].items()}
-        out |= {"required": list(out["properties"]), "additionalProperties": False}
-    if "items" in out:
-        out["items"] = strict_schema(out["items"])
-    for group in ("definitions", "$defs"):
-        if group in out:
-            out[group] = {k: strict_schema(v) for k, v in out[group].items()}
-    return out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palim.operators.segmentation import STUB_LOW_INFO_CHARS, STUB_SPLIT_EVERY
-from palim.schemas import CLASSIFY_MAX, HARD_GAP_MINUTES, LEASE_MINUTES, MERGE_BELOW, SOFT_GAP_MINUTES, SPLIT_ABOVE, TRIGGER_MESSAGES
+from palim.schemas import CLASSIFY_MAX, HARD_GAP_MINUTES, MERGE_BELOW, SOFT_GAP_MINUTES, SPLIT_ABOVE, TRIGGER_MESSAGES
 
 MINUTE = 60_000_000
 OUTPUT = "conversation_id string, start_seq long, end_seq long, classification string"
@@ -84,37 +84,6 @@ def advance(messages: list[tuple], ended: bool) -> tuple[list[dict], list[tuple]
     return done, messages
 
 
-def check_state(last_seq: int, next_seq: int, active_start: int | None, active_end: int | None, active_since) -> str:
-    """`active` or `inactive`; a lease that is only partly there is an error."""
-    parts = [active_start is not None, active_end is not None, active_since is not None]
-    if any(parts) and not all(parts):
-        raise ValueError("segmentation state is partially populated")
-    return "active" if all(parts) else "inactive"
-
-
-def recover_lease(state: dict, now_us: int) -> dict:
-    """A lease older than 120 minutes goes: its claim starts again."""
-    if state.get("active_start") is not None and state["active_since"] < now_us - LEASE_MINUTES * MINUTE:
-        return state | {"next_seq": state["active_start"], "active_start": None, "active_end": None, "active_since": None}
-    return state
-
-
-def commit(state: dict, claim: tuple[int, int], next_seq: int) -> dict:
-    """The state after a claim is done: it must be the active one, and next must lie in it or right behind; the end mark is cleared."""
-    if (state.get("active_start"), state.get("active_end")) != claim:
-        raise ValueError("claim doesn't match the active lease")
-    if not claim[0] <= next_seq <= claim[1] + 1:
-        raise ValueError("next segment starts outside the claim")
-    return state | {"next_seq": next_seq, "active_start": None, "active_end": None, "active_since": None, "eof": False}
-
-
-def abort(state: dict, claim: tuple[int, int]) -> dict:
-    """The state after a claim has failed; nothing changes where another claim is active."""
-    if (state.get("active_start"), state.get("active_end")) != claim:
-        return state
-    return state | {"next_seq": claim[0], "active_start": None, "active_end": None, "active_since": None}
-
-
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pending, ended = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
     new = pd.concat(list(batches))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palim.engine import MemoryEngine, format_memories
 from palim.operators import consolidation, retrieval, review
-from palim.provider import ModelError, OfflineProvider, backoff_ms, bounded_embedding, checked_embeddings, strict_schema, typed, with_retry
+from palim.provider import ModelError, OfflineProvider, backoff_ms, bounded_embedding, checked_embeddings, typed, with_retry
 
 NOW = datetime(2026, 6, 1, tzinfo=timezone.utc)
 
@@ -58,11 +58,6 @@ def test_provider_rules():
     assert [backoff_ms(i) for i in (1, 2, 3, 4)] == [1500, 3000, 6000, 10000]
     with pytest.raises(ModelError):
         typed(json.dumps({"a": 1}), ("a", "b"))
-    assert strict_schema({"$ref": "#/x", "title": "t"}) == {"$ref": "#/x"}
-    assert strict_schema({"oneOf": [{"const": "a"}, {"const": "b"}]}) == {"type": "string", "enum": ["a", "b"]}
-    made = strict_schema({"properties": {"x": {"anyOf": [{"type": "string"}, {"type": "null"}]}, "y": {"items": {"properties": {"z": {}}}}}})
-    assert made["required"] == ["x", "y"] and made["additionalProperties"] is False
-    assert made["properties"]["x"] == {"type": "string"} and made["properties"]["y"]["items"]["required"] == ["z"]
 
 
 def test_limits():

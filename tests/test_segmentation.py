@@ -105,22 +105,6 @@ def test_lease_boundary(spark):
     assert [(r["conversation_id"], r["next_segment_start_seq"]) for r in got] == [("m120s1", 3)]
 
 
-def test_state_machine():
-    with pytest.raises(ValueError, match="partially"):
-        live.check_state(5, 0, 0, None, None)
-    assert live.check_state(5, 0, None, None, None) == "inactive"
-    state = {"next_seq": 3, "active_start": 3, "active_end": 9, "active_since": 0, "eof": True}
-    done = live.commit(state, (3, 9), 10)
-    assert (done["next_seq"], done["eof"], done["active_start"]) == (10, False, None)
-    for claim, following in (((3, 8), 9), ((3, 9), 11), ((3, 9), 2)):
-        with pytest.raises(ValueError):
-            live.commit(state, claim, following)
-    assert live.abort(state, (3, 9))["next_seq"] == 3
-    assert live.abort(state, (4, 9)) is state
-    assert live.recover_lease(state, live.MINUTE * 120) is state
-    assert live.recover_lease(state, live.MINUTE * 120 + 1)["next_seq"] == 3
-
-
 def test_frame_equals_fold(spark):
     rng = random.Random(4)
     rows, wanted = [], []
