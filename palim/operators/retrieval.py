@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palim.functions import fsrs
 from palim.functions.text import tokens
 from palim.operators.cells import nearest
+from palim.operators.similarity_join import above
 from palim.schemas import EPISODIC_FINAL, LEG_CANDIDATES, MAX_DAYS, RRF_K
 from palim.sources.store import stored
 
@@ -129,11 +130,11 @@ def recent(memories: DataFrame, now: Column, days: int | None, limit: int | None
     return rows.orderBy(F.desc("created_at"), "id").limit(recent_limit(limit))
 
 
-def similar_facts(probes: DataFrame, facts: DataFrame, threshold: float, limit: int = 5) -> DataFrame:
-    """probes: probe_id, conversation_id, embedding, exclude_id (or null). Up to `limit` active facts of the conversation above the threshold."""
+def similar_facts(probes: DataFrame, facts: DataFrame, threshold: float, limit: int = 5, work=None) -> DataFrame:
+    """probes: probe_id, conversation_id, embedding, exclude_id (or null). Up to `limit` active facts of the conversation above the threshold. work: an accumulator of multiplications."""
     members = facts.filter("invalid_at IS NULL").select("conversation_id", F.col("id").alias("member"), F.col("embedding").alias("vector"))
     asked = probes.select("conversation_id", F.col("probe_id").alias("probe"), F.col("exclude_id").alias("exclude"), F.col("embedding").alias("vector"))
-    found = nearest(asked, members, "conversation_id", limit, threshold)
+    found = above(asked, members, "conversation_id", limit, threshold, work)
     scored = found.select(F.col("probe").alias("probe_id"), F.col("member").alias("id"), F.col("score").alias("similarity"))
     order = Window.partitionBy("probe_id").orderBy(F.desc(F.round("similarity", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).select("probe_id", "id", "similarity", "rank")
