@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palim.functions import fsrs
 from palim.functions.text import search_text, tokens
 from palim.functions.vector import normalize
-from palim.operators import consolidation, retrieval, review
+from palim.operators import block_max, consolidation, retrieval, review, vector_index
 from palim.sources import adapters as ad
 from palim.sources.adapters import NOW, sql
 
@@ -147,6 +147,24 @@ def dedupe_in_scope(spark, sf_dir) -> DataFrame:
     return found.groupBy("probe_id").agg(F.min_by("id", "rank").alias("id"))
 
 
+def bm25_block_max(spark, sf_dir) -> DataFrame:
+    """The keyword leg over blocks of postings: as bm25_rank, but only blocks that can matter are read."""
+    memories, queries = _asked(spark, sf_dir)
+    found, _ = block_max.best(*block_max.build(memories), queries, retrieval.LEG_CANDIDATES)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "r")
+
+
+def vector_index_rank(spark, sf_dir) -> DataFrame:
+    """Every twentieth memory against all of its conversation, over inverted lists with residual codes; the candidates are ranked by their own vectors."""
+    memories = ad.episodic(spark, sf_dir)
+    members = memories.select("conversation_id", F.col("id").alias("member"), F.col("embedding").alias("vector"))
+    probes = memories.filter("id % 20 = 0").select("conversation_id", F.col("id").alias("probe"), F.col("embedding").alias("vector"))
+    means = vector_index.train(members)
+    index = vector_index.stored(vector_index.build(members, "conversation_id", means))
+    found = vector_index.search(index, members, probes, "conversation_id", means, LIMIT)
+    return found.select(F.col("probe").alias("probe_id"), F.col("member").alias("id"), F.round("score", 6).alias("score"), "r")
+
+
 def fact_pick_guideline(spark, sf_dir) -> DataFrame:
     facts, queries = _facts(spark, sf_dir)
     found = retrieval.semantic(facts, queries, 20).join(facts.select("id", "category"), "id")
@@ -166,6 +184,7 @@ QUERIES = {
     for f in (
         hybrid_episodic, hybrid_semantic, hybrid_semantic_category, bm25_rank, vector_rank, rrf_fuse, search_text_, tokenize, postings, term_stats, corpus_stats, embedding_normalize, recent_memories, fsrs_retrievability,
         fsrs_init, fsrs_next_states, pending_fifo, queue_drain, review_aggregate, review_eligible, review_apply, similar_facts, dedupe_in_scope, fact_pick_guideline, export_dedup,
+        bm25_block_max, vector_index_rank,
     )
 }
 
@@ -235,6 +254,11 @@ ORACLE_SQL = {
     "hybrid_semantic": sql("SELECT query_id, rank, id, round(score, 6) AS score FROM found", "semantic", **_semantic()),
     "hybrid_semantic_category": sql("SELECT query_id, rank, id, round(score, 6) AS score FROM found", "semantic", **_semantic("AND category = 'guideline'")),
     "bm25_rank": sql("SELECT query_id, id, round(score, 6) AS score, r FROM kw WHERE r <= 100", "episodic", **_legs("episodic")),
+    "bm25_block_max": sql("SELECT query_id, id, round(score, 6) AS score, r FROM kw WHERE r <= 100", "episodic", **_legs("episodic")),
+    "vector_index_rank": sql(
+        """SELECT probe_id, id, round(score, 6) AS score, r FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score, 9) DESC, id) AS r FROM (
+        SELECT p.id AS probe_id, m.id, list_dot_product(CAST(m.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score FROM episodic p JOIN episodic m USING (conversation_id) WHERE p.id % 20 = 0)) WHERE r <= 10""", "episodic"
+    ),
     "vector_rank": sql("SELECT query_id, id, round(score, 6) AS score, r FROM vec WHERE r <= 100", "episodic", **_legs("episodic")),
     "rrf_fuse": sql("SELECT query_id, id, round(rrf, 6) AS rrf FROM fused", "episodic", **_legs("episodic")),
     "search_text": sql("SELECT id, coalesce(CASE WHEN id % 3 > 0 THEN title END, '') || ' ' || coalesce(content, '') AS search_text FROM episodic", "episodic"),
