@@ -221,11 +221,12 @@ class MemoryEngine:
         tells = F.col("kind").isin("new", "update")
         told = embed_column(normal.filter(tells), "fact", self.provider)
         normal = told.unionByName(normal.filter(~tells), allowMissingColumns=True)
-        scopes = batch.select(F.col("id").alias("episode_id"), "conversation_id").join(found.groupBy(F.col("query_id").alias("episode_id")).agg(F.collect_list("id").alias("scope")), "episode_id", "left")
-        placed = normal.join(scopes, "episode_id").withColumns({"scope": F.coalesce("scope", F.array().cast("array<string>")), "episode_pos": F.lit(0).cast("long")})
+        episodes_ = batch.select(F.col("id").alias("episode_id"), "conversation_id")
+        scope = found.select(F.col("query_id").alias("episode_id"), "id").join(episodes_, "episode_id").select("conversation_id", "episode_id", "id")
+        placed = normal.join(episodes_, "episode_id").withColumn("episode_pos", F.lit(0).cast("long"))
         inputs = facts.join(batch.select("conversation_id"), "conversation_id", "left_semi").select("conversation_id", "id", "category", "fact", F.col("source_episodic_ids").alias("sources"), F.col("invalid_at").isNull().alias("valid"), "embedding")
-        cols = ("conversation_id", "episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding", "scope")
-        after = stored(consolidation.apply_actions(inputs, placed.select(*cols)))
+        cols = ("conversation_id", "episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding")
+        after = stored(consolidation.apply_actions(inputs, placed.select(*cols), scope))
         state = after.select("id", F.col("sources").alias("new_sources"), "active")
         changed = facts.join(state, "id").filter((F.size("new_sources") != F.size("source_episodic_ids")) | (~F.col("active") & F.col("invalid_at").isNull()))
         changed = changed.withColumns({"source_episodic_ids": F.col("new_sources"), "invalid_at": F.when(~F.col("active") & F.col("invalid_at").isNull(), self.now()).otherwise(F.col("invalid_at"))})

@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palim.functions.text import normalize_category
+from palim.operators.components import components
+from palim.operators.similarity_join import above, linked
 from palim.schemas import ACTION_PRIORITY, DUPLICATE_SIMILARITY, PREDICT_FACTS, PREDICT_GUIDELINES, SIMILAR_FACTS
 from palim.shipping import ship
+from palim.sources.store import stored
 
 
 def normalize_actions(actions: DataFrame) -> DataFrame:
@@ -106,15 +109,77 @@ def apply_in_order(facts: pd.DataFrame, actions: pd.DataFrame, threshold: float)
     return pd.DataFrame(rows, columns=["id", "category", "fact", "source_count", "active", "sources", "embedding"])
 
 
-def apply_actions(facts: DataFrame, actions: DataFrame, threshold: float = DUPLICATE_SIMILARITY) -> DataFrame:
-    """Normalised actions applied conversation by conversation: the order within one matters, so each is a group of its own."""
-    schema = "conversation_id string, id string, category string, fact string, source_count int, active boolean, sources array<string>, embedding array<float>"
+_GROUP = "conversation_id string, component string, row string, id string, category string, fact string, sources array<string>, valid boolean, embedding array<float>, episode_id string, episode_pos long, place long, kind string, target_fact_id string"
+_AFTER = "conversation_id string, id string, category string, fact string, source_count int, active boolean, sources array<string>, embedding array<float>"
 
-    ship(facts.sparkSession)
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = apply_in_order(left, right, threshold)
-        out.insert(0, "conversation_id", key[0])
-        return out
+def _fold(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """One component's actions in order. Rows: facts, facts that nothing changes (`seen`), actions, and which fact is loaded for which episode (null: all)."""
+    of = {k: rows for k, rows in group.groupby("row")}
+    none = group.iloc[:0]
+    facts = pd.concat([of.get("fact", none), of.get("seen", none)])
+    loaded = of.get("scope", none)
+    always = loaded[loaded["episode_id"].isna()]["id"].tolist()
+    own = loaded[loaded["episode_id"].notna()].groupby("episode_id")["id"].agg(list).to_dict()
+    actions = of["action"]
+    actions = actions.assign(scope=[always + own.get(e, []) for e in actions["episode_id"]], place=actions["place"].astype("int64"))  # nulls of other rows had made it a float
+    out = apply_in_order(facts, actions, threshold)
+    out = out[~out["id"].isin(of.get("seen", none)["id"])]
+    out.insert(0, "conversation_id", group["conversation_id"].iloc[0])
+    return out
 
-    return facts.groupBy("conversation_id").cogroup(actions.groupBy("conversation_id")).applyInPandas(run, schema)
+
+def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, threshold: float = DUPLICATE_SIMILARITY) -> DataFrame:
+    """Normalised actions applied to the facts of their conversations, episode by episode; all facts come out, and new ones.
+
+    facts: conversation_id, id, category, fact, sources, valid, embedding. actions: conversation_id, episode_id, episode_pos, place, kind, fact, category, target_fact_id, embedding.
+    scope: conversation_id, episode_id (null: every episode), id of each fact loaded for it.
+
+    The order of two actions matters only if they may touch one fact: a common target, or a fact that is near both or made by one and near the other.
+    Actions and the facts they may change are split into components of these relations, which are folded apart. A fact that is loaded for
+    no episode can't change; the nearest of those are shown to a component without joining it to others. Facts beside all components stay as they are.
+    """
+    spark = facts.sparkSession
+    ship(spark)
+
+    def named(conversation: str, own: Column) -> Column:
+        return F.concat_ws("\x00", F.col(conversation), own)
+
+    own = F.concat(F.col("episode_id"), F.lit("/"), F.col("place").cast("string"))
+    actions = stored(actions.withColumn("node", named("conversation_id", own)).withColumn("target", named("conversation_id", F.col("target_fact_id"))))
+    facts = facts.withColumn("node", named("conversation_id", F.col("id")))
+    scope = scope.withColumn("node", named("conversation_id", F.col("id")))
+    loaded = scope.select("node").distinct()
+    changing = facts.join(loaded, "node", "left_semi")
+    fixed = facts.join(loaded, "node", "left_anti").filter("valid")
+
+    settling = actions.filter(F.col("kind").isin("new", "update"))
+    probes = settling.select("conversation_id", F.col("node").alias("probe"), F.col("node").alias("exclude"), F.col("embedding").alias("vector"))
+    members = settling.select("conversation_id", F.col("node").alias("member"), F.col("embedding").alias("vector")).unionByName(changing.filter("valid").select("conversation_id", F.col("node").alias("member"), F.col("embedding").alias("vector")))
+    near = linked(probes, members, "conversation_id", threshold - 1e-9)
+    targets = actions.filter("kind <> 'new' AND target_fact_id <> ''").join(loaded.unionByName(settling.select("node")).distinct().withColumnRenamed("node", "known"), F.col("target") == F.col("known"))
+    roots = stored(components(near.unionByName(targets.select(F.col("target").alias("a"), F.col("node").alias("b")))))
+
+    def placed(rows: DataFrame, how: str = "inner") -> DataFrame:
+        met = rows.join(roots.select(F.col("node").alias("__n"), F.col("root").alias("component")), F.col("node") == F.col("__n"), how)
+        return met.drop("__n")
+
+    marked = stored(placed(actions, "left"))
+    # What meets nothing makes a fact, or does nothing.
+    alone = marked.filter("component IS NULL AND kind IN ('new', 'update')")
+    made = alone.select("conversation_id", own.alias("id"), "category", "fact", F.lit(1).alias("source_count"), F.lit(True).alias("active"), F.array("episode_id").alias("sources"), F.col("embedding").cast("array<float>").alias("embedding"))
+    acting = marked.filter("component IS NOT NULL")
+    touched = acting.select("component").distinct()
+    inside = placed(changing).join(touched, "component", "left_semi")
+    shown = above(probes, fixed.select("conversation_id", F.col("node").alias("member"), F.col("embedding").alias("vector")), "conversation_id", SIMILAR_FACTS, threshold - 1e-9)
+    seen = shown.join(acting.select(F.col("node").alias("probe"), "component"), "probe").select("component", F.col("member").alias("node")).distinct().join(fixed, "node")
+    lists = placed(scope).join(touched, "component", "left_semi")
+    parts = None
+    for row, table in (("fact", inside), ("seen", seen), ("scope", lists), ("action", acting)):
+        names = [x.rsplit(" ", 1) for x in _GROUP.split(", ")]
+        columns = [F.lit(row).alias("row") if n == "row" else F.col(n).cast(k).alias(n) if n in table.columns else F.lit(None).cast(k).alias(n) for n, k in names]
+        parts = table.select(*columns) if parts is None else parts.unionByName(table.select(*columns))
+    folded = parts.groupBy("conversation_id", "component").applyInPandas(lambda group: _fold(group, threshold), _AFTER)
+    untouched = facts.join(inside.select("node"), "node", "left_anti")
+    left = untouched.select("conversation_id", "id", "category", "fact", F.size("sources").alias("source_count"), F.col("valid").alias("active"), "sources", F.col("embedding").cast("array<float>").alias("embedding"))
+    return folded.unionByName(made).unionByName(left)

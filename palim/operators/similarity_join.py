@@ -145,14 +145,8 @@ def meeting(probe_stats: DataFrame, member_stats: DataFrame, pivots: np.ndarray,
     return both.filter(open_ | (bound > threshold - SLACK)).select("__key", "a", "b", "a_parts", "b_parts")
 
 
-def above(probes: DataFrame, members: DataFrame, key: str, limit: int, threshold: float, work=None) -> DataFrame:
-    """probe, member, score: as cells.nearest(), for a threshold of 0 or more. work: an accumulator of multiplications, or None.
-
-    Of each probe and cell the `limit` best scores above the threshold, and those that tie with the last. Vectors of different length, empty or null ones
-    score 0 and so are never above. A null key meets nothing.
-    """
-    if threshold < 0:
-        return cells.nearest(probes, members, key, limit, threshold)
+def _in_cells(probes: DataFrame, members: DataFrame, key: str, threshold: float):
+    """Both sides dealt out to cells (rows of the probes first), the columns that name a cell, and the axes, broadcast."""
     spark = probes.sparkSession
     ship(spark)
     size = members.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LARGE).select("__k")
@@ -177,7 +171,18 @@ def above(probes: DataFrame, members: DataFrame, key: str, limit: int, threshold
     columns = [key, "a", "b", "a_part", "b_part", "__side", "probe", "member", "vector"]
     both = dealt(left, "a", "b", "probe", 0).select(*columns).unionByName(dealt(right, "b", "a", "member", 1).select(*columns))
     cell = [key, "a", "b", "a_part", "b_part"]
-    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell, "__side")
+    return both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell, "__side"), cell, turn
+
+
+def above(probes: DataFrame, members: DataFrame, key: str, limit: int, threshold: float, work=None) -> DataFrame:
+    """probe, member, score: as cells.nearest(), for a threshold of 0 or more. work: an accumulator of multiplications, or None.
+
+    Of each probe and cell the `limit` best scores above the threshold, and those that tie with the last. Vectors of different length, empty or null ones
+    score 0 and so are never above. A null key meets nothing.
+    """
+    if threshold < 0:
+        return cells.nearest(probes, members, key, limit, threshold)
+    both, cell, turn = _in_cells(probes, members, key, threshold)
 
     def run(batches):
         for table in _groups(batches, cell):
@@ -187,13 +192,43 @@ def above(probes: DataFrame, members: DataFrame, key: str, limit: int, threshold
     return both.mapInArrow(run, f"probe {types['probe']}, member {types['member']}, score double")
 
 
-def _best(cell: pa.Table, limit: int, threshold: float, turn: np.ndarray, work) -> Iterator[pa.RecordBatch]:
-    n = int((cell.column("__side").to_numpy() == 0).sum())
-    if limit <= 0 or not n or n == cell.num_rows:
-        return
-    probes, members = cell.slice(0, n), cell.slice(n)
-    (p_size, p_data), (m_size, m_data) = _matrix(probes.column("vector")), _matrix(members.column("vector"))
-    found_i, found_j, scores = [], [], []
+def linked(probes: DataFrame, members: DataFrame, key: str, threshold: float) -> DataFrame:
+    """a, b: members that connect as all pairs of a probe and a member above the threshold do. Each probe is a member, too, by its id (exclude). A cell gives a row for each of its rows at most, however many pairs it has."""
+    both, cell, turn = _in_cells(probes, members, key, threshold)
+    kind = members.schema["member"].dataType.simpleString()
+
+    def run(batches):
+        for table in _groups(batches, cell):
+            n = int((table.column("__side").to_numpy() == 0).sum())
+            if n and n < table.num_rows:
+                i, j = _pairs(table, n, threshold, turn.value)[:2]
+                root = _roots(table.num_rows, i, n + j)
+                other = np.flatnonzero(root != np.arange(len(root)))
+                names = table.column("member").combine_chunks()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(root[other])), names.take(pa.array(other))], ["a", "b"])
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least element connected to each of n, over the links a[i], b[i]."""
+    root = np.arange(n)
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    while not np.array_equal(again := root[root], root):
+        root = again
+    return root
+
+
+def _pairs(cell: pa.Table, n: int, threshold: float, turn: np.ndarray, work=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probe (of the first n rows), member (counted from row n) and product of all pairs of a cell that may be above the threshold."""
+    (p_size, p_data), (m_size, m_data) = _matrix(cell.slice(0, n).column("vector")), _matrix(cell.slice(n).column("vector"))
+    found_i, found_j, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for d in np.intersect1d(p_size, m_size):
         at_p, at_m = np.flatnonzero(p_size == d), np.flatnonzero(m_size == d)
         p, m = p_data[np.repeat(p_size == d, p_size)].reshape(-1, d), m_data[np.repeat(m_size == d, m_size)].reshape(-1, d)
@@ -203,9 +238,15 @@ def _best(cell: pa.Table, limit: int, threshold: float, turn: np.ndarray, work)
         found_i.append(at_p[i])
         found_j.append(at_m[j])
         scores.append(np.einsum("ij,ij->i", p[i], m[j]))
-    if not found_i:
+    return np.concatenate(found_i), np.concatenate(found_j), np.concatenate(scores)
+
+
+def _best(cell: pa.Table, limit: int, threshold: float, turn: np.ndarray, work) -> Iterator[pa.RecordBatch]:
+    n = int((cell.column("__side").to_numpy() == 0).sum())
+    if limit <= 0 or not n or n == cell.num_rows:
         return
-    i, j, score = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(scores)
+    probes, members = cell.slice(0, n), cell.slice(n)
+    i, j, score = _pairs(cell, n, threshold, turn, work)
     excluded = pc.fill_null(pc.index_in(probes.column("member").combine_chunks(), members.column("member").combine_chunks(), skip_nulls=True), -1).to_numpy(zero_copy_only=False)
     keep = (score > threshold) & (excluded[i] != j)
     i, j, score = i[keep], j[keep], score[keep]

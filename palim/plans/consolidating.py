@@ -52,10 +52,10 @@ def consolidate_apply(spark, sf_dir) -> DataFrame:
     vectors = facts.select(F.col("id").alias("__id"), F.col("embedding").alias("__v"), F.col("conversation_id").alias("__c"))
     place = place.join(vectors, F.concat((F.col("episode_pos") % 40 * 10 + F.col("place")).cast("string")) == F.col("__id"), "left").withColumn("embedding", F.when(F.col("kind").isin("new", "update"), F.coalesce("__v", F.array().cast("array<float>"))))
     place = place.filter(~F.col("kind").isin("new", "update") | (F.size("embedding") > 0))
-    scope = facts.filter((F.col("id").cast("long") % 10) < 2).groupBy("conversation_id").agg(F.array_sort(F.collect_list("id")).alias("scope"))
-    place = place.join(F.broadcast(scope), "conversation_id")
-    cols = ("conversation_id", "episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding", "scope")
-    return con.apply_actions(facts, place.select(*cols), 0.3).drop("sources", "embedding")
+    scope = facts.filter((F.col("id").cast("long") % 10) < 2).select("conversation_id", F.lit(None).cast("string").alias("episode_id"), "id")
+    place = place.join(scope.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    cols = ("conversation_id", "episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding")
+    return con.apply_actions(facts, place.select(*cols), scope, 0.3).drop("sources", "embedding")
 
 
 def job_status(spark, sf_dir) -> DataFrame:

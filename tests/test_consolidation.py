@@ -47,3 +47,52 @@ def test_a_fact_made_now_is_in_scope():
     got = run(("new", "x", "", [0.6, -0.8]), ("new", "x again", "", [0.6, -0.8]))
     assert got["e1/0"] == (1, True)
     assert "e1/1" not in got
+
+
+def _random(seed, conversations=3, n=14, episodes=12):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = np.eye(8)
+    vector = lambda: [float(x) for x in centres[rng.integers(0, 8)] + rng.normal(scale=0.12, size=8)]
+    facts, actions, scope = [], [], []
+    for c in range(conversations):
+        ids = [f"f{c}_{i}" for i in range(n)]
+        facts += [(f"c{c}", i, "goal", f"text {i}", ["e0"], bool(rng.random() < 0.8), vector()) for i in ids]
+        for e in range(episodes):
+            own = [i for i in ids if rng.random() < 0.3]
+            scope += [(f"c{c}", f"e{c}_{e}", i) for i in own]
+            for place in range(int(rng.integers(1, 5))):
+                kind = ["new", "update", "reinforce", "invalidate"][rng.integers(0, 4)]
+                target = "" if kind == "new" else [*own, "nobody", f"e{c}_{e}/0"][rng.integers(0, len(own) + 2)]
+                actions.append((f"c{c}", f"e{c}_{e}", e, place, kind, f"a{place}", "goal", target, vector() if kind in ("new", "update") else None))
+    return facts, actions, scope
+
+
+def test_components_folded_apart_equal_one_fold(spark):
+    from palim.operators import consolidation
+
+    for seed in (1, 2):
+        facts, actions, scope = _random(seed)
+        tables = (
+            spark.createDataFrame(facts, "conversation_id string, id string, category string, fact string, sources array<string>, valid boolean, embedding array<double>"),
+            spark.createDataFrame(actions, "conversation_id string, episode_id string, episode_pos long, place long, kind string, fact string, category string, target_fact_id string, embedding array<double>"),
+            spark.createDataFrame(scope, "conversation_id string, episode_id string, id string"),
+        )
+        got = {(r["conversation_id"], r["id"]): (r["fact"], sorted(r["sources"]), r["active"]) for r in consolidation.apply_actions(*tables, 0.8).collect()}
+        want = {}
+        for c in sorted({f[0] for f in facts}):
+            own = pd.DataFrame([f[1:] for f in facts if f[0] == c], columns=["id", "category", "fact", "sources", "valid", "embedding"])
+            rows = pd.DataFrame([(*a[1:], [s[2] for s in scope if s[1] == a[1]]) for a in actions if a[0] == c], columns=["episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding", "scope"])
+            for r in apply_in_order(own, rows, 0.8).itertuples():
+                want[(c, r.id)] = (r.fact, sorted(r.sources), r.active)
+        assert got == want
+
+
+def test_components_of_chains(spark):
+    from palim.operators.components import components
+
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y"), ("x", "x"), ("z", "y"), ("w", "w")], "a string, b string")
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert got == {f"n{i:03}": "n000" for i in range(61)} | {"x": "x", "y": "x", "z": "x"}
+    assert components(edges.limit(0)).count() == 0
