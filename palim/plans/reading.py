@@ -13,6 +13,7 @@ from palim.schemas import QUESTION_TYPES
 from palim.sources import adapters as ad
 from palim.sources import datasets as ds
 from palim.sources.adapters import NOW, sql
+from palim.sources.json_array import write_json_arrays
 from palim.sources.store import scratch_folder
 
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -22,18 +23,18 @@ def _pick(values, at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
 
 
-def _json_files(spark, rows: DataFrame, part: Column) -> str:
-    """JSON texts in rows (column `json`), dealt into files that hold one array each."""
+def _json_files(spark, rows: DataFrame) -> str:
+    """JSON texts in rows (column `json`) as files of arrays, one for each partition."""
     path = scratch_folder(spark)
-    rows.groupBy(part.alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+    write_json_arrays(rows, "json", path)
     return path
 
 
-# Dialogues: every tenth conversation is a session of a sample; sample 3 lacks its fourth one, so that its sessions end there.
+# Dialogues: ten conversations in a row are the sessions of a sample; sample 3 lacks its fourth one, so that its sessions end there.
 
 
 def _dialogue_file(spark, sf_dir) -> DataFrame:
-    rows = ad.table(spark, sf_dir, "conversations").withColumn("n", F.floor(F.col("conv_id") / 10) + 1).withColumn("sample_id", (F.col("conv_id") % 10).cast("string"))
+    rows = ad.table(spark, sf_dir, "conversations").withColumn("n", F.col("conv_id") % 10 + 1).withColumn("sample_id", F.floor(F.col("conv_id") / 10).cast("string"))
     turn = F.struct(
         F.when(F.col("turn") % 5 == 4, "  ").otherwise(F.col("role")).alias("speaker"), F.concat_ws(":", "conv_id", "turn").alias("dia_id"),
         F.when((F.col("conv_id") + F.col("turn")) % 6 == 0, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit(" "))).alias("text"),
@@ -42,7 +43,7 @@ def _dialogue_file(spark, sf_dir) -> DataFrame:
     held = rows.filter("sample_id <> '3' OR n <> 4").groupBy("sample_id", "n", "conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("turns"))
     date = F.concat((F.col("conv_id") % 12 + 1).cast("string"), F.lit(":"), F.lpad((F.col("conv_id") % 60).cast("string"), 2, "0"), _pick((" am", " pm"), F.col("conv_id") % 2), F.lit(" on "), (F.col("conv_id") % 28 + 1).cast("string"), F.lit(" "), _pick(_MONTHS, F.col("conv_id") % 12), F.lit(", 2023"))
     entry = F.concat(F.lit('"session_'), F.col("n").cast("string"), F.lit('":'), F.to_json(F.transform("turns", lambda t: t["t"])), F.lit(',"session_'), F.col("n").cast("string"), F.lit('_date_time":"'), date, F.lit('"'))
-    asked = ad.qa(spark, sf_dir).select(
+    asked = ad.qa(spark, sf_dir).withColumn("sample_id", F.floor(F.col("conv_id") / 10).cast("string")).select(
         "sample_id",
         F.struct(
             "conv_id", "turn", F.struct(F.concat(F.lit("why "), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("question"), F.when((F.col("category") < 5) | (F.col("turn") % 4 == 0), F.col("gold")).alias("answer"), F.lit("not said").alias("adversarial_answer"), "category").alias("q")
@@ -51,7 +52,7 @@ def _dialogue_file(spark, sf_dir) -> DataFrame:
     qa = asked.groupBy("sample_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["q"])).alias("qa"))
     samples = held.select("sample_id", entry.alias("entry")).groupBy("sample_id").agg(F.array_join(F.collect_list("entry"), ",").alias("c")).join(qa, "sample_id", "left")
     json = F.concat(F.lit('{"sample_id":"'), "sample_id", F.lit('","conversation":{"speaker_a":"user",'), "c", F.lit('},"qa":'), F.coalesce("qa", F.lit("[]")), F.lit("}"))
-    return ds.dialogues(spark, _json_files(spark, samples.select(json.alias("json"), "sample_id"), F.col("sample_id")))
+    return ds.dialogues(spark, _json_files(spark, samples.select(json.alias("json"))))
 
 
 def dialogue_questions(spark, sf_dir) -> DataFrame:
@@ -86,7 +87,7 @@ def haystack_messages(spark, sf_dir) -> DataFrame:
             F.transform("x", lambda v: v["date"]).alias("haystack_dates"), F.transform("x", lambda v: v["turns"]).alias("haystack_sessions"),
         )
     )
-    path = _json_files(spark, grouped.select(json.alias("json"), "conv_id"), F.col("conv_id") % 8)
+    path = _json_files(spark, grouped.select(json.alias("json")))
     out = ds.haystack_messages(ds.haystacks(spark, path))
     return out.select("question_id", F.col("session").cast("long").alias("session"), F.col("turn").cast("long").alias("turn"), "role", "content", F.unix_micros("ts").alias("us"))
 
@@ -96,7 +97,7 @@ def vector_cache(spark, sf_dir) -> DataFrame:
     path = scratch_folder(spark)
     rows = ad.table(spark, sf_dir, "embeddings").withColumn("key", F.concat(F.lit("k"), (F.col("vec_id") % 50).cast("string")))
     line = F.concat(F.to_json(F.struct("key", "embedding")), F.when(F.col("vec_id") % 9 == 0, "\n").otherwise(""))
-    rows.select("vec_id", line.alias("value")).coalesce(1).sortWithinPartitions("vec_id").select("value").write.text(path)
+    rows.select("vec_id", line.alias("value")).repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("value").write.text(path)  # files in the order of their rows
     out = ds.read_cache(spark, path)
     return out.select("key", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
 
@@ -189,7 +190,7 @@ QUERIES = {
 }
 
 _MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in _MONTHS) + "]"
-_TALK = """SELECT *, CAST(conv_id % 10 AS VARCHAR) AS sample_id, conv_id // 10 + 1 AS n, CASE WHEN turn % 5 = 4 THEN '  ' ELSE role END AS speaker, CASE WHEN (conv_id + turn) % 6 = 0 THEN '  ' ELSE ' ' || text || ' ' END AS said,
+_TALK = """SELECT *, CAST(conv_id // 10 AS VARCHAR) AS sample_id, conv_id % 10 + 1 AS n, CASE WHEN turn % 5 = 4 THEN '  ' ELSE role END AS speaker, CASE WHEN (conv_id + turn) % 6 = 0 THEN '  ' ELSE ' ' || text || ' ' END AS said,
     CASE WHEN turn % 4 = 1 THEN ' photo of ' || role END AS caption, CASE WHEN turn % 8 = 1 THEN 'garden' END AS search_query, CASE WHEN turn % 8 = 5 THEN ' tea ' END AS query FROM conversations"""
 #: Sessions before the first that is missing.
 _KEPT = "SELECT * FROM talk t WHERE n <= 100 AND (sample_id <> '3' OR n < 4) AND n <= (SELECT max(m) FROM (SELECT n AS m, row_number() OVER (ORDER BY n) AS r FROM (SELECT DISTINCT n FROM talk u WHERE u.sample_id = t.sample_id)) WHERE m = r)"
@@ -206,7 +207,7 @@ _AGED = f"SELECT *, {_AGE.format(s='greatest(0, seconds)')} AS age FROM (SELECT
 ORACLE_SQL = {
     "dialogue_questions": sql(
         """SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY conv_id, turn) - 1 AS place, 'why ' || conv_id || ':' || turn AS question, CASE WHEN category < 5 OR turn % 4 = 0 THEN gold ELSE 'not said' END AS answer, category
-        FROM qa WHERE sample_id IN (SELECT CAST(conv_id % 10 AS VARCHAR) FROM conversations)""", "qa"
+        FROM (SELECT * REPLACE (CAST(conv_id // 10 AS VARCHAR) AS sample_id) FROM qa)""", "qa"
     ),
     "dialogue_sessions": sql("SELECT sample_id, n, date_text, epoch_us(date) AS date_us, n_turns FROM dated", **_D),
     "dialogue_messages": sql(

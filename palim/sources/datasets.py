@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palim.schemas import QA_CATEGORIES, QUESTION_TYPES
+from palim.sources.json_array import json_array
 
 MAX_SESSIONS = 100
 TURN_MINUTES = 1
@@ -21,7 +25,7 @@ def dialogues(spark: SparkSession, path: str) -> DataFrame:
     Answers may be numbers or texts. Of category 5, the adversarial answer stands in for a missing one. A category out of range is an error.
     """
     schema = f"sample_id string, conversation map<string,string>, qa {_QA}"
-    samples = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    samples = json_array(spark, path, schema)
     answer = lambda q: F.when(q["category"] == 5, F.coalesce(q["answer"], q["adversarial_answer"])).otherwise(q["answer"])
     checked = F.transform(
         "qa",
@@ -87,7 +91,7 @@ _HAYSTACK = T.StructType(
 
 def haystacks(spark: SparkSession, path: str) -> DataFrame:
     """Samples of a haystack dataset; an unknown question type is an error."""
-    rows = spark.read.schema(_HAYSTACK).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = json_array(spark, path, _HAYSTACK)
     known = F.when(F.col("question_type").isin(*QUESTION_TYPES), F.col("question_type")).otherwise(F.raise_error(F.lit("unknown question type")).cast("string"))
     return rows.withColumn("question_type", known)
 
@@ -102,10 +106,10 @@ def haystack_messages(samples: DataFrame) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """key, embedding of a JSON-lines cache: blank lines don't count, of a key's rows the last holds; a missing file is an empty cache."""
+    """key, embedding of a JSON-lines cache: blank lines don't count, of a key's rows the last holds (by the name of the file, then the place in it); a missing file is an empty cache."""
     schema = "key string, embedding array<float>"
     try:
-        lines = spark.read.schema(schema).json(path).withColumn("__at", F.monotonically_increasing_id()).filter("key IS NOT NULL")
+        lines = spark.read.schema(schema).option("recursiveFileLookup", True).json(path).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("__at")).filter("key IS NOT NULL")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
@@ -114,4 +118,5 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_cache(rows: DataFrame, path: str) -> None:
-    rows.select("key", "embedding").write.mode("append").json(path)
+    """Adds rows in files whose names come after those that are there."""
+    rows.select("key", "embedding").write.json(f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex}")
