@@ -49,6 +49,11 @@ def _lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
+def _spread(least: np.ndarray) -> np.ndarray:
+    """Hashes that were chosen for being least, over the whole range again."""
+    return mix(least ^ _ODD)
+
+
 def suffixes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seed, its hash, and first and last start of the strings that hang on it; strings lie within a document."""
     found = []
@@ -71,7 +76,7 @@ def suffixes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         start = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
         seed = place[start].astype(np.int64)
         bounds = group_bounds(seed)
-        found.append((seed[bounds[:-1]] + c, hashes[seed[bounds[:-1]]], start[bounds[:-1]] + c, start[bounds[1:] - 1] + c))
+        found.append((seed[bounds[:-1]] + c, _spread(hashes[seed[bounds[:-1]]]), start[bounds[:-1]] + c, start[bounds[1:] - 1] + c))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     seed, hashes, first, last = (np.concatenate(x) for x in zip(*found))
@@ -128,7 +133,7 @@ def decode(shared: np.ndarray, right: np.ndarray, left: np.ndarray, tails: np.nd
 
 def _seed_hash(rows: np.ndarray) -> np.ndarray:
     lanes = np.ascontiguousarray(rows[:, :SEED]).view("<u8")
-    return mix(mix(lanes[:, 0]) * _ODD + lanes[:, 1])
+    return _spread(mix(mix(lanes[:, 0]) * _ODD + lanes[:, 1]))
 
 
 def strings_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -164,3 +164,11 @@ def test_kept_bytes_by_hand(spark):
     docs = [(1, f"one {passage} two"), (2, f"three {passage} four")]
     assert run(spark.createDataFrame(docs, "doc_id long, text string")) == [(1, 68, 0, 0, docs[0][1].encode()), (2, 71, 63, 1, b"threfour")]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_shards_are_even():
+    """Seeds are the least of many hashes; they are dealt out evenly nevertheless."""
+    docs = [(i, prose(i, 60)) for i in range(600)]
+    batch = _block(docs)
+    sizes = [len(p) for shard, x in sd._keys(batch, 16, 4) if shard is not None for p in x]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * min(sizes)
