@@ -12,8 +12,9 @@ from palim.operators import segmentation as seg
 from palim.operators.ordered import running_sum
 from palim.sources import adapters as ad
 from palim.sources.adapters import sql
-from palim.sources.store import scratch_folder
+from palim.sources.store import scratch_folder, stored
 from palim.shipping import ship
+from palim.streaming.episodes import episode_stage, forget_last_commit, read_batches
 from palim.streaming.segments import OUTPUT, stream_spans
 
 _GAPS = """SELECT *, lag(ts) OVER (PARTITION BY conversation_id ORDER BY seq) AS previous_ts FROM {view}"""
@@ -172,23 +173,57 @@ def anchor_apply(spark, sf_dir) -> DataFrame:
     return ad.msg_conv(spark, sf_dir).select("conversation_id", "seq", apply_anchors(F.col("content"), listed).alias("anchored"))
 
 
-def stream_segments(spark, sf_dir) -> DataFrame:
-    """The log as a stream of files up to its end: all spans, once each."""
+#: Pieces in which a log arrives; after each the stream stops, and starts again from its checkpoint.
+PIECES = 4
+
+
+def _log(messages: DataFrame) -> DataFrame:
+    """The stream's rows of a log, by piece; the last piece also has each conversation's end."""
+    log = messages.select("conversation_id", "seq", F.unix_micros("ts").alias("us"), F.length("content").cast("long").alias("n_chars"), F.lit(False).alias("eof"))
+    width = log.groupBy("conversation_id").agg(F.ceil((F.max("seq") + 1) / PIECES).alias("width"))
+    ends = width.select("conversation_id", *[F.lit(None).cast("long").alias(c) for c in ("seq", "us", "n_chars")], F.lit(True).alias("eof"), F.lit(PIECES - 1).alias("piece"))
+    return log.join(width, "conversation_id").withColumn("piece", F.floor(F.col("seq") / F.col("width")).cast("int")).drop("width").unionByName(ends)
+
+
+def _streamed(spark, messages: DataFrame) -> str:
+    """The folder of the spans that the live segmentation makes of a log."""
     ship(spark)
     folder = f"{scratch_folder(spark)}/stream"
-    log = ad.msg_dense(spark, sf_dir).select("conversation_id", "seq", F.unix_micros("ts").alias("us"), F.length("content").cast("long").alias("n_chars"), F.lit(False).alias("eof"))
-    ends = log.select("conversation_id").distinct().select("conversation_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("us"), F.lit(None).cast("long").alias("n_chars"), F.lit(True).alias("eof"))
-    log.unionByName(ends).write.parquet(f"{folder}/in")
-    spans = stream_spans(spark.readStream.schema("conversation_id string, seq long, us long, n_chars long, eof boolean").parquet(f"{folder}/in"))
-    run = spans.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{folder}/out")
+    log = stored(_log(messages))
+    for piece in range(PIECES):
+        log.filter(F.col("piece") == piece).drop("piece").write.mode("append").parquet(f"{folder}/in")
+        spans = stream_spans(spark.readStream.schema("conversation_id string, seq long, us long, n_chars long, eof boolean").parquet(f"{folder}/in"))
+        spans.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/out"
+
+
+def stream_segments(spark, sf_dir) -> DataFrame:
+    """The log as a stream that comes in pieces, with a restart between them: all spans, once each."""
+    return spark.read.schema(OUTPUT).parquet(_streamed(spark, ad.msg_dense(spark, sf_dir)))
+
+
+def stream_episodes(spark, sf_dir) -> DataFrame:
+    """The second stage: batches of new spans become episodes. The last batch is run twice, as after a crash before its commit, and doubles nothing."""
+    messages = ad.msg_conv(spark, sf_dir)
+    spans, folder = _streamed(spark, messages), f"{scratch_folder(spark)}/episodes"
+
+    def run() -> None:
+        stream = spark.readStream.schema(OUTPUT).option("maxFilesPerTrigger", 64).parquet(spans)
+        episode_stage(stream, messages, f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    forget_last_commit(spark, f"{folder}/state")
+    run()
+    return read_batches(spark, f"{folder}/out").select(
+        "id", "conversation_id", "start_seq", "end_seq", "classification", "title", F.size("messages").cast("long").alias("n"), F.unix_micros("start_at").alias("start_us"), F.unix_micros("end_at").alias("end_us"),
+        F.round("stability", 6).alias("stability"), F.round("difficulty", 6).alias("difficulty"),
+    )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_segments, range_scan_messages, seq_assignment, adjacent_gaps, temporal_boundaries, bucket_ranges, primitive_review, split_ranges, merge_groups, merge_sweep, commit_plan, commit_plan_eof, claim_trigger,
+        stream_segments, stream_episodes, range_scan_messages, seq_assignment, adjacent_gaps, temporal_boundaries, bucket_ranges, primitive_review, split_ranges, merge_groups, merge_sweep, commit_plan, commit_plan_eof, claim_trigger,
         stale_leases, processing_status, legacy_time_gap, session_window_gap, episode_materialize, render_transcript, prompt_lines, uuid5_ids, stale_jobs, token_budget_tail, anchor_validate, anchor_apply,
     )
 }
@@ -205,7 +240,15 @@ _TOKENS = "list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]
 _UTC = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 _COLLAPSED = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
 
+_EPISODES_SQL = sql(
+    f"""SELECT {_uuid_of('h')} AS id, conversation_id, start_seq, end_seq, classification, array_to_string({_TOKENS.format(text='words')}[1:12], ' ') AS title, n, start_us, end_us, CAST(2.3065 AS DOUBLE) AS stability, CAST(2.118104 AS DOUBLE) AS difficulty
+        FROM (SELECT *, {_UUID_SQL.format(name="conversation_id || ':' || start_seq")} AS h FROM (SELECT conversation_id, start_seq, end_seq, classification, count(*) AS n, string_agg(content, ' ' ORDER BY seq) AS words,
+        epoch_us(arg_min(ts, seq)) AS start_us, epoch_us(arg_max(ts, seq)) AS end_us FROM placed GROUP BY 1, 2, 3, 4))""",
+        "msg_conv", recursive=True, **_chain("msg_conv", "final"), placed=_SPANS_SQL,
+)
+
 ORACLE_SQL = {
+    "stream_episodes": _EPISODES_SQL,
     "range_scan_messages": sql("SELECT conversation_id, seq, role, content FROM msg_dense WHERE seq BETWEEN 10 AND 29", "msg_dense"),
     "seq_assignment": sql("SELECT conversation_id, seq + 1000 AS seq, epoch_us(ts) AS us FROM msg_dense", "msg_dense"),
     "adjacent_gaps": sql("SELECT conversation_id, seq, gap_us, gap_minutes, boundary FROM typed", "msg_hard", **_chain("msg_hard", "typed")),
@@ -248,12 +291,7 @@ ORACLE_SQL = {
         SELECT *, sum(CASE WHEN gap_us > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY seq) AS segment FROM typed) GROUP BY conversation_id, segment""",
         "msg_hard", **_chain("msg_hard", "typed"),
     ),
-    "episode_materialize": sql(
-        f"""SELECT {_uuid_of('h')} AS id, conversation_id, start_seq, end_seq, classification, array_to_string({_TOKENS.format(text='words')}[1:12], ' ') AS title, n, start_us, end_us, CAST(2.3065 AS DOUBLE) AS stability, CAST(2.118104 AS DOUBLE) AS difficulty
-        FROM (SELECT *, {_UUID_SQL.format(name="conversation_id || ':' || start_seq")} AS h FROM (SELECT conversation_id, start_seq, end_seq, classification, count(*) AS n, string_agg(content, ' ' ORDER BY seq) AS words,
-        epoch_us(arg_min(ts, seq)) AS start_us, epoch_us(arg_max(ts, seq)) AS end_us FROM placed GROUP BY 1, 2, 3, 4))""",
-        "msg_conv", recursive=True, **_chain("msg_conv", "final"), placed=_SPANS_SQL,
-    ),
+    "episode_materialize": _EPISODES_SQL,
     "render_transcript": sql(
         f"""SELECT conversation_id, start_seq, regexp_replace(string_agg(piece, '' ORDER BY seq), '\\s+$', '') AS content FROM (SELECT *, CASE WHEN before IS NULL THEN header || chr(10) WHEN before <> hour THEN chr(10) || chr(10) || header || chr(10) ELSE chr(10) END || role || ': ' || {_COLLAPSED} AS piece
         FROM (SELECT *, date_trunc('hour', ts) AS hour, lag(date_trunc('hour', ts)) OVER (PARTITION BY conversation_id, start_seq ORDER BY seq) AS before, 'Spoken At: ' || strftime(ts, '%b %-d, %Y %-I %p') AS header FROM placed)) GROUP BY 1, 2""",

@@ -1,24 +1,26 @@
 """Live segmentation: messages in, finalized spans out, with the open tail of each conversation as state.
 
 Arrival order is seq order; timestamps may go back and then only give negative gaps, so there is no watermark.
-A conversation's state is what is still open: it is bounded by the trigger (20 messages, a gap, or the end).
+A span goes out once nothing that may still come can change it, so that spans don't depend on how the stream is cut into batches: they are those of the whole log.
+What is still open is the state: a segment that may grow, and before it what may yet join it, some 80 messages at most.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from palim.operators.segmentation import STUB_LOW_INFO_CHARS, STUB_SPLIT_EVERY
 from palim.schemas import CLASSIFY_MAX, HARD_GAP_MINUTES, MERGE_BELOW, SOFT_GAP_MINUTES, SPLIT_ABOVE, TRIGGER_MESSAGES
 
 MINUTE = 60_000_000
 OUTPUT = "conversation_id string, start_seq long, end_seq long, classification string"
-STATE = "pending string, ended boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: New messages of a conversation looked at together.
+PART = 4096
 
 
 def gap_kind(gap_us: int) -> str:
@@ -30,13 +32,13 @@ def starts_to_ranges(n: int, starts: list[int]) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(first, [*first[1:], n])]
 
 
-def primitive(messages: list[tuple]) -> list[dict]:
-    """messages: (seq, us, n_chars) in order. Reviewed segments with the origin of the boundary before each."""
+def primitive(messages: list[tuple], inside: bool = False) -> list[dict]:
+    """messages: (seq, us, n_chars) in order. Reviewed segments with the origin of the boundary before each. inside: the first message begins a later part of a segment that was split."""
     cuts = [0] + [i for i in range(1, len(messages)) if gap_kind(messages[i][1] - messages[i - 1][1]) != "none"]
     out = []
     for a, b in zip(cuts, [*cuts[1:], len(messages)]):
         n = b - a
-        parts = starts_to_ranges(n, list(range(STUB_SPLIT_EVERY, n, STUB_SPLIT_EVERY))) if n > SPLIT_ABOVE else [(0, n - 1)]
+        parts = starts_to_ranges(n, list(range(STUB_SPLIT_EVERY, n, STUB_SPLIT_EVERY))) if n > SPLIT_ABOVE or (inside and not a) else [(0, n - 1)]
         for k, (x, y) in enumerate(parts):
             low = y - x + 1 <= CLASSIFY_MAX and sum(m[2] for m in messages[a + x : a + y + 1]) < STUB_LOW_INFO_CHARS
             origin = "llm_locked" if k else "rule_" + gap_kind(messages[a][1] - messages[a - 1][1]) if a else None
@@ -67,36 +69,62 @@ def triggered(messages: list[tuple], ended: bool) -> bool:
     return bool(messages) and (ended or len(messages) >= TRIGGER_MESSAGES or gap)
 
 
-def advance(messages: list[tuple], ended: bool) -> tuple[list[dict], list[tuple]]:
-    """Spans finalized now and the messages still open: the last span stays open unless the stream has ended.
+def advance(messages: list[tuple], ended: bool, inside: bool = False) -> tuple[list[dict], list[tuple], bool]:
+    """Spans that are final, the messages still open, and whether those begin inside a split segment.
 
-    A further claim follows while there was progress.
+    The last segment may grow, and with it change its kind; what stands before it waits only if the two may join.
     """
-    done: list[dict] = []
-    while triggered(messages, ended):
-        spans = merged(primitive(messages))
-        final = spans if ended else spans[:-1]
-        done += final
-        following = spans[-1]["end"] + 1 if ended else spans[-1]["start"]
-        messages = [m for m in messages if m[0] >= following]
-        if not final or ended:
-            break
-    return done, messages
-
-
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pending, ended = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
-    new = pd.concat(list(batches))
-    ended = ended or bool(new["eof"].any())
-    messages = [tuple(m) for m in pending]
-    known = {m[0] for m in messages}
-    rows = new[new["seq"].notna()]
-    messages += [(int(s), int(u), int(c)) for s, u, c in zip(rows["seq"], rows["us"], rows["n_chars"]) if int(s) not in known]
-    done, rest = advance(sorted(messages), ended)
-    state.update((json.dumps(rest), ended and bool(rest)))
-    yield pd.DataFrame([(key[0], d["start"], d["end"], d["kind"]) for d in done], columns=["conversation_id", "start_seq", "end_seq", "classification"])
+    if not triggered(messages, ended):
+        return [], messages, inside
+    segments = primitive(messages, inside)
+    if ended:
+        return merged(segments), [], False
+    growing, done, i = segments[-1], [], 0
+    while i < len(segments) - 1:
+        j, total = i, segments[i]["n"]
+        while segments[i]["kind"] == "informative" and total < MERGE_BELOW and segments[j + 1]["origin"] == "rule_soft":
+            if j + 1 == len(segments) - 1:
+                rest = [m for m in messages if m[0] >= segments[i]["start"]]
+                return done, rest, segments[i]["origin"] == "llm_locked" or (inside and not i)
+            if segments[j + 1]["kind"] != "informative":
+                break
+            j += 1
+            total += segments[j]["n"]
+        done += merged(segments[i : j + 1])
+        i = j + 1
+    return done, [m for m in messages if m[0] >= growing["start"]], growing["origin"] == "llm_locked" or (inside and len(segments) == 1)
+
+
+class Segmenter(StatefulProcessor):
+    """Typed state of a conversation: its open messages, and whether they begin inside a split segment and the end was seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getListState("open", "seq long, us long, n_chars long")
+        self.marks = handle.getValueState("marks", "inside boolean, ended boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        messages = [tuple(m) for m in self.open.get()] if self.open.exists() else []
+        inside, ended = self.marks.get() if self.marks.exists() else (False, False)
+        # A batch of rows of any length goes through in parts of some thousand: spans leave as soon as they are final.
+        new = pd.concat(list(rows)) if not isinstance(rows, pd.DataFrame) else rows
+        ended = ended or bool(new["eof"].any())
+        last = messages[-1][0] if messages else -1
+        fresh = new[new["seq"].notna() & (new["seq"] > last)].sort_values("seq").drop_duplicates("seq")
+        done: list[dict] = []
+        for a in range(0, max(1, len(fresh)), PART):
+            part = fresh.iloc[a : a + PART]
+            messages += [(int(s), int(u), int(c)) for s, u, c in zip(part["seq"], part["us"], part["n_chars"])]
+            spans, messages, inside = advance(messages, ended and a + PART >= len(fresh), inside)
+            done += spans
+        self.open.put(messages) if messages else self.open.clear()
+        self.marks.update((inside, ended and bool(messages)))
+        yield pd.DataFrame([(key[0], d["start"], d["end"], d["kind"]) for d in done], columns=["conversation_id", "start_seq", "end_seq", "classification"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_spans(messages: DataFrame) -> DataFrame:
     """messages: a stream of conversation_id, seq, us, n_chars, eof (a row without seq only marks the end)."""
-    return messages.groupBy("conversation_id").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return messages.groupBy("conversation_id").transformWithStateInPandas(Segmenter(), OUTPUT, "append", "none")

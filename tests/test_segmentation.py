@@ -120,19 +120,34 @@ def test_frame_equals_fold(spark):
     assert sorted(got) == sorted(wanted)
 
 
-def test_replay_in_batches_keeps_the_tail_open():
+def test_spans_leave_when_nothing_can_change_them():
     log = [(i, i * live.MINUTE + (live.MINUTE * 60 if i >= 10 else 0), 20) for i in range(15)]
-    done, rest = live.advance(log, False)
-    assert [(d["start"], d["end"]) for d in done] == [(0, 11)]  # joined over the soft gap and split at 12; the rest is open
-    assert [m[0] for m in rest] == [12, 13, 14]
+    assert live.advance(log, False) == ([], log, False)  # the segment behind the soft gap may still join the one before
     hard = [(i, i * live.MINUTE + (live.MINUTE * 600 if i >= 10 else 0), 20) for i in range(15)]
-    done, rest = live.advance(hard, False)
-    assert [(d["start"], d["end"]) for d in done] == [(0, 9)]
-    done, rest = live.advance(rest, True)
+    done, rest, inside = live.advance(hard, False)
+    assert [(d["start"], d["end"]) for d in done] == [(0, 9)] and not inside
+    done, rest, inside = live.advance(rest, True)
     assert [(d["start"], d["end"]) for d in done] == [(10, 14)]
     assert rest == []
 
 
+def test_spans_do_not_depend_on_the_batches():
+    rng = random.Random(9)
+    for _ in range(300):
+        at, log = 0, []
+        for i in range(rng.randint(1, 150)):
+            at += rng.choice([1] * rng.randint(2, 30) + [29, 30, 31, 180, 181, -5]) * live.MINUTE
+            log.append((i, at, rng.randint(1, 30)))
+        done, held, inside, most = [], [], False, 0
+        for a in range(0, len(log), step := rng.choice([1, 2, 7, 40, 200])):
+            spans, held, inside = live.advance(held + log[a : a + step], a + step >= len(log), inside)
+            done += spans
+            most = max(most, len(held))
+        want = [(x["start"], x["end"], x["kind"]) for x in live.merged(live.primitive(log))]
+        assert [(x["start"], x["end"], x["kind"]) for x in done] == want
+        assert held == [] and most <= 80
+
+
 def test_ordered_primitives_across_ranges(spark):
     rows = spark.range(50).select((F.col("id") % 2).cast("string").alias("k"), (F.col("id") * 3).alias("o"), F.col("id").alias("v"))
     out = dense_seq(rows, "k", "o", width=7)
@@ -175,3 +190,26 @@ def test_no_task_holds_a_hot_conversation(spark, tmp_path):
     for line in plan.split("\n"):
         if "collect_list(struct(start_seq" in line.replace("named_struct", "struct"):
             assert "part" in line.split("],")[0]
+
+
+def test_a_replayed_batch_doubles_nothing(spark, tmp_path):
+    from palim.streaming.episodes import episode_stage, forget_last_commit, read_batches
+
+    messages = spark.createDataFrame([("a", s, "user", f"text {s}", START + timedelta(minutes=s)) for s in range(9)], "conversation_id string, seq long, role string, content string, ts timestamp")
+    schema = "conversation_id string, start_seq long, end_seq long, classification string"
+    path = f"file://{tmp_path}"
+    for a, z in ((0, 3), (4, 8)):
+        spark.createDataFrame([("a", a, z, "informative")], schema).coalesce(1).write.mode("append").parquet(f"{path}/spans")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/spans")
+        query = episode_stage(stream, messages, f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.recentProgress
+
+    assert [p["batchId"] for p in run()][:2] == [0, 1]
+    before = sorted((r["id"], r["start_seq"], r["content"]) for r in read_batches(spark, f"{path}/out").collect())
+    forget_last_commit(spark, f"{path}/state")
+    assert run()[0]["batchId"] == 1
+    assert sorted((r["id"], r["start_seq"], r["content"]) for r in read_batches(spark, f"{path}/out").collect()) == before
+    assert len(before) == 2
