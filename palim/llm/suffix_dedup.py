@@ -37,8 +37,6 @@ SHARD_SUFFIXES, BYTES_EACH = 150_000, 20
 GROUP, HELD, HOT = 50_000, 600_000, 10_000
 #: Strings that are compared at once.
 _STRINGS = 500_000
-#: Buckets of documents for each shuffle partition.
-BUCKETS = 8
 _NO_ID = int(np.iinfo(np.int64).max)
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -560,25 +558,18 @@ class _Found:
 
 def _beside(docs: DataFrame, found: DataFrame, buckets: int, work, schema: str) -> DataFrame:
     """work(block, what was found of its documents) for all documents, in one shuffle of the texts: what was found of a bucket stands in front of its documents."""
-    partitions = buckets // BUCKETS
     both = docs.select(_bucket_column(buckets).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("spans"), "doc_id", "text", "text_hash")
     both = found.select("bucket", F.lit(0).alias("kind"), "spans").unionByName(both, allowMissingColumns=True)
-    both = both.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", "kind")
+    both = both.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind")
 
     def run(batches):
-        bucket, packed, ready = None, [], None
+        packed, ready = [], None
         for batch in batches:
-            which = batch.column("bucket").to_numpy()
-            bounds = group_bounds(which * 2 + batch.column("kind").to_numpy())
-            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                part = batch.slice(a, z - a)
-                if which[a] != bucket:
-                    bucket, packed, ready = which[a], [], None
-                if part.column("kind")[0].as_py() == 0:
-                    packed += [x.as_buffer() for x in part.column("spans")]
-                    continue
+            lead = int((batch.column("kind").to_numpy() == 0).sum())
+            packed += [x.as_buffer() for x in batch.column("spans").slice(0, lead)]
+            if lead < batch.num_rows:
                 ready = ready or _Found(packed)
-                for b in blocks([part]):
+                for b in blocks([batch.slice(lead)]):
                     yield from work(b, ready)
 
     return both.mapInArrow(run, schema)
@@ -610,7 +601,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id; strings are those
     of the input and lie within one document. Null text has no bytes. Rows with one id don't take from one another; a null id is the greatest. Other columns don't matter.
     """
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # one for each partition of the texts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     def cover(b, found):
