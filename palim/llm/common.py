@@ -30,7 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="palim-")
         sc.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/palim-{uuid.uuid4().hex}"
+    # A folder without a scheme is on the default file system, for Spark's writers and for all others alike.
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath().rstrip('/')}/palim-{uuid.uuid4().hex}"
 
 
 @contextmanager

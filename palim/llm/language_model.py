@@ -38,7 +38,7 @@ from palim.llm.elias_fano import EliasFano
 WEIGHTS = 2.0 ** np.arange(2, 15)
 #: Tokens of a shard, and shards at most: what one task counts.
 SHARD_TOKENS, SHARDS = 2_000_000, 100_000
-#: Steps of a quantised pair term, in log10.
+#: Steps of a quantised pair term, in log10 (wider if the largest term needs it), and codes.
 STEP, CODES = 0.03, 255
 HOT = 50_000
 BLOCK, DOCS = 3 << 20, 60_000
@@ -125,7 +125,7 @@ class Trie:
         known, back = np.unique(before.astype(np.uint64), return_inverse=True)
         return self.vocabulary.find(known)[back]
 
-    def gains(self, ordinal: np.ndarray, which: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    def gains(self, ordinal: np.ndarray, which: np.ndarray, rank: np.ndarray, step: float = STEP) -> np.ndarray:
         """For pairs of word ordinal[which] and predecessor (by rank): the quantised term, 0 if unseen."""
         out = np.zeros(len(rank))
         if not self.before.n:
@@ -134,7 +134,7 @@ class Trie:
         some = np.flatnonzero((ordinal[which] >= 0) & (rank >= 0))
         o = which[some]
         at = self.before.find((ordinal[o].astype(np.uint64) << self.bits) | rank[some].astype(np.uint64), first[o], end[o])
-        out[some] = np.where(at >= 0, self.codes[np.maximum(at, 0)] * STEP, 0)
+        out[some] = np.where(at >= 0, self.codes[np.maximum(at, 0)] * step, 0)
         return out
 
 
@@ -148,13 +148,12 @@ def _write(path: str, content: bytes) -> None:
     fs.move(part, at)
 
 
-def _open(path: str) -> Trie | None:
+def _open(path: str) -> Trie:
+    """A trie that was written; one that isn't there is an error, not an empty one."""
     parsed = urllib.parse.urlparse(path)
     if parsed.scheme in ("", "file"):
-        return Trie.of(np.memmap(parsed.path, np.uint8, "r")) if os.path.exists(parsed.path) else None
+        return Trie.of(np.memmap(parsed.path, np.uint8, "r"))
     fs, at = pa.fs.FileSystem.from_uri(path)
-    if fs.get_file_info(at).type == pa.fs.FileType.NotFound:
-        return None
     with fs.open_input_file(at) as f:
         return Trie.of(np.frombuffer(f.read_buffer(), np.uint8))
 
@@ -211,10 +210,16 @@ class Model:
         self.folder, self.shards, self.n, self.v, self.hot, self.hot_counts = folder, shards, n, v, hot, hot_counts
         self.ends = 0  # training texts
         self.weight = 1.0  # K
+        self.built = np.zeros(shards, bool)  # shards that have a trie
         self.pairs, self.pair_gains = np.zeros(0, np.uint64), np.zeros(0)
 
     def path(self, shard: int, smoothed: bool = False) -> str:
-        return f"{self.folder}/{'trie' if smoothed else 'counts'}-{shard:06d}.ef"
+        return f"{self.folder}/{'tries' if smoothed else 'counts'}/{shard:06d}.ef"
+
+    @property
+    def step(self) -> float:
+        """No term is larger than that of a word all of whose occurrences follow one word: the codes reach as far."""
+        return max(STEP, float(np.log10(1 + (self.n + self.v + 1) / self.weight)) / CODES)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.n + self.v + 1))
@@ -227,7 +232,7 @@ class Model:
         return np.log10(1 + pair_count * ((self.n + self.v + 1) / (self.weight * (count + 1))))
 
     def quantised(self, pair_count: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.minimum(np.rint(self.gain(pair_count, count) / STEP), CODES).astype(np.uint8)
+        return np.minimum(np.rint(self.gain(pair_count, count) / self.step), CODES).astype(np.uint8)
 
 
 def pair_key(word: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -309,21 +314,22 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in got], pa.int32()), pa.array([pack(*c, *h) for _, c, h in got], pa.binary())], ["shard", "payload"])
 
     def build(batches):
-        """Tries with counts as codes; rows: the likelihood of each shard, and frequent pairs."""
+        """Tries with counts as codes; rows: the likelihood of each shard (its number as n), and frequent pairs."""
         model = shared.value
         for shard, payloads in _grouped(batches):
             trie, (keys, counts, totals), likelihood = _trie_of(model, payloads)
             _write(model.path(shard), trie.to_bytes())
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([likelihood.tolist()], pa.list_(pa.float64()))], _BUILT)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([shard], pa.int64()), pa.nulls(1, pa.int64()), pa.array([likelihood.tolist()], pa.list_(pa.float64()))], _BUILT)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(totals), pa.nulls(len(keys), pa.list_(pa.float64()))], _BUILT)
 
     with shuffles_end_with_the_query(spark):
         built = _dealt(texts.mapInArrow(pairs, "shard int, payload binary"), shards).mapInArrow(build, "pair long, n long, total long, likelihood array<double>").collect()  # a row for each shard, and at most HOT
     likelihood = sum((np.array(r["likelihood"]) for r in built if r["pair"] is None), -np.array(taken, float) - model.ends * np.log(np.maximum(model.ends - 1, 0) + WEIGHTS))
+    model.built[[r["n"] for r in built if r["pair"] is None]] = True
     model.weight = float(WEIGHTS[int(np.argmax(likelihood))])
     frequent = sorted((r["pair"] & (1 << 64) - 1, r["n"], r["total"]) for r in built if r["pair"] is not None)
     keys, counts, totals = (np.array([f[i] for f in frequent], t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
-    model.pairs, model.pair_gains = keys, model.quantised(counts, totals) * STEP
+    model.pairs, model.pair_gains = keys, model.quantised(counts, totals) * model.step
     weighted = spark.sparkContext.broadcast(model)
 
     def smooth(batches):
@@ -331,26 +337,24 @@ def train(docs: DataFrame) -> Model:
         model = weighted.value
         for batch in batches:
             for shard in batch.column("id").to_pylist():
-                trie = _open(model.path(shard))
-                if trie is not None:
+                if model.built[shard]:
+                    trie = _open(model.path(shard))
                     size = np.diff(trie.pointers.access(np.arange(trie.words.n + 1)).astype(np.int64)) if trie.words.n else np.zeros(0, np.int64)
                     trie.codes = model.quantised(_COUNTS[trie.codes], np.repeat(trie.counts.astype(np.int64), size))
                     _write(model.path(shard, True), trie.to_bytes())
             yield pa.RecordBatch.from_arrays([batch.column("id")], ["id"])
 
     spark.range(0, shards, 1, min(shards, partitions)).mapInArrow(smooth, "id long").write.format("noop").mode("overwrite").save()
-    _remove(spark, [model.path(s) for s in range(shards)])
+    _remove(spark, os.path.dirname(model.path(0)))
     return model
 
 
 _BUILT = ["pair", "n", "total", "likelihood"]
 
 
-def _remove(spark, paths: list[str]) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, False)
+def _remove(spark, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -403,7 +407,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a, z in zip(bounds[:-1], bounds[1:]):  # the questions of one shard are looked up together
                 if shards_[some[a]] != shard:
                     shard = shards_[some[a]]
-                    trie = _open(m.path(shard, True))
+                    trie = _open(m.path(shard, True)) if m.built[shard] else None
                 asked_ = [_unpack_pairs(payloads[int(i)].as_buffer(), np.uint16) for i in some[a:z]]
                 for i, found in zip(some[a:z], _answers(m, trie, asked_)):
                     out.append((int(blocks_[i]), False, found))
@@ -459,7 +463,7 @@ def _answers(m: Model, trie: Trie | None, asked: list) -> list[bytes]:
         hot_ranks = trie.vocabulary.find(m.hot)
         others = trie.ranks(np.concatenate((cb[2], hb[2])))
         ranks = [_filled(x, hot_ranks, y) for x, y in zip((cb, hb), np.split(others, [len(cb[2])]))]
-        gain = np.concatenate((trie.gains(ordinal, which, ranks[0]), trie.gains(trie.words.find(m.hot[warm]), back, ranks[1])))
+        gain = np.concatenate((trie.gains(ordinal, which, ranks[0], m.step), trie.gains(trie.words.find(m.hot[warm]), back, ranks[1], m.step)))
     base = m.base(count)
     context = np.where(cw == _END, 0.0, m.context(count))
     present, place = np.unique(np.concatenate((documents(3), documents(6))), return_inverse=True)

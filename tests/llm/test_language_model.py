@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -126,3 +127,32 @@ def test_count_codes():
     back = op._COUNTS[op.count_code(counts)]
     assert (back[:128] == counts[:128]).all()
     assert (np.abs(np.log10(back / counts))[counts <= 4096] < 0.01).all() and (np.abs(np.log10(back / counts)) < 0.08).all()
+
+
+def test_codes_reach_the_largest_term():
+    """With 10^13 tokens a pair of rare words is still within half a step."""
+    model = op.Model("file:///x", 1, 10**13, 10**9, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    model.weight = 256.0
+    for c in (1, 2, 50, 10**6):
+        counts = np.array([c]), np.array([c])
+        assert abs(float(model.quantised(*counts)[0]) * model.step - model.gain(*counts)[0]) <= model.step / 2 + 1e-9
+    small = op.Model("file:///x", 1, 10**6, 10**4, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    small.weight = 256.0
+    assert small.step == op.STEP
+
+
+def test_a_missing_trie_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(op, "HOT", 1)  # else broadcast counts answer for so few words
+    model = op.train(documents(spark, [prose(i, 60) for i in range(30)]))
+    others = documents(spark, [prose(i, 60) for i in range(1000, 1030)])
+    assert len(op.score(others, model).collect()) == 30
+    for shard in np.flatnonzero(model.built):
+        os.remove(model.path(int(shard), True).removeprefix("file://"))
+    with pytest.raises(Exception, match="No such file"):
+        op.score(others, model).collect()
+
+
+def test_a_folder_without_a_scheme_is_qualified(spark):
+    from palim.llm.common import shared_folder
+
+    assert shared_folder(spark).startswith("file:///")
