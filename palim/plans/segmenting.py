@@ -16,6 +16,7 @@ from palim.sources.store import scratch_folder, stored
 from palim.shipping import ship
 from palim.streaming.episodes import episode_stage, forget_last_commit, read_batches
 from palim.streaming.segments import OUTPUT, stream_spans
+from palim.streaming.sessions import gate, sessions
 
 _GAPS = """SELECT *, lag(ts) OVER (PARTITION BY conversation_id ORDER BY seq) AS previous_ts FROM {view}"""
 _TYPED = """SELECT *, CASE WHEN gap_us > 10800000000 THEN 'hard' WHEN gap_us >= 1800000000 THEN 'soft' ELSE 'none' END AS boundary, CAST(trunc(gap_us / 60000000.0) AS BIGINT) AS gap_minutes
@@ -220,10 +221,33 @@ def stream_episodes(spark, sf_dir) -> DataFrame:
     )
 
 
+def stream_sessions(spark, sf_dir) -> DataFrame:
+    """Sessions of a log that arrives in four pieces by time, every 97th message with the last piece only: those that come over two hours behind are counted apart."""
+    folder = f"{scratch_folder(spark)}/sessions"
+    rows = ad.msg_hard(spark, sf_dir).select("conversation_id", "seq", "ts")
+    span = rows.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("z"))
+    piece = F.when(F.col("seq") % 97 == 5, PIECES - 1).otherwise(F.floor((F.unix_micros("ts") - F.col("a")) * PIECES / (F.col("z") - F.col("a") + 1)))
+    log = stored(rows.crossJoin(F.broadcast(span)).select("conversation_id", "seq", "ts", piece.cast("int").alias("piece")))  # span: one row
+    kinds = "conversation_id string, seq long, ts timestamp"
+    # At last a message of no conversation, a day after all others, lets the watermark pass the last sessions.
+    end = log.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(None).cast("string").alias("conversation_id"), F.lit(None).cast("long").alias("seq"), "ts")
+    for i in range(PIECES + 1):
+        part = log.filter(F.col("piece") == i).drop("piece") if i < PIECES else end
+        part.write.mode("append").parquet(f"{folder}/in")
+        gate(spark.readStream.schema(kinds).parquet(f"{folder}/in"), "2 HOURS", f"{folder}/gate").option("checkpointLocation", f"{folder}/gate_state").trigger(availableNow=True).start().awaitTermination()
+        timely = spark.readStream.schema(kinds).option("recursiveFileLookup", True).parquet(f"{folder}/gate/timely")
+        made = sessions(timely, "30 minutes", "2 hours").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        made.trigger(availableNow=True).start().awaitTermination()
+    whole = spark.read.schema("conversation_id string, n long, start_seq long, end_seq long").parquet(f"{folder}/out").filter("conversation_id IS NOT NULL")
+    late = spark.read.schema(kinds).option("recursiveFileLookup", True).parquet(f"{folder}/gate/late")
+    late = late.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"))
+    return whole.select(F.lit("session").alias("kind"), "*").unionByName(late.select(F.lit("late").alias("kind"), "*"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_segments, stream_episodes, range_scan_messages, seq_assignment, adjacent_gaps, temporal_boundaries, bucket_ranges, primitive_review, split_ranges, merge_groups, merge_sweep, commit_plan, commit_plan_eof, claim_trigger,
+        stream_segments, stream_episodes, stream_sessions, range_scan_messages, seq_assignment, adjacent_gaps, temporal_boundaries, bucket_ranges, primitive_review, split_ranges, merge_groups, merge_sweep, commit_plan, commit_plan_eof, claim_trigger,
         stale_leases, processing_status, legacy_time_gap, session_window_gap, episode_materialize, render_transcript, prompt_lines, uuid5_ids, stale_jobs, token_budget_tail, anchor_validate, anchor_apply,
     )
 }
@@ -249,6 +273,13 @@ _EPISODES_SQL = sql(
 
 ORACLE_SQL = {
     "stream_episodes": _EPISODES_SQL,
+    "stream_sessions": sql(
+        """SELECT 'session' AS kind, conversation_id, count(*) AS n, min(seq) AS start_seq, max(seq) AS end_seq FROM (SELECT *, sum(new) OVER (PARTITION BY conversation_id ORDER BY ts, seq) AS run FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY conversation_id ORDER BY ts, seq) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM placed WHERE NOT late)) GROUP BY conversation_id, run
+        UNION ALL SELECT 'late', conversation_id, count(*), min(seq), max(seq) FROM placed WHERE late GROUP BY conversation_id""", "msg_hard",
+        held="""SELECT *, CASE WHEN seq % 97 = 5 THEN 3 ELSE CAST(floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 4 / (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1)) AS INTEGER) END AS piece FROM msg_hard""",
+        placed="SELECT *, piece = 3 AND ts <= (SELECT max(ts) FROM held WHERE piece < 3) - INTERVAL 2 HOUR AS late FROM held",
+    ),
     "range_scan_messages": sql("SELECT conversation_id, seq, role, content FROM msg_dense WHERE seq BETWEEN 10 AND 29", "msg_dense"),
     "seq_assignment": sql("SELECT conversation_id, seq + 1000 AS seq, epoch_us(ts) AS us FROM msg_dense", "msg_dense"),
     "adjacent_gaps": sql("SELECT conversation_id, seq, gap_us, gap_minutes, boundary FROM typed", "msg_hard", **_chain("msg_hard", "typed")),

@@ -213,3 +213,19 @@ def test_a_replayed_batch_doubles_nothing(spark, tmp_path):
     assert run()[0]["batchId"] == 1
     assert sorted((r["id"], r["start_seq"], r["content"]) for r in read_batches(spark, f"{path}/out").collect()) == before
     assert len(before) == 2
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    from palim.streaming.sessions import gate, sessions
+
+    path, kinds = f"file://{tmp_path}", "conversation_id string, seq long, ts timestamp"
+    pieces = [[("a", 0, 0), ("a", 1, 10), ("b", 0, 5)], [("a", 2, 300)], [("a", 3, 15), ("b", 1, 200), ("a", 4, 310)], [(None, None, 5000)]]
+    for rows in pieces:
+        spark.createDataFrame([(c, s, START + timedelta(minutes=m)) for c, s, m in rows], kinds).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        gate(spark.readStream.schema(kinds).parquet(f"{path}/in"), "2 HOURS", f"{path}/gate").option("checkpointLocation", f"{path}/g").trigger(availableNow=True).start().awaitTermination()
+        stream = spark.readStream.schema(kinds).option("recursiveFileLookup", True).parquet(f"{path}/gate/timely")
+        sessions(stream, "30 minutes", "2 hours").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/s").trigger(availableNow=True).start().awaitTermination()
+    late = spark.read.schema(kinds).option("recursiveFileLookup", True).parquet(f"{path}/gate/late").collect()
+    assert [(r["conversation_id"], r["seq"]) for r in late] == [("a", 3)]  # 285 minutes behind; b's row at 200 is 100 behind
+    out = spark.read.schema("conversation_id string, n long, start_seq long, end_seq long").parquet(f"{path}/out").filter("conversation_id IS NOT NULL").collect()
+    assert sorted(map(tuple, out)) == [("a", 2, 0, 1), ("a", 2, 2, 4), ("b", 1, 0, 0), ("b", 1, 1, 1)]
