@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palim.shipping import ship
-from palim.sources.store import stored
 
 #: Rows of a key in one part, on the side of the probes and on that of the members.
 PROBES, MEMBERS = 512, 4096
@@ -30,8 +29,8 @@ BROADCAST_KEYS = 200_000
 def _parts(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
     """Keys with more than `size` rows, and their parts."""
     found = rows.groupBy(F.col(key).alias(f"__{name}_key")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > size).select(f"__{name}_key", F.ceil(F.col("__n") / size).cast("int").alias(f"__{name}_parts"))
-    found = stored(found)
-    return F.broadcast(found) if found.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else found
+    few = found.limit(BROADCAST_KEYS + 1).collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(few, found.schema)) if len(few) <= BROADCAST_KEYS else found
 
 
 def _part(of: Column, parts: str) -> Column:

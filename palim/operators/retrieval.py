@@ -44,8 +44,9 @@ def wanted_postings(memories: DataFrame, queries: DataFrame) -> DataFrame:
     words = memories.select("id", "conversation_id", tokens(F.col("search_text")).alias("w")).withColumn("dl", F.size("w").cast("long"))
     exploded = words.select("id", "conversation_id", "dl", F.explode("w").alias("term"))
     wanted = query_terms(queries).select("term").distinct()
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
+    few = wanted.limit(BROADCAST_TERMS + 1).collect()
+    if len(few) <= BROADCAST_TERMS:
+        wanted = F.broadcast(memories.sparkSession.createDataFrame(few, wanted.schema))
     return stored(exploded.join(wanted, "term", "left_semi").groupBy("term", "id", "conversation_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
 
 
