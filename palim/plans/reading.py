@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palim.functions import events, text
@@ -102,6 +102,16 @@ def vector_cache(spark, sf_dir) -> DataFrame:
     return out.select("key", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
 
 
+def cache_append(spark, sf_dir) -> DataFrame:
+    """A cache that grows twice; of a key's vectors the one added last holds."""
+    path = scratch_folder(spark)
+    rows = ad.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("k"), (F.col("vec_id") % 40 + F.col("vec_id") % 2 * 20).cast("string")).alias("key"), "embedding", "vec_id")
+    last = Window.partitionBy("key").orderBy(F.desc("vec_id"))
+    for part in ("vec_id % 3 = 0", "vec_id % 3 > 0"):
+        ds.append_cache(rows.filter(part).withColumn("n", F.row_number().over(last)).filter("n = 1"), path)
+    return ds.read_cache(spark, path).select("key", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
 def legacy_plan(spark, sf_dir) -> DataFrame:
     """Proposed starts to contiguous ranges."""
     item = F.struct("event_id", (F.col("user_id") % 9 - 1).alias("start"), _pick(("low", "high", "extremely_high"), F.col("event_id") % 3).alias("surprise"))
@@ -185,7 +195,7 @@ def commit_checks(spark, sf_dir) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dialogue_questions, dialogue_sessions, dialogue_messages, full_context, haystack_messages, vector_cache, legacy_plan, event_lines, labels, titles, memories_markdown, recent_entries, consolidation_branch, fact_valid_at, commit_checks,
+        dialogue_questions, dialogue_sessions, dialogue_messages, full_context, haystack_messages, vector_cache, cache_append, legacy_plan, event_lines, labels, titles, memories_markdown, recent_entries, consolidation_branch, fact_valid_at, commit_checks,
     )
 }
 
@@ -222,6 +232,7 @@ ORACLE_SQL = {
     "haystack_messages": """SELECT CAST(conv_id AS VARCHAR) AS question_id, turn // 4 AS session, row_number() OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn) - 1 AS turn, role, text AS content,
         epoch_us(make_timestamp(2023, 5, CAST((turn // 4) % 28 + 1 AS BIGINT), conv_id % 10, 30, 0.0)) + (row_number() OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn) - 1) * 60000000 AS us FROM conversations QUALIFY (conv_id + conversations.turn) % 7 <> 0 AND trim(text) <> ''""",
     "vector_cache": "SELECT key, CAST(len(e) AS BIGINT) AS n, round(list_sum(CAST(e AS DOUBLE[])), 5) AS total FROM (SELECT 'k' || (vec_id % 50) AS key, arg_max(embedding, vec_id) AS e FROM embeddings GROUP BY 1)",
+    "cache_append": """SELECT key, round(list_sum(CAST(e AS DOUBLE[])), 5) AS total FROM (SELECT 'k' || (vec_id % 40 + vec_id % 2 * 20) AS key, coalesce(arg_max(embedding, vec_id) FILTER (WHERE vec_id % 3 > 0), arg_max(embedding, vec_id)) AS e FROM embeddings GROUP BY 1)""",
     "legacy_plan": """WITH items AS (SELECT event_id // 5 AS g, (event_id // 5) % 7 + 1 AS n, event_id, user_id % 9 - 1 AS start, ['low', 'high', 'extremely_high'][1 + event_id % 3] AS surprise FROM events),
         starts AS (SELECT g, n, start, arg_min(surprise, event_id) AS surprise FROM items WHERE start BETWEEN 0 AND n - 1 GROUP BY 1, 2, 3),
         whole AS (SELECT * FROM starts UNION ALL SELECT DISTINCT g, n, 0, 'low' FROM items i WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.g = i.g AND s.start = 0))
