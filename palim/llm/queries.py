@@ -69,7 +69,8 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row
 
 #: Strings of 50 bytes by the MD5 of their hex digits; a byte goes if an earlier document starts a string that covers it.
 _OP13_SQL = r"""WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM hexed WHERE n >= 50)),
+chunks AS (SELECT doc_id, c, n, substr(h, 2 * c + 1, 898) AS p FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 400)) AS c FROM hexed WHERE n >= 50)),
+strings AS (SELECT doc_id, c + i AS i, md5_number(substr(p, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, c, p, unnest(range(least(400, n - 49 - c))) AS i FROM chunks)),
 firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
 starts AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE first < doc_id),
 runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM starts)),
