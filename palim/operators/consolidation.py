@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from heapq import merge
+from itertools import islice
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,66 +74,160 @@ def apply_in_order(facts: pd.DataFrame, actions: pd.DataFrame, threshold: float)
     facts: id, category, fact, sources (list), valid (bool), embedding; actions, in order: episode_id, episode_pos, place, kind, fact, category,
     target_fact_id, embedding, scope (ids of the facts loaded for the episode). A new fact's id is its episode and place.
     """
-    import numpy as np
-
-    state = {r.id: {"id": r.id, "category": r.category, "fact": r.fact, "sources": list(r.sources), "valid": bool(r.valid), "embedding": np.asarray(r.embedding, float)} for r in facts.itertuples()}
-    for _, episode in actions.groupby("episode_pos", sort=True):
-        episode = episode.sort_values("place")
-        scope = {i for i in episode.iloc[0]["scope"] if i in state and state[i]["valid"]}
-        for a in episode.itertuples():
-            vector = np.asarray(a.embedding, float) if a.embedding is not None else None
-
-            def duplicate(excluded: str | None) -> str | None:
-                found = [(-round(float(v["embedding"] @ vector), 9), k) for k, v in state.items() if v["valid"] and k != excluded and float(v["embedding"] @ vector) > threshold]
-                return next((k for _, k in sorted(found)[:SIMILAR_FACTS] if k in scope), None)
-
-            def settle(found: str | None) -> None:
-                if found is not None:
-                    if a.episode_id not in state[found]["sources"]:
-                        state[found]["sources"].append(a.episode_id)
-                else:
-                    key = f"{a.episode_id}/{a.place}"
-                    state[key] = {"id": key, "category": a.category, "fact": a.fact, "sources": [a.episode_id], "valid": True, "embedding": vector}
-                    scope.add(key)
-
-            if a.kind == "reinforce":
-                if a.target_fact_id in scope:
-                    settle(a.target_fact_id)
-            elif a.kind == "invalidate":
-                if a.target_fact_id in scope:
-                    state[a.target_fact_id]["valid"] = False
-                    scope.discard(a.target_fact_id)
-            elif a.kind == "update" and a.target_fact_id in scope:
-                found = duplicate(a.target_fact_id)
-                state[a.target_fact_id]["valid"] = False
-                scope.discard(a.target_fact_id)
-                settle(found)
+    actions = actions.sort_values(["episode_pos", "place"], kind="stable")
+    first = actions.drop_duplicates("episode_pos")
+    return _replay(facts, actions, threshold, set(), {e: set(x) for e, x in zip(first["episode_pos"], first["scope"])}).drop(columns="made")
+
+
+#: Near vectors that are remembered, over all vectors that actions have.
+REMEMBERED = 2_000_000
+
+
+class _Near:
+    """The distinct vectors of a fold, and which of them are near a given one: groups of equal similarity, the most similar first."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.number, self.rows, self.found, self.held = threshold, {}, [], {}, 0
+
+    def add(self, vector) -> int:
+        own = np.asarray([] if vector is None else vector, float)
+        key = own.tobytes()
+        if key not in self.number:
+            self.number[key] = len(self.rows)
+            self.rows.append(own)
+        return self.number[key]
+
+    def ready(self) -> None:
+        """All vectors are known."""
+        self.sized = {}
+        for i, v in enumerate(self.rows):
+            self.sized.setdefault(len(v), []).append(i)
+        self.matrix = {d: np.array([self.rows[i] for i in at]) for d, at in self.sized.items()}
+
+    def of(self, i: int) -> list[list[int]]:
+        if i not in self.found:
+            d = len(self.rows[i])
+            score = self.matrix[d] @ self.rows[i] if d else np.zeros(len(self.sized[d]))
+            groups: dict[float, list[int]] = {}
+            for j in np.flatnonzero(score > self.threshold).tolist():
+                groups.setdefault(-round(float(score[j]), 9), []).append(self.sized[d][j])
+            self.held += sum(map(len, groups.values()))
+            if self.held > REMEMBERED:
+                self.found, self.held = {}, sum(map(len, groups.values()))
+            self.found[i] = [groups[s] for s in sorted(groups)]
+        return self.found[i]
+
+
+def _replay(facts: pd.DataFrame, actions: pd.DataFrame, threshold: float, always: set, own: dict) -> pd.DataFrame:
+    """As apply_in_order, for actions that are sorted. always: facts loaded for every episode; own: those of an episode, by its position. made: the fact is new.
+
+    An action looks at the distinct vectors near its own and at the first few valid facts of each, so that copies of a vector cost nothing.
+    """
+    near = _Near(threshold)
+    state = {}
+    for i, category, fact, sources, valid, vector in facts[["id", "category", "fact", "sources", "valid", "embedding"]].itertuples(index=False, name=None):
+        state[i] = {"category": category, "fact": fact, "sources": list(sources), "valid": bool(valid), "vector": near.add(vector), "made": False}
+    vectors = [near.add(v) if kind in ("new", "update") else -1 for kind, v in zip(actions["kind"], actions["embedding"])]
+    near.ready()
+    usable: list[list[str]] = [[] for _ in near.rows]  # of each vector the ids of its valid facts, sorted
+    for i, x in state.items():
+        if x["valid"]:
+            usable[x["vector"]].append(i)
+    for ids in usable:
+        ids.sort()
+
+    def end(i: str) -> None:
+        x = state[i]
+        if x["valid"]:
+            x["valid"] = False
+            ids = usable[x["vector"]]
+            del ids[bisect_left(ids, i)]
+
+    names = ["episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id"]
+    pos, loaded, fresh = None, set(), set()
+    for (episode, at, place, kind, fact, category, target), vector in zip(actions[names].itertuples(index=False, name=None), vectors):
+        if at != pos:
+            pos, loaded, fresh = at, own.get(at, set()), set()
+
+        def in_scope(i: str) -> bool:
+            return (i in always or i in loaded or i in fresh) and i in state and state[i]["valid"]
+
+        def duplicate(excluded: str | None) -> str | None:
+            left = SIMILAR_FACTS
+            for group in near.of(vector):
+                firsts = [usable[v][: left + 1] for v in group]
+                for i in firsts[0] if len(firsts) == 1 else islice(merge(*firsts), left + 1):
+                    if i == excluded:
+                        continue
+                    if in_scope(i):
+                        return i
+                    left -= 1
+                    if not left:
+                        return None
+            return None
+
+        def settle(found: str | None) -> None:
+            if found is not None:
+                x = state[found]
+                seen = x.setdefault("seen", set(x["sources"]))
+                if episode not in seen:
+                    seen.add(episode)
+                    x["sources"].append(episode)
             else:
-                settle(duplicate(None))
-    rows = [(v["id"], v["category"], v["fact"], len(v["sources"]), v["valid"], v["sources"], v["embedding"]) for v in state.values()]
-    return pd.DataFrame(rows, columns=["id", "category", "fact", "source_count", "active", "sources", "embedding"])
+                key = f"{episode}/{place}"
+                if key in state:
+                    end(key)
+                state[key] = {"category": category, "fact": fact, "sources": [episode], "valid": True, "vector": vector, "made": True}
+                insort(usable[vector], key)
+                fresh.add(key)
+
+        hit = kind != "new" and in_scope(target)
+        if kind == "reinforce":
+            if hit:
+                settle(target)
+        elif kind == "invalidate":
+            if hit:
+                end(target)
+        elif kind == "update" and hit:
+            found = duplicate(target)
+            end(target)
+            settle(found)
+        else:
+            settle(duplicate(None))
+    rows = [(i, x["category"], x["fact"], len(x["sources"]), x["valid"], x["sources"], near.rows[x["vector"]], x["made"]) for i, x in state.items()]
+    return pd.DataFrame(rows, columns=["id", "category", "fact", "source_count", "active", "sources", "embedding", "made"])
 
 
 _GROUP = "conversation_id string, component string, row string, id string, category string, fact string, sources array<string>, valid boolean, embedding array<float>, episode_id string, episode_pos long, place long, kind string, target_fact_id string"
-_AFTER = "conversation_id string, id string, category string, fact string, source_count int, active boolean, sources array<string>, embedding array<float>"
+_AFTER = "conversation_id string, id string, category string, fact string, source_count int, active boolean, sources array<string>, embedding array<float>, made boolean"
 
 
 def _fold(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One component's actions in order. Rows: facts, facts that nothing changes (`seen`), actions, and which fact is loaded for which episode (null: all)."""
+    """One component's actions in order. Rows: facts, facts that nothing changes (`seen`), actions, and which fact is loaded for which episode (null: all). Texts and vectors come only with new facts."""
     of = {k: rows for k, rows in group.groupby("row")}
     none = group.iloc[:0]
-    facts = pd.concat([of.get("fact", none), of.get("seen", none)])
+    seen = of.get("seen", none)
     loaded = of.get("scope", none)
-    always = loaded[loaded["episode_id"].isna()]["id"].tolist()
-    own = loaded[loaded["episode_id"].notna()].groupby("episode_id")["id"].agg(list).to_dict()
+    always = set(loaded[loaded["episode_id"].isna()]["id"])
+    own = loaded[loaded["episode_id"].notna()].groupby("episode_id")["id"].agg(set).to_dict()
     actions = of["action"]
-    actions = actions.assign(scope=[always + own.get(e, []) for e in actions["episode_id"]], place=actions["place"].astype("int64"))  # nulls of other rows had made it a float
-    out = apply_in_order(facts, actions, threshold)
-    out = out[~out["id"].isin(of.get("seen", none)["id"])]
+    actions = actions.assign(episode_pos=actions["episode_pos"].astype("int64"), place=actions["place"].astype("int64"))  # nulls of other rows had made them floats
+    actions = actions.sort_values(["episode_pos", "place"], kind="stable")
+    first = actions.drop_duplicates("episode_pos")
+    by_position = {p: own[e] for p, e in zip(first["episode_pos"], first["episode_id"]) if e in own}
+    out = _replay(pd.concat([of.get("fact", none), seen]), actions, threshold, always, by_position)
+    out = out[out["made"] | ~out["id"].isin(seen["id"])]
+    out["embedding"] = out["embedding"].where(out["made"], None)
     out.insert(0, "conversation_id", group["conversation_id"].iloc[0])
     return out
 
 
+def _classes(rows: DataFrame, kind: str) -> DataFrame:
+    """conversation_id, embedding, class, copies: the distinct vectors of a conversation's rows (node), named by the least node."""
+    found = rows.groupBy("conversation_id", "embedding").agg(F.min("node").alias("class"), F.count(F.lit(1)).alias("copies"))
+    return found.withColumn("class", F.concat(F.lit(kind), "class"))
+
+
 def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, threshold: float = DUPLICATE_SIMILARITY) -> DataFrame:
     """Normalised actions applied to the facts of their conversations, episode by episode; all facts come out, and new ones.
 
@@ -138,6 +237,8 @@ def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, thresh
     The order of two actions matters only if they may touch one fact: a common target, or a fact that is near both or made by one and near the other.
     Actions and the facts they may change are split into components of these relations, which are folded apart. A fact that is loaded for
     no episode can't change; the nearest of those are shown to a component without joining it to others. Facts beside all components stay as they are.
+
+    Vectors are compared once for each conversation, however many actions or facts have them; actions that only name a target hang on it. Texts of facts go past all this.
     """
     spark = facts.sparkSession
     ship(spark)
@@ -148,38 +249,65 @@ def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, thresh
     own = F.concat(F.col("episode_id"), F.lit("/"), F.col("place").cast("string"))
     actions = stored(actions.withColumn("node", named("conversation_id", own)).withColumn("target", named("conversation_id", F.col("target_fact_id"))))
     facts = facts.withColumn("node", named("conversation_id", F.col("id")))
+    bare = stored(facts.select("conversation_id", "id", "node", "sources", "valid", "embedding"))
     scope = scope.withColumn("node", named("conversation_id", F.col("id")))
-    loaded = scope.select("node").distinct()
-    changing = facts.join(loaded, "node", "left_semi")
-    fixed = facts.join(loaded, "node", "left_anti").filter("valid")
+    loaded = stored(scope.select("node").distinct())
+    changing = bare.join(loaded, "node", "left_semi")
+    fixed = bare.join(loaded, "node", "left_anti").filter("valid")
 
+    near_by = threshold - 1e-9
     settling = actions.filter(F.col("kind").isin("new", "update"))
-    probes = settling.select("conversation_id", F.col("node").alias("probe"), F.col("node").alias("exclude"), F.col("embedding").alias("vector"))
-    members = settling.select("conversation_id", F.col("node").alias("member"), F.col("embedding").alias("vector")).unionByName(changing.filter("valid").select("conversation_id", F.col("node").alias("member"), F.col("embedding").alias("vector")))
-    near = linked(probes, members, "conversation_id", threshold - 1e-9)
-    targets = actions.filter("kind <> 'new' AND target_fact_id <> ''").join(loaded.unionByName(settling.select("node")).distinct().withColumnRenamed("node", "known"), F.col("target") == F.col("known"))
-    roots = stored(components(near.unionByName(targets.select(F.col("target").alias("a"), F.col("node").alias("b")))))
-
-    def placed(rows: DataFrame, how: str = "inner") -> DataFrame:
-        met = rows.join(roots.select(F.col("node").alias("__n"), F.col("root").alias("component")), F.col("node") == F.col("__n"), how)
-        return met.drop("__n")
-
-    marked = stored(placed(actions, "left"))
+    asking, asked = stored(_classes(settling, "p:")), stored(_classes(changing.filter("valid"), "m:"))
+    probes = asking.select("conversation_id", F.col("class").alias("probe"), F.col("class").alias("exclude"), F.col("embedding").alias("vector"))
+    members = asking.unionByName(asked).select("conversation_id", F.col("class").alias("member"), F.col("embedding").alias("vector"))
+    near = stored(linked(probes, members, "conversation_id", near_by).filter("a <> b").distinct())
+    # Copies are near each other if the vector is near itself.
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    selves = asking.filter("copies > 1").filter(length > near_by).select(F.col("class").alias("a"), F.concat(F.lit("l:"), "class").alias("b"))
+    joined = near.select(F.col("a").alias("class")).union(near.select("b")).union(selves.select("a")).distinct()
+
+    def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """rows with class, and rep: the class if its rows belong together, else the row's own name."""
+        known = stored(classes.select("conversation_id", "embedding", "class").join(joined.withColumn("together", F.lit(True)), "class", "left"))
+        met = rows.join(known, ["conversation_id", "embedding"], "left")
+        return met.withColumn("rep", F.when(F.col("together"), F.col("class")).otherwise(F.concat(F.lit("n:"), F.col("node")))).drop("together")
+
+    settled = with_class(settling, asking)
+    placed_facts = stored(with_class(changing.filter("valid"), asked).select("node", "rep"))
+    listed = loaded.join(placed_facts, "node", "left").select("node", F.coalesce("rep", F.concat(F.lit("n:"), "node")).alias("rep"))
+    reps = stored(listed.unionByName(settled.select("node", "rep")).groupBy("node").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")))
+    targets = reps.select(F.col("node").alias("target"), F.col("rep").alias("target_rep"))
+    aiming = actions.filter("kind <> 'new' AND target_fact_id <> ''").select("node", "target").join(targets, "target").select("node", "target_rep")
+    marked = stored(settled.unionByName(actions.filter(~F.col("kind").isin("new", "update")), allowMissingColumns=True).join(stored(aiming), "node", "left"))
+    aimed = marked.filter("target_rep IS NOT NULL")
+    edges = near.unionByName(selves).unionByName(reps.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    edges = edges.unionByName(aimed.filter("rep IS NOT NULL").select(F.col("rep").alias("a"), F.col("target_rep").alias("b")).distinct())
+    edges = edges.unionByName(aimed.select(F.col("target_rep").alias("a"), F.concat(F.lit("l:"), "target_rep").alias("b")).distinct())
+    roots = stored(components(edges)).select(F.col("node").alias("__n"), F.col("root").alias("component"))
+
+    def placed(rows: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+        return rows.join(roots, by == F.col("__n"), how).drop("__n")
+
+    marked = stored(placed(marked, F.coalesce("rep", "target_rep"), "left"))
     # What meets nothing makes a fact, or does nothing.
     alone = marked.filter("component IS NULL AND kind IN ('new', 'update')")
     made = alone.select("conversation_id", own.alias("id"), "category", "fact", F.lit(1).alias("source_count"), F.lit(True).alias("active"), F.array("episode_id").alias("sources"), F.col("embedding").cast("array<float>").alias("embedding"))
     acting = marked.filter("component IS NOT NULL")
-    touched = acting.select("component").distinct()
-    inside = placed(changing).join(touched, "component", "left_semi")
-    shown = above(probes, fixed.select("conversation_id", F.col("node").alias("member"), F.col("embedding").alias("vector")), "conversation_id", SIMILAR_FACTS, threshold - 1e-9)
-    seen = shown.join(acting.select(F.col("node").alias("probe"), "component"), "probe").select("component", F.col("member").alias("node")).distinct().join(fixed, "node")
-    lists = placed(scope).join(touched, "component", "left_semi")
+    touched = stored(acting.select("component").distinct())
+    inside = placed(changing.join(reps.select("node", "rep"), "node"), F.col("rep")).join(touched, "component", "left_semi")
+    acting_classes = stored(acting.filter("class IS NOT NULL").select("class", "component").distinct())
+    shown = above(probes.join(acting_classes, F.col("probe") == F.col("class"), "left_semi"), fixed.select("conversation_id", F.col("node").alias("member"), F.col("embedding").alias("vector")), "conversation_id", SIMILAR_FACTS, near_by)
+    seen = shown.join(acting_classes, F.col("probe") == F.col("class")).select("component", F.col("member").alias("node")).distinct().join(fixed, "node")
+    lists = placed(scope.join(reps.select("node", "rep"), "node"), F.col("rep")).join(touched, "component", "left_semi")
     parts = None
     for row, table in (("fact", inside), ("seen", seen), ("scope", lists), ("action", acting)):
         names = [x.rsplit(" ", 1) for x in _GROUP.split(", ")]
         columns = [F.lit(row).alias("row") if n == "row" else F.col(n).cast(k).alias(n) if n in table.columns else F.lit(None).cast(k).alias(n) for n, k in names]
         parts = table.select(*columns) if parts is None else parts.unionByName(table.select(*columns))
-    folded = parts.groupBy("conversation_id", "component").applyInPandas(lambda group: _fold(group, threshold), _AFTER)
-    untouched = facts.join(inside.select("node"), "node", "left_anti")
-    left = untouched.select("conversation_id", "id", "category", "fact", F.size("sources").alias("source_count"), F.col("valid").alias("active"), "sources", F.col("embedding").cast("array<float>").alias("embedding"))
-    return folded.unionByName(made).unionByName(left)
+    folded = stored(parts.groupBy("conversation_id", "component").applyInPandas(lambda group: _fold(group, threshold), _AFTER))
+    changed = folded.select(named("conversation_id", F.col("id")).alias("node"), F.col("source_count").alias("__count"), F.col("active").alias("__active"), F.col("sources").alias("__sources"), F.col("made").alias("__made"))
+    kept = facts.join(changed, "node", "left").filter("__made IS NULL OR NOT __made")
+    left = kept.select(
+        "conversation_id", "id", "category", "fact", F.coalesce("__count", F.size("sources")).alias("source_count"), F.coalesce("__active", "valid").alias("active"), F.coalesce("__sources", "sources").alias("sources"), F.col("embedding").cast("array<float>").alias("embedding")
+    )
+    return folded.filter("made").drop("made").unionByName(made).unionByName(left)

@@ -214,14 +214,15 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least element connected to each of n, over the links a[i], b[i]."""
     root = np.arange(n)
     while len(a):
-        least = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
-        root = root[root]
+        # Whole groups move: what hangs on a root goes with it, so that a link once closed stays so.
+        of_a, of_b = root[a], root[b]
+        least = np.minimum(of_a, of_b)
+        np.minimum.at(root, of_a, least)
+        np.minimum.at(root, of_b, least)
+        while not np.array_equal(again := root[root], root):
+            root = again
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
-    while not np.array_equal(again := root[root], root):
-        root = again
     return root
 
 

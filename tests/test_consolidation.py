@@ -96,3 +96,36 @@ def test_components_of_chains(spark):
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {f"n{i:03}": "n000" for i in range(61)} | {"x": "x", "y": "x", "z": "x"}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_copies_of_vectors_cost_nothing(spark):
+    """Actions of one conversation with five vectors: cells get each vector once, and the result is that of one fold."""
+    import numpy as np
+
+    from palim.operators import consolidation
+
+    rng = np.random.default_rng(6)
+    vectors = [[float(x) for x in np.eye(6)[i % 4] + rng.normal(scale=0.2, size=6)] for i in range(5)]
+    facts = [("c", f"f{i}", "goal", f"text {i}", ["e0"], i % 5 > 0, vectors[i % 5]) for i in range(12)]
+    kinds = ("new", "update", "reinforce", "invalidate")
+    actions = []
+    for n in range(900):
+        kind = kinds[int(rng.integers(0, 4)) if n % 9 == 0 else n % 3]
+        actions.append(("c", f"e{n // 3}", n // 3, n % 3, kind, f"a{n}", "goal", "" if kind == "new" else f"f{rng.integers(0, 14)}", vectors[int(rng.integers(0, 5))] if kind in ("new", "update") else None))
+    scope = [("c", None, f"f{i}") for i in range(6)] + [("c", f"e{e}", f"f{6 + e % 4}") for e in range(0, 300, 3)]
+    seen = []
+    kept = consolidation.linked
+    consolidation.linked = lambda probes, members, *rest: seen.append((probes.count(), members.count())) or kept(probes, members, *rest)
+    try:
+        out = consolidation.apply_actions(
+            spark.createDataFrame(facts, "conversation_id string, id string, category string, fact string, sources array<string>, valid boolean, embedding array<double>"),
+            spark.createDataFrame(actions, "conversation_id string, episode_id string, episode_pos long, place long, kind string, fact string, category string, target_fact_id string, embedding array<double>"),
+            spark.createDataFrame(scope, "conversation_id string, episode_id string, id string"), 0.8,
+        )
+        got = {r["id"]: (r["fact"], sorted(r["sources"]), r["active"]) for r in out.collect()}
+    finally:
+        consolidation.linked = kept
+    assert seen == [(5, 10)] or seen == [(5, 9)]
+    rows = pd.DataFrame([(*a[1:], [s[2] for s in scope if s[1] in (None, a[1])]) for a in actions], columns=["episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding", "scope"])
+    want = apply_in_order(pd.DataFrame([f[1:] for f in facts], columns=["id", "category", "fact", "sources", "valid", "embedding"]), rows, 0.8)
+    assert got == {r.id: (r.fact, sorted(r.sources), r.active) for r in want.itertuples()}

@@ -86,3 +86,13 @@ def test_empty_sides(spark):
     probes = none.selectExpr("k", "member AS probe", "member AS exclude", "vector")
     assert above(probes, none, "k", 5, 0.5).count() == 0
     assert above(probes, _rows(spark, clustered(5, 5), "member"), "k", 5, 0.5).count() == 0
+
+
+def test_links_stay_when_groups_meet():
+    """A link between two elements with one root holds when one of them later gets a lesser root."""
+    rng = np.random.default_rng(4)
+    assert similarity_join._roots(21, np.array([5, 9, 20]), np.array([9, 20, 2]))[[2, 5, 9, 20]].tolist() == [2, 2, 2, 2]
+    for n, links in ((40, 30), (300, 280), (300, 900)):
+        a, b = rng.integers(0, n, links), rng.integers(0, n, links)
+        got = similarity_join._roots(n, a, b)
+        assert all(got[x] == got[y] for x, y in zip(a, b))
