@@ -155,13 +155,13 @@ def bm25_block_max(spark, sf_dir) -> DataFrame:
 
 
 def vector_index_rank(spark, sf_dir) -> DataFrame:
-    """Every twentieth memory against all of its conversation, over inverted lists with residual codes; the candidates are ranked by their own vectors."""
+    """Every twentieth memory against all of its conversation, over inverted lists with residual codes, which go on until nothing better can be left; the candidates are ranked by their own vectors."""
     memories = ad.episodic(spark, sf_dir)
-    members = memories.select("conversation_id", F.col("id").alias("member"), F.col("embedding").alias("vector"))
-    probes = memories.filter("id % 20 = 0").select("conversation_id", F.col("id").alias("probe"), F.col("embedding").alias("vector"))
+    members = vector_index.stored(memories.select("conversation_id", F.col("id").alias("member"), F.col("embedding").alias("vector")))
+    probes = members.filter("member % 20 = 0").select("conversation_id", F.col("member").alias("probe"), "vector")
     means = vector_index.train(members)
     index = vector_index.stored(vector_index.build(members, "conversation_id", means))
-    found = vector_index.search(index, members, probes, "conversation_id", means, LIMIT)
+    found = vector_index.exact(index, members, probes, "conversation_id", means, LIMIT)
     return found.select(F.col("probe").alias("probe_id"), F.col("member").alias("id"), F.round("score", 6).alias("score"), "r")
 
 

@@ -122,3 +122,30 @@ def test_an_index_of_nothing(spark):
     means = vector_index.train(none)
     index = stored(vector_index.build(none, "k", means))
     assert vector_index.search(index, none, none.selectExpr("k", "member AS probe", "vector"), "k", means, 5).count() == 0
+
+
+def test_exact_search_finds_the_very_best(spark, large_dir):
+    """On the driver's vectors, where reading a share of the lists doesn't find them all, and where a probe's key has fewer members than its limit."""
+    rows = duckdb.connect().execute(f"SELECT vec_id, label % 2, embedding FROM '{large_dir}/embeddings.parquet'").fetchall()
+    v, label, ids = np.array([r[2] for r in rows], float), np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    few = [("few", 100_000 + i, [float(x) for x in v[i]]) for i in range(0, 60, 20)]
+    members = stored(spark.createDataFrame([(str(k), int(i), [float(x) for x in u]) for i, k, u in rows] + few, "k string, member long, vector array<double>"))
+    means = vector_index.train(members)
+    index = stored(vector_index.build(members, "k", means))
+    probes = members.filter("member % 20 = 0").selectExpr("k", "member AS probe", "vector")
+    want = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = np.where(label == label[i], v @ v[i], -np.inf)
+        want[int(ids[i])] = ids[np.lexsort((ids, -s.round(9)))[:10]].tolist()
+    plain = lambda out: {p: [x[1] for x in sorted((r["r"], r["member"]) for r in rows)] for p, rows in out.items()}
+
+    def found(search):
+        out = {}
+        for r in search(index, members, probes, "k", means, 10).collect():
+            out.setdefault(r["probe"], []).append(r)
+        return plain(out)
+
+    about, got = found(vector_index.search), found(vector_index.exact)
+    assert {p: got[p] for p in want} == want
+    assert {p: about[p] for p in want} != want
+    assert all(len(got[100_000 + i]) == 3 for i in range(0, 60, 20))
