@@ -39,24 +39,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "conversation_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def wanted_postings(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """The postings of the terms that queries have, stored: other terms are dropped before anything is counted or dealt out, and the memories are read once."""
+def wanted_postings(memories: DataFrame, terms: DataFrame) -> tuple[DataFrame, bool]:
+    """The postings of the terms that queries have, and for each memory a row without a term; whether the distinct terms are few.
+
+    The postings are stored: other terms are dropped before anything is counted or dealt out, and the memories' texts are read once, for lengths too.
+    """
     words = memories.select("id", "conversation_id", tokens(F.col("search_text")).alias("w")).withColumn("dl", F.size("w").cast("long"))
-    exploded = words.select("id", "conversation_id", "dl", F.explode("w").alias("term"))
-    wanted = query_terms(queries).select("term").distinct()
-    few = wanted.limit(BROADCAST_TERMS + 1).collect()
-    if len(few) <= BROADCAST_TERMS:
-        wanted = F.broadcast(memories.sparkSession.createDataFrame(few, wanted.schema))
-    return stored(exploded.join(wanted, "term", "left_semi").groupBy("term", "id", "conversation_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    none = F.array(F.lit(None).cast("string"))
+    exploded = words.select("id", "conversation_id", "dl", F.explode(F.concat(none, F.coalesce("w", F.array().cast("array<string>")))).alias("term"))
+    wanted = terms.select(F.col("term").alias("__wanted")).distinct()
+    known = wanted.limit(BROADCAST_TERMS + 1).collect()
+    few = len(known) <= BROADCAST_TERMS
+    if few:
+        listed = F.broadcast(memories.sparkSession.createDataFrame([*known, (None,)], "__wanted string"))
+        kept = exploded.join(listed, F.col("term").eqNullSafe(F.col("__wanted")), "left_semi")
+    else:
+        kept = exploded.filter("term IS NOT NULL").join(wanted, F.col("term") == F.col("__wanted"), "left_semi").unionByName(exploded.filter("term IS NULL"))
+    return stored(kept.groupBy("term", "id", "conversation_id", "dl").agg(F.count(F.lit(1)).alias("tf"))), few
 
 
 def bm25(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, score for memories that share a term with the query."""
-    terms = query_terms(queries)
-    index = wanted_postings(memories, queries)
+    terms = stored(query_terms(queries))
+    rows, few = wanted_postings(memories, terms)
+    index = rows.filter("term IS NOT NULL")
     frequencies = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(memories))  # one row
-    met = index.join(terms, ["term", "conversation_id"]).join(frequencies, "term").crossJoin(stats)
+    # Of each memory one row without a term: one row in all.
+    stats = F.broadcast(rows.filter("term IS NULL").agg(F.sum("tf").cast("double").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl")))
+    met = index.join(terms, ["term", "conversation_id"]).join(F.broadcast(frequencies) if few else frequencies, "term").crossJoin(stats)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "id").agg(F.sum(part).alias("score"))

@@ -11,6 +11,8 @@ from palim.schemas import CATEGORIES
 #: The fixed present of all queries.
 NOW = "2024-06-01 00:00:00"
 GAP_MINUTES = (1, 29, 30, 31, 180, 181, 5)
+#: Characters of a memory that make a query.
+ASKED = 80
 
 
 def now() -> Column:
@@ -71,8 +73,13 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).filter("text IS NOT NULL")
+    """Vectors with the texts of their documents. What is needed of a text's start is cut out before the join, and documents outside the range of the vectors' ids don't go into it, as they meet none."""
+    vectors = table(spark, sf_dir, "embeddings")
+    first, last = (vectors.select(f("vec_id")).scalar() for f in (F.min, F.max))
+    title = F.substring("text", 1, 60)
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & F.col("doc_id").between(first, last))
+    docs = docs.select("doc_id", "text", title.alias("title"), F.substring(F.concat(title, F.lit(" "), "text"), 1, ASKED).alias("titled_start"), F.substring("text", 1, ASKED).alias("start"))
+    return vectors.join(docs, F.col("vec_id") == F.col("doc_id"))
 
 
 def _shifted(days: Column, hours: Column) -> Column:
@@ -82,8 +89,8 @@ def _shifted(days: Column, hours: Column) -> Column:
 def episodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     return _memories(spark, sf_dir).select(
-        k.alias("id"), F.col("label").cast("string").alias("conversation_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"),
-        F.concat(F.substring("text", 1, 60), F.lit(" "), F.col("text")).alias("search_text"), "embedding",
+        k.alias("id"), F.col("label").cast("string").alias("conversation_id"), "title", F.col("text").alias("content"),
+        F.concat("title", F.lit(" "), F.col("text")).alias("search_text"), F.col("titled_start").alias("search_start"), "embedding",
         (F.lit(0.5) + k % 37).cast("double").alias("stability"), (F.lit(1.0) + k % 9).cast("double").alias("difficulty"), ((k % 10) / 10).cast("double").alias("surprise"),
         F.when(k % 4 == 0, "low_info").otherwise("informative").alias("classification"), _shifted(k % 40, k % 24).alias("created_at"), _shifted(k % 50, k % 24).alias("last_reviewed_at"),
         F.when(k % 3 == 0, now()).alias("consolidated_at"),
@@ -95,7 +102,7 @@ def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = F.col("text")
     return _memories(spark, sf_dir).select(
         k.alias("id"), F.col("label").cast("string").alias("conversation_id"), F.element_at(F.array(*map(F.lit, CATEGORIES)), (k % 8 + 1).cast("int")).alias("category"),
-        fact.alias("fact"), fact.alias("search_text"), F.array(F.concat(F.lit("e"), (k % 5).cast("string"))).alias("source_episodic_ids"),
+        fact.alias("fact"), fact.alias("search_text"), F.col("start").alias("search_start"), F.array(F.concat(F.lit("e"), (k % 5).cast("string"))).alias("source_episodic_ids"),
         F.when(k % 11 == 0, now()).alias("invalid_at"), "embedding",
     )
 
@@ -103,7 +110,7 @@ def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries_for(memories: DataFrame) -> DataFrame:
     """One query for each conversation: the start of its first memory, with that memory's vector."""
     first = memories.groupBy("conversation_id").agg(F.min("id").alias("id"))
-    return memories.join(first, ["conversation_id", "id"]).select(F.col("conversation_id").alias("query_id"), "conversation_id", F.substring("search_text", 1, 80).alias("text"), "embedding")
+    return memories.join(first, ["conversation_id", "id"]).select(F.col("conversation_id").alias("query_id"), "conversation_id", F.col("search_start").alias("text"), "embedding")
 
 
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,51 @@ def test_exact_search_finds_the_very_best(spark, large_dir):
     assert {p: got[p] for p in want} == want
     assert {p: about[p] for p in want} != want
     assert all(len(got[100_000 + i]) == 3 for i in range(0, 60, 20))
+
+
+def test_texts_are_read_once(spark):
+    """Postings and lengths of the keyword leg come from one pass, a memory without words or text included."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(1, "a", "red tea"), (2, "a", "tea tea house"), (3, "a", "garden"), (4, "a", "!"), (5, "a", None), (6, None, "tea")]
+    table = stored(spark.createDataFrame(rows, "id long, conversation_id string, search_text string"))
+    counting = table.withColumn("search_text", F.udf(counted, "string")("search_text"))
+    asked = spark.createDataFrame([("q", "a", "tea garden")], "query_id string, conversation_id string, text string")
+    got = {r["id"]: r["score"] for r in retrieval.bm25(counting, asked).collect()}
+    assert read.value == len(rows)
+    stats = retrieval.corpus_stats(table).first()
+    idf = lambda df: np.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+    part = lambda tf, dl: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / stats["avgdl"]))
+    want = {1: idf(3) * part(1, 2), 2: idf(3) * part(2, 3), 3: idf(1) * part(1, 1)}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_many_terms_give_the_same(spark, monkeypatch):
+    rows = memories(spark, 300)
+    asked = spark.createDataFrame(QUERIES, "query_id string, conversation_id string, text string")
+    plain = lambda: sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in retrieval.bm25(rows, asked).collect())
+    want = plain()
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 2)
+    assert plain() == want
+
+
+def test_queries_shuffle_no_texts(spark, sf_dir):
+    """Only the start of a memory goes into its query; whole texts of documents aren't dealt out for it, and documents beyond the memories' ids never are."""
+    from palim.sources import adapters as ad
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = ad.queries_for(ad.episodic(spark, sf_dir))
+        plan = spark._jvm.PythonSQLUtils.explainString(asked._jdf.queryExecution(), "formatted")
+        exchanges = [p for p in plan.split("\n\n") if ") Exchange\n" in p]
+        assert exchanges and not any(" text#" in p or "[text#" in p for p in exchanges)
+        got = {(r["query_id"], r["text"]) for r in asked.collect()}
+        first = duckdb.sql(f"SELECT label, left(left(text, 60) || ' ' || text, 80) FROM '{sf_dir}/embeddings.parquet' JOIN '{sf_dir}/documents.parquet' ON vec_id = doc_id WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY doc_id) = 1").fetchall()
+        assert got == {(str(k), t) for k, t in first}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
