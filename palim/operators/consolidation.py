@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 from heapq import merge
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +79,31 @@ def apply_in_order(facts: pd.DataFrame, actions: pd.DataFrame, threshold: float)
     """
     actions = actions.sort_values(["episode_pos", "place"], kind="stable")
     first = actions.drop_duplicates("episode_pos")
-    return _replay(facts, actions, threshold, set(), {e: set(x) for e, x in zip(first["episode_pos"], first["scope"])}).drop(columns="made")
+    own = {e: set(x) for e, x in zip(first["episode_pos"], first["scope"])}
+    state, after = _State(threshold), {}
+    state.named = set().union(*own.values())
+    for i, category, fact, sources, valid, vector in facts[["id", "category", "fact", "sources", "valid", "embedding"]].itertuples(index=False, name=None):
+        number = state.near.add(vector)
+        after[i] = [category, fact, list(sources), bool(valid), number]
+        if valid:
+            state.add(i, number, sources)
+    vectors = [state.near.add(v) if kind in ("new", "update") else -1 for kind, v in zip(actions["kind"], actions["embedding"])]
+    names = ["episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id"]
+    for (episode, at, place, kind, fact, category, target), vector in zip(actions[names].itertuples(index=False, name=None), vectors):
+        if at != state.pos:
+            state.open(at)
+            state.loaded = own.get(at, set())
+        state.act(episode, place, kind, fact, category, target, vector)
+    state.close()
+    for what, i, _, category, fact, source, _, active, _, vector in state.told:
+        if what == "made":
+            after[i] = [category, fact, [source], active, vector]
+        elif what == "ended":
+            after[i][3] = False
+        elif source not in after[i][2]:
+            after[i][2].append(source)
+    rows = [(i, category, fact, len(sources), valid, sources, state.near.rows[vector]) for i, (category, fact, sources, valid, vector) in after.items()]
+    return pd.DataFrame(rows, columns=["id", "category", "fact", "source_count", "active", "sources", "embedding"])
 
 
 #: Near vectors that are remembered, over all vectors that actions have.
@@ -84,10 +111,10 @@ REMEMBERED = 2_000_000
 
 
 class _Near:
-    """The distinct vectors of a fold, and which of them are near a given one: groups of equal similarity, the most similar first."""
+    """The distinct vectors of a fold, and which of them are near a given one."""
 
     def __init__(self, threshold: float):
-        self.threshold, self.number, self.rows, self.found, self.held = threshold, {}, [], {}, 0
+        self.threshold, self.number, self.rows, self.matrix, self.found, self.held = threshold, {}, [], None, {}, 0
 
     def add(self, vector) -> int:
         own = np.asarray([] if vector is None else vector, float)
@@ -97,135 +124,186 @@ class _Near:
             self.rows.append(own)
         return self.number[key]
 
-    def ready(self) -> None:
+    def _ready(self) -> None:
         """All vectors are known."""
-        self.sized = {}
+        self.sized, self.matrix, self.number = {}, {}, None
         for i, v in enumerate(self.rows):
             self.sized.setdefault(len(v), []).append(i)
-        self.matrix = {d: np.array([self.rows[i] for i in at]) for d, at in self.sized.items()}
-
-    def of(self, i: int) -> list[list[int]]:
+        for d, at in self.sized.items():
+            self.matrix[d] = np.array([self.rows[i] for i in at])
+            for i, row in zip(at, self.matrix[d]):
+                self.rows[i] = row
+
+    def of(self, i: int) -> tuple[array, array]:
+        """Vectors, the most similar first, and the ends of groups of equal similarity."""
+        if self.matrix is None:
+            self._ready()
         if i not in self.found:
             d = len(self.rows[i])
             score = self.matrix[d] @ self.rows[i] if d else np.zeros(len(self.sized[d]))
-            groups: dict[float, list[int]] = {}
-            for j in np.flatnonzero(score > self.threshold).tolist():
-                groups.setdefault(-round(float(score[j]), 9), []).append(self.sized[d][j])
-            self.held += sum(map(len, groups.values()))
+            hits = np.flatnonzero(score > self.threshold).tolist()
+            far = [-round(s, 9) for s in score[hits].tolist()]
+            order = sorted(range(len(hits)), key=far.__getitem__)
+            ends = array("i", [n + 1 for n, k in enumerate(order) if n + 1 == len(order) or far[k] != far[order[n + 1]]])
+            self.held += len(hits)
             if self.held > REMEMBERED:
-                self.found, self.held = {}, sum(map(len, groups.values()))
-            self.found[i] = [groups[s] for s in sorted(groups)]
+                self.found, self.held = {}, len(hits)
+            self.found[i] = array("i", [self.sized[d][hits[k]] for k in order]), ends
         return self.found[i]
 
 
-def _replay(facts: pd.DataFrame, actions: pd.DataFrame, threshold: float, always: set, own: dict) -> pd.DataFrame:
-    """As apply_in_order, for actions that are sorted. always: facts loaded for every episode; own: those of an episode, by its position. made: the fact is new.
+class _State:
+    """Facts that actions may still change, and those that stand in the way of others. What becomes of facts is told at once (`told`, see _TOLD) and not kept.
 
     An action looks at the distinct vectors near its own and at the first few valid facts of each, so that copies of a vector cost nothing.
+    A fact that no later episode loads can't change after its own; of such facts with one vector only the SIMILAR_FACTS least ids are ever looked at, and the others go.
     """
-    near = _Near(threshold)
-    state = {}
-    for i, category, fact, sources, valid, vector in facts[["id", "category", "fact", "sources", "valid", "embedding"]].itertuples(index=False, name=None):
-        state[i] = {"category": category, "fact": fact, "sources": list(sources), "valid": bool(valid), "vector": near.add(vector), "made": False}
-    vectors = [near.add(v) if kind in ("new", "update") else -1 for kind, v in zip(actions["kind"], actions["embedding"])]
-    near.ready()
-    usable: list[list[str]] = [[] for _ in near.rows]  # of each vector the ids of its valid facts, sorted
-    for i, x in state.items():
-        if x["valid"]:
-            usable[x["vector"]].append(i)
-    for ids in usable:
-        ids.sort()
-
-    def end(i: str) -> None:
-        x = state[i]
-        if x["valid"]:
-            x["valid"] = False
-            ids = usable[x["vector"]]
-            del ids[bisect_left(ids, i)]
 
-    names = ["episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id"]
-    pos, loaded, fresh = None, set(), set()
-    for (episode, at, place, kind, fact, category, target), vector in zip(actions[names].itertuples(index=False, name=None), vectors):
-        if at != pos:
-            pos, loaded, fresh = at, own.get(at, set()), set()
-
-        def in_scope(i: str) -> bool:
-            return (i in always or i in loaded or i in fresh) and i in state and state[i]["valid"]
-
-        def duplicate(excluded: str | None) -> str | None:
-            left = SIMILAR_FACTS
-            for group in near.of(vector):
-                firsts = [usable[v][: left + 1] for v in group]
-                for i in firsts[0] if len(firsts) == 1 else islice(merge(*firsts), left + 1):
-                    if i == excluded:
-                        continue
-                    if in_scope(i):
-                        return i
-                    left -= 1
-                    if not left:
-                        return None
-            return None
-
-        def settle(found: str | None) -> None:
-            if found is not None:
-                x = state[found]
-                seen = x.setdefault("seen", set(x["sources"]))
-                if episode not in seen:
-                    seen.add(episode)
-                    x["sources"].append(episode)
-            else:
-                key = f"{episode}/{place}"
-                if key in state:
-                    end(key)
-                state[key] = {"category": category, "fact": fact, "sources": [episode], "valid": True, "vector": vector, "made": True}
-                insort(usable[vector], key)
-                fresh.add(key)
-
-        hit = kind != "new" and in_scope(target)
-        if kind == "reinforce":
-            if hit:
-                settle(target)
-        elif kind == "invalidate":
-            if hit:
-                end(target)
-        elif kind == "update" and hit:
-            found = duplicate(target)
-            end(target)
-            settle(found)
+    def __init__(self, threshold: float):
+        self.near = _Near(threshold)
+        self.empty = self.near.add(None)
+        self.always, self.named, self.loaded = set(), set(), set()  # ids loaded for all episodes, for any, for this one
+        self.valid: dict[str, list] = {}  # of each valid fact its vector, first sources, last source, and whether it is new
+        self.usable: dict[int, list[str]] = {}  # of each vector the ids of its valid facts, sorted
+        self.lasting: dict[int, list[str]] = {}  # of these, those that were made and can't change any more
+        self.fresh: dict[str, list] = {}  # facts made in this episode
+        self.pos, self.n, self.told = None, 0, []
+
+    def add(self, i: str, vector: int, sources, made: bool = False) -> None:
+        self.valid[i] = [vector, frozenset(sources), None, made]
+        insort(self.usable.setdefault(vector, []), i)
+
+    def open(self, pos: int) -> None:
+        """The episode at this position begins."""
+        self.close()
+        self.pos, self.loaded = pos, set()
+
+    def close(self) -> None:
+        for i, (category, fact, episode, vector, active) in self.fresh.items():
+            later = i in self.always or i in self.named
+            self._tell("made", i, True, category, fact, episode, active, later, vector)
+            if active and not later:
+                del self.valid[i]
+                insort(lasting := self.lasting.setdefault(vector, []), i)
+                if len(lasting) > SIMILAR_FACTS:
+                    self._drop(vector, lasting.pop())
+        self.fresh = {}
+
+    def _tell(self, what: str, i: str, made: bool, category=None, fact=None, source=None, active=None, later=None, vector=None) -> None:
+        self.n += 1
+        self.told.append((what, i, made, category, fact, source, self.n, active, later, vector))
+
+    def _drop(self, vector: int, i: str) -> None:
+        ids = self.usable[vector]
+        del ids[bisect_left(ids, i)]
+
+    def _end(self, i: str) -> None:
+        vector, _, _, made = self.valid.pop(i)
+        self._drop(vector, i)
+        if i in self.fresh:
+            self.fresh[i][-1] = False
         else:
-            settle(duplicate(None))
-    rows = [(i, x["category"], x["fact"], len(x["sources"]), x["valid"], x["sources"], near.rows[x["vector"]], x["made"]) for i, x in state.items()]
-    return pd.DataFrame(rows, columns=["id", "category", "fact", "source_count", "active", "sources", "embedding", "made"])
-
-
-_GROUP = "conversation_id string, component string, row string, id string, category string, fact string, sources array<string>, valid boolean, embedding array<float>, episode_id string, episode_pos long, place long, kind string, target_fact_id string"
-_AFTER = "conversation_id string, id string, category string, fact string, source_count int, active boolean, sources array<string>, embedding array<float>, made boolean"
-
-
-def _fold(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One component's actions in order. Rows: facts, facts that nothing changes (`seen`), actions, and which fact is loaded for which episode (null: all). Texts and vectors come only with new facts."""
-    of = {k: rows for k, rows in group.groupby("row")}
-    none = group.iloc[:0]
-    seen = of.get("seen", none)
-    loaded = of.get("scope", none)
-    always = set(loaded[loaded["episode_id"].isna()]["id"])
-    own = loaded[loaded["episode_id"].notna()].groupby("episode_id")["id"].agg(set).to_dict()
-    actions = of["action"]
-    actions = actions.assign(episode_pos=actions["episode_pos"].astype("int64"), place=actions["place"].astype("int64"))  # nulls of other rows had made them floats
-    actions = actions.sort_values(["episode_pos", "place"], kind="stable")
-    first = actions.drop_duplicates("episode_pos")
-    by_position = {p: own[e] for p, e in zip(first["episode_pos"], first["episode_id"]) if e in own}
-    out = _replay(pd.concat([of.get("fact", none), seen]), actions, threshold, always, by_position)
-    out = out[out["made"] | ~out["id"].isin(seen["id"])]
-    out["embedding"] = out["embedding"].where(out["made"], None)
-    out.insert(0, "conversation_id", group["conversation_id"].iloc[0])
-    return out
+            self._tell("ended", i, made)
+
+    def _in_scope(self, i: str) -> bool:
+        return i in self.valid and (i in self.always or i in self.loaded or i in self.fresh)
+
+    def _duplicate(self, vector: int, excluded: str | None) -> str | None:
+        left, a = SIMILAR_FACTS, 0
+        vectors, ends = self.near.of(vector)
+        for z in ends:
+            firsts = [ids[: left + 1] for v in vectors[a:z] if (ids := self.usable.get(v))]
+            a = z
+            for i in firsts[0] if len(firsts) == 1 else islice(merge(*firsts), left + 1):
+                if i == excluded:
+                    continue
+                if self._in_scope(i):
+                    return i
+                left -= 1
+                if not left:
+                    return None
+        return None
+
+    def act(self, episode: str, place: int, kind: str, fact: str, category: str, target: str, vector: int) -> None:
+        hit = kind != "new" and self._in_scope(target)
+        if kind in ("reinforce", "invalidate"):
+            if hit and kind == "reinforce":
+                self._reinforce(target, episode)
+            elif hit:
+                self._end(target)
+            return
+        found = self._duplicate(vector, target if hit else None)
+        if hit:
+            self._end(target)
+        if found is not None:
+            self._reinforce(found, episode)
+        else:
+            key = f"{episode}/{place}"
+            if key in self.valid:
+                self._end(key)
+            self.add(key, vector, [episode], True)
+            self.fresh[key] = [category, fact, episode, vector, True]
+
+    def _reinforce(self, i: str, episode: str) -> None:
+        x = self.valid[i]
+        if episode != x[2] and episode not in x[1]:
+            x[2] = episode
+            self._tell("added", i, x[3], source=episode)
+
+
+#: What a fold reads, in this order: the vectors of its actions (part 0), its facts and lists (1), then for each episode the facts loaded for it (step 0) and its actions (1).
+_PARTS = "component string, part int, episode_pos long, step int, place long, row string, conversation_id string, id string, sources array<string>, embedding array<float>, class string, episode_id string, kind string, fact string, category string, target_fact_id string"
+_ORDER = ("component", "part", "episode_pos", "step", "place")
+#: What it tells: facts that are made (later: a later episode loads it), sources that are added, facts that are ended. made: of a fact that a fold made; n: the order.
+_TOLD = "what string, id string, made boolean, category string, fact string, source string, n long, active boolean, later boolean, embedding array<float>, conversation_id string"
+_TYPES = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
+
+
+def _out(state: _State, conversation: str) -> pa.RecordBatch:
+    """What the state has told since the last time."""
+    told, state.told = state.told, []
+    names = [x.rsplit(" ", 1) for x in _TOLD.split(", ")]
+    columns = [pa.array(values, _TYPES[kind]) for (_, kind), values in zip(names, list(zip(*told))[:-1])]
+    vectors = [None if x[-1] is None else state.near.rows[x[-1]].astype(np.float32) for x in told]
+    columns += [pa.array(vectors, pa.list_(pa.float32())), pa.array([conversation] * len(told), pa.string())]
+    return pa.RecordBatch.from_arrays(columns, [n for n, _ in names])
+
+
+def _fold(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Components one after another, each row by row: what is held of one is its distinct vectors and the facts that it may change, not its actions."""
+    component = conversation = state = None
+    numbers: dict[str, int] = {}
+    names = [x.split(" ")[0] for x in _PARTS.split(", ")]
+    for batch in batches:
+        for own, _, pos, _, place, row, conv, i, sources, vector, class_, episode, kind, fact, category, target in zip(*(batch.column(n).to_pylist() for n in names)):
+            if own != component:
+                if state is not None:
+                    state.close()
+                    if state.told:
+                        yield _out(state, conversation)
+                component, conversation, state, numbers = own, conv, _State(threshold), {}
+            if pos is not None and pos != state.pos:
+                state.open(pos)
+            if row == "action":
+                state.act(episode, place, kind, fact, category, target, numbers.get(class_, state.empty))
+            elif row == "vector":
+                numbers[class_] = state.near.add(vector)
+            elif row in ("fact", "seen"):
+                state.add(i, state.near.add(vector), sources or ())
+            else:
+                {"always": state.always, "named": state.named, "loaded": state.loaded}[row].add(i)
+        if state is not None and state.told:
+            yield _out(state, conversation)
+    if state is not None:
+        state.close()
+        if state.told:
+            yield _out(state, conversation)
 
 
 def _classes(rows: DataFrame, kind: str) -> DataFrame:
-    """conversation_id, embedding, class, copies: the distinct vectors of a conversation's rows (node), named by the least node."""
-    found = rows.groupBy("conversation_id", "embedding").agg(F.min("node").alias("class"), F.count(F.lit(1)).alias("copies"))
-    return found.withColumn("class", F.concat(F.lit(kind), "class"))
+    """conversation_id, embedding, class, copies: the distinct vectors of a conversation's rows, numbered."""
+    found = rows.groupBy("conversation_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))
+    return stored(found.withColumn("class", F.concat(F.lit(kind), F.monotonically_increasing_id().cast("string"))))
 
 
 def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, threshold: float = DUPLICATE_SIMILARITY) -> DataFrame:
@@ -257,7 +335,7 @@ def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, thresh
 
     near_by = threshold - 1e-9
     settling = actions.filter(F.col("kind").isin("new", "update"))
-    asking, asked = stored(_classes(settling, "p:")), stored(_classes(changing.filter("valid"), "m:"))
+    asking, asked = _classes(settling, "p:"), _classes(changing.filter("valid"), "m:")
     probes = asking.select("conversation_id", F.col("class").alias("probe"), F.col("class").alias("exclude"), F.col("embedding").alias("vector"))
     members = asking.unionByName(asked).select("conversation_id", F.col("class").alias("member"), F.col("embedding").alias("vector"))
     near = stored(linked(probes, members, "conversation_id", near_by).filter("a <> b").distinct())
@@ -269,7 +347,7 @@ def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, thresh
     def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
         """rows with class, and rep: the class if its rows belong together, else the row's own name."""
         known = stored(classes.select("conversation_id", "embedding", "class").join(joined.withColumn("together", F.lit(True)), "class", "left"))
-        met = rows.join(known, ["conversation_id", "embedding"], "left")
+        met = rows.join(known, ["conversation_id", "embedding"], "left").drop("embedding")
         return met.withColumn("rep", F.when(F.col("together"), F.col("class")).otherwise(F.concat(F.lit("n:"), F.col("node")))).drop("together")
 
     settled = with_class(settling, asking)
@@ -278,7 +356,7 @@ def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, thresh
     reps = stored(listed.unionByName(settled.select("node", "rep")).groupBy("node").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")))
     targets = reps.select(F.col("node").alias("target"), F.col("rep").alias("target_rep"))
     aiming = actions.filter("kind <> 'new' AND target_fact_id <> ''").select("node", "target").join(targets, "target").select("node", "target_rep")
-    marked = stored(settled.unionByName(actions.filter(~F.col("kind").isin("new", "update")), allowMissingColumns=True).join(stored(aiming), "node", "left"))
+    marked = stored(settled.unionByName(actions.filter(~F.col("kind").isin("new", "update")).drop("embedding"), allowMissingColumns=True).join(stored(aiming), "node", "left"))
     aimed = marked.filter("target_rep IS NOT NULL")
     edges = near.unionByName(selves).unionByName(reps.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     edges = edges.unionByName(aimed.filter("rep IS NOT NULL").select(F.col("rep").alias("a"), F.col("target_rep").alias("b")).distinct())
@@ -290,24 +368,43 @@ def apply_actions(facts: DataFrame, actions: DataFrame, scope: DataFrame, thresh
 
     marked = stored(placed(marked, F.coalesce("rep", "target_rep"), "left"))
     # What meets nothing makes a fact, or does nothing.
-    alone = marked.filter("component IS NULL AND kind IN ('new', 'update')")
+    alone = marked.filter("component IS NULL AND kind IN ('new', 'update')").join(asking.select("class", "embedding"), "class", "left")
     made = alone.select("conversation_id", own.alias("id"), "category", "fact", F.lit(1).alias("source_count"), F.lit(True).alias("active"), F.array("episode_id").alias("sources"), F.col("embedding").cast("array<float>").alias("embedding"))
     acting = marked.filter("component IS NOT NULL")
     touched = stored(acting.select("component").distinct())
-    inside = placed(changing.join(reps.select("node", "rep"), "node"), F.col("rep")).join(touched, "component", "left_semi")
+    inside = placed(changing.filter("valid").join(reps.select("node", "rep"), "node"), F.col("rep")).join(touched, "component", "left_semi")
     acting_classes = stored(acting.filter("class IS NOT NULL").select("class", "component").distinct())
     shown = above(probes.join(acting_classes, F.col("probe") == F.col("class"), "left_semi"), fixed.select("conversation_id", F.col("node").alias("member"), F.col("embedding").alias("vector")), "conversation_id", SIMILAR_FACTS, near_by)
-    seen = shown.join(acting_classes, F.col("probe") == F.col("class")).select("component", F.col("member").alias("node")).distinct().join(fixed, "node")
+    seen = shown.join(acting_classes, F.col("probe") == F.col("class")).select("component", F.col("member").alias("node")).distinct().join(fixed, "node").drop("sources")
     lists = placed(scope.join(reps.select("node", "rep"), "node"), F.col("rep")).join(touched, "component", "left_semi")
+    own_lists = stored(lists.filter("episode_id IS NOT NULL").select("component", "conversation_id", "episode_id", "id"))
+    # An episode's own list comes with its first action in the component.
+    opening = acting.groupBy("component", "episode_pos").agg(F.min_by("episode_id", "place").alias("episode_id"))
     parts = None
-    for row, table in (("fact", inside), ("seen", seen), ("scope", lists), ("action", acting)):
-        names = [x.rsplit(" ", 1) for x in _GROUP.split(", ")]
-        columns = [F.lit(row).alias("row") if n == "row" else F.col(n).cast(k).alias(n) if n in table.columns else F.lit(None).cast(k).alias(n) for n, k in names]
+    for row, part, table in (
+        ("vector", 0, acting_classes.join(asking, "class")), ("fact", 1, inside), ("seen", 1, seen), ("always", 1, lists.filter("episode_id IS NULL")), ("named", 1, own_lists.drop("episode_id").distinct()),
+        ("loaded", 2, own_lists.join(opening, ["component", "episode_id"])), ("action", 2, acting),
+    ):
+        table = table.withColumns({"row": F.lit(row), "part": F.lit(part), "step": F.lit(int(row == "action"))})
+        columns = [F.col(n).cast(k).alias(n) if n in table.columns else F.lit(None).cast(k).alias(n) for n, k in (x.rsplit(" ", 1) for x in _PARTS.split(", "))]
         parts = table.select(*columns) if parts is None else parts.unionByName(table.select(*columns))
-    folded = stored(parts.groupBy("conversation_id", "component").applyInPandas(lambda group: _fold(group, threshold), _AFTER))
-    changed = folded.select(named("conversation_id", F.col("id")).alias("node"), F.col("source_count").alias("__count"), F.col("active").alias("__active"), F.col("sources").alias("__sources"), F.col("made").alias("__made"))
-    kept = facts.join(changed, "node", "left").filter("__made IS NULL OR NOT __made")
-    left = kept.select(
-        "conversation_id", "id", "category", "fact", F.coalesce("__count", F.size("sources")).alias("source_count"), F.coalesce("__active", "valid").alias("active"), F.coalesce("__sources", "sources").alias("sources"), F.col("embedding").cast("array<float>").alias("embedding")
+    ordered = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component").sortWithinPartitions(*_ORDER)
+    told = stored(ordered.mapInArrow(lambda batches: _fold(batches, threshold), _TOLD)).withColumn("node", named("conversation_id", F.col("id")))
+    # A source counts once, at its first place; what has none is an end.
+    sources = told.filter("what <> 'made'").groupBy("node", "made", "source").agg(F.min("n").alias("n"))
+    changes = sources.groupBy("node", "made").agg(
+        F.count("source").cast("int").alias("__more"), F.bool_or(F.col("source").isNull()).alias("__ended"), F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("n", "source")))).alias("__added")
     )
-    return folded.filter("made").drop("made").unionByName(made).unionByName(left)
+    new = told.filter("what = 'made'").select("conversation_id", "id", "node", "category", "fact", F.array("source").alias("sources"), F.col("active").alias("valid"), "embedding", "later")
+    again = new.select("node").join(bare.select("node"), "node", "left_semi")  # facts that are made once more
+
+    def changed(rows: DataFrame, by: DataFrame) -> DataFrame:
+        return rows.join(by.drop("made"), "node", "left").select(
+            "node", "conversation_id", "id", "category", "fact", (F.size("sources") + F.coalesce("__more", F.lit(0))).alias("source_count"), (F.col("valid") & ~F.coalesce("__ended", F.lit(False))).alias("active"),
+            F.when(F.col("__more") > 0, F.concat("sources", F.transform("__added", lambda x: x["source"]))).otherwise(F.col("sources")).alias("sources"), F.col("embedding").cast("array<float>").alias("embedding"),
+        )
+
+    left = changed(facts, changes.filter("NOT made")).join(again, "node", "left_anti").drop("node")
+    renewed = changed(new.filter("later"), changes.filter("made")).drop("node")
+    final = new.filter("NOT later").select("conversation_id", "id", "category", "fact", F.size("sources").alias("source_count"), F.col("valid").alias("active"), "sources", "embedding")
+    return final.unionByName(renewed).unionByName(made).unionByName(left)

@@ -129,3 +129,112 @@ def test_copies_of_vectors_cost_nothing(spark):
     rows = pd.DataFrame([(*a[1:], [s[2] for s in scope if s[1] in (None, a[1])]) for a in actions], columns=["episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding", "scope"])
     want = apply_in_order(pd.DataFrame([f[1:] for f in facts], columns=["id", "category", "fact", "sources", "valid", "embedding"]), rows, 0.8)
     assert got == {r.id: (r.fact, sorted(r.sources), r.active) for r in want.itertuples()}
+
+
+def _plain(facts, actions, scope, threshold):
+    """What actions do to the facts of one conversation, each held against all facts: id to text, sources, validity."""
+    import numpy as np
+
+    state = {i: {"fact": fact, "sources": list(sources), "valid": valid, "vector": np.asarray(v, np.float32).astype(float)} for _, i, _, fact, sources, valid, v in facts}
+    for pos in sorted({a[2] for a in actions}):
+        rows = sorted((a for a in actions if a[2] == pos), key=lambda a: a[3])
+        loaded = {i for _, e, i in scope if e in (None, rows[0][1]) and i in state and state[i]["valid"]}
+        for _, episode, _, place, kind, fact, _, target, v in rows:
+            hit = kind != "new" and target in loaded
+            found = None
+            if kind in ("new", "update"):
+                v = np.asarray(v, np.float32).astype(float)
+                near = sorted((-round(float(x["vector"] @ v), 9), k) for k, x in state.items() if x["valid"] and (k != target or not hit) and float(x["vector"] @ v) > threshold)
+                found = next((k for _, k in near[:5] if k in loaded), None)
+            elif kind == "reinforce" and hit:
+                found = target
+            if hit and kind in ("update", "invalidate"):
+                state[target]["valid"] = False
+                loaded.discard(target)
+            if found is not None:
+                if episode not in state[found]["sources"]:
+                    state[found]["sources"].append(episode)
+            elif kind in ("new", "update"):
+                state[f"{episode}/{place}"] = {"fact": fact, "sources": [episode], "valid": True, "vector": v}
+                loaded.add(f"{episode}/{place}")
+    return {i: (x["fact"], x["sources"], x["valid"]) for i, x in state.items()}
+
+
+def _busy(seed, c="c", episodes=40):
+    """Few vectors with many copies; episodes load facts that earlier ones made."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    vectors = [[float(x) for x in (np.eye(5)[i % 3] + rng.normal(scale=0.25, size=5)).astype(np.float32)] for i in range(6)]
+    one = lambda: vectors[int(rng.integers(0, 6))]
+    facts = [(c, f"f{i}", "goal", f"text {i}", ["e0"], bool(rng.random() < 0.8), one()) for i in range(14)]
+    scope, actions, made = [(c, None, f"f{i}") for i in range(3)], [], []
+    for e in range(episodes):
+        own = [f"f{i}" for i in range(3, 9) if rng.random() < 0.1] + ([made[int(rng.integers(0, len(made)))]] if made and rng.random() < 0.4 else [])
+        scope += [(c, f"e{e}", i) for i in own]
+        for place in range(int(rng.integers(1, 5))):
+            kind = ("new", "update", "reinforce", "invalidate")[int(rng.choice(4, p=[0.5, 0.2, 0.2, 0.1]))]
+            target = "" if kind == "new" else [*own, "f0", "f1", f"e{e}/0", "f12", "nobody"][int(rng.integers(0, len(own) + 5))]
+            actions.append((c, f"e{e}", e, place, kind, f"a{e}.{place}", "goal", target, one() if kind in ("new", "update") else None))
+            if kind == "new":
+                made.append(f"e{e}/{place}")
+    return facts, actions, scope
+
+
+def test_facts_out_of_reach_are_let_go():
+    for seed in range(40):
+        facts, actions, scope = _busy(seed)
+        rows = pd.DataFrame([(*a[1:], [s[2] for s in scope if s[1] in (None, a[1])]) for a in actions], columns=["episode_id", "episode_pos", "place", "kind", "fact", "category", "target_fact_id", "embedding", "scope"])
+        out = apply_in_order(pd.DataFrame([f[1:] for f in facts], columns=["id", "category", "fact", "sources", "valid", "embedding"]), rows, 0.6)
+        assert {r.id: (r.fact, r.sources, r.active) for r in out.itertuples()} == _plain(facts, actions, scope, 0.6)
+
+
+def test_folds_row_by_row_equal_plain_ones(spark):
+    from palim.operators import consolidation
+
+    tables, want = ([], [], []), {}
+    for seed in range(6):
+        found = _busy(100 + seed, f"c{seed}")
+        for rows, more in zip(tables, found):
+            rows += more
+        want |= {(f"c{seed}", i): x for i, x in _plain(*found, 0.6).items()}
+    kinds = ("conversation_id string, id string, category string, fact string, sources array<string>, valid boolean, embedding array<float>", "conversation_id string, episode_id string, episode_pos long, place long, kind string, fact string, category string, target_fact_id string, embedding array<float>", "conversation_id string, episode_id string, id string")
+    at = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(at)
+    spark.conf.set(at, "7")
+    try:
+        out = consolidation.apply_actions(*(spark.createDataFrame(rows, kind) for rows, kind in zip(tables, kinds)), 0.6).collect()
+    finally:
+        spark.conf.set(at, was)
+    assert len(out) == len(want)
+    assert {(r["conversation_id"], r["id"]): (r["fact"], r["sources"], r["active"]) for r in out} == want
+    assert all(r["source_count"] == len(r["sources"]) for r in out)
+
+
+def test_a_fold_does_not_hold_its_actions():
+    """One component of 60,000 actions, most of which make facts, in batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from palim.operators import consolidation
+
+    names = [x.split(" ")[0] for x in consolidation._PARTS.split(", ")]
+    types = {"part": pa.int32(), "step": pa.int32(), "episode_pos": pa.int64(), "place": pa.int64(), "sources": pa.list_(pa.string()), "embedding": pa.list_(pa.float32())}
+    schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
+    row = lambda **x: {n: None for n in names} | {"component": "k", "conversation_id": "c"} | x
+
+    def batches(n):
+        yield pa.RecordBatch.from_pylist([row(part=0, row="vector", **{"class": f"p{i}"}, embedding=[1.0 * (i == j) for j in range(4)]) for i in range(4)] + [row(part=1, row="fact", id="f", sources=["e"], embedding=[1.0, 0.0, 0.0, 0.0]), row(part=1, row="always", id="f")], schema)
+        for a in range(0, n, 500):
+            yield pa.RecordBatch.from_pylist([row(part=2, step=1, episode_pos=k // 2, place=k % 2, row="action", episode_id=f"e{k // 2}", kind="new", fact=f"text {k} " * 10, category="goal", target_fact_id="", **{"class": f"p{k % 4}"}) for k in range(a, a + 500)], schema)
+
+    def peak(n):
+        tracemalloc.start()
+        told = sum(b.num_rows for b in consolidation._fold(batches(n), 0.5))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert told > n / 2
+        return most
+
+    assert peak(60_000) < 3_000_000  # 50 bytes an action; a row alone takes more than ten times that
